@@ -6,7 +6,8 @@ budget stays below 1 for the first segments (r = 2, m = 5: two segments), they m
 candidates meet; longer chains then prune before all bits are compared.
 
 For large radii no chain is equal for certain, so candidates meet under the smallest shingle hashes that they share
-(`sketch`), and the chains prune as before. That search is not exhaustive; its recall is measured in the tests.
+(`sketch`), the chains prune as before, and a link needs SHARE of the sketch in common. That search is not exhaustive;
+its recall is measured in the tests.
 
 Groups under one key are never expanded into pairs: from each group only a spanning forest of verified links leaves, and
 groups over BLOCK fingerprints are dealt out as pairs of chunks.
@@ -31,6 +32,8 @@ SEED = 42
 BITS = 64
 #: Distinct fingerprints that one task compares with one another; larger groups are dealt out as pairs of chunks.
 BLOCK = 4096
+#: Of the larger of two sketches, the part that both must hold to be linked. At a Jaccard similarity of 0.8, seven of eight are expected.
+SHARE = 0.35
 #: Groups up to this size are compared by shifting; larger ones by search from node to node.
 FEW = 8
 #: Shingles whose hashes are held at once: bounds memory for very long texts.
@@ -132,7 +135,13 @@ def near(x: np.ndarray, radius: int) -> np.ndarray:
     return good
 
 
-def _forest(f: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of sketches (filled up with -1) have enough in common."""
+    same = ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(axis=2).sum(axis=1)
+    return same >= np.ceil(SHARE * np.maximum((a >= 0).sum(axis=1), (b >= 0).sum(axis=1)))
+
+
+def _forest(f: np.ndarray, s: np.ndarray | None, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links that join what is linked in f, one fewer than nodes in each component."""
     left, a, b = np.arange(len(f)), [], []
     while left.size > 1:
@@ -140,6 +149,9 @@ def _forest(f: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarr
         while todo and left.size:
             u = todo.pop()
             hit = near(f[left] ^ f[u], radius)
+            if s is not None and hit.any():
+                at = np.flatnonzero(hit)
+                hit[at] = alike(s[left[at]], np.broadcast_to(s[u], (at.size, s.shape[1])))
             if hit.any():
                 found = left[hit]
                 a.append(np.full(found.size, f[u]))
@@ -149,20 +161,24 @@ def _forest(f: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarr
     return a, b
 
 
-def _links_in(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _links_in(keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within the groups of equal keys, which are sorted."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     few = np.repeat(sizes <= FEW, sizes)
     a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-    for s in range(1, FEW):
-        at = np.flatnonzero((keys[s:] == keys[:-s]) & few[s:])
+    for step in range(1, FEW):
+        at = np.flatnonzero((keys[step:] == keys[:-step]) & few[step:])
+        if at.size:
+            at = at[near(fps[at] ^ fps[at + step], radius)]
+        if at.size and sketches is not None:
+            at = at[alike(sketches[at], sketches[at + step])]
         if at.size:
-            at = at[near(fps[at] ^ fps[at + s], radius)]
             a.append(fps[at])
-            b.append(fps[at + s])
+            b.append(fps[at + step])
     for i in np.flatnonzero(sizes > FEW):
-        x, y = _forest(np.unique(fps[starts[i] : starts[i] + sizes[i]]), radius)
+        own = slice(starts[i], starts[i] + sizes[i])
+        x, y = _forest(fps[own], None if sketches is None else sketches[own], radius)
         a += x
         b += y
     return np.concatenate(a), np.concatenate(b)
@@ -171,32 +187,39 @@ def _links_in(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarra
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _link(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _padded(column: pa.Array, width: int) -> np.ndarray:
+    out = np.full((len(column), width), -1, np.int32)
+    sizes = np.diff(column.offsets.to_numpy())
+    out[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy()
+    return out
+
+
+def _link(radius: int, sketch: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; the last group of a batch waits for the next one. A group has few times BLOCK rows at most."""
-    keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def joined():
+        return [np.concatenate(x) for x in zip(*held, strict=True)]
 
-    def out(k, f):
-        a, b = _links_in(k, f, radius)
+    def out(k, f, s=None):
+        a, b = _links_in(k, f, s, radius)
         return batch(_LINKS, a.view(np.int64), b.view(np.int64))
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
     for b in nonempty(batches):
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)))
-        if sum(len(k) for k, _ in held) < 50_000:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), *([_padded(b.column(2), sketch)] if sketch else [])))
+        if sum(len(x[0]) for x in held) < 50_000:
             continue
-        keys, fps = np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([fps, *(f for _, f in held)])
-        held = []
-        cut = np.searchsorted(keys, keys[-1])
+        whole = joined()
+        cut = np.searchsorted(whole[0], whole[0][-1])
         if cut:
-            yield out(keys[:cut], fps[:cut])
-            keys, fps = keys[cut:], fps[cut:]
-    keys, fps = np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([fps, *(f for _, f in held)])
-    if len(keys):
-        yield out(keys, fps)
+            yield out(*(x[:cut] for x in whole))
+        held = [tuple(x[cut:] for x in whole)]
+    if held:
+        yield out(*joined())
 
 
-def links(keyed: DataFrame, radius: int) -> DataFrame:
-    """keyed: key and fp, without repeats. Links a, b between fingerprints under one key that differ in up to radius bits;
+def links(keyed: DataFrame, radius: int, sketch: int = 0) -> DataFrame:
+    """keyed: key, fp and, with a sketch, lanes; without repeats of key and fp. Links a, b between fingerprints under one key that differ in up to radius bits;
     not all of them, but as many as join the same fingerprints."""
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("chunks"))
     large, path = written(large, "large")
@@ -205,24 +228,27 @@ def links(keyed: DataFrame, radius: int) -> DataFrame:
         keyed = (
             keyed.join(large, "key", "left")
             .withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
-            .select(F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least(chunk, "other"), F.greatest(chunk, "other"))).alias("key"), "fp")
+            .select(F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least(chunk, "other"), F.greatest(chunk, "other"))).alias("key"), *keyed.columns[1:])
         )
     else:
         delete(keyed.sparkSession, path)
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_link, radius), "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_link, radius, sketch), "a long, b long")
 
 
 def classes(prints: DataFrame, radius: int = 2) -> DataFrame:
     """prints: doc_id, fp and perhaps sketch, as from fingerprints(). For each distinct fingerprint its component_id, the
     smallest doc_id that links of up to radius bits reach. With a sketch, candidates meet under shared shingle hashes."""
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    sketch = 0
     if "sketch" in prints.columns:
-        keyed = prints.select(F.explode("sketch").alias("key"), "fp").distinct()
+        sketch = prints.agg(F.max(F.size("sketch"))).first()[0] or 1
+        lanes = F.transform("sketch", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+        keyed = prints.groupBy("fp").agg(F.min("sketch").alias("sketch")).select(F.explode("sketch").alias("key"), "fp", lanes.alias("lanes"))
     elif ring(radius)[1]:
         keyed = least.select("fp", F.explode(chain_keys(F.col("fp"), radius)).alias("key")).select("key", "fp")
     else:
         raise ValueError("a radius without equal chains needs a sketch")
-    found = components(links(keyed, radius))
+    found = components(links(keyed, radius, sketch))
     rooted = least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(best, "root").select("fp", "component_id")

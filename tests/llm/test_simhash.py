@@ -87,15 +87,15 @@ def test_chain_keys_meet(spark):
 
 
 def test_sketch_recall(spark, docs):
-    """Near copies of the pipeline's stage: of all pairs of five-word fingerprints within 12 bits that share half their shingles."""
-    rows = {r["doc_id"]: r for r in simhash.near_duplicates(docs, 5, 12, 8).collect()}
+    """Near copies of the pipeline's stage: of all pairs of five-word fingerprints within 14 bits whose shingles have a Jaccard similarity of 0.8 or more."""
+    rows = {r["doc_id"]: r for r in simhash.near_duplicates(docs, 5, 14, 8).collect()}
     ids = sorted(rows)
     x = np.array([rows[i]["fp"] % (1 << 64) for i in ids], dtype=np.uint64)
     texts = {r["doc_id"]: r["text"].lower().split() for r in docs.select("doc_id", "text").collect()}
     shingles = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in texts.items()}
     found = missed = 0
     for i in range(len(ids)):
-        for j in np.flatnonzero(np.bitwise_count(x[i] ^ x[i + 1 :]) <= 12) + i + 1:
+        for j in np.flatnonzero(np.bitwise_count(x[i] ^ x[i + 1 :]) <= 14) + i + 1:
             a, b = shingles[ids[i]], shingles[ids[int(j)]]
             if len(a & b) >= 0.8 * len(a | b):
                 same = rows[ids[i]]["component_id"] == rows[ids[int(j)]]["component_id"]
