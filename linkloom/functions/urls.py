@@ -120,4 +120,5 @@ def null_header(value: Column) -> Column:
 def retry_seconds(value: Column, now: Column) -> Column:
     """Of a Retry-After header: seconds, or what is left until an HTTP date, or null."""
     at = F.unix_timestamp(F.try_to_timestamp(F.substring(value, 6, 20), F.lit("dd MMM yyyy HH:mm:ss")))
-    return F.coalesce(value.try_cast("double"), F.greatest(F.lit(0.0), (at - F.unix_timestamp(now)).cast("double")))
+    left = F.greatest(F.lit(0.0), (at - F.unix_timestamp(now)).cast("double"))
+    return F.coalesce(value.try_cast("double"), F.when(at.isNotNull(), left))

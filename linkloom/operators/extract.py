@@ -105,7 +105,7 @@ def listing_urls(body: Column) -> Column:
     """Of a forum listing: text, link and title of each entry."""
     found = F.from_json(body, "struct<data:struct<children:array<struct<data:struct<selftext:string,url:string,title:string>>>,after:string>>")
     fields = F.flatten(F.transform(found["data"]["children"], lambda c: F.array(c["data"]["selftext"], c["data"]["url"], c["data"]["title"])))
-    return F.flatten(F.transform(fields, text_urls))
+    return F.flatten(F.transform(fields, lambda t: text_urls(t)))
 
 
 def listing_cursor(body: Column) -> Column:
