@@ -95,6 +95,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _ESCAPED = r"regexp_replace({}, '([<\[])(\^*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\2^\3', 'g')"
 
+_ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(order: int, kind: str, pattern: str, value: int = 0) -> str:
+    """Matches of one kind, and the parts of the text between them, from which positions follow."""
+    return f"SELECT r, {order} AS k, '{kind}' AS kind, string_split_regex(t, '{pattern}') AS parts, regexp_extract_all(t, '{pattern}', 0) AS hits, regexp_extract_all(t, '{pattern}', {value}) AS vals FROM d"
+
+
 SQL: dict[str, str] = {
     "op2_chat_formatting": rf"""
         WITH t AS (
@@ -109,6 +117,21 @@ SQL: dict[str, str] = {
         )
         SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM turns JOIN loss USING (conv_id)
     """,
+    "op5_secret_scans": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        m AS ({_matches(0, "assign", _ASSIGN, 2)} UNION ALL {_matches(1, "access", "AKIA[A-Z0-9]+")} UNION ALL {_matches(2, "hex", "[0-9a-f]{24,}")}),
+        n AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+        s AS (
+            SELECT r, k, kind, length(hits[i]) AS n, length(vals[i]) AS value,
+                list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS pos FROM n
+        ), g AS (
+            SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+                string_agg(kind || ':' || CAST(pos AS BIGINT) || ':' || CAST(pos + n AS BIGINT), ',' ORDER BY pos, k) AS spans
+            FROM s WHERE k = 0 AND value >= 6 OR k = 1 AND n >= 20 OR k = 2 GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (r)
+    """,
     "op8_exact_dedup": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS content FROM documents
