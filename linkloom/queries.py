@@ -239,13 +239,15 @@ def cdx_page_parse(spark, sf_dir):
     return parsed.select("page", F.size("r.urls").cast("bigint").alias("urls"), "r.resume_key")
 
 
-@query()
+@query("""WITH m AS (SELECT page_id, regexp_extract_all(replace(html, 'href="/', 'href="?model='), '<a href="\\?model=([^"]+)"', 1) AS m FROM pages)
+    SELECT page_id, CAST(unnest(range(len(m))) AS INTEGER) AS pos, unnest(m) AS model FROM m""")
 def index_model_links(spark, sf_dir):
     body = F.replace("html", F.lit('href="/'), F.lit('href="?model='))
     return read(spark, sf_dir, "pages").select("page_id", F.posexplode(extract.index_models(body)).alias("pos", "model"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT page_id, body, list_filter(regexp_extract_all(body, '<a href="([^"]*)"', 1), lambda h: contains(h, '{C.ARCHIVE_HOST}') OR contains(h, '{C.SISTER_HOST}')) AS links FROM {_LINKED} WHERE NOT contains(lower(body), 'unusual traffic'))
+    SELECT page_id, unnest(CASE WHEN len(links) > 0 THEN links ELSE list_transform(regexp_extract_all(body, '{_URL_SQL}', 0), lambda u: rtrim(u, '.,;:!?''"')) END) AS url FROM p""")
 def search_page_links(spark, sf_dir):
     pages = linked_pages(spark, sf_dir).select("page_id", F.lit(200).alias("status"), F.lit("").alias("final_url"), "body")
     return extract.search_page_urls(pages, False).select("page_id", "url")
@@ -331,12 +333,37 @@ def firmware_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", key.alias("key"), F.when(F.col("p_partkey") % 13 == 0, 0).otherwise(F.col("p_partkey")).alias("size"))
 
 
-@query()
+_KEYS = """(SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'manual/' ELSE 'firmware/' END || (['AX', 'Archer_C', 'TL-WR8', 'Deco M', 'X', 'TapoC', 'BE'])[1 + p_partkey % 7] || p_size
+    || (['(US)_V1_1.0.1 Build 20210503.bin', 'v4_EU_1.2.0.zip', '_V2_200714.rar', '-UP-ver1-2-3.bin', '_JP_0.9.1_1.2.tar.gz'])[1 + p_partkey % 5] AS key, CASE WHEN p_partkey % 13 = 0 THEN 0 ELSE p_partkey END AS size FROM part)"""
+
+
+def _last(x: str) -> str:
+    return f"regexp_extract({x}, '[^/]*$')"
+
+
+def _cut(x: str, pattern: str, by: str = "", flags: str = "") -> str:
+    return f"regexp_replace({x}, '{pattern}', '{by}'" + (f", '{flags}')" if flags else ")")
+
+
+def _token(x: str) -> str:
+    """What model_token does, for an engine without lookaround: what lookaround would leave is put back."""
+    x = _cut(f"replace({_cut(_cut(x, C.TOKEN_EXTENSION), r'^\([A-Z]\)\s*')}, '_', ' ')", r"[(\[][^)\]]*[)\]]", " ", "g")
+    x = _cut(x, f"(?i)^({C.BRANDS})([A-Za-z0-9])", r"\1 \2")
+    x = _cut(x, "(?is)" + C.TOKEN_VERSION.replace(r"(?<=\d)v", r"(\d)v") + ".*", r"\1")
+    x = f"trim({_cut(_cut(x, '^[ _-]+|[ _-]+$', '', 'g'), r'\s+', ' ', 'g')})"
+    return f"trim({_cut(f"' ' || {x}", C.TOKEN_TAIL)})"
+
+
+@query(rf"""WITH n AS (SELECT {_cut(_cut("key", "^firmware/"), r"^\([^)]{1,8}\)")} AS n FROM {_KEYS} WHERE key LIKE 'firmware/%'),
+    m AS (SELECT {_cut(_cut(_cut(_cut(_cut("n", C.FIRMWARE_STAMP), C.FIRMWARE_EXTENSION), "(?is)" + C.FIRMWARE_REGION.replace("(?=[-_]|$)", "(?:[-_].*)?$")), "(?s)" + C.FIRMWARE_VERSION + ".*"), "^[_. -]+|[_. -]+$", "", "g")} AS m
+        FROM n WHERE NOT regexp_matches(n, '^\d[\d.]*[\s_]')),
+    g AS (SELECT m, {_cut(_cut("m", r"[Vv]\d+(\.\d+)*$"), "[._ -]+$")} AS bare FROM m WHERE length(m) >= {C.FIRMWARE_LEAST} AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '(?i)^\d+phase'))
+    SELECT m AS model FROM g UNION SELECT bare FROM g WHERE length(bare) >= {C.FIRMWARE_LEAST}""")
 def firmware_tokens(spark, sf_dir):
     return firmware_keys(spark, sf_dir).select(F.explode(tokens.firmware_models(F.col("key"))).alias("model")).distinct()
 
 
-@query()
+@query(f"SELECT p_partkey, {_token(_last('key'))} AS token FROM {_KEYS}")
 def model_normalize(spark, sf_dir):
     return firmware_keys(spark, sf_dir).select("p_partkey", tokens.model_token(F.substring_index("key", "/", -1)).alias("token"))
 
@@ -349,7 +376,12 @@ def token_variants(spark, sf_dir):
     return t.select("token", F.explode(tokens.token_variants(F.col("token"))).alias("model"))
 
 
-@query()
+@query(rf"""{_ARCHIVES_CTE}, c AS (
+        SELECT {_last("key")} AS c FROM {_KEYS} WHERE size > 0 AND key LIKE 'firmware/%'
+        UNION ALL SELECT unnest(string_split_regex({_cut(_cut(_last("url"), C.TOKEN_ARCHIVE), C.TOKEN_MARKERS, "_", "g")}, '_+')) FROM a
+    ), t AS (SELECT DISTINCT {_token("c")} AS t FROM c),
+    k AS (SELECT t, NOT regexp_matches(t, '(?i)^({C.BRANDS})[A-Za-z0-9]') AS bare FROM t WHERE length(t) BETWEEN {C.TOKEN_LENGTHS[0]} AND {C.TOKEN_LENGTHS[1]} AND regexp_matches(t, '[A-Za-z]') AND NOT regexp_matches(t, '^\d'))
+    SELECT t AS model FROM k UNION SELECT 'Archer ' || t FROM k WHERE bare AND regexp_matches(t, '{C.ARCHER_SERIES}') UNION SELECT 'Deco ' || t FROM k WHERE bare AND regexp_matches(t, '{C.DECO_SERIES}')""")
 def model_wordlist(spark, sf_dir):
     return tokens.model_wordlist(firmware_keys(spark, sf_dir), archives(spark, sf_dir).select("url"))
 
