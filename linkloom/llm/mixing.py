@@ -11,6 +11,7 @@ that are left share its weight in proportion; so all rows are used, each once.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -84,16 +85,22 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Of all columns that can be hashed: tells apart rows that share an id or have none, the same in every run."""
+    return F.xxhash64(*(docs[f"`{f.name}`"] for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())))
+
+
 def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """row (all columns of docs as a struct), source_key, block, slot, position: rows in the order of position are the mix.
 
     weights: by source; each source needs a positive one. None: rows of the source to the power POWER. Within a source,
-    rows come in the order of a hash of doc_id. Position has gaps only where the last block of a source isn't full; it is
+    rows come in the order of a hash of doc_id (of the row, where doc_id is null), and rows that share an id in the order
+    of a hash of theirs, so that a task that is run again numbers them alike. Position has gaps only where the last block of a source isn't full; it is
     unique. Null and empty sources are sources like any other, repeated rows are rows like any other, and columns of docs
     may have any names. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct(F.col("*")).alias("row"), source_key(F.col(source_col)).alias("source_key"), F.xxhash64(F.lit(5), F.col(id_col)).alias("h"), F.col(id_col).cast("long").alias("id"))
+    rows = docs.select(F.struct(F.col("*")).alias("row"), source_key(F.col(source_col)).alias("source_key"), F.xxhash64(F.lit(5), F.coalesce(F.col(id_col).cast("long"), row_hash(docs))).alias("h"), F.col(id_col).cast("long").alias("id"), row_hash(docs).alias("tie"))
     counts = {r["k"]: r["n"] for r in docs.groupBy(source_key(F.col(source_col)).alias("k")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -115,7 +122,7 @@ def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None
     sized = rows.join(F.broadcast(table.select("source_key", "buckets")), "source_key").withColumn("bucket", F.pmod("h", "buckets"))
     before = sized.groupBy("source_key", "bucket").agg(F.count("*").alias("n"))
     before = before.select("source_key", "bucket", (F.sum("n").over(Window.partitionBy("source_key").orderBy("bucket")) - F.col("n")).alias("before"))
-    numbered = sized.withColumn("nth", F.row_number().over(Window.partitionBy("source_key", "bucket").orderBy("h", "id")) - 1)
+    numbered = sized.withColumn("nth", F.row_number().over(Window.partitionBy("source_key", "bucket").orderBy("h", "id", "tie")) - 1)
     ranked = numbered.join(before, ["source_key", "bucket"]).withColumn("rank", F.col("before") + F.col("nth"))
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_docs)).join(F.broadcast(table.select("source_key", "phases")), "source_key")
     ranked = ranked.withColumn("p", F.filter("phases", lambda p: (F.col("block") >= p["first"]) & (F.col("block") < p["first"] + p["n"]))[0]).withColumn("i", F.col("block") - F.col("p.first"))

@@ -101,7 +101,7 @@ def pack(docs: DataFrame, length: Column | None = None, costs: Mapping[int, floa
     shards = max(1, -(-docs.count() // shard_docs))
     rest = items.where(n % top > 0).select(
         "doc_id", F.floor(n / top).cast("int").alias("piece"), (n - n % top).alias("piece_start"), (n % top).alias("length"),
-        F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64(F.lit(9), F.coalesce("doc_id", "row_id")), F.lit(shards)).alias("shard"),
     )
     ddl = "doc_id long, piece int, piece_start long, length long, bin_id string, capacity int, start long"
     return full.unionByName(rest.groupBy("shard").applyInPandas(partial(_pack, costs), ddl))

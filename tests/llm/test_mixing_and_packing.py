@@ -76,6 +76,13 @@ def plain_best_fit(lengths, costs, most):
     return sum(min(costs[c] for c in sizes if c >= used) for _, used in bins)
 
 
+def test_mix_does_not_depend_on_how_rows_arrive(spark):
+    rows = [(None if i % 3 else i // 9, f"text {i}", "a" if i % 4 else None, {"k": i}) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tie map<string,int>")
+    order = lambda d: [r["text"] for r in mixing.mix(d, block_docs=4).collect()]
+    assert order(df.coalesce(1)) == order(df.repartition(7, "text").orderBy("text"))
+
+
 def test_best_fit_against_plain_search():
     rng = random.Random(4)
     costs = {c: c * (1 + c / 40) for c in (8, 16, 32)}
