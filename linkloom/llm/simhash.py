@@ -6,8 +6,10 @@ budget stays below 1 for the first segments (r = 2, m = 5: two segments), they m
 candidates meet; longer chains then prune before all bits are compared.
 
 For large radii no chain is equal for certain, so candidates meet under the smallest shingle hashes that they share
-(`sketch`), the chains prune as before, and a link needs SHARE of the sketch in common. That search is not exhaustive;
-its recall is measured in the tests.
+(`sketch`), the chains prune as before, and a link needs a Jaccard similarity of `similar`. It is first estimated, as the
+part of BINS bins in which both texts have the same smallest hash (one-permutation hashing, a deviation of 0.025 at
+most); links within MARGIN of `similar` are then checked on the whole shingle sets of both texts. That search is not
+exhaustive; its recall is measured in the tests.
 
 Groups under one key are never expanded into pairs: from each group only a spanning forest of verified links leaves, and
 groups over BLOCK fingerprints are dealt out as pairs of chunks.
@@ -32,13 +34,21 @@ SEED = 42
 BITS = 64
 #: Distinct fingerprints that one task compares with one another; larger groups are dealt out as pairs of chunks.
 BLOCK = 4096
-#: Of the larger of two sketches, the part that both must hold to be linked. At a Jaccard similarity of 0.8, seven of eight are expected.
-SHARE = 0.35
+#: Bins of the hash range, of a byte each, that estimate the similarity of two texts' shingles.
+BINS = 256
+#: With a sketch, the least similarity of a link.
+SIMILAR = 0.8
+#: Estimates this close to the least similarity are checked on whole texts: three deviations.
+MARGIN = 0.08
+#: The ids of texts to check are broadcast up to this number (8 bytes each), else shuffled.
+BROADCAST_IDS = 1_000_000
 #: Groups up to this size are compared by shifting; larger ones by search from node to node.
 FEW = 8
 #: Shingles whose hashes are held at once: bounds memory for very long texts.
 PIECE = 1 << 18
 
+_BIN_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -54,39 +64,47 @@ def _hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
         yield np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64, len(part) - shingle + 1)
 
 
-def fingerprint(text: bytes, shingle: int = 3, sketch: int = 0) -> tuple[int, list[int]]:
-    """Of a text in UTF-8, with A-Z lower-cased and words parted at ASCII white space: the fingerprint and its smallest shingle hashes."""
+def fingerprint(text: bytes, shingle: int = 3, sketch: int = 0) -> tuple[int, list[int], bytes]:
+    """Of a text in UTF-8, with A-Z lower-cased and words parted at ASCII white space: the fingerprint and, with a sketch,
+    its smallest shingle hashes and a byte for each bin, which tells the bin's smallest hash (0: the bin is empty)."""
     words = text.lower().split()  # on bytes, both know ASCII only
     if not words:
-        return 0, []
-    counts, total, small = np.zeros((8, 256), np.int64), 0, np.empty(0, np.uint64)
+        return 0, [], bytes(BINS if sketch else 0)
+    counts, total, small, least = np.zeros((8, 256), np.int64), 0, np.empty(0, np.uint64), np.full(BINS, _NONE)
     for h in _hashes(words, shingle):
         for j, column in enumerate(h.astype("<u8").view(np.uint8).reshape(-1, 8).T):
             counts[j] += np.bincount(column, minlength=256)
         total += len(h)
         if sketch:
-            small = np.unique(np.concatenate([small, h]))[:sketch]
+            h = np.unique(h)
+            small = np.unique(np.concatenate([small, h[:sketch]]))[:sketch]
+            at = np.searchsorted(h, _BIN_STARTS)
+            full = np.diff(np.r_[at, len(h)]) > 0
+            least[full] = np.minimum(least[full], h[at[full]])
     ones = (counts @ _BYTE_BITS).ravel()
-    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0]), small.tolist()
+    # within a bin the smallest hash has small high bits; its low bits are spread evenly
+    bins = np.where(least == _NONE, 0, 1 + (least & np.uint64(0xFFFFFFFF)) % np.uint64(255)).astype(np.uint8).tobytes() if sketch else b""
+    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0]), small.tolist(), bins
 
 
 def _fingerprints(shingle: int, sketch: int, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in nonempty(batches):
         got = [fingerprint(t, shingle, sketch) for t in utf8(b.column(1))]
-        fp = pa.array(np.array([x for x, _ in got], dtype=np.uint64).view(np.int64))
+        fp = pa.array(np.array([x for x, _, _ in got], dtype=np.uint64).view(np.int64))
         columns = [b.column(0), fp]
         if sketch:
-            flat = np.array([h for _, s in got for h in s], dtype=np.uint64).view(np.int64)
-            ends = np.cumsum([0, *(len(s) for _, s in got)]).astype(np.int32)
-            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            flat = np.array([h for _, s, _ in got for h in s], dtype=np.uint64).view(np.int64)
+            ends = np.cumsum([0, *(len(s) for _, s, _ in got)]).astype(np.int32)
+            columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([x for _, _, x in got], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the unsigned fingerprint in a long) and, if asked for, the sketch. A null or blank text has fingerprint 0."""
+    """doc_id, fp (the unsigned fingerprint in a long) and, if asked for, the sketch: its smallest hashes as `sketch`, and
+    `bins`. A null or blank text has fingerprint 0 and an empty sketch."""
     small_batches(docs.sparkSession)
-    fields = [pa.field("doc_id", pa.int64()), pa.field("fp", pa.int64())] + ([pa.field("sketch", pa.list_(pa.int64()))] if sketch else [])
-    ddl = "doc_id long, fp long" + (", sketch array<long>" if sketch else "")
+    fields = [pa.field("doc_id", pa.int64()), pa.field("fp", pa.int64())] + ([pa.field("sketch", pa.list_(pa.int64())), pa.field("bins", pa.binary())] if sketch else [])
+    ddl = "doc_id long, fp long" + (", sketch array<long>, bins binary" if sketch else "")
     return texts(docs, id_col, text_col).mapInArrow(partial(_fingerprints, shingle, sketch, pa.schema(fields)), ddl)
 
 
@@ -135,66 +153,65 @@ def near(x: np.ndarray, radius: int) -> np.ndarray:
     return good
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows of sketches (filled up with -1) have enough in common."""
-    same = ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(axis=2).sum(axis=1)
-    return same >= np.ceil(SHARE * np.maximum((a >= 0).sum(axis=1), (b >= 0).sum(axis=1)))
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of bins: the estimated Jaccard similarity; 0 where both are empty."""
+    same = ((a == b) & (a > 0)).sum(axis=1)
+    return same / np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
 
 
-def _forest(f: np.ndarray, s: np.ndarray | None, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that join what is linked in f, one fewer than nodes in each component."""
-    left, a, b = np.arange(len(f)), [], []
+def _forest(f: np.ndarray, s: np.ndarray | None, radius: int, similar: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links that join what is linked in f, one fewer than nodes in each component, with estimates: a maximum spanning
+    forest but for links over the margin, of which any will do. So whatever least similarity within the margin is then
+    asked for, links of the forest join what all links would."""
+    left, out = np.arange(len(f)), []
+    best, of = np.zeros(len(f)), np.zeros(len(f), np.int64)
     while left.size > 1:
-        todo, left = [left[0]], left[1:]
+        i = int(np.argmax(best[left]))
+        u, left = left[i], np.delete(left, i)
+        if best[u]:
+            out.append((f[[of[u]]], f[[u]], best[[u]]))
+        todo = [u]
         while todo and left.size:
             u = todo.pop()
-            hit = near(f[left] ^ f[u], radius)
-            if s is not None and hit.any():
-                at = np.flatnonzero(hit)
-                hit[at] = alike(s[left[at]], np.broadcast_to(s[u], (at.size, s.shape[1])))
-            if hit.any():
-                found = left[hit]
-                a.append(np.full(found.size, f[u]))
-                b.append(f[found])
-                todo.extend(found)
-                left = left[~hit]
-    return a, b
-
-
-def _links_in(keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the groups of equal keys, which are sorted."""
+            at = np.flatnonzero(near(f[left] ^ f[u], radius))
+            found = left[at]
+            est = np.ones(at.size) if s is None else similarity(s[found], s[u])
+            sure = est >= (similar + MARGIN if s is not None else 1)
+            if sure.any():
+                out.append((np.full(int(sure.sum()), f[u]), f[found[sure]], est[sure]))
+                todo.extend(found[sure])
+                left = np.delete(left, at[sure])
+            closer = ~sure & (est >= similar - MARGIN) & (est > best[found])
+            best[found[closer]], of[found[closer]] = est[closer], u
+    if left.size and best[left[0]]:
+        out.append((f[of[left]], f[left], best[left]))
+    return out
+
+
+def _links_in(keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, radius: int, similar: float) -> list[np.ndarray]:
+    """Links within the groups of equal keys, which are sorted: both ends and the estimates."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     few = np.repeat(sizes <= FEW, sizes)
-    a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    out = [(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0))]
     for step in range(1, FEW):
         at = np.flatnonzero((keys[step:] == keys[:-step]) & few[step:])
         if at.size:
             at = at[near(fps[at] ^ fps[at + step], radius)]
-        if at.size and sketches is not None:
-            at = at[alike(sketches[at], sketches[at + step])]
         if at.size:
-            a.append(fps[at])
-            b.append(fps[at + step])
+            est = np.ones(at.size) if sketches is None else similarity(sketches[at], sketches[at + step])
+            good = est >= similar - MARGIN
+            out.append((fps[at[good]], fps[at[good] + step], est[good]))
     for i in np.flatnonzero(sizes > FEW):
         own = slice(starts[i], starts[i] + sizes[i])
-        x, y = _forest(fps[own], None if sketches is None else sketches[own], radius)
-        a += x
-        b += y
-    return np.concatenate(a), np.concatenate(b)
+        out += _forest(fps[own], None if sketches is None else sketches[own], radius, similar)
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64())])
 
 
-def _padded(column: pa.Array, width: int) -> np.ndarray:
-    out = np.full((len(column), width), -1, np.int32)
-    sizes = np.diff(column.offsets.to_numpy())
-    out[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy()
-    return out
-
-
-def _link(radius: int, sketch: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link(radius: int, similar: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; the last group of a batch waits for the next one. A group has few times BLOCK rows at most."""
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -202,11 +219,12 @@ def _link(radius: int, sketch: int, batches: Iterator[pa.RecordBatch]) -> Iterat
         return [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def out(k, f, s=None):
-        a, b = _links_in(k, f, s, radius)
-        return batch(_LINKS, a.view(np.int64), b.view(np.int64))
+        a, b, estimate = _links_in(k, f, s, radius, similar)
+        return batch(_LINKS, a.view(np.int64), b.view(np.int64), estimate)
 
     for b in nonempty(batches):
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), *([_padded(b.column(2), sketch)] if sketch else [])))
+        bins = [np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, BINS)] if b.num_columns > 2 else []
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), *bins))
         if sum(len(x[0]) for x in held) < 50_000:
             continue
         whole = joined()
@@ -218,9 +236,9 @@ def _link(radius: int, sketch: int, batches: Iterator[pa.RecordBatch]) -> Iterat
         yield out(*joined())
 
 
-def links(keyed: DataFrame, radius: int, sketch: int = 0) -> DataFrame:
-    """keyed: key, fp and, with a sketch, lanes; without repeats of key and fp. Links a, b between fingerprints under one key that differ in up to radius bits;
-    not all of them, but as many as join the same fingerprints."""
+def links(keyed: DataFrame, radius: int, similar: float = SIMILAR) -> DataFrame:
+    """keyed: key, fp and, with a sketch, bins; without repeats of key and fp. Links a, b, estimate between fingerprints under one key that differ in up to radius bits
+    and, with bins, may be similar (else estimate is 1); not all of them, but as many as join the same fingerprints."""
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("chunks"))
     large, path = written(large, "large")
     if large.limit(1).count():  # each pair of chunks is a group of its own
@@ -232,29 +250,52 @@ def links(keyed: DataFrame, radius: int, sketch: int = 0) -> DataFrame:
         )
     else:
         delete(keyed.sparkSession, path)
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_link, radius, sketch), "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_link, radius, similar), "a long, b long, estimate double")
 
 
-def classes(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """prints: doc_id, fp and perhaps sketch, as from fingerprints(). For each distinct fingerprint its component_id, the
-    smallest doc_id that links of up to radius bits reach. With a sketch, candidates meet under shared shingle hashes."""
+def _sets(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in nonempty(batches):
+        for t in utf8(b.column(1)):  # a batch for each, since a text may be very long
+            h = np.unique(np.concatenate(list(_hashes(t.lower().split(), shingle))))
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(t, shingle)[0]], pa.uint64()).view(pa.int64()), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["fp", "hashes"])
+
+
+def checked(doubtful: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int, similar: float = SIMILAR) -> DataFrame:
+    """Of links a, b those whose texts' whole shingle sets have the similarity. rows: doc_id and text; one row is read for each end."""
+    nodes = doubtful.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    need, _ = written(prints.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("need")).select("need").distinct(), "need")
+    hint = "broadcast" if need.count() <= BROADCAST_IDS else "shuffle_hash"
+    read = rows.join(need.hint(hint), F.expr("doc_id <=> need"), "left_semi").select("doc_id", "text")
+    sets = read.mapInArrow(partial(_sets, shingle), "fp long, hashes array<long>").join(nodes, "fp", "left_semi")
+    sets, _ = written(sets.groupBy("fp").agg(F.first("hashes").alias("hashes")), "sets")
+    end = lambda name: sets.select(F.col("fp").alias(name), F.col("hashes").alias(f"of_{name}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return doubtful.join(end("a"), "a").join(end("b"), "b").where(both / (F.size("of_a") + F.size("of_b") - both) >= similar).select("a", "b")
+
+
+def classes(prints: DataFrame, radius: int = 2, rows: DataFrame | None = None, shingle: int = 3, similar: float = SIMILAR) -> DataFrame:
+    """prints: doc_id, fp and perhaps sketch and bins, as from fingerprints() of rows with the shingle. For each distinct
+    fingerprint its component_id, the smallest doc_id that links of up to radius bits reach. With a sketch, candidates meet
+    under shared shingle hashes, and links need the similarity, too."""
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    sketch = 0
     if "sketch" in prints.columns:
-        sketch = prints.agg(F.max(F.size("sketch"))).first()[0] or 1
-        lanes = F.transform("sketch", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-        keyed = prints.groupBy("fp").agg(F.min("sketch").alias("sketch")).select(F.explode("sketch").alias("key"), "fp", lanes.alias("lanes"))
+        one = prints.groupBy("fp").agg(F.min(F.struct("sketch", "bins")).alias("one"))
+        keyed = one.select(F.explode("one.sketch").alias("key"), "fp", F.col("one.bins").alias("bins"))
+        edges = links(keyed, radius, similar).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("estimate").alias("estimate"))
+        edges, _ = written(edges, "estimated")
+        sure = F.col("estimate") >= similar + MARGIN
+        edges = edges.where(sure).select("a", "b").union(checked(edges.where(~sure).select("a", "b"), prints, rows, shingle, similar))
     elif ring(radius)[1]:
-        keyed = least.select("fp", F.explode(chain_keys(F.col("fp"), radius)).alias("key")).select("key", "fp")
+        edges = links(least.select("fp", F.explode(chain_keys(F.col("fp"), radius)).alias("key")).select("key", "fp"), radius)
     else:
         raise ValueError("a radius without equal chains needs a sketch")
-    found = components(links(keyed, radius, sketch))
+    found = components(edges)
     rooted = least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(best, "root").select("fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, sketch: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, sketch: int = 0, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row for each document: doc_id, fp and component_id, the smallest doc_id that links reach, its own included.
 
     A null, empty or blank text has fingerprint 0 and is linked like any other. Repeated rows give repeated rows. doc_id
@@ -263,7 +304,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, sketch:
     an empty one.
     """
     prints, _ = written(fingerprints(docs, shingle, sketch, id_col, text_col), "fingerprints")
-    found = classes(prints, radius)
+    found = classes(prints, radius, texts(docs, id_col, text_col), shingle, similar)
     return prints.select("doc_id", "fp").join(found, "fp").select("doc_id", "fp", "component_id")
 
 

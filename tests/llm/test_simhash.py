@@ -51,6 +51,17 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
     assert simhash.fingerprint(text) == whole
 
 
+def test_sketches_estimate_the_similarity(monkeypatch):
+    rng = random.Random(7)
+    words = [str(rng.randrange(10**6)) for _ in range(6000)]
+    a, b = " ".join(words[:5000]).encode(), " ".join(words[1000:]).encode()
+    made = [np.frombuffer(simhash.fingerprint(t, 5, 8)[2], np.uint8)[None] for t in (a, b)]
+    assert abs(simhash.similarity(*made)[0] - 2 / 3) < 0.09
+    sketch = simhash.fingerprint(a, 5, 8)
+    monkeypatch.setattr(simhash, "PIECE", 64)
+    assert simhash.fingerprint(a, 5, 8) == sketch
+
+
 def test_query_against_all_pairs(spark, docs):
     got = simhash.near_duplicates(docs).collect()
     rows = docs.select("doc_id", "text").collect()
@@ -86,21 +97,46 @@ def test_chain_keys_meet(spark):
     assert all(r["m"] for r in found.collect())
 
 
-def test_sketch_recall(spark, docs):
-    """Near copies of the pipeline's stage: of all pairs of five-word fingerprints within 14 bits whose shingles have a Jaccard similarity of 0.8 or more."""
-    rows = {r["doc_id"]: r for r in simhash.near_duplicates(docs, 5, 14, 8).collect()}
+def test_sketch_against_all_pairs(spark, docs, monkeypatch):
+    """Near copies of the pipeline's stage: all pairs of five-word fingerprints within 18 bits whose shingles have a Jaccard
+    similarity of 0.8 or more meet, and no group holds a document that is not so similar to another of it."""
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    rows = {r["doc_id"]: r for r in simhash.near_duplicates(docs, 5, 18, 8).collect()}
     ids = sorted(rows)
     x = np.array([rows[i]["fp"] % (1 << 64) for i in ids], dtype=np.uint64)
     texts = {r["doc_id"]: r["text"].lower().split() for r in docs.select("doc_id", "text").collect()}
     shingles = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in texts.items()}
     found = missed = 0
+    linked = set()
     for i in range(len(ids)):
-        for j in np.flatnonzero(np.bitwise_count(x[i] ^ x[i + 1 :]) <= 14) + i + 1:
+        for j in np.flatnonzero(np.bitwise_count(x[i] ^ x[i + 1 :]) <= 18) + i + 1:
             a, b = shingles[ids[i]], shingles[ids[int(j)]]
             if len(a & b) >= 0.8 * len(a | b):
                 same = rows[ids[i]]["component_id"] == rows[ids[int(j)]]["component_id"]
                 found, missed = found + same, missed + (not same)
+                linked |= {ids[i], ids[int(j)]}
     assert found > 50 and missed <= 0.02 * found
+    assert {i for i in ids if rows[i]["component_id"] != i} <= linked
+
+
+def test_forest_keeps_components_at_any_similarity_within_the_margin():
+    rng = np.random.default_rng(11)
+    base = rng.integers(1, 256, (3, simhash.BINS), dtype=np.uint8)
+    s = base[rng.integers(0, 3, 90)]
+    changed = rng.random(s.shape) < rng.uniform(0, 0.2, (90, 1))
+    s[changed] = rng.integers(1, 256, int(changed.sum()), dtype=np.uint8)
+    f = np.arange(90, dtype=np.uint64)
+    a, b, est = (np.concatenate(x) for x in zip(*simhash._forest(f, s, 18, 0.8), strict=True))
+    assert len(a) < 90
+    for least in (0.73, 0.77, 0.8, 0.84, 0.87):
+        label = np.arange(90)
+        want = np.arange(90)
+        for _ in range(90):
+            for i, j in zip(a[est >= least], b[est >= least], strict=True):
+                label[[i, j]] = label[[i, j]].min()
+            for i in range(90):
+                want[i] = min(want[i], want[simhash.similarity(s, s[i]) >= least].min())
+        assert (label == want).all()
 
 
 def test_odd_rows(odd_docs, no_docs):
