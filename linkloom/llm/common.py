@@ -72,17 +72,21 @@ def share(key: Column, seed: int = 7) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def labelled(labels: DataFrame, column: str, learn: Column) -> DataFrame:
+    """doc_id and y (0 or 1). Repeated labels of an id count once, with the largest value; rows with a null id or label do not count."""
+    return (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y"))
+        .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & learn)
+        .groupBy("doc_id").agg(F.max("y").alias("y"))
+    )
+
+
 def labelled_sample(labels: DataFrame, column: str, learn: Column, per_class: int) -> tuple[DataFrame, dict[int, float]]:
     """About per_class labelled ids of either class, chosen by hash; and for each class the share of its rows that was taken.
 
-    Repeated labels of an id count once, with the largest value; rows with a null id or label do not count.
     The result has at most about 2 * per_class rows at any size of the input, so it may be broadcast.
     """
-    clean = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y"))
-        .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & learn)
-        .groupBy("doc_id").agg(F.max("y").alias("y"))
-    )
+    clean = labelled(labels, column, learn)
     found = {r["y"]: r["n"] for r in clean.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rates = {y: min(1.0, per_class / n) for y, n in found.items()}
     rate = F.lit(0.0)
