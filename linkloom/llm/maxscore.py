@@ -7,7 +7,8 @@ compete. The essential lists are traversed, the other terms are probed while a v
 are left reach that lowest score, and the shards' best are merged.
 
 Queries are dealt into blocks of about QUERY_BLOCK, one after another sent to all shards; a block's size is bounded, the
-number of blocks grows with the queries.
+number of blocks grows with the queries. Where there are several, each block's best are written before the next begins,
+so that the driver holds the queries of one block at a time.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkloom.llm.common import batch, nonempty
+from linkloom.llm.common import batch, nonempty, written
 
 QUERY_BLOCK = 8192
 #: Vectors that one shard holds at most; a task may hold several shards, one after another.
@@ -150,6 +151,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_block: int =
     queries = vectors.where(is_query)
     blocks = max(1, math.ceil(queries.count() / query_block))
     block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = lambda found: found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     parts = None
     for i in range(blocks):
         own = queries.where(block == i).distinct().toArrow()  # about query_block rows
@@ -157,8 +160,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_block: int =
             continue
         column = own.column("v").combine_chunks()
         found = vectors.mapInArrow(partial(_search, own.column("vec_id").to_numpy(), matrix(column, 1), k), "query_id long, vec_id long, score long")
+        if blocks > 1:
+            found, _ = written(best(found).drop("rank"), "block")
         parts = found if parts is None else parts.union(found)
     if parts is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best(parts).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
