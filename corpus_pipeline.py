@@ -43,7 +43,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """In the order of the mix, which follows from the rows alone and is found again here: rows lose theirs when read."""
+    mixed = mixing.scheduled(docs, carry=F.struct("doc_id", packing.tokens(F.col("text")).alias("n")))
+    return packing.pack_in_order(mixed.select("row.*", "position"))
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_exact_copies), ("SimHash near-dedup", drop_near_copies), ("mixing sources", mix_sources), ("best-fit packing", pack)]

@@ -90,8 +90,8 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*(docs[f"`{f.name}`"] for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())))
 
 
-def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """row (all columns of docs as a struct), source_key, block, slot, position: rows in the order of position are the mix.
+def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", carry: Column | None = None) -> DataFrame:
+    """row (all columns of docs as a struct, or carry in its place), source_key, block, slot, position: rows in the order of position are the mix.
 
     weights: by source; each source needs a positive one. None: rows of the source to the power POWER. Within a source,
     rows come in the order of a hash of doc_id (of the row, where doc_id is null), and rows that share an id in the order
@@ -100,7 +100,7 @@ def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None
     may have any names. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct(F.col("*")).alias("row"), source_key(F.col(source_col)).alias("source_key"), F.xxhash64(F.lit(5), F.coalesce(F.col(id_col).cast("long"), row_hash(docs))).alias("h"), F.col(id_col).cast("long").alias("id"), row_hash(docs).alias("tie"))
+    rows = docs.select((F.struct(F.col("*")) if carry is None else carry).alias("row"), source_key(F.col(source_col)).alias("source_key"), F.xxhash64(F.lit(5), F.coalesce(F.col(id_col).cast("long"), row_hash(docs))).alias("h"), F.col(id_col).cast("long").alias("id"), row_hash(docs).alias("tie"))
     counts = {r["k"]: r["n"] for r in docs.groupBy(source_key(F.col(source_col)).alias("k")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")

@@ -5,6 +5,9 @@ is packed best-fit, longest first, in shards of about SHARD_DOCS documents (by a
 permitted length that costs least per token it can still be given is opened. At the end each bin shrinks to the cheapest
 permitted length that holds its contents. This is done once for each permitted length as the largest to be opened, and
 the cheapest outcome stays; that optimises the lengths jointly.
+
+Where documents have an order (of a mix), it is kept: windows of consecutive positions take the place of the shards, and
+the bins of a window, full pieces included, are numbered in the order of the first position in them.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 #: Permitted lengths and what a sequence of each costs: linear layers, and attention, which is quadratic.
 COSTS = {c: c * (1 + c / 16384) for c in (512, 1024, 2048, 4096)}
 SHARD_DOCS = 20_000
+#: Consecutive positions that are packed together where documents have an order.
+WINDOW_DOCS = 4096
 
 
 def _one(lengths: list[int], costs: Mapping[int, float], most: int) -> tuple[float, list[int], list[int]]:
@@ -105,3 +110,31 @@ def pack(docs: DataFrame, length: Column | None = None, costs: Mapping[int, floa
     )
     ddl = "doc_id long, piece int, piece_start long, length long, bin_id string, capacity int, start long"
     return full.unionByName(rest.groupBy("shard").applyInPandas(partial(_pack, costs), ddl))
+
+
+def _pack_window(costs: Mapping[int, float], pdf: pd.DataFrame) -> pd.DataFrame:
+    top = max(costs)
+    pdf = pdf.sort_values("position", kind="stable").reset_index(drop=True)
+    count = (pdf["n"] + top - 1) // top
+    pieces = pdf.loc[pdf.index.repeat(count)].reset_index(drop=True)
+    pieces["piece"] = pieces.groupby("position").cumcount()
+    pieces["piece_start"] = pieces["piece"] * top
+    pieces["length"] = (pieces["n"] - pieces["piece_start"]).clip(upper=top)
+    pieces["bin"], pieces["capacity"] = -1 - pieces.index, top
+    rest = pieces.index[pieces["length"] < top]
+    where, sizes = best_fit(pieces.loc[rest, "length"].tolist(), costs)
+    pieces.loc[rest, "bin"] = where
+    pieces.loc[rest, "capacity"] = [sizes[b] for b in where]
+    pieces["start"] = pieces.groupby("bin")["length"].cumsum() - pieces["length"]
+    pieces["nth"] = pd.factorize(pieces["bin"])[0]  # by first occurrence: pieces are in the order of position
+    pieces["bin_id"] = "w" + pieces["window"].astype(str) + "-" + pieces["nth"].astype(str)
+    return pieces[["doc_id", "piece", "piece_start", "length", "bin_id", "capacity", "start", "window", "nth", "position"]]
+
+
+def pack_in_order(docs: DataFrame, costs: Mapping[int, float] | None = None, window_docs: int = WINDOW_DOCS) -> DataFrame:
+    """docs: doc_id, n (tokens) and position, which is unique. As pack(), with window, nth (the bin's number in the window)
+    and position: bins in the order of (window, nth) follow the positions, as near as window_docs of them allow."""
+    costs = dict(costs or COSTS)
+    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n").cast("long").alias("n"), F.col("position").cast("long").alias("position"), F.floor(F.col("position") / window_docs).alias("window"))
+    ddl = "doc_id long, piece int, piece_start long, length long, bin_id string, capacity int, start long, window long, nth int, position long"
+    return items.groupBy("window").applyInPandas(partial(_pack_window, costs), ddl)

@@ -127,3 +127,18 @@ def test_pack_odd_rows(odd_docs, no_docs):
     rows = packing.pack(odd_docs, costs={8: 8.0, 16: 15.0}).collect()
     assert sum(r["length"] for r in rows) == sum(len((r["text"] or "").split()) + 1 for r in odd_docs.collect())
     assert packing.pack(no_docs).collect() == []
+
+
+def test_pack_in_order_keeps_every_token_and_the_order(spark):
+    rng = random.Random(6)
+    lengths = {i: rng.choice([1, 3, 8, 16, 17, 40, rng.randrange(1, 90)]) for i in range(500)}
+    df = spark.createDataFrame([(None if i % 50 == 7 else i, n, i * 2) for i, n in lengths.items()], "doc_id long, n long, position long")
+    costs = {8: 8.0, 16: 15.0}
+    rows = [r.asDict() | {"doc_id": r["position"] // 2} for r in packing.pack_in_order(df.repartition(5), costs, 64).collect()]
+    check(rows, lengths, costs)
+    first = {}
+    for r in rows:
+        assert r["window"] == r["position"] // 64 and r["bin_id"] == f"w{r['window']}-{r['nth']}"
+        first[r["window"], r["nth"]] = min(first.get((r["window"], r["nth"]), 10**9), r["position"])
+    assert [first[k] for k in sorted(first)] == sorted(first.values())
+    assert packing.pack_in_order(df.limit(0)).collect() == []

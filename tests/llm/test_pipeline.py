@@ -25,3 +25,15 @@ def test_stages_of_odd_rows(spark, odd_docs, no_docs, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, str(tmp_path))
         assert (now.count() == 0) == (rows is no_docs)
+
+
+def test_packed_sequences_follow_the_mix(spark, docs, sf, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline.mixing.scheduled, "__defaults__", (None, 4, *corpus_pipeline.mixing.scheduled.__defaults__[2:]))
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf)
+    want = {r["row"]["doc_id"]: r["position"] for r in corpus_pipeline.mixing.scheduled(docs).collect()}
+    rows = corpus_pipeline.pack(spark, mixed.repartition(7), sf).collect()  # row order is lost on the way
+    assert {r["doc_id"]: r["position"] for r in rows} == want
+    first = {}
+    for r in rows:
+        first[r["window"], r["nth"]] = min(first.get((r["window"], r["nth"]), 10**9), r["position"])
+    assert [first[k] for k in sorted(first)] == sorted(first.values()) and len(first) > 50
