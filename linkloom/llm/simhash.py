@@ -64,47 +64,62 @@ def _hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
         yield np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64, len(part) - shingle + 1)
 
 
-def fingerprint(text: bytes, shingle: int = 3, sketch: int = 0) -> tuple[int, list[int], bytes]:
+def distinct(words: list[bytes], shingle: int) -> np.ndarray:
+    """The hashes of all shingles, each once, sorted: what similarities go by."""
+    held = np.empty(0, np.uint64)
+    for h in _hashes(words, shingle) if words else ():
+        held = np.union1d(held, h)
+    return held
+
+
+def digest(hashes: np.ndarray) -> int:
+    """Of a sorted set of hashes; 0 for the empty set."""
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED) if hashes.size else 0
+
+
+def fingerprint(text: bytes, shingle: int = 3, sketch: int = 0) -> tuple[int, list[int], bytes, int]:
     """Of a text in UTF-8, with A-Z lower-cased and words parted at ASCII white space: the fingerprint and, with a sketch,
-    its smallest shingle hashes and a byte for each bin, which tells the bin's smallest hash (0: the bin is empty)."""
+    its smallest shingle hashes, a byte for each bin, which tells the bin's smallest hash (0: the bin is empty), and the
+    digest of its shingle set, which texts share if their similarity is 1."""
     words = text.lower().split()  # on bytes, both know ASCII only
     if not words:
-        return 0, [], bytes(BINS if sketch else 0)
-    counts, total, small, least = np.zeros((8, 256), np.int64), 0, np.empty(0, np.uint64), np.full(BINS, _NONE)
+        return 0, [], bytes(BINS if sketch else 0), 0
+    counts, total = np.zeros((8, 256), np.int64), 0
     for h in _hashes(words, shingle):
         for j, column in enumerate(h.astype("<u8").view(np.uint8).reshape(-1, 8).T):
             counts[j] += np.bincount(column, minlength=256)
         total += len(h)
-        if sketch:
-            h = np.unique(h)
-            small = np.unique(np.concatenate([small, h[:sketch]]))[:sketch]
-            at = np.searchsorted(h, _BIN_STARTS)
-            full = np.diff(np.r_[at, len(h)]) > 0
-            least[full] = np.minimum(least[full], h[at[full]])
-    ones = (counts @ _BYTE_BITS).ravel()
+    fp = int(np.packbits((counts @ _BYTE_BITS).ravel() * 2 > total, bitorder="little").view("<u8")[0])
+    if not sketch:
+        return fp, [], b"", 0
+    h, least = distinct(words, shingle), np.full(BINS, _NONE)
+    at = np.searchsorted(h, _BIN_STARTS)
+    full = np.diff(np.r_[at, len(h)]) > 0
+    least[full] = h[at[full]]
     # within a bin the smallest hash has small high bits; its low bits are spread evenly
-    bins = np.where(least == _NONE, 0, 1 + (least & np.uint64(0xFFFFFFFF)) % np.uint64(255)).astype(np.uint8).tobytes() if sketch else b""
-    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0]), small.tolist(), bins
+    bins = np.where(least == _NONE, 0, 1 + (least & np.uint64(0xFFFFFFFF)) % np.uint64(255)).astype(np.uint8).tobytes()
+    return fp, h[:sketch].tolist(), bins, digest(h)
 
 
 def _fingerprints(shingle: int, sketch: int, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in nonempty(batches):
         got = [fingerprint(t, shingle, sketch) for t in utf8(b.column(1))]
-        fp = pa.array(np.array([x for x, _, _ in got], dtype=np.uint64).view(np.int64))
+        fp = pa.array(np.array([x for x, *_ in got], dtype=np.uint64).view(np.int64))
         columns = [b.column(0), fp]
         if sketch:
-            flat = np.array([h for _, s, _ in got for h in s], dtype=np.uint64).view(np.int64)
-            ends = np.cumsum([0, *(len(s) for _, s, _ in got)]).astype(np.int32)
-            columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([x for _, _, x in got], pa.binary())]
+            flat = np.array([h for _, s, *_ in got for h in s], dtype=np.uint64).view(np.int64)
+            ends = np.cumsum([0, *(len(s) for _, s, *_ in got)]).astype(np.int32)
+            columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([x for _, _, x, _ in got], pa.binary())]
+            columns.append(pa.array(np.array([x for *_, x in got], dtype=np.uint64).view(np.int64)))
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the unsigned fingerprint in a long) and, if asked for, the sketch: its smallest hashes as `sketch`, and
-    `bins`. A null or blank text has fingerprint 0 and an empty sketch."""
+    """doc_id, fp (the unsigned fingerprint in a long) and, if asked for, the sketch: its smallest hashes as `sketch`,
+    `bins`, and the digest of the shingle set as `node`. A null or blank text has fingerprint and node 0 and an empty sketch."""
     small_batches(docs.sparkSession)
-    fields = [pa.field("doc_id", pa.int64()), pa.field("fp", pa.int64())] + ([pa.field("sketch", pa.list_(pa.int64())), pa.field("bins", pa.binary())] if sketch else [])
-    ddl = "doc_id long, fp long" + (", sketch array<long>, bins binary" if sketch else "")
+    fields = [pa.field("doc_id", pa.int64()), pa.field("fp", pa.int64())] + ([pa.field("sketch", pa.list_(pa.int64())), pa.field("bins", pa.binary()), pa.field("node", pa.int64())] if sketch else [])
+    ddl = "doc_id long, fp long" + (", sketch array<long>, bins binary, node long" if sketch else "")
     return texts(docs, id_col, text_col).mapInArrow(partial(_fingerprints, shingle, sketch, pa.schema(fields)), ddl)
 
 
@@ -160,7 +175,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _forest(f: np.ndarray, s: np.ndarray | None, radius: int, similar: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Links that join what is linked in f, one fewer than nodes in each component, with estimates: a maximum spanning
+    """Links that join what is linked in f (positions in it), one fewer than nodes in each component, with estimates: a maximum spanning
     forest but for links over the margin, of which any will do. So whatever least similarity within the margin is then
     asked for, links of the forest join what all links would."""
     left, out = np.arange(len(f)), []
@@ -169,7 +184,7 @@ def _forest(f: np.ndarray, s: np.ndarray | None, radius: int, similar: float) ->
         i = int(np.argmax(best[left]))
         u, left = left[i], np.delete(left, i)
         if best[u]:
-            out.append((f[[of[u]]], f[[u]], best[[u]]))
+            out.append((of[[u]], np.array([u]), best[[u]]))
         todo = [u]
         while todo and left.size:
             u = todo.pop()
@@ -178,22 +193,22 @@ def _forest(f: np.ndarray, s: np.ndarray | None, radius: int, similar: float) ->
             est = np.ones(at.size) if s is None else similarity(s[found], s[u])
             sure = est >= (similar + MARGIN if s is not None else 1)
             if sure.any():
-                out.append((np.full(int(sure.sum()), f[u]), f[found[sure]], est[sure]))
+                out.append((np.full(int(sure.sum()), u), found[sure], est[sure]))
                 todo.extend(found[sure])
                 left = np.delete(left, at[sure])
             closer = ~sure & (est >= similar - MARGIN) & (est > best[found])
             best[found[closer]], of[found[closer]] = est[closer], u
     if left.size and best[left[0]]:
-        out.append((f[of[left]], f[left], best[left]))
+        out.append((of[left], left, best[left]))
     return out
 
 
-def _links_in(keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, radius: int, similar: float) -> list[np.ndarray]:
-    """Links within the groups of equal keys, which are sorted: both ends and the estimates."""
+def _links_in(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, radius: int, similar: float) -> list[np.ndarray]:
+    """Links within the groups of equal keys, which are sorted: the nodes at both ends and the estimates."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     few = np.repeat(sizes <= FEW, sizes)
-    out = [(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0))]
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     for step in range(1, FEW):
         at = np.flatnonzero((keys[step:] == keys[:-step]) & few[step:])
         if at.size:
@@ -201,10 +216,10 @@ def _links_in(keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, ra
         if at.size:
             est = np.ones(at.size) if sketches is None else similarity(sketches[at], sketches[at + step])
             good = est >= similar - MARGIN
-            out.append((fps[at[good]], fps[at[good] + step], est[good]))
+            out.append((nodes[at[good]], nodes[at[good] + step], est[good]))
     for i in np.flatnonzero(sizes > FEW):
         own = slice(starts[i], starts[i] + sizes[i])
-        out += _forest(fps[own], None if sketches is None else sketches[own], radius, similar)
+        out += [(nodes[own][a], nodes[own][b], est) for a, b, est in _forest(fps[own], None if sketches is None else sketches[own], radius, similar)]
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
@@ -218,13 +233,12 @@ def _link(radius: int, similar: float, batches: Iterator[pa.RecordBatch]) -> Ite
     def joined():
         return [np.concatenate(x) for x in zip(*held, strict=True)]
 
-    def out(k, f, s=None):
-        a, b, estimate = _links_in(k, f, s, radius, similar)
-        return batch(_LINKS, a.view(np.int64), b.view(np.int64), estimate)
+    def out(k, n, f, s=None):
+        return batch(_LINKS, *_links_in(k, n, f, s, radius, similar))
 
     for b in nonempty(batches):
-        bins = [np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, BINS)] if b.num_columns > 2 else []
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), *bins))
+        bins = [np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, BINS)] if b.num_columns > 3 else []
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64), *bins))
         if sum(len(x[0]) for x in held) < 50_000:
             continue
         whole = joined()
@@ -236,13 +250,12 @@ def _link(radius: int, similar: float, batches: Iterator[pa.RecordBatch]) -> Ite
         yield out(*joined())
 
 
-def links(keyed: DataFrame, radius: int, similar: float = SIMILAR) -> DataFrame:
-    """keyed: key, fp and, with a sketch, bins; without repeats of key and fp. Links a, b, estimate between fingerprints under one key that differ in up to radius bits
-    and, with bins, may be similar (else estimate is 1); not all of them, but as many as join the same fingerprints."""
+def dealt(keyed: DataFrame) -> DataFrame:
+    """keyed, as for links(), with the groups over BLOCK nodes dealt out as pairs of chunks, each with a key of its own."""
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("chunks"))
     large, path = written(large, "large")
     if large.limit(1).count():  # each pair of chunks is a group of its own
-        chunk = F.pmod(F.xxhash64(F.lit(3), "fp"), F.col("chunks")).cast("int")
+        chunk = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("chunks")).cast("int")
         keyed = (
             keyed.join(large, "key", "left")
             .withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
@@ -250,49 +263,57 @@ def links(keyed: DataFrame, radius: int, similar: float = SIMILAR) -> DataFrame:
         )
     else:
         delete(keyed.sparkSession, path)
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_link, radius, similar), "a long, b long, estimate double")
+    return keyed
+
+
+def links(keyed: DataFrame, radius: int, similar: float = SIMILAR) -> DataFrame:
+    """keyed: key, node, fp and, with a sketch, bins; without repeats of key and node. Links a, b, estimate between nodes under one key whose fingerprints differ in up to radius bits
+    and, with bins, may be similar (else estimate is 1); not all of them, but as many as join the same nodes."""
+    return dealt(keyed).repartition("key").sortWithinPartitions("key", "node").mapInArrow(partial(_link, radius, similar), "a long, b long, estimate double")
 
 
 def _sets(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in nonempty(batches):
         for t in utf8(b.column(1)):  # a batch for each, since a text may be very long
-            h = np.unique(np.concatenate(list(_hashes(t.lower().split(), shingle))))
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(t, shingle)[0]], pa.uint64()).view(pa.int64()), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["fp", "hashes"])
+            h = distinct(t.lower().split(), shingle)
+            yield pa.RecordBatch.from_arrays([pa.array([digest(h)], pa.uint64()).view(pa.int64()), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["node", "hashes"])
 
 
 def checked(doubtful: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int, similar: float = SIMILAR) -> DataFrame:
     """Of links a, b those whose texts' whole shingle sets have the similarity. rows: doc_id and text; one row is read for each end."""
-    nodes = doubtful.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    need, _ = written(prints.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("need")).select("need").distinct(), "need")
+    nodes = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    need, _ = written(prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("need")).select("need").distinct(), "need")
     hint = "broadcast" if need.count() <= BROADCAST_IDS else "shuffle_hash"
     read = rows.join(need.hint(hint), F.expr("doc_id <=> need"), "left_semi").select("doc_id", "text")
-    sets = read.mapInArrow(partial(_sets, shingle), "fp long, hashes array<long>").join(nodes, "fp", "left_semi")
-    sets, _ = written(sets.groupBy("fp").agg(F.first("hashes").alias("hashes")), "sets")
-    end = lambda name: sets.select(F.col("fp").alias(name), F.col("hashes").alias(f"of_{name}"))
+    sets = read.mapInArrow(partial(_sets, shingle), "node long, hashes array<long>").join(nodes, "node", "left_semi")
+    sets, _ = written(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    end = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     return doubtful.join(end("a"), "a").join(end("b"), "b").where(both / (F.size("of_a") + F.size("of_b") - both) >= similar).select("a", "b")
 
 
 def classes(prints: DataFrame, radius: int = 2, rows: DataFrame | None = None, shingle: int = 3, similar: float = SIMILAR) -> DataFrame:
-    """prints: doc_id, fp and perhaps sketch and bins, as from fingerprints() of rows with the shingle. For each distinct
-    fingerprint its component_id, the smallest doc_id that links of up to radius bits reach. With a sketch, candidates meet
-    under shared shingle hashes, and links need the similarity, too."""
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """prints: doc_id, fp and perhaps sketch, bins and node, as from fingerprints() of rows with the shingle. For each distinct
+    fingerprint (with a sketch, each distinct shingle set, as `node`) its component_id, the smallest doc_id that links of up
+    to radius bits reach. With a sketch, candidates meet under shared shingle hashes, and links need the similarity, too:
+    equal fingerprints alone join nothing."""
+    name = "node" if "sketch" in prints.columns else "fp"
+    least = prints.groupBy(name).agg(F.min("doc_id").alias("least"))
     if "sketch" in prints.columns:
-        one = prints.groupBy("fp").agg(F.min(F.struct("sketch", "bins")).alias("one"))
-        keyed = one.select(F.explode("one.sketch").alias("key"), "fp", F.col("one.bins").alias("bins"))
+        one = prints.groupBy("node").agg(F.min(F.struct("sketch", "bins", "fp")).alias("one"))
+        keyed = one.select(F.explode("one.sketch").alias("key"), "node", F.col("one.fp").alias("fp"), F.col("one.bins").alias("bins"))
         edges = links(keyed, radius, similar).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("estimate").alias("estimate"))
         edges, _ = written(edges, "estimated")
         sure = F.col("estimate") >= similar + MARGIN
         edges = edges.where(sure).select("a", "b").union(checked(edges.where(~sure).select("a", "b"), prints, rows, shingle, similar))
     elif ring(radius)[1]:
-        edges = links(least.select("fp", F.explode(chain_keys(F.col("fp"), radius)).alias("key")).select("key", "fp"), radius)
+        edges = links(least.select("fp", F.explode(chain_keys(F.col("fp"), radius)).alias("key")).select("key", F.col("fp").alias("node"), "fp"), radius)
     else:
         raise ValueError("a radius without equal chains needs a sketch")
     found = components(edges)
-    rooted = least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = least.join(found, least[name] == found["node"], "left").select(least[name], "least", F.coalesce("root", least[name]).alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(best, "root").select("fp", "component_id")
+    return rooted.join(best, "root").select(name, "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, sketch: int = 0, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -305,7 +326,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, sketch:
     """
     prints, _ = written(fingerprints(docs, shingle, sketch, id_col, text_col), "fingerprints")
     found = classes(prints, radius, texts(docs, id_col, text_col), shingle, similar)
-    return prints.select("doc_id", "fp").join(found, "fp").select("doc_id", "fp", "component_id")
+    name = found.columns[0]
+    return prints.select("doc_id", "fp", F.col(name).alias("_of")).join(found.withColumnRenamed(name, "_of"), "_of").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

@@ -165,3 +165,12 @@ def test_a_radius_without_chains_needs_a_sketch(spark):
             simhash.classes(monkey, 12)
         finally:
             simhash.ring = simhash_ring
+
+
+def test_equal_fingerprints_of_unlike_texts_stay_apart(spark):
+    line = "this line is said over and over again in all of these texts "
+    texts = [line * 50 + " ".join(f"own{i}x{k}" for k in range(60)) for i in range(6)] + [line * 40 + " ".join(f"own0x{k}" for k in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len({simhash.fingerprint(t.encode(), 5)[0] for t in texts}) < len(texts) - 1
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 5, 18, 8).collect()}
+    assert got == {i: i for i in range(6)} | {6: 0}
