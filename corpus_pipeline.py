@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from linkloom.llm import exact_dedup, mixing, packing, simhash, toxicity
 from linkloom.llm.common import fold, written
 
-#: Near copies: five-word shingles, at a Jaccard similarity of SIMILAR or more. At 0.8 the cosine is 0.89 and 9.7 of 64
-#: bits are expected to differ, with a deviation of 2.9; 18 bits keep nearly all pairs of 0.8 or more.
-SHINGLE, RADIUS, SKETCH, SIMILAR = 5, 18, 8, 0.8
+#: Near copies: five-word shingles, at a Jaccard similarity of SIMILAR or more. At 0.8 the cosine of the
+#: shingle sets is 0.89 and 9.7 of 64 bits are expected to differ, with a deviation of 2.9; 28 bits are over six deviations
+#: more, so the similarity decides, and the radius only spares most pairs of unlike texts (32 bits) its calculation.
+SHINGLE, RADIUS, SKETCH, SIMILAR = 5, 28, 8, 0.8
 
 
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:

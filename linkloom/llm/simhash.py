@@ -78,21 +78,23 @@ def digest(hashes: np.ndarray) -> int:
 
 
 def fingerprint(text: bytes, shingle: int = 3, sketch: int = 0) -> tuple[int, list[int], bytes, int]:
-    """Of a text in UTF-8, with A-Z lower-cased and words parted at ASCII white space: the fingerprint and, with a sketch,
+    """Of a text in UTF-8, with A-Z lower-cased and words parted at ASCII white space: the fingerprint (which counts
+    repeated shingles as often as they occur, but with a sketch, as the similarity does, once) and, with a sketch,
     its smallest shingle hashes, a byte for each bin, which tells the bin's smallest hash (0: the bin is empty), and the
     digest of its shingle set, which texts share if their similarity is 1."""
     words = text.lower().split()  # on bytes, both know ASCII only
     if not words:
         return 0, [], bytes(BINS if sketch else 0), 0
     counts, total = np.zeros((8, 256), np.int64), 0
-    for h in _hashes(words, shingle):
-        for j, column in enumerate(h.astype("<u8").view(np.uint8).reshape(-1, 8).T):
+    h = distinct(words, shingle) if sketch else None
+    for part in _hashes(words, shingle) if h is None else (h[at : at + PIECE] for at in range(0, len(h), PIECE)):
+        for j, column in enumerate(part.astype("<u8").view(np.uint8).reshape(-1, 8).T):
             counts[j] += np.bincount(column, minlength=256)
-        total += len(h)
+        total += len(part)
     fp = int(np.packbits((counts @ _BYTE_BITS).ravel() * 2 > total, bitorder="little").view("<u8")[0])
     if not sketch:
         return fp, [], b"", 0
-    h, least = distinct(words, shingle), np.full(BINS, _NONE)
+    least = np.full(BINS, _NONE)
     at = np.searchsorted(h, _BIN_STARTS)
     full = np.diff(np.r_[at, len(h)]) > 0
     least[full] = h[at[full]]

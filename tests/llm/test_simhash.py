@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
 
 from linkloom.llm import simhash
@@ -174,3 +175,24 @@ def test_equal_fingerprints_of_unlike_texts_stay_apart(spark):
     assert len({simhash.fingerprint(t.encode(), 5)[0] for t in texts}) < len(texts) - 1
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 5, 18, 8).collect()}
     assert got == {i: i for i in range(6)} | {6: 0}
+
+
+def test_repeats_of_lines_part_no_near_copies(spark):
+    rng = random.Random(13)
+    texts = []
+    for i in range(20):
+        own, line = (" ".join(f"w{rng.randrange(10**7)}" for _ in range(n)) for n in (150, 20))
+        texts += [f"{own} " + f"{line} " * 2, f"{own} end " + f"{line} " * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = simhash.near_duplicates(df, pipeline.SHINGLE, pipeline.RADIUS, pipeline.SKETCH, similar=pipeline.SIMILAR)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i - i % 2 for i in range(40)}
+
+
+def test_stage_against_all_pairs_of_any_distance(spark, docs):
+    """All pairs of 0.8 or more count, however many bits differ."""
+    found = simhash.near_duplicates(docs, pipeline.SHINGLE, pipeline.RADIUS, pipeline.SKETCH, similar=pipeline.SIMILAR)
+    group = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    words = {r["doc_id"]: r["text"].lower().split() for r in docs.select("doc_id", "text").collect()}
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    near = [(i, j) for i in sets for j in sets if i < j and 0.8 <= len(sets[i]) / max(1, len(sets[j])) <= 1.25 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 50 and all(group[i] == group[j] for i, j in near)
