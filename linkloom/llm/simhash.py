@@ -12,7 +12,10 @@ most); links within MARGIN of `similar` are then checked on the whole shingle se
 exhaustive; its recall is measured in the tests.
 
 Groups under one key are never expanded into pairs: from each group only a spanning forest of verified links leaves, and
-groups over BLOCK fingerprints are dealt out as pairs of chunks.
+groups over BLOCK fingerprints are dealt out as pairs of chunks. A doubtful link of a forest may fail on the whole texts
+where one that the forest left out holds. So groups that left any out are searched again, in rounds, until no unchecked
+doubtful link is left between two components: a round checks the pairs up to some distance apart in the group, and each
+round reaches twice as far as the one before.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ SIMILAR = 0.8
 MARGIN = 0.08
 #: The ids of texts to check are broadcast up to this number (8 bytes each), else shuffled.
 BROADCAST_IDS = 1_000_000
+#: How far apart in a group the first round after the forests looks for further links.
+REACH = 64
 #: Groups up to this size are compared by shifting; larger ones by search from node to node.
 FEW = 8
 #: Shingles whose hashes are held at once: bounds memory for very long texts.
@@ -177,10 +182,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _forest(f: np.ndarray, s: np.ndarray | None, radius: int, similar: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The links of _grown()."""
+    return _grown(f, s, radius, similar)[0]
+
+
+def _grown(f: np.ndarray, s: np.ndarray | None, radius: int, similar: float) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], bool]:
     """Links that join what is linked in f (positions in it), one fewer than nodes in each component, with estimates: a maximum spanning
     forest but for links over the margin, of which any will do. So whatever least similarity within the margin is then
-    asked for, links of the forest join what all links would."""
-    left, out = np.arange(len(f)), []
+    asked for, links of the forest join what all links would. And whether doubtful links were left out."""
+    left, out, doubtful = np.arange(len(f)), [], 0
     best, of = np.zeros(len(f)), np.zeros(len(f), np.int64)
     while left.size > 1:
         i = int(np.argmax(best[left]))
@@ -198,15 +208,18 @@ def _forest(f: np.ndarray, s: np.ndarray | None, radius: int, similar: float) ->
                 out.append((np.full(int(sure.sum()), u), found[sure], est[sure]))
                 todo.extend(found[sure])
                 left = np.delete(left, at[sure])
-            closer = ~sure & (est >= similar - MARGIN) & (est > best[found])
+            likely = ~sure & (est >= similar - MARGIN)
+            doubtful += int(likely.sum())
+            closer = likely & (est > best[found])
             best[found[closer]], of[found[closer]] = est[closer], u
     if left.size and best[left[0]]:
         out.append((of[left], left, best[left]))
-    return out
+    return out, s is not None and doubtful > sum(int((est < similar + MARGIN).sum()) for *_, est in out)
 
 
 def _links_in(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, radius: int, similar: float) -> list[np.ndarray]:
-    """Links within the groups of equal keys, which are sorted: the nodes at both ends and the estimates."""
+    """Links within the groups of equal keys, which are sorted: the nodes at both ends and the estimates. A group that left
+    doubtful links out gives its key at both ends and OPEN."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     few = np.repeat(sizes <= FEW, sizes)
@@ -221,26 +234,53 @@ def _links_in(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, sketches: np
             out.append((nodes[at[good]], nodes[at[good] + step], est[good]))
     for i in np.flatnonzero(sizes > FEW):
         own = slice(starts[i], starts[i] + sizes[i])
-        out += [(nodes[own][a], nodes[own][b], est) for a, b, est in _forest(fps[own], None if sketches is None else sketches[own], radius, similar)]
+        grown, more = _grown(fps[own], None if sketches is None else sketches[own], radius, similar)
+        out += [(nodes[own][a], nodes[own][b], est) for a, b, est in grown]
+        if more:
+            out.append((keys[[starts[i]]], keys[[starts[i]]], np.array([OPEN])))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
+def _further(first: int, last: int, radius: int, similar: float, keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, sketches: np.ndarray, roots: np.ndarray) -> list[np.ndarray]:
+    """As _links_in(): the doubtful links between components, of nodes over first and up to last apart in the ring of their group."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for start, n in zip(starts, np.diff(np.r_[starts, len(keys)]), strict=True):
+        more = False
+        for i in range(start, start + n - 1):
+            at = np.arange(i + 1, start + n)
+            apart = np.minimum(at - i, n - (at - i))
+            at = at[(roots[at] != roots[i]) & (apart > first) & ((apart <= last) | (not more))]  # beyond last, one suffices
+            at = at[near(fps[at] ^ fps[i], radius)]
+            est = similarity(sketches[at], sketches[i])
+            at, est = at[est >= similar - MARGIN], est[est >= similar - MARGIN]
+            now = np.minimum(at - i, n - (at - i)) <= last
+            more = more or not now.all()
+            if now.any():
+                out.append((np.full(int(now.sum()), nodes[i]), nodes[at[now]], est[now]))
+        if more:
+            out.append((keys[[start]], keys[[start]], np.array([OPEN])))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+#: In place of an estimate: more links are to be sought under this key.
+OPEN = -1.0
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64())])
 
 
-def _link(radius: int, similar: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link(radius: int, similar: float, reach: tuple[int, int] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; the last group of a batch waits for the next one. A group has few times BLOCK rows at most."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def joined():
         return [np.concatenate(x) for x in zip(*held, strict=True)]
 
-    def out(k, n, f, s=None):
-        return batch(_LINKS, *_links_in(k, n, f, s, radius, similar))
+    def out(k, n, f, s=None, root=None):
+        return batch(_LINKS, *(_links_in(k, n, f, s, radius, similar) if reach is None else _further(*reach, radius, similar, k, n, f, s, root)))
 
     for b in nonempty(batches):
         bins = [np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, BINS)] if b.num_columns > 3 else []
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64), *bins))
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64), *bins, *(b.column(i).to_numpy() for i in range(4, b.num_columns))))
         if sum(len(x[0]) for x in held) < 50_000:
             continue
         whole = joined()
@@ -268,10 +308,12 @@ def dealt(keyed: DataFrame) -> DataFrame:
     return keyed
 
 
-def links(keyed: DataFrame, radius: int, similar: float = SIMILAR) -> DataFrame:
-    """keyed: key, node, fp and, with a sketch, bins; without repeats of key and node. Links a, b, estimate between nodes under one key whose fingerprints differ in up to radius bits
-    and, with bins, may be similar (else estimate is 1); not all of them, but as many as join the same nodes."""
-    return dealt(keyed).repartition("key").sortWithinPartitions("key", "node").mapInArrow(partial(_link, radius, similar), "a long, b long, estimate double")
+def links(keyed: DataFrame, radius: int, similar: float = SIMILAR, reach: tuple[int, int] | None = None) -> DataFrame:
+    """keyed: key, node, fp and, with a sketch, bins; without repeats of key and node; from dealt(). Links a, b, estimate between nodes under one key whose fingerprints differ in up to radius bits
+    and, with bins, may be similar (else estimate is 1); not all of them, but as many as join the same nodes. With bins, rows
+    with the estimate OPEN name keys (as a) with further doubtful links. With reach, keyed has the root of the component of
+    each node, too, and links are those between components, of nodes so far apart in their group."""
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(partial(_link, radius, similar, reach), "a long, b long, estimate double")
 
 
 def _sets(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +336,26 @@ def checked(doubtful: DataFrame, prints: DataFrame, rows: DataFrame, shingle: in
     return doubtful.join(end("a"), "a").join(end("b"), "b").where(both / (F.size("of_a") + F.size("of_b") - both) >= similar).select("a", "b")
 
 
+def joined(keyed: DataFrame, radius: int, similar: float, prints: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """Links a, b of at least the similarity, as many as join what all links of the candidates under one key do."""
+    pairs = lambda found: found.where(F.col("estimate") != OPEN).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("estimate").alias("estimate"))
+    keys = lambda found: found.where(F.col("estimate") == OPEN).select(F.col("a").alias("key")).distinct()
+    found, _ = written(links(keyed, radius, similar), "estimated")
+    sure = F.col("estimate") >= similar + MARGIN
+    seen = pairs(found).where(~sure).select("a", "b")
+    edges = pairs(found).where(sure).select("a", "b").union(checked(seen, prints, rows, shingle, similar))
+    reach = (0, REACH)
+    while (open_keys := keys(found)).limit(1).count():
+        edges, _ = written(edges, "edges")
+        of = components(edges).withColumnRenamed("node", "_node")
+        again = keyed.join(open_keys, "key", "left_semi").join(of, F.col("node") == F.col("_node"), "left")
+        found, _ = written(links(again.select("key", "node", "fp", "bins", F.coalesce("root", "node").alias("root")), radius, similar, reach), "further")
+        new, _ = written(pairs(found).select("a", "b").join(seen, ["a", "b"], "left_anti"), "new")
+        edges = edges.union(checked(new, prints, rows, shingle, similar))
+        seen, reach = seen.union(new), (reach[1], 3 * reach[1])
+    return edges
+
+
 def classes(prints: DataFrame, radius: int = 2, rows: DataFrame | None = None, shingle: int = 3, similar: float = SIMILAR) -> DataFrame:
     """prints: doc_id, fp and perhaps sketch, bins and node, as from fingerprints() of rows with the shingle. For each distinct
     fingerprint (with a sketch, each distinct shingle set, as `node`) its component_id, the smallest doc_id that links of up
@@ -303,13 +365,10 @@ def classes(prints: DataFrame, radius: int = 2, rows: DataFrame | None = None, s
     least = prints.groupBy(name).agg(F.min("doc_id").alias("least"))
     if "sketch" in prints.columns:
         one = prints.groupBy("node").agg(F.min(F.struct("sketch", "bins", "fp")).alias("one"))
-        keyed = one.select(F.explode("one.sketch").alias("key"), "node", F.col("one.fp").alias("fp"), F.col("one.bins").alias("bins"))
-        edges = links(keyed, radius, similar).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("estimate").alias("estimate"))
-        edges, _ = written(edges, "estimated")
-        sure = F.col("estimate") >= similar + MARGIN
-        edges = edges.where(sure).select("a", "b").union(checked(edges.where(~sure).select("a", "b"), prints, rows, shingle, similar))
+        keyed = dealt(one.select(F.explode("one.sketch").alias("key"), "node", F.col("one.fp").alias("fp"), F.col("one.bins").alias("bins")))
+        edges = joined(keyed, radius, similar, prints, rows, shingle)
     elif ring(radius)[1]:
-        edges = links(least.select("fp", F.explode(chain_keys(F.col("fp"), radius)).alias("key")).select("key", F.col("fp").alias("node"), "fp"), radius)
+        edges = links(dealt(least.select("fp", F.explode(chain_keys(F.col("fp"), radius)).alias("key")).select("key", F.col("fp").alias("node"), "fp")), radius)
     else:
         raise ValueError("a radius without equal chains needs a sketch")
     found = components(edges)

@@ -196,3 +196,25 @@ def test_stage_against_all_pairs_of_any_distance(spark, docs):
     sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
     near = [(i, j) for i in sets for j in sets if i < j and 0.8 <= len(sets[i]) / max(1, len(sets[j])) <= 1.25 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert len(near) > 50 and all(group[i] == group[j] for i, j in near)
+
+
+def test_no_true_link_is_lost_near_the_least_similarity(spark, monkeypatch):
+    """Families of texts with similarities around 0.8: the groups are those of all pairs."""
+    monkeypatch.setattr(simhash, "REACH", 4)  # several rounds
+    rng = random.Random(17)
+    texts = []
+    for family in range(6):
+        shared = [f"s{family}x{k}" for k in range(500)]
+        texts += [" ".join(shared + [f"o{len(texts) + i}x{k}" for k in range(rng.randrange(59, 75))]) for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(t.split()) for t in texts]
+    want = list(range(len(texts)))
+    for _ in texts:
+        before = list(want)
+        for i in range(len(texts)):
+            want[i] = min(want[j] for j in range(i // 30 * 30, i // 30 * 30 + 30) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+        if want == before:
+            break
+    assert 10 < len(set(want)) < 150
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 1, 28, 8).collect()}
+    assert [got[i] for i in range(len(texts))] == want
