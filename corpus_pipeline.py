@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linkloom.llm import exact_dedup, mixing, packing, simhash, toxicity
 from linkloom.llm.common import fold, written
@@ -14,28 +15,45 @@ from linkloom.llm.common import fold, written
 SHINGLE, RADIUS, SKETCH, SIMILAR = 5, 28, 8, 0.8
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, whose doc_id is in ids."""
-    ids = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), F.expr("doc_id <=> _kept_id"), "left_semi")
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs with _row_key, of doc_id and text: what decisions go by, since ids may be null or shared."""
+    return docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+
+
+def _one_each(rows: DataFrame, *key: str) -> DataFrame:
+    """Of rows that share the key one stays, by a hash of the whole row."""
+    order = Window.partitionBy(*key).orderBy(mixing.row_hash(rows))
+    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", *(k for k in key if k.startswith("_")))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model predicts to be toxic go. Learned from labels of the same fold as in the operator's query."""
+    """Rows whose text the model predicts to be toxic go, whatever rows share their id or have none, too. Learned from labels
+    of the same fold as in the operator's query. Repeated rows stay repeated."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id"), 3) != 1)
-    toxic = toxicity.score(docs, model).where("predicted = 1").select("doc_id")
-    return docs.join(toxic.withColumnRenamed("doc_id", "_toxic_id").distinct().hint("shuffle_hash"), F.expr("doc_id <=> _toxic_id"), "left_anti")
+    rows = _marked(docs)
+    toxic = toxicity.score(rows, model, id_col="_row_key").where("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
+    return rows.join(toxic.hint("shuffle_hash"), F.col("_row_key") == F.col("_toxic"), "left_anti").drop("_row_key")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (but for the case of A-Z) the row with the largest doc_id stays."""
-    return _kept(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+    """Of equal texts (but for the case of A-Z; null is empty) one row stays: that with the largest doc_id, a null one only if
+    there is no other; of several with that id, one by a hash of the row."""
+    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
+    rows = docs.withColumn("_digest", exact_dedup.sha256(exact_dedup.normalised(F.col("text"))))
+    rows = rows.join(kept.hint("shuffle_hash"), F.expr("_digest = _kept_digest AND doc_id <=> _kept_id"), "left_semi")
+    return _one_each(rows, "doc_id", "_digest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links join the document with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs, shingle=SHINGLE, radius=RADIUS, sketch=SKETCH, similar=SIMILAR)
-    return _kept(docs, found.where(F.expr("doc_id <=> component_id")))
+    """Of each group that links join one row stays: that with the smallest doc_id, a null one only if there is no other; of
+    several with that id, one by a hash. Rows that share an id but not the text are documents of their own."""
+    rows = _marked(docs)
+    found = simhash.near_duplicates(rows, shingle=SHINGLE, radius=RADIUS, sketch=SKETCH, id_col="_row_key", similar=SIMILAR)
+    found = found.select(F.col("doc_id").alias("_row_key"), "component_id").distinct()
+    ids = rows.select("_row_key", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row_key")))
+    kept = found.join(ids, "_row_key").groupBy("component_id").agg(first.alias("first")).select(F.col("first._row_key").alias("_kept"))
+    return _one_each(rows.join(kept.hint("shuffle_hash"), F.col("_row_key") == F.col("_kept"), "left_semi"), "_row_key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import corpus_pipeline
 from linkloom.llm import simhash
+from pyspark.sql import functions as F
 
 
 def test_stages_and_columns(spark, sf, docs):
@@ -37,3 +38,28 @@ def test_packed_sequences_follow_the_mix(spark, docs, sf, monkeypatch):
     for r in rows:
         first[r["window"], r["nth"]] = min(first.get((r["window"], r["nth"]), 10**9), r["position"])
     assert [first[k] for k in sorted(first)] == sorted(first.values()) and len(first) > 50
+
+
+def test_decisions_are_of_rows_not_of_ids(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(1, own(1)), (1, own(1)), (None, own(2)), (None, own(2)), (None, own(3)), (None, own(4) + " end"), (4, own(4)), (5, own(5)), (5, own(5) + " end"), (5, own(6)), (7, own(7)), (7, own(7).upper()), (None, own(8)), (None, own(8) + " end")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    def keys(d):
+        return sorted((r["doc_id"] or 0, r["text"].lower().removesuffix(" end")) for r in d.collect())
+    exact = corpus_pipeline.drop_exact_copies(spark, df, "")
+    assert keys(exact) == sorted((0 if i is None else i, t.lower().removesuffix(" end")) for i, t in {t.lower(): (i, t) for i, t in rows}.values())
+    near = [(1, own(1)), (0, own(2)), (0, own(3)), (4, own(4)), (5, own(5)), (5, own(6)), (7, own(7)), (0, own(8))]
+    assert keys(corpus_pipeline.drop_near_copies(spark, exact, "")) == sorted(near) == keys(corpus_pipeline.drop_near_copies(spark, df, ""))
+    score = corpus_pipeline.toxicity.score
+    bad = {own(3), own(6)}
+    def scored(rows, model, id_col="doc_id"):
+        got = score(rows, model, id_col=id_col).drop("predicted")
+        toxic = [r["key"] for r in rows.select(F.col(id_col).alias("key"), "text").collect() if r["text"] in bad]
+        hit = F.lit(False)
+        for k in toxic:
+            hit = hit | F.col("doc_id").eqNullSafe(F.lit(k))
+        return got.withColumn("predicted", hit.cast("int"))
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score", scored)
+    left = corpus_pipeline.drop_toxic(spark, df, str(tmp_path))
+    assert sorted(r["text"] for r in left.collect()) == sorted(t for _, t in rows if t not in bad)
