@@ -142,3 +142,22 @@ def test_pack_in_order_keeps_every_token_and_the_order(spark):
         first[r["window"], r["nth"]] = min(first.get((r["window"], r["nth"]), 10**9), r["position"])
     assert [first[k] for k in sorted(first)] == sorted(first.values())
     assert packing.pack_in_order(df.limit(0)).collect() == []
+
+
+def test_slots_follow_the_weights_however_many():
+    rng = random.Random(8)
+    for n in (2, 8, 50):
+        rows = {str(i): rng.randrange(10_000, 1_000_000) for i in range(n)}
+        weights = {s: x**0.7 for s, x in rows.items()} | {"tiny": sum(x**0.7 for x in rows.values()) * 1e-4}
+        slots, end = mixing.exact_slots({s: x // 64 for s, x in rows.items()} | {"tiny": 10**6}, weights)
+        assert end > 2000 and sorted(t for x in slots.values() for t in x) == list(range(end))
+        total = sum(weights.values())
+        for s, x in slots.items():
+            for had, t in enumerate(x):  # just before and after each block
+                assert abs(had - t * weights[s] / total) < 1 + 1e-6 and abs(had + 1 - (t + 1) * weights[s] / total) < 1 + 1e-6
+            assert abs(len(x) - end * weights[s] / total) < 1 + 1e-6
+
+
+def test_mix_of_many_sources(spark):
+    df = spark.range(24_000).selectExpr("id AS doc_id", "concat('s', id % 12000) AS source")
+    assert mixing.scheduled(df).select("position").distinct().count() == 24_000
