@@ -62,6 +62,30 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Tables of one operator's run in the shared folder, deleted when their results are written elsewhere."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = written(df, name)
+        self.paths.append((df.sparkSession, path))
+        return out
+
+    def clear(self) -> None:
+        while self.paths:
+            delete(*self.paths.pop())
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """The name, with underscores until no column of the frame has it in any case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(key: Column, parts: int) -> Column:
     """crc32 of the key as text, modulo parts; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(parts)

@@ -6,20 +6,21 @@ budget stays below 1 for the first segments (r = 2, m = 5: two segments), they m
 candidates meet; longer chains then prune before all bits are compared.
 
 For large radii no chain is equal for certain, so candidates meet under the smallest shingle hashes that they share
-(`sketch`), the chains prune as before, and a link needs a Jaccard similarity of `similar`. It is first estimated, as the
-part of BINS bins in which both texts have the same smallest hash (one-permutation hashing, a deviation of 0.025 at
-most); links within MARGIN of `similar` are then checked on the whole shingle sets of both texts. That search is not
-exhaustive; its recall is measured in the tests.
-
-Groups under one key are never expanded into pairs: from each group only a spanning forest of verified links leaves, and
-groups over BLOCK fingerprints are dealt out as pairs of chunks. A doubtful link of a forest may fail on the whole texts
-where one that the forest left out holds. So groups that left any out are searched again, in rounds, until no unchecked
-doubtful link is left between two components: a round checks the pairs up to some distance apart in the group, and each
-round reaches twice as far as the one before.
+(`sketch`), the chains prune as before, and a link needs a Jaccard similarity of `similar`. A set of n shingles has one
+more key than the (1 - similar) * n shingles that a partner may lack, so that partners must share one, but `sketch` keys
+at most; where that is fewer, a link is lost with a probability of (1 - similar) ** sketch at most. The similarity
+is first estimated, as the part of BINS bins in which both texts have the same smallest hash (one-permutation hashing, a
+deviation of 0.025 at most); links within MARGIN of `similar` are then checked on the whole shingle sets of both texts.
+
+Groups under one key are never expanded into pairs: from each group a spanning forest of sure links leaves, and those
+doubtful ones that would join trees of it, of nodes up to REACH apart in the group. Groups over BLOCK nodes are dealt out
+as pairs of chunks. Groups with doubtful links further apart are searched again, in rounds, until no unchecked doubtful
+link is left between two components; each round reaches three times as far as the one before.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import islice, repeat
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import batch, delete, nonempty, small_batches, texts, utf8, written
+from linkloom.llm.common import Scratch, batch, nonempty, small_batches, texts, utf8, written
 from linkloom.llm.components import components
 
 SEED = 42
@@ -45,8 +46,12 @@ SIMILAR = 0.8
 MARGIN = 0.08
 #: The ids of texts to check are broadcast up to this number (8 bytes each), else shuffled.
 BROADCAST_IDS = 1_000_000
-#: How far apart in a group the first round after the forests looks for further links.
+#: How far apart in a group the first search looks for doubtful links.
 REACH = 64
+#: Copies of the rows that tell a component's least id, so that no task has all rows of a large component.
+SALTS = 16
+#: Bits that a chain must have to be a key.
+KEY_BITS = 12
 #: Groups up to this size are compared by shifting; larger ones by search from node to node.
 FEW = 8
 #: Shingles whose hashes are held at once: bounds memory for very long texts.
@@ -82,7 +87,7 @@ def digest(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED) if hashes.size else 0
 
 
-def fingerprint(text: bytes, shingle: int = 3, sketch: int = 0) -> tuple[int, list[int], bytes, int]:
+def fingerprint(text: bytes, shingle: int = 3, sketch: int = 0, similar: float = SIMILAR) -> tuple[int, list[int], bytes, int]:
     """Of a text in UTF-8, with A-Z lower-cased and words parted at ASCII white space: the fingerprint (which counts
     repeated shingles as often as they occur, but with a sketch, as the similarity does, once) and, with a sketch,
     its smallest shingle hashes, a byte for each bin, which tells the bin's smallest hash (0: the bin is empty), and the
@@ -105,12 +110,17 @@ def fingerprint(text: bytes, shingle: int = 3, sketch: int = 0) -> tuple[int, li
     least[full] = h[at[full]]
     # within a bin the smallest hash has small high bits; its low bits are spread evenly
     bins = np.where(least == _NONE, 0, 1 + (least & np.uint64(0xFFFFFFFF)) % np.uint64(255)).astype(np.uint8).tobytes()
-    return fp, h[:sketch].tolist(), bins, digest(h)
+    return fp, h[: min(sketch, prefix(len(h), similar))].tolist(), bins, digest(h)
 
 
-def _fingerprints(shingle: int, sketch: int, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prefix(n: int, similar: float) -> int:
+    """Of n shingles, how many of the smallest hashes sets of the similarity cannot all lack."""
+    return n - math.ceil(similar * n - 1e-9) + 1
+
+
+def _fingerprints(shingle: int, sketch: int, similar: float, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in nonempty(batches):
-        got = [fingerprint(t, shingle, sketch) for t in utf8(b.column(1))]
+        got = [fingerprint(t, shingle, sketch, similar) for t in utf8(b.column(1))]
         fp = pa.array(np.array([x for x, *_ in got], dtype=np.uint64).view(np.int64))
         columns = [b.column(0), fp]
         if sketch:
@@ -121,21 +131,20 @@ def _fingerprints(shingle: int, sketch: int, schema: pa.Schema, batches: Iterato
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """doc_id, fp (the unsigned fingerprint in a long) and, if asked for, the sketch: its smallest hashes as `sketch`,
     `bins`, and the digest of the shingle set as `node`. A null or blank text has fingerprint and node 0 and an empty sketch."""
     small_batches(docs.sparkSession)
     fields = [pa.field("doc_id", pa.int64()), pa.field("fp", pa.int64())] + ([pa.field("sketch", pa.list_(pa.int64())), pa.field("bins", pa.binary()), pa.field("node", pa.int64())] if sketch else [])
     ddl = "doc_id long, fp long" + (", sketch array<long>, bins binary, node long" if sketch else "")
-    return texts(docs, id_col, text_col).mapInArrow(partial(_fingerprints, shingle, sketch, pa.schema(fields)), ddl)
+    return texts(docs, id_col, text_col).mapInArrow(partial(_fingerprints, shingle, sketch, similar, pa.schema(fields)), ddl)
 
 
 def ring(radius: int) -> tuple[int, int]:
-    """Number of segments, and how many consecutive ones must be equal; (4, 0) if none must."""
-    for m in range(radius + 1, 3 * radius + 4):  # the fewest segments of which two in a row must be equal
-        if 2 * radius < m:
-            return m, 2
-    return 4, 0
+    """Number of segments, and how many consecutive ones must be equal: the fewest segments of which two in a row must be;
+    (4, 0) if such a pair has fewer than KEY_BITS bits, too few for a key."""
+    m = 2 * radius + 1
+    return (m, 2) if 2 * (BITS // m) >= KEY_BITS else (4, 0)
 
 
 def widths(m: int) -> list[int]:
@@ -181,50 +190,55 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same / np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
 
 
-def _forest(f: np.ndarray, s: np.ndarray | None, radius: int, similar: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The links of _grown()."""
-    return _grown(f, s, radius, similar)[0]
+Found = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _grown(f: np.ndarray, s: np.ndarray | None, radius: int, similar: float) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], bool]:
-    """Links that join what is linked in f (positions in it), one fewer than nodes in each component, with estimates: a maximum spanning
-    forest but for links over the margin, of which any will do. So whatever least similarity within the margin is then
-    asked for, links of the forest join what all links would. And whether doubtful links were left out."""
-    left, out, doubtful = np.arange(len(f)), [], 0
-    best, of = np.zeros(len(f)), np.zeros(len(f), np.int64)
-    while left.size > 1:
-        i = int(np.argmax(best[left]))
-        u, left = left[i], np.delete(left, i)
-        if best[u]:
-            out.append((of[[u]], np.array([u]), best[[u]]))
-        todo = [u]
+def _forest(f: np.ndarray, s: np.ndarray | None, radius: int, similar: float) -> tuple[Found, np.ndarray]:
+    """Sure links, one fewer than nodes in each tree, as positions in f and estimates; and each node's tree."""
+    left, out, tree = np.arange(len(f)), [], np.arange(len(f))
+    while left.size:
+        root, left, todo = left[0], left[1:], [left[0]]
         while todo and left.size:
             u = todo.pop()
             at = np.flatnonzero(near(f[left] ^ f[u], radius))
-            found = left[at]
-            est = np.ones(at.size) if s is None else similarity(s[found], s[u])
-            sure = est >= (similar + MARGIN if s is not None else 1)
-            if sure.any():
-                out.append((np.full(int(sure.sum()), u), found[sure], est[sure]))
-                todo.extend(found[sure])
-                left = np.delete(left, at[sure])
-            likely = ~sure & (est >= similar - MARGIN)
-            doubtful += int(likely.sum())
-            closer = likely & (est > best[found])
-            best[found[closer]], of[found[closer]] = est[closer], u
-    if left.size and best[left[0]]:
-        out.append((of[left], left, best[left]))
-    return out, s is not None and doubtful > sum(int((est < similar + MARGIN).sum()) for *_, est in out)
-
-
-def _links_in(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, radius: int, similar: float) -> list[np.ndarray]:
-    """Links within the groups of equal keys, which are sorted: the nodes at both ends and the estimates. A group that left
-    doubtful links out gives its key at both ends and OPEN."""
+            est = np.ones(at.size) if s is None else similarity(s[left[at]], s[u])
+            at, est = (at, est) if s is None else (at[est >= similar + MARGIN], est[est >= similar + MARGIN])
+            if at.size:
+                found = left[at]
+                out.append((np.full(at.size, u), found, est))
+                tree[found] = root
+                todo.extend(found)
+                left = np.delete(left, at)
+    return out, tree
+
+
+def _doubtful(f: np.ndarray, s: np.ndarray, tree: np.ndarray, first: int, last: int, radius: int, similar: float) -> tuple[Found, bool]:
+    """Links between trees that are possible, of nodes over first and up to last apart in the ring of f, and whether there are any further apart."""
+    out, more, n = [], False, len(f)
+    if (tree == tree[0]).all():
+        return out, False
+    for i in range(n - 1):
+        at = np.arange(i + 1, n)
+        apart = np.minimum(at - i, n - (at - i))
+        at = at[(tree[at] != tree[i]) & (apart > first) & ((apart <= last) | (not more))]  # beyond last, one suffices
+        at = at[near(f[at] ^ f[i], radius)]
+        est = similarity(s[at], s[i])
+        at, est = at[est >= similar - MARGIN], est[est >= similar - MARGIN]
+        now = np.minimum(at - i, n - (at - i)) <= last
+        more = more or not now.all()
+        if now.any():
+            out.append((np.full(int(now.sum()), i), at[now], est[now]))
+    return out, more
+
+
+def _links_in(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, radius: int, similar: float, reach: tuple[int, int], roots: np.ndarray | None) -> list[np.ndarray]:
+    """Links within the groups of equal keys, which are sorted: the nodes at both ends and the estimates. A group with
+    doubtful links beyond the reach gives its key at both ends and OPEN. With roots, links are those between roots."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     few = np.repeat(sizes <= FEW, sizes)
     out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-    for step in range(1, FEW):
+    for step in range(1, FEW) if roots is None else ():
         at = np.flatnonzero((keys[step:] == keys[:-step]) & few[step:])
         if at.size:
             at = at[near(fps[at] ^ fps[at + step], radius)]
@@ -234,32 +248,14 @@ def _links_in(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, sketches: np
             out.append((nodes[at[good]], nodes[at[good] + step], est[good]))
     for i in np.flatnonzero(sizes > FEW):
         own = slice(starts[i], starts[i] + sizes[i])
-        grown, more = _grown(fps[own], None if sketches is None else sketches[own], radius, similar)
-        out += [(nodes[own][a], nodes[own][b], est) for a, b, est in grown]
-        if more:
-            out.append((keys[[starts[i]]], keys[[starts[i]]], np.array([OPEN])))
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
-
-
-def _further(first: int, last: int, radius: int, similar: float, keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, sketches: np.ndarray, roots: np.ndarray) -> list[np.ndarray]:
-    """As _links_in(): the doubtful links between components, of nodes over first and up to last apart in the ring of their group."""
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-    for start, n in zip(starts, np.diff(np.r_[starts, len(keys)]), strict=True):
-        more = False
-        for i in range(start, start + n - 1):
-            at = np.arange(i + 1, start + n)
-            apart = np.minimum(at - i, n - (at - i))
-            at = at[(roots[at] != roots[i]) & (apart > first) & ((apart <= last) | (not more))]  # beyond last, one suffices
-            at = at[near(fps[at] ^ fps[i], radius)]
-            est = similarity(sketches[at], sketches[i])
-            at, est = at[est >= similar - MARGIN], est[est >= similar - MARGIN]
-            now = np.minimum(at - i, n - (at - i)) <= last
-            more = more or not now.all()
-            if now.any():
-                out.append((np.full(int(now.sum()), nodes[i]), nodes[at[now]], est[now]))
-        if more:
-            out.append((keys[[start]], keys[[start]], np.array([OPEN])))
+        s = None if sketches is None else sketches[own]
+        found, tree = _forest(fps[own], s, radius, similar) if roots is None else ([], roots[own])
+        if s is not None:
+            more, beyond = _doubtful(fps[own], s, tree, *reach, radius, similar)
+            found += more
+            if beyond:
+                out.append((keys[[starts[i]]], keys[[starts[i]]], np.array([OPEN])))
+        out += [(nodes[own][a], nodes[own][b], est) for a, b, est in found]
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
@@ -268,7 +264,7 @@ OPEN = -1.0
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64())])
 
 
-def _link(radius: int, similar: float, reach: tuple[int, int] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link(radius: int, similar: float, reach: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; the last group of a batch waits for the next one. A group has few times BLOCK rows at most."""
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -276,7 +272,7 @@ def _link(radius: int, similar: float, reach: tuple[int, int] | None, batches: I
         return [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def out(k, n, f, s=None, root=None):
-        return batch(_LINKS, *(_links_in(k, n, f, s, radius, similar) if reach is None else _further(*reach, radius, similar, k, n, f, s, root)))
+        return batch(_LINKS, *_links_in(k, n, f, s, radius, similar, reach, root))
 
     for b in nonempty(batches):
         bins = [np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, BINS)] if b.num_columns > 3 else []
@@ -292,10 +288,10 @@ def _link(radius: int, similar: float, reach: tuple[int, int] | None, batches: I
         yield out(*joined())
 
 
-def dealt(keyed: DataFrame) -> DataFrame:
+def dealt(keyed: DataFrame, tables: Scratch) -> DataFrame:
     """keyed, as for links(), with the groups over BLOCK nodes dealt out as pairs of chunks, each with a key of its own."""
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("chunks"))
-    large, path = written(large, "large")
+    large = tables.write(large, "large")
     if large.limit(1).count():  # each pair of chunks is a group of its own
         chunk = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("chunks")).cast("int")
         keyed = (
@@ -303,17 +299,17 @@ def dealt(keyed: DataFrame) -> DataFrame:
             .withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
             .select(F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least(chunk, "other"), F.greatest(chunk, "other"))).alias("key"), *keyed.columns[1:])
         )
-    else:
-        delete(keyed.sparkSession, path)
     return keyed
 
 
 def links(keyed: DataFrame, radius: int, similar: float = SIMILAR, reach: tuple[int, int] | None = None) -> DataFrame:
-    """keyed: key, node, fp and, with a sketch, bins; without repeats of key and node; from dealt(). Links a, b, estimate between nodes under one key whose fingerprints differ in up to radius bits
-    and, with bins, may be similar (else estimate is 1); not all of them, but as many as join the same nodes. With bins, rows
-    with the estimate OPEN name keys (as a) with further doubtful links. With reach, keyed has the root of the component of
-    each node, too, and links are those between components, of nodes so far apart in their group."""
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(partial(_link, radius, similar, reach), "a long, b long, estimate double")
+    """keyed: key, node, fp and, with a sketch, bins; without repeats of key and node; from dealt(). Links a, b, estimate
+    between nodes under one key whose fingerprints differ in up to radius bits and, with bins, may be similar (else estimate
+    is 1); not all of them, but as many as join the same nodes. With bins, rows with the estimate OPEN name keys (as a) with
+    doubtful links beyond the reach. If keyed has the root of the component of each node, too, links are those between
+    components, of nodes within the reach."""
+    found = keyed.repartition("key").sortWithinPartitions("key", "node")
+    return found.mapInArrow(partial(_link, radius, similar, reach or (0, REACH)), "a long, b long, estimate double")
 
 
 def _sets(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,70 +319,78 @@ def _sets(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array([digest(h)], pa.uint64()).view(pa.int64()), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["node", "hashes"])
 
 
-def checked(doubtful: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int, similar: float = SIMILAR) -> DataFrame:
+def checked(doubtful: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int, similar: float, tables: Scratch) -> DataFrame:
     """Of links a, b those whose texts' whole shingle sets have the similarity. rows: doc_id and text; one row is read for each end."""
     nodes = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    need, _ = written(prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("need")).select("need").distinct(), "need")
+    need = tables.write(prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("need")).select("need").distinct(), "need")
     hint = "broadcast" if need.count() <= BROADCAST_IDS else "shuffle_hash"
     read = rows.join(need.hint(hint), F.expr("doc_id <=> need"), "left_semi").select("doc_id", "text")
     sets = read.mapInArrow(partial(_sets, shingle), "node long, hashes array<long>").join(nodes, "node", "left_semi")
-    sets, _ = written(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    sets = tables.write(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
     end = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     return doubtful.join(end("a"), "a").join(end("b"), "b").where(both / (F.size("of_a") + F.size("of_b") - both) >= similar).select("a", "b")
 
 
-def joined(keyed: DataFrame, radius: int, similar: float, prints: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """Links a, b of at least the similarity, as many as join what all links of the candidates under one key do."""
+def joined(keyed: DataFrame, radius: int, similar: float, prints: DataFrame, rows: DataFrame, shingle: int, tables: Scratch) -> DataFrame:
+    """node, root as from components() of all links of at least the similarity between candidates under one key."""
     pairs = lambda found: found.where(F.col("estimate") != OPEN).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("estimate").alias("estimate"))
     keys = lambda found: found.where(F.col("estimate") == OPEN).select(F.col("a").alias("key")).distinct()
-    found, _ = written(links(keyed, radius, similar), "estimated")
+    found = tables.write(links(keyed, radius, similar), "estimated")
     sure = F.col("estimate") >= similar + MARGIN
     seen = pairs(found).where(~sure).select("a", "b")
-    edges = pairs(found).where(sure).select("a", "b").union(checked(seen, prints, rows, shingle, similar))
-    reach = (0, REACH)
-    while (open_keys := keys(found)).limit(1).count():
-        edges, _ = written(edges, "edges")
-        of = components(edges).withColumnRenamed("node", "_node")
-        again = keyed.join(open_keys, "key", "left_semi").join(of, F.col("node") == F.col("_node"), "left")
-        found, _ = written(links(again.select("key", "node", "fp", "bins", F.coalesce("root", "node").alias("root")), radius, similar, reach), "further")
-        new, _ = written(pairs(found).select("a", "b").join(seen, ["a", "b"], "left_anti"), "new")
-        edges = edges.union(checked(new, prints, rows, shingle, similar))
-        seen, reach = seen.union(new), (reach[1], 3 * reach[1])
-    return edges
-
-
-def classes(prints: DataFrame, radius: int = 2, rows: DataFrame | None = None, shingle: int = 3, similar: float = SIMILAR) -> DataFrame:
+    edges = found.where(sure).select("a", "b").union(checked(seen, prints, rows, shingle, similar, tables))
+    reach = REACH
+    while True:
+        of = components(edges, tables)
+        if not keys(found).limit(1).count():
+            return of
+        root = of.withColumnRenamed("node", "_node")
+        again = keyed.join(keys(found), "key", "left_semi").join(root, F.col("node") == F.col("_node"), "left")
+        found = tables.write(links(again.select("key", "node", "fp", "bins", F.coalesce("root", "node").alias("root")), radius, similar, (reach, 3 * reach)), "further")
+        new = tables.write(pairs(found).select("a", "b").join(seen, ["a", "b"], "left_anti"), "new")
+        edges = of.select(F.col("node").alias("a"), F.col("root").alias("b")).union(checked(new, prints, rows, shingle, similar, tables))
+        seen, reach = seen.union(new), 3 * reach
+
+
+def classes(prints: DataFrame, radius: int = 2, rows: DataFrame | None = None, shingle: int = 3, similar: float = SIMILAR, tables: Scratch | None = None) -> DataFrame:
     """prints: doc_id, fp and perhaps sketch, bins and node, as from fingerprints() of rows with the shingle. For each distinct
     fingerprint (with a sketch, each distinct shingle set, as `node`) its component_id, the smallest doc_id that links of up
     to radius bits reach. With a sketch, candidates meet under shared shingle hashes, and links need the similarity, too:
     equal fingerprints alone join nothing."""
-    name = "node" if "sketch" in prints.columns else "fp"
+    name, tables = "node" if "sketch" in prints.columns else "fp", tables or Scratch()
     least = prints.groupBy(name).agg(F.min("doc_id").alias("least"))
     if "sketch" in prints.columns:
         one = prints.groupBy("node").agg(F.min(F.struct("sketch", "bins", "fp")).alias("one"))
-        keyed = dealt(one.select(F.explode("one.sketch").alias("key"), "node", F.col("one.fp").alias("fp"), F.col("one.bins").alias("bins")))
-        edges = joined(keyed, radius, similar, prints, rows, shingle)
+        keyed = dealt(one.select(F.explode("one.sketch").alias("key"), "node", F.col("one.fp").alias("fp"), F.col("one.bins").alias("bins")), tables)
+        found = joined(keyed, radius, similar, prints, rows, shingle, tables)
     elif ring(radius)[1]:
-        edges = links(dealt(least.select("fp", F.explode(chain_keys(F.col("fp"), radius)).alias("key")).select("key", F.col("fp").alias("node"), "fp")), radius)
+        edges = links(dealt(least.select("fp", F.explode(chain_keys(F.col("fp"), radius)).alias("key")).select("key", F.col("fp").alias("node"), "fp"), tables), radius)
+        found = components(edges, tables)
     else:
         raise ValueError("a radius without equal chains needs a sketch")
-    found = components(edges)
-    rooted = least.join(found, least[name] == found["node"], "left").select(least[name], "least", F.coalesce("root", least[name]).alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(best, "root").select(name, "component_id")
+    # the least id of each component goes to all of its nodes, by salts, for a component may hold most nodes
+    rooted = found.union(found.select("root", "root").distinct())
+    best = rooted.join(least, rooted["node"] == least[name]).groupBy("root").agg(F.min("least").alias("component_id"))
+    salt = lambda key: F.pmod(F.xxhash64(F.lit(19), key), F.lit(SALTS)).cast("int").alias("salt")
+    each = best.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    linked = rooted.select("node", "root", salt("node")).join(each, ["root", "salt"]).select(F.col("node").alias("_node"), "component_id")
+    return least.join(linked, least[name] == linked["_node"], "left").select(least[name], F.when(F.col("_node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, sketch: int = 0, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row for each document: doc_id, fp and component_id, the smallest doc_id that links reach, its own included.
 
-    A null, empty or blank text has fingerprint 0 and is linked like any other. Repeated rows give repeated rows. doc_id
+    A null, empty or blank text has fingerprint 0 and is linked like any other (with a sketch, only to others without a
+    word). A very long text is hashed piece by piece. Repeated rows give repeated rows. doc_id
     names a document: rows that share one but have other texts keep their own fingerprints. A null doc_id stays null and
     counts for component_id only if its component has no other. Extra columns of docs play no part. An empty table gives
     an empty one.
     """
-    prints, _ = written(fingerprints(docs, shingle, sketch, id_col, text_col), "fingerprints")
-    found = classes(prints, radius, texts(docs, id_col, text_col), shingle, similar)
+    prints, _ = written(fingerprints(docs, shingle, sketch, id_col, text_col, similar), "fingerprints")
+    tables = Scratch()
+    found, _ = written(classes(prints, radius, texts(docs, id_col, text_col), shingle, similar, tables), "classes")
+    tables.clear()
     name = found.columns[0]
     return prints.select("doc_id", "fp", F.col(name).alias("_of")).join(found.withColumnRenamed(name, "_of"), "_of").select("doc_id", "fp", "component_id")
 

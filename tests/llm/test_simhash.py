@@ -120,15 +120,16 @@ def test_sketch_against_all_pairs(spark, docs, monkeypatch):
     assert {i for i in ids if rows[i]["component_id"] != i} <= linked
 
 
-def test_forest_keeps_components_at_any_similarity_within_the_margin():
+def test_forest_and_doubtful_links_join_what_all_links_do_at_any_similarity_within_the_margin():
     rng = np.random.default_rng(11)
     base = rng.integers(1, 256, (3, simhash.BINS), dtype=np.uint8)
     s = base[rng.integers(0, 3, 90)]
     changed = rng.random(s.shape) < rng.uniform(0, 0.2, (90, 1))
     s[changed] = rng.integers(1, 256, int(changed.sum()), dtype=np.uint8)
-    f = np.arange(90, dtype=np.uint64)
-    a, b, est = (np.concatenate(x) for x in zip(*simhash._forest(f, s, 18, 0.8), strict=True))
-    assert len(a) < 90
+    f, keys, nodes = np.arange(90, dtype=np.uint64), np.full(90, 7), np.arange(90)
+    a, b, est = simhash._links_in(keys, nodes, f, s, 18, 0.8, (0, 90), None)
+    assert (est != simhash.OPEN).all() and len(a) < 90 * 89 // 4
+    assert (simhash._links_in(keys, nodes, f, s, 18, 0.8, (0, 2), None)[2] == simhash.OPEN).sum() == 1
     for least in (0.73, 0.77, 0.8, 0.84, 0.87):
         label = np.arange(90)
         want = np.arange(90)
@@ -140,6 +141,15 @@ def test_forest_keeps_components_at_any_similarity_within_the_margin():
         assert (label == want).all()
 
 
+def test_sets_of_the_similarity_share_a_key_of_the_prefix():
+    rng = random.Random(23)
+    for _ in range(3000):
+        both, more_a, more_b = (rng.sample(range(10**6), rng.randrange(*r)) for r in ((1, 40), (0, 9), (0, 9)))
+        a, b = sorted({*both, *more_a}), sorted({*both, *more_b})
+        if len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)):
+            assert set(a[: simhash.prefix(len(a), 0.8)]) & set(b[: simhash.prefix(len(b), 0.8)])
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = simhash.near_duplicates(odd_docs).collect()
     assert len(got) == 11
@@ -157,15 +167,27 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_with_hubs_and_without_local_stars(spark, monkeypatch):
+    from linkloom.llm import components as module
+
+    rng = random.Random(29)
+    edges = [(0, i) for i in range(1, 400)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(420)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(40)
+    least = list(range(900))
+    for _ in range(900):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    want = {i: r for i, r in enumerate(least) if r != i}
+    assert {r["node"]: r["root"] for r in components(df).collect()} == want
+    monkeypatch.setattr(module, "DEGREE", 3)
+    monkeypatch.setattr(module, "stars", lambda a, b: (np.maximum(a, b), np.minimum(a, b)))
+    assert {r["node"]: r["root"] for r in components(df).collect()} == want
+
+
 def test_a_radius_without_chains_needs_a_sketch(spark):
+    assert simhash.ring(2) == (5, 2) and simhash.ring(12) == (4, 0)
     with pytest.raises(ValueError):
-        monkey = spark.createDataFrame([(1, 2)], "doc_id long, fp long")
-        simhash_ring = simhash.ring
-        simhash.ring = lambda r: (4, 0)
-        try:
-            simhash.classes(monkey, 12)
-        finally:
-            simhash.ring = simhash_ring
+        simhash.classes(spark.createDataFrame([(1, 2)], "doc_id long, fp long"), 12)
 
 
 def test_equal_fingerprints_of_unlike_texts_stay_apart(spark):
