@@ -1,7 +1,8 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Documents are cut at the largest permitted length; full pieces are sequences as they are. What remains of each document
-is packed best-fit, longest first, in shards of about SHARD_DOCS documents (by a hash of their id). No bin fits: the
+is packed best-fit, longest first, in shards of about SHARD_DOCS documents (by a hash of their row
+number, so that rows of one id are spread, too). No bin fits: the
 permitted length that costs least per token it can still be given is opened. At the end each bin shrinks to the cheapest
 permitted length that holds its contents. This is done once for each permitted length as the largest to be opened, and
 the cheapest outcome stays; that optimises the lengths jointly.
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import written
+
 #: Permitted lengths and what a sequence of each costs: linear layers, and attention, which is quadratic.
 COSTS = {c: c * (1 + c / 16384) for c in (512, 1024, 2048, 4096)}
 SHARD_DOCS = 20_000
@@ -89,24 +92,26 @@ def pack(docs: DataFrame, length: Column | None = None, costs: Mapping[int, floa
     """One row for each piece of a document: doc_id, piece (from 0), piece_start and length (tokens of the document),
     bin_id, capacity (the final length of the bin) and start (where in the bin the piece begins).
 
-    All tokens of all documents are in exactly one piece. A null or empty text is one token long. Repeated rows are packed
-    as often as they occur; a null doc_id is packed like any other. Extra columns play no part; an empty table gives an
-    empty one.
+    All tokens of all documents are in exactly one piece. A null or empty text is one token long; a very long one gives as
+    many full bins as it needs. Repeated rows and rows that share an id are packed each for itself; a null doc_id is packed
+    like any other. Extra columns play no part; an empty table gives an empty one. Rows are numbered and their tokens
+    counted once, in a table in the shared folder, so that tasks which run again find the same numbers.
     """
     costs = dict(costs or COSTS)
     top = max(costs)
     n = F.col("n")
-    items = docs.select(F.col(id_col).cast("long").alias("doc_id"), (length if length is not None else tokens(F.col(text_col))).cast("long").alias("n"), F.monotonically_increasing_id().alias("row_id"))
+    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), (length if length is not None else tokens(F.col(text_col))).cast("long").alias("n"))
+    items, _ = written(counted.withColumn("row_id", F.monotonically_increasing_id()), "lengths")
     full = items.where(n >= top).select("doc_id", "row_id", F.explode(F.sequence(F.lit(0), F.floor(n / top).cast("int") - 1)).alias("piece"))
     full = full.select(
         "doc_id", "piece", (F.col("piece").cast("long") * top).alias("piece_start"), F.lit(top).cast("long").alias("length"),
         F.concat(F.lit("f"), F.col("row_id").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("bin_id"),
         F.lit(top).alias("capacity"), F.lit(0).cast("long").alias("start"),
     )
-    shards = max(1, -(-docs.count() // shard_docs))
+    shards = max(1, -(-items.count() // shard_docs))
     rest = items.where(n % top > 0).select(
         "doc_id", F.floor(n / top).cast("int").alias("piece"), (n - n % top).alias("piece_start"), (n % top).alias("length"),
-        F.pmod(F.xxhash64(F.lit(9), F.coalesce("doc_id", "row_id")), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64(F.lit(9), "row_id"), F.lit(shards)).alias("shard"),
     )
     ddl = "doc_id long, piece int, piece_start long, length long, bin_id string, capacity int, start long"
     return full.unionByName(rest.groupBy("shard").applyInPandas(partial(_pack, costs), ddl))
@@ -133,7 +138,8 @@ def _pack_window(costs: Mapping[int, float], pdf: pd.DataFrame) -> pd.DataFrame:
 
 def pack_in_order(docs: DataFrame, costs: Mapping[int, float] | None = None, window_docs: int = WINDOW_DOCS) -> DataFrame:
     """docs: doc_id, n (tokens) and position, which is unique. As pack(), with window, nth (the bin's number in the window)
-    and position: bins in the order of (window, nth) follow the positions, as near as window_docs of them allow."""
+    and position: bins in the order of (window, nth) follow the positions, as near as window_docs of them allow. Null ids,
+    repeated rows, very long documents and an empty table are as in pack(); extra columns play no part."""
     costs = dict(costs or COSTS)
     items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n").cast("long").alias("n"), F.col("position").cast("long").alias("position"), F.floor(F.col("position") / window_docs).alias("window"))
     ddl = "doc_id long, piece int, piece_start long, length long, bin_id string, capacity int, start long, window long, nth int, position long"
