@@ -4,8 +4,9 @@ Each source's rows form blocks. A source of weight w gets a release time and a d
 is released at floor(i / w) and due at ceil((i + 1) / w), in slots. Earliest deadline first then fills the slots. Weights
 are exact fractions, so at every slot of a phase each source has had less than one block more or less than its weight asks
 for, however long the phase. When a source runs out, a phase ends, and the sources that are left share its weight in
-proportion; so all rows are used, each once. The driver holds one number for each block (BLOCK_DOCS rows); the slots
-are joined to the rows by source and block.
+proportion; so all rows are used, each once. The driver holds three numbers for each block; blocks have BLOCK_DOCS rows,
+doubled until there are BLOCKS of them at most (besides one for each source). The slots are joined to the rows by source
+and block.
 
 With a period, weights are rounded to fractions of it, and the pattern of one period repeats.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK_DOCS = 64
+BLOCK_DOCS, BLOCKS = 64, 1 << 21
 #: Without given weights, a source weighs its rows to this power.
 POWER = 0.7
 #: Rows of a source that are numbered together in one task, about.
@@ -127,19 +128,23 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*(docs[f"`{f.name}`"] for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())))
 
 
-def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, period: int | None = None, id_col: str = "doc_id", source_col: str = "source", carry: Column | None = None) -> DataFrame:
+def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_docs: int | None = None, period: int | None = None, id_col: str = "doc_id", source_col: str = "source", carry: Column | None = None) -> DataFrame:
     """row (all columns of docs as a struct, or carry in its place), source_key, block, slot, position: rows in the order of position are the mix.
 
     weights: by source; each source needs a positive one. None: rows of the source to the power POWER. period: weights are
-    rounded to fractions of it; None: they are exact. Within a source,
+    rounded to fractions of it; None: they are exact. block_docs: rows of a block; None: see above. Within a source,
     rows come in the order of a hash of doc_id (of the row, where doc_id is null), and rows that share an id in the order
     of a hash of theirs, so that a task that is run again numbers them alike. Position has gaps only where the last block of a source isn't full; it is
-    unique. Null and empty sources are sources like any other, repeated rows are rows like any other, and columns of docs
-    may have any names. An empty table gives an empty one.
+    unique. Null and empty sources are sources like any other, repeated rows are rows like any other, texts of any length
+    are only carried, and columns of docs may have any names. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     rows = docs.select((F.struct(F.col("*")) if carry is None else carry).alias("row"), source_key(F.col(source_col)).alias("source_key"), F.xxhash64(F.lit(5), F.coalesce(F.col(id_col).cast("long"), row_hash(docs))).alias("h"), F.col(id_col).cast("long").alias("id"), row_hash(docs).alias("tie"))
     counts = {r["k"]: r["n"] for r in docs.groupBy(source_key(F.col(source_col)).alias("k")).agg(F.count("*").alias("n")).collect()}
+    if block_docs is None:
+        block_docs = BLOCK_DOCS
+        while sum(counts.values()) > BLOCKS * block_docs:
+            block_docs *= 2
     if weights is None:
         share = {k: n**POWER for k, n in counts.items()}
     else:
