@@ -7,24 +7,36 @@ the salts meet in one group for each digest. A group of copies of any size thus
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import texts, written
+from linkloom.llm.common import small_batches, texts, utf8, written
 
 SALTS = 8
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def sha256(content: bytes) -> bytes:
+    return hashlib.sha256(content).digest()
+
+
+def digest_of(text: Column, digest: Callable[[bytes], bytes] = sha256) -> Column:
+    """Of the text with A-Z lower-cased, in UTF-8; null counts as empty."""
+    def each(column: pa.Array) -> pa.Array:
+        return pa.array([digest(t.lower()) for t in utf8(column)], pa.binary())  # on bytes, lower() knows A-Z only
+
+    return F.arrow_udf(each, "binary")(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def normalised(text: Column) -> Column:
     """A-Z lower-cased, all else as it is; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-
+    def each(column: pa.Array) -> pa.Array:
+        return pa.array([t.lower() for t in utf8(column)], pa.binary()).cast(pa.string())
 
-def sha256(content: Column) -> Column:
-    return F.unhex(F.sha2(content, 256))
+    return F.arrow_udf(each, "string")(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def groups(rows: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -39,18 +51,20 @@ def groups(rows: DataFrame, salts: int = SALTS) -> DataFrame:
     return winners.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.when(several, each).alias("contents"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id (the largest doc_id among equal texts), group_size, kept, digest.
 
     Texts are equal if they are after lower-casing A-Z; null counts as empty, and empty texts are equal. Rows that repeat
     a doc_id with the same text each count in group_size; of these, all have kept = true if theirs is the id that stays.
     A null doc_id loses to any other; a group of null ids has keep_id null and kept true. Extra columns of docs play no
-    part. An empty table gives an empty one. Texts whose digests collide are told apart by their content.
+    part. An empty table gives an empty one. Very long texts are compared whole. Texts whose digests collide are told apart by their content.
     """
-    rows = texts(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("content")).withColumn("digest", digest(F.col("content")))
+    small_batches(docs.sparkSession)
+    both = texts(docs, id_col, text_col)
+    rows = both.select("doc_id", normalised(F.col("text")).alias("content"), digest_of(F.col("text"), digest).alias("digest"))
     found, _ = written(groups(rows, salts), "groups")
     one = found.where(F.col("contents").isNull()).select("digest", "keep_id", "group_size")
-    out = rows.select("doc_id", "digest").join(one, "digest")
+    out = both.select("doc_id", digest_of(F.col("text"), digest).alias("digest")).join(one, "digest")
     mixed = found.where(F.col("contents").isNotNull())
     if mixed.limit(1).count():
         apart = mixed.select("digest", F.inline("contents"))
