@@ -76,7 +76,8 @@ def find_secrets(docs: DataFrame, ledger_path: str | None = None, rule_version:
 
     With a ledger_path, the ledger there is read if it is there, and what this run scans is appended; else the run starts
     from an empty ledger. Repeated rows and copies give a row each; a null doc_id stays null; an empty table gives an
-    empty one. Extra columns of docs play no part.
+    empty one. A very long text is scanned whole. Extra columns of docs play no part. Pairs that the ledger holds more than
+    once, as after runs at one time, count once.
     """
     spark = docs.sparkSession
     known = None
@@ -90,6 +91,6 @@ def find_secrets(docs: DataFrame, ledger_path: str | None = None, rule_version:
     else:
         entries.write.mode("append").parquet(ledger_path)
         ledger = spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("rule_version") == rule_version)
-    hits = ledger.where(F.size("spans") > 0).select("blob", "spans")
+    hits = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))  # runs at one time may add a blob twice
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     return paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", empty).alias("spans"))
