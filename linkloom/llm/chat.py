@@ -12,8 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 SEGMENT = 64
+#: Characters of the pieces in which a formatted text is cut to read spans of it.
+PIECE = 4096
 
 # The template's control strings.
 START, END, HEADER_END = "<|im_start|>", "<|im_end|>", "\n"
@@ -57,15 +60,23 @@ def attachments(parts: Column) -> Column:
     return F.transform(kept, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(1)).cast("bigint").alias("tokens")))
 
 
+_PART_FIELDS = ("type", "text", "ref", "tokens")
+
+
+def _fields(kind: DataType) -> set[str]:
+    return set(kind.elementType.names) if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) else set()
+
+
 def segments(turns: DataFrame, learn_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """turns: conv_id, turn, role, and parts or else text. One row for each conversation and segment: formatted, loss_spans
     (start and length in code points of formatted, one for each turn under the loss), n_turns, attachments.
 
-    Turns come by number, nulls first, then by role and content; repeated rows stay repeated. Null role: empty role; null
+    A column `parts` that is no list of typed parts (type, text, ref, tokens) plays no part. Turns come by number, nulls first, then by role and content; repeated rows stay repeated. Null role: empty role; null
     text or parts: empty content. Rows with a null conv_id form a conversation of their own. Extra columns play no part.
     An empty table gives an empty one.
     """
-    parts = F.col("parts").cast(PARTS) if "parts" in turns.columns else text_part(F.col("text").cast("string"))
+    typed = "parts" in turns.columns and set(_PART_FIELDS) <= _fields(turns.schema["parts"].dataType)
+    parts = F.transform("parts", lambda p: F.struct(*(p[f].alias(f) for f in _PART_FIELDS))).cast(PARTS) if typed else text_part(F.col("text").cast("string"))
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     head = F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit(NEWLINE_IN_ROLE)), F.lit(HEADER_END))
     rows = turns.select(
@@ -127,5 +138,13 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, loss_spans: Column) -> Column:
-    """The text under the loss mask, unescaped span by span."""
-    return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """The text under the loss mask, unescaped span by span. The formatted text is cut into pieces once, so that a span
+    costs its own length and not that of all before it."""
+    def span(pieces: Column, s: Column) -> Column:
+        first, last = F.floor(s["start"] / PIECE), F.floor((s["start"] + s["length"]) / PIECE)
+        around = F.array_join(F.slice(pieces, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return unescape(F.substring(around, (s["start"] % PIECE + 1).cast("int"), s["length"].cast("int")))
+
+    # bound as one element, the pieces are made once and not for each span
+    one = F.array(F.struct(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), loss_spans.alias("spans")))
+    return F.get(F.transform(one, lambda x: F.array_join(F.transform(x["spans"], lambda s: span(x["pieces"], s)), "")), F.lit(0))

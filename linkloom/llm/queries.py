@@ -23,17 +23,15 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.sql(f"SELECT -7L AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role, '{said}' AS text FROM range(2)")
-    return chat_digests(chat.segments(turns.unionByName(more)))
+    return chat_digests(chat.format_chats(turns.unionByName(more)))
 
 
-def chat_digests(parts: DataFrame) -> DataFrame:
-    """Read back from formatted segments, then joined for each conversation."""
+def chat_digests(chats: DataFrame) -> DataFrame:
+    """Read back from the formatted conversations."""
     turns = chat.read_turns(F.col("formatted"))
     said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    read = parts.select("conv_id", "segment", said.alias("said"), F.size(turns).cast("long").alias("n"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("chars"))
-    whole = read.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("segment", "said", "loss"))).alias("s"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
-    joined = lambda field: F.array_join(F.transform("s", lambda x: x[field]), "")
-    return whole.select("conv_id", "n_turns", F.sha2(joined("said"), 256).alias("turns_sha256"), F.length(joined("loss")).cast("long").alias("loss_chars"), F.sha2(joined("loss"), 256).alias("loss_sha256"), "formatted_chars")
+    read = chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.size(turns).cast("long").alias("n_turns"), said.alias("said"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    return read.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

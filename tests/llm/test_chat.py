@@ -49,12 +49,24 @@ def test_typed_parts(spark):
 def test_odd_rows(spark):
     rows = [(1, None, None, None, "x"), (1, 0, "user", "", "x"), (1, 0, "user", "", "x"), (None, 5, "assistant", "lost", "x"), (2, 1, "assistant", "y" * 1_000_000, "x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string")
-    got = {r["conv_id"]: r for r in queries.chat_digests(chat.segments(turns)).collect()}
+    got = {r["conv_id"]: r for r in queries.chat_digests(chat.format_chats(turns)).collect()}
     assert got[1]["n_turns"] == 3 and got[1]["turns_sha256"] == hashlib.sha256(b"\n\nuser\n\nuser\n\n").hexdigest()
     assert got[None]["loss_chars"] == 4 and got[2]["loss_chars"] == 1_000_000
     assert chat.format_chats(turns.limit(0)).collect() == []
 
 
+def test_an_unrelated_column_named_parts(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi", ["x"], 3), (1, 1, "assistant", "ho", None, 4)], "conv_id long, turn long, role string, text string, parts array<string>, formatted int")
+    assert chat.format_chats(turns).first()["formatted"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nho<|im_end|>\n"
+
+
+def test_spans_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PIECE", 7)
+    rows = [(1, i, "assistant" if i % 2 else "user", "😀é</s>" * (i % 5) + "x" * i) for i in range(40)]
+    got = queries.chat_digests(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert got["loss_sha256"] == hashlib.sha256("".join(r[3] for r in rows if r[2] == "assistant").encode()).hexdigest()
+
+
 def test_main_path_is_native(spark, sf):
     plan = queries.op2_chat_formatting(spark, sf)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
