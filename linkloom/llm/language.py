@@ -2,7 +2,8 @@
 
 N-grams are one to three characters of lower-cased words, spaces around words included. A profile holds the PROFILE most
 frequent ones in order. An n-gram is as far out of place as its ranks differ, or PROFILE if the language lacks it.
-Languages' counts are taken over all documents that may be learned from.
+Languages' counts are taken over all documents that may be learned from. A language's profile takes PROFILE numbers, on
+the driver and in in tasks, LANGUAGES of them to a list.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ PIECE = 1 << 20
 FLUSH = 1 << 20
 #: The most frequent n-grams of a language are first sought in so many parts.
 PARTS = 16
+#: Languages in one list (12 bytes for each n-gram).
+LANGUAGES = 4096
 UNKNOWN = "und"
 
 
@@ -110,7 +113,9 @@ def learn(docs: DataFrame, may_learn: Column, size: int = PROFILE, text_col: str
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     part = F.pmod(F.xxhash64("gram"), F.lit(PARTS))
     best = F.row_number().over(Window.partitionBy("lang", part).orderBy(F.desc("n"), "gram"))
-    top = counts.withColumn("r", best).where(F.col("r") <= size).select("lang", "gram", "n").toArrow()  # PARTS * size rows a language
+    near = counts.withColumn("r", best).where(F.col("r") <= size).drop("r")
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = near.withColumn("r", best).where(F.col("r") <= size).select("lang", "gram", "n").toArrow()  # size rows a language
     out = {}
     langs = np.array(top.column("lang").to_pylist(), dtype=object)
     keys, n = top.column("gram").to_numpy().view(np.uint64), top.column("n").to_numpy()
@@ -119,38 +124,56 @@ def learn(docs: DataFrame, may_learn: Column, size: int = PROFILE, text_col: str
     return out
 
 
-def distances(profile: np.ndarray, known: dict[str, tuple[np.ndarray, np.ndarray]], size: int = PROFILE) -> list[float]:
-    """Of a document's ranked n-grams to each language, from 0 to 1."""
-    place = np.arange(len(profile))
-    out = []
-    for keys, ranks in known.values():
-        at = np.minimum(np.searchsorted(keys, profile), len(keys) - 1)
-        apart = np.where(keys[at] == profile, np.minimum(np.abs(ranks[at] - place), size), size)
-        out.append(float(apart.sum()) / (size * len(profile)))
-    return out
-
-
-def classify(text: str | None, known: dict[str, tuple[np.ndarray, np.ndarray]], size: int = PROFILE) -> tuple[str, float]:
-    x = _spaced(text) if text and known else None
+class Profiles:
+    """Languages by name, with one list for all: each n-gram (sorted) with the languages that rank it."""
+
+    def __init__(self, profiles: dict[str, np.ndarray], size: int = PROFILE) -> None:
+        self.names, self.size = sorted(profiles), size
+        grams = np.concatenate([np.empty(0, np.uint64), *(profiles[x] for x in self.names)])
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.starts = np.unique(grams[order], return_index=True)
+        self.starts = np.r_[self.starts, len(grams)]
+        sizes = [len(profiles[x]) for x in self.names]
+        self.lang = np.repeat(np.arange(len(sizes)), sizes)[order].astype(np.int32)
+        self.rank = np.concatenate([np.empty(0, np.int64), *(np.arange(n) for n in sizes)])[order].astype(np.int32)
+
+    def distances(self, profile: np.ndarray) -> np.ndarray:
+        """Of a document's ranked n-grams to each language, from 0 to 1."""
+        at = np.minimum(np.searchsorted(self.grams, profile), max(0, len(self.grams) - 1))
+        place = np.flatnonzero(self.grams[at] == profile) if len(self.grams) else np.empty(0, np.int64)
+        first, n = self.starts[at[place]], self.starts[at[place] + 1] - self.starts[at[place]]
+        each = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]] if len(n) else first, n) + np.arange(n.sum())
+        nearer = self.size - np.minimum(np.abs(self.rank[each] - np.repeat(place, n)), self.size)
+        return 1 - np.bincount(self.lang[each], nearer, len(self.names)) / (self.size * len(profile))
+
+    def nearest(self, profile: np.ndarray) -> tuple[str, float, float]:
+        """The nearest language, the first by name of several, its distance and that of the next one (1 if there is none)."""
+        far = self.distances(profile)
+        best = int(np.argmin(far))
+        rest = np.delete(far, best)
+        return self.names[best], float(far[best]), float(rest.min()) if rest.size else 1.0
+
+
+def classify(text: str | None, parts: list[Profiles], size: int = PROFILE) -> tuple[str, float]:
+    """Language and score; parts hold the languages in the order of their names."""
+    x = _spaced(text) if text and parts else None
     if x is None:
         return UNKNOWN, 0.0
-    far = distances(ranked(*ngrams(x), size), known, size)
-    order = sorted(range(len(far)), key=lambda i: (far[i], i))
-    first, second = far[order[0]], far[order[1]] if len(order) > 1 else 1.0
-    return list(known)[order[0]], second / (first + second) if first + second else 1.0
+    profile = ranked(*ngrams(x), size)
+    found = [p.nearest(profile) for p in parts]
+    name, first, _ = min(found, key=lambda f: f[1])
+    second = min([f[2] for f in found if f[0] == name] + [f[1] for f in found if f[0] != name])
+    return name, second / (first + second) if first + second else 1.0
 
 
-def as_known(profiles: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    out = {}
-    for lang, p in profiles.items():
-        order = np.argsort(p)
-        out[lang] = (p[order], order)
-    return out
+def as_known(profiles: dict[str, np.ndarray], size: int = PROFILE) -> list[Profiles]:
+    names = sorted(profiles)
+    return [Profiles({x: profiles[x] for x in names[i : i + LANGUAGES]}, size) for i in range(0, len(names), LANGUAGES)]
 
 
-def _predict(known: dict, size: int, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _predict(known_of, size: int, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in nonempty(batches):
-        got = [classify(t, known, size) for t in b.column(2).to_pylist()]
+        got = [classify(t, known_of.value, size) for t in b.column(2).to_pylist()]
         yield batch(schema, b.column(0), b.column(1), [x for x, _ in got], [s for _, s in got])
 
 
@@ -161,9 +184,10 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], held_out: Column
     """doc_id, held_out, lang_pred, score (from 0.5 if the two nearest languages are as far, up to 1) for each row of docs.
 
     A text that is null or has no letter, and any text if no language was learned, gives `und` and 0. Ties go to the
-    language that comes first by name. Repeated rows give repeated rows; extra columns play no part; an empty table gives
+    language that comes first by name. A very long text is counted piece by piece. Repeated rows give repeated rows; extra columns play no part; an empty table gives
     an empty one.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_predict, as_known(profiles), size, _PREDICTED), "doc_id long, held_out boolean, lang_pred string, score double")
+    known = docs.sparkSession.sparkContext.broadcast(as_known(profiles, size))  # 12 bytes for each of PROFILE n-grams a language
+    return rows.mapInArrow(partial(_predict, known, size, _PREDICTED), "doc_id long, held_out boolean, lang_pred string, score double")
