@@ -6,9 +6,10 @@ whose bounds together stay below the lowest score that still counts are not esse
 compete. The essential lists are traversed, the other terms are probed while a vector's partial score and the bounds that
 are left reach that lowest score, and the shards' best are merged.
 
-Queries are dealt into blocks of about QUERY_BLOCK, one after another sent to all shards; a block's size is bounded, the
-number of blocks grows with the queries. Where there are several, each block's best are written before the next begins,
-so that the driver holds the queries of one block at a time.
+A task holds one shard after another and hands the best found so far on, so that later shards have a score to beat from
+the start, and a task gives k rows a query however many shards it had. Queries are dealt into blocks of about QUERY_BYTES,
+each sent to all tasks by a scan of its own, so the driver and tasks hold the queries of one block at a time. Where there
+are several, each block's best are written before the next begins.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ from pyspark.sql.window import Window
 
 from linkloom.llm.common import batch, nonempty, written
 
-QUERY_BLOCK = 8192
+#: Size of a block of queries.
+QUERY_BYTES = 32 << 20
 #: Vectors that one shard holds at most; a task may hold several shards, one after another.
 SHARD = 8192
+#: Queries whose best leave a task in one batch.
+QUERIES_OUT = 4096
 #: Terms whose contributions are added between two prunings.
 STEP = 8
 
@@ -70,8 +74,9 @@ class Shard:
             self.lists[key] = (self.columns[term] > 0) if positive else (self.columns[term] < 0)
         return self.lists[key]
 
-    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but the query's own: highest score first, then smaller id."""
+    def top(self, query_id: int, q: np.ndarray, k: int, beat: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows but the query's own: highest score first, then smaller id. Those below the
+        score to beat may be left out."""
         n = len(self.ids)
         width = min(len(q), len(self.columns))
         if int(np.abs(q).max(initial=0)) * self.most * max(1, width) >= 1 << 63:
@@ -82,6 +87,8 @@ class Shard:
         terms, bounds = terms[order], bounds[order]
         rest = np.r_[np.cumsum(bounds[::-1])[::-1], 0]  # bounds of the terms from here on
         own = (self.ids == query_id) if self.ids[0] <= query_id <= self.ids[-1] else np.zeros(n, bool)
+        if beat is not None and rest[0] < beat:
+            return self.ids[:0], np.zeros(0, np.int64)
         if n - int(own.sum()) <= k or not terms.size:
             return self._best(np.flatnonzero(~own), q[:width], width, k)
         # some rows that are high in the first terms set the score to beat
@@ -90,6 +97,7 @@ class Shard:
         guess[own] = np.iinfo(np.int64).min
         seeds = np.argpartition(guess, n - k)[n - k :]
         lowest = int((self.x[seeds][:, :width] @ q[:width]).min())
+        lowest = lowest if beat is None else max(lowest, beat)
         # essential: the terms before the first at which all that follow stay below the lowest score
         essential = int(np.argmax(rest < lowest)) if (rest < lowest).any() else len(terms)
         if essential < len(terms) or lowest > 0:
@@ -119,29 +127,38 @@ class Shard:
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def _search(ids: np.ndarray, queries: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(queries_of, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, queries = queries_of.value
+    best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids)
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def run():
-        width = max(x.shape[1] for _, x in held)
+        width = max(1, *(x.shape[1] for _, x in held))
         shard = Shard(np.concatenate([i for i, _ in held]), np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for _, x in held]))
-        if not width:
-            shard = Shard(shard.ids, np.zeros((len(shard.ids), 1), np.int64))
-        found = [(i, *shard.top(int(i), q, k)) for i, q in zip(ids, queries, strict=True)]
-        return batch(_FOUND, np.repeat([i for i, _, _ in found], [len(v) for _, v, _ in found]), np.concatenate([v for _, v, _ in found]), np.concatenate([s for _, _, s in found]))
+        for at, (i, q) in enumerate(zip(ids, queries, strict=True)):
+            had, scores = best[at]
+            more, found = shard.top(int(i), q, k, int(scores[-1]) if len(had) >= k else None)
+            if len(more):
+                v, s = np.r_[had, more], np.r_[scores, found]
+                order = np.lexsort((v, -s))[:k]
+                best[at] = v[order], s[order]
 
     for b in nonempty(batches):
         held.append((b.column(0).to_numpy(), matrix(b.column(1))))
         if sum(len(i) for i, _ in held) >= SHARD:
-            yield run()
+            run()
             held = []
     if held:
-        yield run()
+        run()
+    for at in range(0, len(ids), QUERIES_OUT):
+        part = best[at : at + QUERIES_OUT]
+        yield batch(_FOUND, np.repeat(ids[at : at + QUERIES_OUT], [len(v) for v, _ in part]), np.concatenate([v for v, _ in part]), np.concatenate([s for _, s in part]))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_block: int | None = None) -> DataFrame:
     """vectors: vec_id and v, as from integer_vectors. For each query its k best candidates, every row but those of its own
-    id: query_id, rank (from 1), vec_id, score. Equal scores go to the smaller vec_id.
+    id: query_id, rank (from 1), vec_id, score. Equal scores go to the smaller vec_id. query_block: queries sent to all tasks
+    at once; None: as many as QUERY_BYTES hold.
 
     Vectors of different lengths meet as if filled with zeros. Rows that repeat an id each count as candidates; as a
     query, rows that repeat id and vector count once, and with other vectors they compete for one list. Scores that do
@@ -149,17 +166,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_block: int =
     """
     spark = vectors.sparkSession
     queries = vectors.where(is_query)
-    blocks = max(1, math.ceil(queries.count() / query_block))
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    blocks = max(1, math.ceil(size["n"] / (query_block or max(1, QUERY_BYTES // (8 * max(1, size["width"] or 0))))))
     block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = lambda found: found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     parts = None
     for i in range(blocks):
-        own = queries.where(block == i).distinct().toArrow()  # about query_block rows
+        own = queries.where(block == i).distinct().toArrow()  # about one block
         if not own.num_rows:
             continue
         column = own.column("v").combine_chunks()
-        found = vectors.mapInArrow(partial(_search, own.column("vec_id").to_numpy(), matrix(column, 1), k), "query_id long, vec_id long, score long")
+        sent = spark.sparkContext.broadcast((own.column("vec_id").to_numpy(), matrix(column, 1)))
+        found = vectors.mapInArrow(partial(_search, sent, k), "query_id long, vec_id long, score long")
         if blocks > 1:
             found, _ = written(best(found).drop("rank"), "block")
         parts = found if parts is None else parts.union(found)
