@@ -5,7 +5,8 @@ of (sum of v_i x_i) squared less the sum of (v_i x_i) squared, so a document cos
 are hashed to 2**BITS features, with the logarithm of their counts, scaled to length one; statistics and metadata (the
 text's length) are cut into bins, one feature for each bin, so that they interact with words and with one another.
 
-The machine is fitted by AdaGrad on the driver, on about PER_CLASS labelled documents of either class, chosen by hash.
+The machine is fitted by AdaGrad on the driver, on about PER_CLASS labelled documents of either class, chosen by hash; on
+fewer, chosen likewise, if these have more than FIT_FEATURES features in all.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import WordIds, batch, labelled_sample, nonempty, small_batches, texts, utf8
+from linkloom.llm.common import WordIds, batch, labelled_sample, nonempty, share, small_batches, texts, utf8, written
 
 BITS, FACTORS = 16, 8
 PER_CLASS = 4_000
+#: Features of the documents that the machine is fitted on, about (8 bytes each).
+FIT_FEATURES = 8_000_000
 EPOCHS, BATCH, RATE, RIDGE = 6, 128, 0.08, 1e-5
 THRESHOLD = 0.3
 BINS = 16
@@ -67,9 +70,13 @@ class Machine:
     w: np.ndarray
     v: np.ndarray
 
-    def raw(self, at: np.ndarray, x: np.ndarray) -> float:
-        vx = self.v[at] * x[:, None]
-        return float(self.bias + self.w[at] @ x + 0.5 * ((vx.sum(axis=0) ** 2) - (vx * vx).sum(axis=0)).sum())
+    def raw(self, at: list[np.ndarray], x: list[np.ndarray]) -> np.ndarray:
+        """Of several documents, each with at least one feature, in time linear in their features."""
+        start = np.cumsum([0, *map(len, at[:-1])])
+        i, z = np.concatenate(at), np.concatenate(x)
+        vx = self.v[i] * z[:, None]
+        pairs = np.add.reduceat(vx, start) ** 2 - np.add.reduceat(vx * vx, start)
+        return self.bias + np.add.reduceat(self.w[i] * z, start) + 0.5 * pairs.sum(axis=1)
 
 
 def _ids() -> WordIds:
@@ -90,7 +97,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(machine_of, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, machine = _ids(), machine_of.value
     for b in nonempty(batches):
-        yield batch(_SCORES, b.column(0), b.column(1), [machine.raw(*features(t, ids)) for t in utf8(b.column(2))])
+        yield batch(_SCORES, b.column(0), b.column(1), machine.raw(*map(list, zip(*(features(t, ids) for t in utf8(b.column(2))), strict=True))))
 
 
 def fit(y: np.ndarray, at: list[np.ndarray], x: list[np.ndarray], weight: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Machine:
@@ -128,7 +135,9 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int
     small_batches(docs.sparkSession)
     sample, rates = labelled_sample(labels, "quality", may_learn, per_class)
     rows = texts(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # about 2 * per_class rows of 12 bytes
-    got = rows.select("y", "text").mapInArrow(_extract, "y int, at array<int>, x array<float>").toArrow()
+    made, _ = written(rows.select("y", "text").mapInArrow(_extract, "y int, at array<int>, x array<float>"), "features")
+    size = made.agg(F.sum(F.size("at")).alias("n")).first()["n"] or 0
+    got = (made if size <= FIT_FEATURES else made.where(share(F.xxhash64("at")) < FIT_FEATURES / size)).toArrow()
     y = got.column("y").to_numpy().astype(float)
     if not len(y):
         return Machine(0.0, np.zeros(SIZE, np.float32), np.zeros((SIZE, FACTORS), np.float32))
@@ -142,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int
 def score(docs: DataFrame, machine: Machine, held_out: Column | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from the threshold on) for each row of docs.
 
-    A null or empty text is scored by its statistics alone. Repeated rows give repeated rows; labels for ids that are
+    A null or empty text is scored by its statistics alone; a very long one whole. Repeated rows give repeated rows; labels for ids that are
     missing are ignored. Extra columns of docs play no part. An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
