@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.llm import exact_dedup, mixing, packing, simhash, toxicity
-from linkloom.llm.common import fold, written
+from linkloom.llm.common import fold, fresh, small_batches, written
 
 #: Near copies: five-word shingles, at a Jaccard similarity of SIMILAR or more. At 0.8 the cosine of the
 #: shingle sets is 0.89 and 9.7 of 64 bits are expected to differ, with a deviation of 2.9; 28 bits are over six deviations
@@ -15,54 +15,68 @@ from linkloom.llm.common import fold, written
 SHINGLE, RADIUS, SKETCH, SIMILAR = 5, 28, 8, 0.8
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """docs with _row_key, of doc_id and text: what decisions go by, since ids may be null or shared."""
-    return docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of doc_id and text, and its name: what decisions go by, since ids may be null or shared."""
+    name = fresh(docs, "_row_key")
+    return docs.withColumn(name, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")), name
 
 
-def _one_each(rows: DataFrame, *key: str) -> DataFrame:
-    """Of rows that share the key one stays, by a hash of the whole row."""
+def _one_each(rows: DataFrame, helper: str, *key: str) -> DataFrame:
+    """Of rows that share the key one stays, by a hash of the whole row; without the helper column."""
+    nth = fresh(rows, "_nth")
     order = Window.partitionBy(*key).orderBy(mixing.row_hash(rows))
-    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", *(k for k in key if k.startswith("_")))
+    return rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth, helper)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the model predicts to be toxic go, whatever rows share their id or have none, too. Learned from labels
-    of the same fold as in the operator's query. Repeated rows stay repeated."""
+    of the same fold as in the operator's query. Repeated rows stay repeated. A null or empty text has no evidence and
+    stays; very long texts are scored whole; extra columns of any names are kept; an empty table gives an empty one."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id"), 3) != 1)
-    rows = _marked(docs)
-    toxic = toxicity.score(rows, model, id_col="_row_key").where("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return rows.join(toxic.hint("shuffle_hash"), F.col("_row_key") == F.col("_toxic"), "left_anti").drop("_row_key")
+    rows, key = _marked(docs)
+    gone = fresh(rows, "_toxic")
+    toxic = toxicity.score(rows, model, id_col=key).where("predicted = 1").select(F.col("doc_id").alias(gone)).distinct()
+    return rows.join(toxic.hint("shuffle_hash"), F.col(key) == F.col(gone), "left_anti").drop(key)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (but for the case of A-Z; null is empty) one row stays: that with the largest doc_id, a null one only if
-    there is no other; of several with that id, one by a hash of the row."""
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
-    rows = docs.withColumn("_digest", exact_dedup.sha256(exact_dedup.normalised(F.col("text"))))
-    rows = rows.join(kept.hint("shuffle_hash"), F.expr("_digest = _kept_digest AND doc_id <=> _kept_id"), "left_semi")
-    return _one_each(rows, "doc_id", "_digest")
+    there is no other; of several with that id, one by a hash of the row. Very long texts are compared whole; extra columns
+    of any names are kept; an empty table gives an empty one."""
+    small_batches(spark)
+    name = fresh(docs, "_digest")
+    rows = docs.withColumn(name, exact_dedup.digest_of(F.col("text")))
+    of_id, of_text = fresh(rows, "_kept_id"), fresh(rows, "_kept_digest")
+    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias(of_id), F.col("digest").alias(of_text)).distinct()
+    rows = rows.join(kept.hint("shuffle_hash"), (F.col(name) == F.col(of_text)) & F.col("doc_id").eqNullSafe(F.col(of_id)), "left_semi")
+    return _one_each(rows, name, "doc_id", name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links join one row stays: that with the smallest doc_id, a null one only if there is no other; of
-    several with that id, one by a hash. Rows that share an id but not the text are documents of their own."""
-    rows = _marked(docs)
-    found = simhash.near_duplicates(rows, shingle=SHINGLE, radius=RADIUS, sketch=SKETCH, id_col="_row_key", similar=SIMILAR)
-    found = found.select(F.col("doc_id").alias("_row_key"), "component_id").distinct()
-    ids = rows.select("_row_key", "doc_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row_key")))
-    kept = found.join(ids, "_row_key").groupBy("component_id").agg(first.alias("first")).select(F.col("first._row_key").alias("_kept"))
-    return _one_each(rows.join(kept.hint("shuffle_hash"), F.col("_row_key") == F.col("_kept"), "left_semi"), "_row_key")
+    several with that id, one by a hash. Rows that share an id but not the text are documents of their own. Texts without
+    a word are one group; very long texts are compared whole; extra columns of any names are kept; an empty table gives an
+    empty one."""
+    rows, key = _marked(docs)
+    found = simhash.near_duplicates(rows, shingle=SHINGLE, radius=RADIUS, sketch=SKETCH, id_col=key, similar=SIMILAR)
+    found = found.select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    ids = rows.select(F.col(key).alias("row_key"), "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key")))
+    of = fresh(rows, "_kept")
+    kept = found.join(ids, "row_key").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row_key").alias(of))
+    return _one_each(rows.join(kept.hint("shuffle_hash"), F.col(key) == F.col(of), "left_semi"), key, key)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: sources weigh their documents to the power mixing.POWER."""
+    """All documents, in the order of the mix: sources weigh their documents to the power mixing.POWER. Null and empty sources
+    are sources; repeated rows, null ids, texts of any length and extra columns are kept; an empty table gives an empty one."""
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """In the order of the mix, which follows from the rows alone and is found again here: rows lose theirs when read."""
+    """One row for each piece of a document, in the order of the mix, which follows from the rows alone and is found again
+    here: rows lose theirs when read. A null or empty text is one token long, a very long one fills several sequences;
+    repeated rows and null ids are packed like others; extra columns play no part; an empty table gives an empty one."""
     mixed = mixing.scheduled(docs, carry=F.struct("doc_id", packing.tokens(F.col("text")).alias("n")))
     return packing.pack_in_order(mixed.select("row.*", "position"))
 
