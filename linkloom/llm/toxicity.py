@@ -152,8 +152,8 @@ def _measure(model_of, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         w = np.concatenate(got)
         at = np.minimum(np.searchsorted(word, w), max(0, len(word) - 1))
         known = word[at] == w if len(word) else np.zeros(len(w), bool)
-        d = np.where(known, difference[at], 0.0 if listed else unknown) if len(word) else np.full(len(w), 0.0 if listed else unknown)
-        s = np.where(known, strength[at], 0.0) if len(word) else np.zeros(len(w))
+        d = np.where(known, difference[at].astype(float), 0.0 if listed else unknown) if len(word) else np.full(len(w), 0.0 if listed else unknown)
+        s = np.where(known, strength[at].astype(float), 0.0) if len(word) else np.zeros(len(w))
         sums = [np.diff(np.r_[0.0, np.r_[0.0, np.cumsum(x)][ends]]) for x in (d, np.maximum(s - TAIL, 0), np.maximum(-s - TAIL, 0))]
         keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) if listed else b"" for t in texts_of]
         others = [x[~known[e - len(x) : e]] if listed else x[:0] for x, e in zip(got, ends, strict=True)]
