@@ -15,7 +15,7 @@ deviation of 0.025 at most); links within MARGIN of `similar` are then checked o
 Groups under one key are never expanded into pairs: from each group a spanning forest of sure links leaves, and those
 doubtful ones that would join trees of it, of nodes up to REACH apart in the group. Groups over BLOCK nodes are dealt out
 as pairs of chunks. Groups with doubtful links further apart are searched again, in rounds, until no unchecked doubtful
-link is left between two components; each round reaches three times as far as the one before.
+link is left between two components; each round reaches FURTHER times as far as the one before.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ MARGIN = 0.08
 BROADCAST_IDS = 1_000_000
 #: How far apart in a group the first search looks for doubtful links.
 REACH = 64
+#: How many times as far each round looks as the one before.
+FURTHER = 8
 #: Copies of the rows that tell a component's least id, so that no task has all rows of a large component.
 SALTS = 16
 #: Bits that a chain must have to be a key.
@@ -340,17 +342,17 @@ def joined(keyed: DataFrame, radius: int, similar: float, prints: DataFrame, row
     sure = F.col("estimate") >= similar + MARGIN
     seen = pairs(found).where(~sure).select("a", "b")
     edges = found.where(sure).select("a", "b").union(checked(seen, prints, rows, shingle, similar, tables))
-    reach = REACH
-    while True:
-        of = components(edges, tables)
-        if not keys(found).limit(1).count():
-            return of
+    of, reach = components(edges, tables), REACH
+    while keys(found).limit(1).count():
         root = of.withColumnRenamed("node", "_node")
         again = keyed.join(keys(found), "key", "left_semi").join(root, F.col("node") == F.col("_node"), "left")
-        found = tables.write(links(again.select("key", "node", "fp", "bins", F.coalesce("root", "node").alias("root")), radius, similar, (reach, 3 * reach)), "further")
+        found = tables.write(links(again.select("key", "node", "fp", "bins", F.coalesce("root", "node").alias("root")), radius, similar, (reach, FURTHER * reach)), "further")
         new = tables.write(pairs(found).select("a", "b").join(seen, ["a", "b"], "left_anti"), "new")
-        edges = of.select(F.col("node").alias("a"), F.col("root").alias("b")).union(checked(new, prints, rows, shingle, similar, tables))
-        seen, reach = seen.union(new), 3 * reach
+        if new.limit(1).count():
+            edges = of.select(F.col("node").alias("a"), F.col("root").alias("b")).union(checked(new, prints, rows, shingle, similar, tables))
+            of = components(edges, tables)
+        seen, reach = seen.union(new), FURTHER * reach
+    return of
 
 
 def classes(prints: DataFrame, radius: int = 2, rows: DataFrame | None = None, shingle: int = 3, similar: float = SIMILAR, tables: Scratch | None = None) -> DataFrame:

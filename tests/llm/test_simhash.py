@@ -222,7 +222,8 @@ def test_stage_against_all_pairs_of_any_distance(spark, docs):
 
 def test_no_true_link_is_lost_near_the_least_similarity(spark, monkeypatch):
     """Families of texts with similarities around 0.8: the groups are those of all pairs."""
-    monkeypatch.setattr(simhash, "REACH", 4)  # several rounds
+    monkeypatch.setattr(simhash, "REACH", 1)  # several rounds
+    monkeypatch.setattr(simhash, "FURTHER", 3)
     rng = random.Random(17)
     texts = []
     for family in range(6):
