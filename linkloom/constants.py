@@ -15,10 +15,16 @@ FALLBACK_EXTENSIONS = (".tar.gz", ".tar.bz2", ".tar.xz", ".tar", ".zip", ".rar",
 CANDIDATE_EXTENSIONS = ("tar.gz", "tar.bz2", "tar", "tgz", "zip", "rar", "gz", "bz2")
 
 # Region codes.
-REGIONS = "ar at au be br ch cl co cz de dk es fi fr gr hk hu id in it jp kr mx my nl no nz ph pl pt ro se sg th tw uk us vn".split()
-PROBE_REGIONS = "us de fr in br jp".split()
-SISTER_REGIONS = "en ca fr-ca mx ar br cl co pe ec cac au in my vn kz kr th bd hk id ph jp sg de es uk ua pt fr ro nordic bg cz it pl tr baltic hu gr eg pk za ae saudi ma".split()
-SISTER_SAMPLE = "en de jp br".split()
+REGIONS = (
+    "ar", "at", "au", "be", "br", "ch", "cl", "co", "cz", "de", "dk", "es", "fi", "fr", "gr", "hk", "hu", "id", "in", "it", "jp", "kr", "mx", "my",
+    "nl", "no", "nz", "ph", "pl", "pt", "ro", "se", "sg", "th", "tw", "uk", "us", "vn",
+)
+PROBE_REGIONS = ("us", "de", "fr", "in", "br", "jp")
+SISTER_REGIONS = (
+    "en", "ca", "fr-ca", "mx", "ar", "br", "cl", "co", "pe", "ec", "cac", "au", "in", "my", "vn", "kz", "kr", "th", "bd", "hk", "id", "ph", "jp", "sg",
+    "de", "es", "uk", "ua", "pt", "fr", "ro", "nordic", "bg", "cz", "it", "pl", "tr", "baltic", "hu", "gr", "eg", "pk", "za", "ae", "saudi", "ma",
+)
+SISTER_SAMPLE = ("en", "de", "jp", "br")
 
 # Extraction patterns.
 HREF = r"""href\s*=\s*["']\s*(https://static\.tp-link\.com/[^"']+)["']"""
@@ -35,7 +41,11 @@ TOKEN_EXTENSION = r"(?i)\.(bin|zip|gz|rollback|scv|ico|exe|deb|rar|img|tar|bz2|c
 TOKEN_ARCHIVE = r"(?i)\.(tar\.gz|tar\.bz2|tar\.xz|tgz|tar|zip|rar|gz|bz2|xz|7z)$"
 TOKEN_MARKERS = r"(?i)[._-]*(?:gpl|code|source|src|new)[._-]*"
 BRANDS = "Tapo|Archer|Deco|Vigi|Festa|Aginet|Kasa|Omada|Neffos|Mercusys"
-REGION_TAGS = "US EU UN JP CN RU BR AU KR TH IN EG KZ UK CA MX TR VN ID MY SG PH AE SA IL UA KG UZ RO PL CZ HU GR PT ES IT FR DE NL BE CH AT DK FI NO SE HK TW EN ROW WW LA".split()
+REGION_TAGS = (
+    "US", "EU", "UN", "JP", "CN", "RU", "BR", "AU", "KR", "TH", "IN", "EG", "KZ", "UK", "CA", "MX", "TR", "VN", "ID", "MY", "SG", "PH", "AE", "SA",
+    "IL", "UA", "KG", "UZ", "RO", "PL", "CZ", "HU", "GR", "PT", "ES", "IT", "FR", "DE", "NL", "BE", "CH", "AT", "DK", "FI", "NO", "SE", "HK", "TW",
+    "EN", "ROW", "WW", "LA",
+)
 _TAGS = "|".join(sorted(REGION_TAGS, key=lambda t: (-len(t), t)))
 TOKEN_VERSION = rf"(?:(?<=\d)v\d|[ _-]v\d|[ _-]V\d|[ _-]\d+\.\d|[ _-]?\d{{6,}}|[ _-](?:{_TAGS})\b|\bBuild\b|[ _-]up[ _-]|[ _-]rel|[ _-]signed|\d{{4}}-\d\d-\d\d)"
 TOKEN_TAIL = rf"(?i)(?: (?:{_TAGS}|v?\d+(?:\.\d+)*[a-z]?))+$"
@@ -63,6 +73,23 @@ CDX_PREFIXES = ("static.tp-link.com/resources/gpl/*", "static.tp-link.com/upload
 CRAWL_PREFIXES = ("static.tp-link.com/*", "static.mercusys.com/gpl/*")
 CODE_QUERIES = ("static.tp-link.com/upload/gpl-code in:file", "static.tp-link.com/resources/gpl in:file", "static.mercusys.com/gpl in:file")
 CODE_ENDPOINTS = ("/search/code", "/search/issues")
+CDX_ENDPOINT = "https://web.archive.org/cdx/search/cdx"
+CRAWL_LISTING = "https://index.commoncrawl.org/collinfo.json"
+CODE_HOST = "https://api.github.com"
+ORGANISATION = "TP-LINK"
+ORGANISATION_QUERY = "static.tp-link.com/upload/gpl-code user:TP-LINK in:file"
+LISTING_HOST = "https://www.reddit.com"
+LISTING_QUERIES = ("static.tp-link.com gpl", "static.tp-link.com")
+DISCOURSE_SEARCH = "https://forum.openwrt.org/search.json"
+WEB_SEARCH = "https://www.google.com/search"
+SISTER_SITE = "https://www.mercusys.com"
+
+# Names of sources, which are names of their files, and what the summary calls them.
+SOURCE_LABELS = {
+    "regional_crawl": "Regional crawl URLs", "wayback_cdx": "Wayback CDX URLs", "common_crawl": "Common Crawl URLs", "github_search": "GitHub search URLs",
+    "tplink_github": "TP-Link GitHub URLs", "mercusys_regional": "Mercusys URLs", "reddit": "Reddit URLs", "forums": "Forum URLs", "google": "Google URLs", "model_sweep": "Model-sweep URLs",
+}
+HIT_FILES = {"dates": "bruteforce_dates.txt", "models": "bruteforce_models.txt"}
 SUBREDDITS = ("openwrt", "tplink", "homelab", "netsec")
 DORK_DOMAINS = ("forum.dd-wrt.com", "snbforums.com", "linksysinfo.org")
 BLOCKED = (401, 403, 429, 451)

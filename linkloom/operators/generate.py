@@ -48,25 +48,73 @@ def known_date_dirs(lines: DataFrame) -> DataFrame:
     return lines.select(segment.alias("s")).where("s <> ''").distinct().select(F.concat(F.lit(C.DATE_ROOT), "s").alias("date_path"))
 
 
+def first_few(frame: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows; a side of a capped product needs no more of them than the cap."""
+    return frame.orderBy(*order).limit(n)
+
+
+def capped_dates(basenames: DataFrame, paths: DataFrame, cap: int) -> DataFrame:
+    """The first cap rows of date_candidates() by day, form, name and variant, from as many paths and names as they need."""
+    each = len(C.REUPLOADS) + 1
+    few = first_few(basenames.select("basename").distinct(), -(-cap // each) or 1, "basename")
+    names = few.count()
+    if not names or not cap:
+        return basenames.select(F.lit("").alias("url")).limit(0)
+    few = few.select("basename", F.posexplode(F.array(F.lit(""), *map(F.lit, C.REUPLOADS))).alias("variant", "v"))
+    few = few.select("basename", "variant", F.when(F.col("v") == "", F.col("basename")).otherwise(insert_variant(F.col("basename"), F.col("v"))).alias("name"))
+    near = first_few(paths, -(-cap // (names * each)), "day", "form")
+    made = near.crossJoin(F.broadcast(few)).orderBy("day", "form", "basename", "variant").limit(cap)  # at most twice the cap is made
+    return made.select(F.concat(F.lit(f"https://{C.ARCHIVE_HOST}"), "date_path", "name").alias("url"))
+
+
+def capped_models(models: DataFrame, patterns: DataFrame, paths: DataFrame | None, cap: int) -> DataFrame:
+    """The first cap rows of model_candidates() by model, pattern, suffix and path, from as many models as they need."""
+    folders = models.sparkSession.createDataFrame([(C.FLAT_ROOT,)], "date_path string") if paths is None else paths.select("date_path").distinct()
+    folders, forms = first_few(folders, cap or 1, "date_path"), first_few(patterns.select("pattern").distinct(), cap or 1, "pattern")
+    each = forms.count() * len(C.CANDIDATE_EXTENSIONS) * folders.count()
+    if not each or not cap:
+        return models.select(F.lit("").alias("url")).limit(0)
+    few = first_few(models.select("model").distinct(), -(-cap // each), "model")
+    names = few.crossJoin(F.broadcast(forms)).select("*", F.posexplode(F.array(*map(F.lit, C.CANDIDATE_EXTENSIONS))).alias("nth", "ext"))
+    if paths is not None:  # names come before paths, so the first names are enough
+        names = names.orderBy("model", "pattern", "nth").limit(-(-cap // max(1, folders.count())))
+    made = names.crossJoin(F.broadcast(folders)).orderBy("model", "pattern", "nth", "date_path").limit(cap)
+    return made.select(F.concat(F.lit(f"https://{C.ARCHIVE_HOST}"), "date_path", F.replace("pattern", F.lit("{model}"), F.col("model")), F.lit("."), "ext").alias("url"))
+
+
 def candidates(spark: SparkSession, strategy: str, basenames: DataFrame, models: DataFrame, patterns: DataFrame, known_dirs: DataFrame, tier: str = "default", start: str = C.FIRST_DAY, end: str | None = None, cap: int | None = None) -> DataFrame:
-    """strategy, url: dates first, then models, never crossed with one another; with a cap, the first ones in that order.
+    """strategy, url: dates first, then models, never crossed with one another; with a cap, the first ones in the order of
+    their generation (names, models, patterns and known folders in their own order), found by arithmetic on the sizes of
+    the sides: the product is not enumerated.
 
     Tier exhaustive puts models on every day's paths, thorough on known folders (or the flat folder if there are none).
     """
-    parts = []
-    if strategy in ("dates", "all"):
-        parts.append(date_candidates(basenames, date_paths(spark, start, end)).select(F.lit("dates").alias("strategy"), "url"))
-    if strategy in ("models", "all"):
-        paths = None
-        if tier == "exhaustive":
-            paths = date_paths(spark, start, end)
-        elif tier == "thorough" and known_dirs.limit(1).count():
-            paths = known_dirs
-        parts.append(model_candidates(models, patterns, paths).select(F.lit("models").alias("strategy"), "url"))
-    if not parts:
+    if strategy not in ("dates", "models", "all"):
         raise ValueError(f"no such strategy: {strategy}")
-    every = reduce(DataFrame.unionByName, parts)
-    return every if cap is None else every.orderBy("strategy", "url").limit(cap)
+    parts, days, paths = [], date_paths(spark, start, end), _model_paths(spark, known_dirs, tier, start, end)
+    if strategy != "models":
+        found = date_candidates(basenames, days) if cap is None else capped_dates(basenames, days, cap)
+        parts.append(found.select(F.lit("dates").alias("strategy"), "url"))
+    if strategy != "dates":
+        left = None if cap is None else cap - candidate_counts(spark, strategy, basenames, models, patterns, known_dirs, tier, start, end, cap)["dates"]
+        found = model_candidates(models, patterns, paths) if left is None else capped_models(models, patterns, paths, left)
+        parts.append(found.select(F.lit("models").alias("strategy"), "url"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _model_paths(spark: SparkSession, known_dirs: DataFrame, tier: str, start: str, end: str | None) -> DataFrame | None:
+    if tier == "exhaustive":
+        return date_paths(spark, start, end)
+    return known_dirs if tier == "thorough" and known_dirs.limit(1).count() else None
+
+
+def candidate_counts(spark: SparkSession, strategy: str, basenames: DataFrame, models: DataFrame, patterns: DataFrame, known_dirs: DataFrame, tier: str = "default", start: str = C.FIRST_DAY, end: str | None = None, cap: int | None = None) -> dict[str, int]:
+    """How many candidates() there are by strategy, from the sizes of the sides; names, models and patterns are distinct."""
+    dates = basenames.count() * (len(C.REUPLOADS) + 1) * date_paths(spark, start, end).count() if strategy != "models" else 0
+    paths = _model_paths(spark, known_dirs, tier, start, end)
+    made = models.count() * patterns.count() * len(C.CANDIDATE_EXTENSIONS) * (1 if paths is None else paths.count()) if strategy != "dates" else 0
+    dates = dates if cap is None else min(dates, cap)
+    return {"dates": dates, "models": made if cap is None else min(made, cap - dates)}
 
 
 def region_codes(spark: SparkSession) -> DataFrame:

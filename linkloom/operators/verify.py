@@ -23,12 +23,19 @@ def canonical_set(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(canonical(F.col(column)).alias("url")).where("url <> ''").distinct()
 
 
+def latest(responses: DataFrame) -> DataFrame:
+    """One response for each request_url: the latest by fetched_at (none: earliest), then by status; combined before the shuffle."""
+    others = [c for c in responses.columns if c != "request_url"]
+    at = F.struct(F.coalesce("fetched_at", F.timestamp_seconds(F.lit(0))), F.coalesce("status", F.lit(-1)))
+    return responses.groupBy("request_url").agg(F.max_by(F.struct(*others), at).alias("r")).select("request_url", "r.*")
+
+
 def classified(urls: DataFrame, responses: DataFrame) -> DataFrame:
     """urls: url; responses: request_url, status, error (timeout or other), headers, fetched_at. All URLs with their outcome.
 
-    A URL without a response is dead by network. Only 200 is live.
+    A URL without a response is dead by network; of several responses the latest counts. Only 200 is live.
     """
-    found = urls.join(responses, urls["url"] == responses["request_url"], "left")
+    found = urls.join(latest(responses).withColumnRenamed("request_url", "_asked"), F.col("url") == F.col("_asked"), "left")
     text = lambda name: F.coalesce(header(name), F.lit(""))
     live = F.coalesce(F.col("status") == 200, F.lit(False))
     error = F.when(live, F.lit(None).cast("string")).when(F.col("status").isNotNull(), "http").when(F.col("error") == "timeout", "timeout").otherwise("network")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +12,20 @@ from linkloom.functions.tokens import corpus_patterns, firmware_models
 from linkloom.functions.urls import canonical, is_archive
 from linkloom.operators import generate, verify
 from linkloom.plans import sinks
+from linkloom.session import stored
 from linkloom.sources import readers
+from linkloom.sources.scrape import Ask, Source
 
 
 @dataclass
 class VerifyRun:
-    """Read all lists, canonicalize, gate, look up, split, write, count."""
+    """Read all lists, canonicalize, gate, look up, split, write, count. tables: results are written as tables by all tasks,
+    in place of single files by the driver."""
 
     spark: SparkSession
     data_dir: str
     responses: DataFrame
+    tables: bool = False
 
     def outcomes(self) -> DataFrame:
         corpus = readers.read_corpus(self.spark, f"{self.data_dir}/scrapes").where(is_archive(F.col("url")))
@@ -29,7 +34,8 @@ class VerifyRun:
     def run(self) -> dict:
         found = self.outcomes().persist()
         try:
-            sinks.write_verify_outputs(verify.verified(found), verify.dead(found), self.data_dir)
+            write = sinks.write_verify_tables if self.tables else sinks.write_verify_outputs
+            write(verify.verified(found), verify.dead(found), self.data_dir)
             return verify.run_stats(found).first().asDict()
         finally:
             found.unpersist()
@@ -37,27 +43,33 @@ class VerifyRun:
 
 @dataclass
 class ScrapeRun:
-    """sources: name to a frame of source and raw url. A source that fails writes no file and does not stop the others."""
+    """sources: programs that ask() (or the one of their name) answers, or frames of raw urls by name. A source that fails writes no file and does not
+    stop the others."""
 
     spark: SparkSession
     data_dir: str
-    sources: dict[str, DataFrame]
+    sources: dict[str, DataFrame] | list[Source]
+    ask: Ask | dict[str, Ask] | None = None
     per_source_counts: dict[str, tuple[int, int]] = field(default_factory=dict)
     failed: dict[str, str] = field(default_factory=dict)
 
     def run(self) -> dict:
         folder = f"{self.data_dir}/scrapes/{sinks.run_id()}"
-        for name, frame in self.sources.items():
+        passes = {"regions_scraped": 0, "regions_failed": 0, "pass1_urls": 0, "pass2_urls": 0}
+        for source in self.sources:
+            name = source if isinstance(source, str) else source.name
             try:
+                frame = self.sources[name] if isinstance(source, str) else source.run(self.spark, self.ask[name] if isinstance(self.ask, dict) else self.ask)
                 rows = frame.select("url", canonical(F.col("url")).alias("canonical")).persist()
                 n = rows.agg(F.count_distinct("url").alias("raw"), F.count_distinct(F.when(F.col("canonical") != "", F.col("canonical"))).alias("unique")).first()
                 sinks.write_lines(rows.where("canonical <> ''").select(F.col("canonical").alias("url")).distinct(), f"{folder}/{name}.txt")
                 self.per_source_counts[name] = n["raw"], n["unique"]
+                passes |= getattr(source, "counts", {})
                 rows.unpersist()
             except Exception as e:  # noqa: BLE001  one source's failure is its own
                 self.failed[name] = str(e)
         raw, unique = (sum(c[i] for c in self.per_source_counts.values()) for i in (0, 1))
-        return {"raw_count": raw, "unique_count": unique, "run_dir": folder, "sources_failed": sorted(self.failed)}
+        return passes | {"raw_count": raw, "unique_count": unique, "run_dir": folder, "sources_failed": sorted(self.failed)}
 
 
 @dataclass
@@ -75,25 +87,36 @@ class BruteforceRun:
     dry_run: bool = False
     start: str | None = None
     end: str | None = None
+    ask: Ask | None = None
+    warnings: list[str] = field(default_factory=list)
+
+    def listed_models(self) -> DataFrame:
+        """Of the firmware listing; none, with a warning, if it is missing or malformed."""
+        none = self.spark.createDataFrame([], "model string")
+        if not self.listing:
+            return none
+        try:
+            return readers.firmware_listing(self.spark, self.listing).select(F.explode(firmware_models(F.col("key"))).alias("model")).distinct()
+        except (ValueError, AnalysisException) as e:
+            self.warnings.append(f"firmware listing not used: {e}")
+            return none
 
-    def candidates(self) -> DataFrame:
+    def candidates(self) -> tuple[DataFrame, int]:
+        """The candidates, and how many they are."""
         names, dirs = readers.known_corpus(self.spark, self.corpus)
-        models = self.spark.createDataFrame([], "model string")
-        if self.listing:
-            keys = readers.firmware_listing(self.spark, self.listing)
-            models = keys.select(F.explode(firmware_models(F.col("key"))).alias("model")).distinct()
         options = {k: v for k, v in (("start", self.start), ("end", self.end)) if v}
-        return generate.candidates(self.spark, self.strategy, names, models, corpus_patterns(names), dirs, self.tier, cap=self.max_candidates, **options)
+        sides = (self.spark, self.strategy, names, stored(self.listed_models(), "models"), corpus_patterns(names), dirs, self.tier)
+        return generate.candidates(*sides, cap=self.max_candidates, **options), sum(generate.candidate_counts(*sides, cap=self.max_candidates, **options).values())
 
     def run(self) -> dict:
-        every = self.candidates()
+        every, n = self.candidates()
         out = {"strategy": self.strategy, "tier": self.tier, "dry_run": self.dry_run, "hits_dates": 0, "hits_models": 0, "errors": 0}
-        if self.dry_run or self.responses is None:
-            return out | {"candidates_checked": 0, "candidates_enumerated": every.count(), "run_dir": None}
+        responses = self.responses if self.ask is None else self.ask(every.select(F.col("url").alias("request_url")).distinct())
+        if self.dry_run or responses is None:
+            return out | {"candidates_checked": 0, "candidates_enumerated": n, "run_dir": None}
         folder = f"{self.data_dir}/scrapes/{sinks.run_id()}"
-        hits = verify.existing(every, self.responses).select("strategy", canonical(F.col("url")).alias("url")).persist()
-        sinks.append_hits(hits, folder)
+        hits = stored(verify.existing(every, responses).select("strategy", canonical(F.col("url")).alias("url")), "hits")
+        out["errors"] = sinks.append_hits(hits, folder)
         for r in hits.groupBy("strategy").count().collect():
             out[f"hits_{r['strategy']}"] = r["count"]
-        hits.unpersist()
-        return out | {"candidates_checked": every.count(), "run_dir": folder}
+        return out | {"candidates_checked": n, "run_dir": folder}

@@ -11,6 +11,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom import constants as C
 from linkloom.functions.urls import manifest_line, object_url
 
 
@@ -58,6 +59,21 @@ def write_verify_outputs(verified: DataFrame, dead: DataFrame, folder: str) -> N
     write_lines(verified.select(manifest_line(F.col("url")).alias("line")), f"{folder}/s5cmd_download.txt", "line")
 
 
-def append_hits(hits: DataFrame, folder: str) -> None:
-    """hits: strategy, url. Appended by strategy."""
-    hits.write.mode("append").partitionBy("strategy").text(folder)
+def write_verify_tables(verified: DataFrame, dead: DataFrame, folder: str) -> None:
+    """The scalable form of the same: tables verified, dead and manifest, written by all tasks, sorted."""
+    write_table(verified, f"{folder}/verified", "url")
+    write_table(dead, f"{folder}/dead", "url")
+    write_table(verified.select(manifest_line(F.col("url")).alias("line")), f"{folder}/manifest", "line")
+
+
+def append_hits(hits: DataFrame, folder: str) -> int:
+    """hits: strategy, url. Appended to a file for each strategy, which is there even if nothing was hit; how many files could not be written."""
+    errors = 0
+    os.makedirs(folder, exist_ok=True)
+    for strategy, name in C.HIT_FILES.items():
+        try:
+            with open(f"{folder}/{name}", "a", encoding="utf-8") as f:
+                f.writelines(f"{r['url']}\n" for r in hits.where(F.col("strategy") == strategy).select("url").orderBy("url").toLocalIterator())
+        except OSError:
+            errors += 1
+    return errors

@@ -19,14 +19,17 @@ def probe_regions(regions: DataFrame, wanted=None) -> DataFrame:
     return known.select("region").union(first)
 
 
-def lookup(models: DataFrame, regions: DataFrame, responses: DataFrame) -> DataFrame:
-    """model, region, url found for each model in each region; names match whatever their case."""
+def lookup(models: DataFrame, regions: DataFrame, responses) -> DataFrame:
+    """model, region, url found for each model in each region; names match whatever their case. responses: a table of them,
+    or what answers requests (model, region)."""
     asked = models.select("model", F.lower("model").alias("k")).crossJoin(F.broadcast(regions.select("region")))
+    if callable(responses):
+        return responses(asked.drop("k")).where("status = 200").select("model", "region", F.explode(href_urls(F.col("body"))).alias("url"))
     pages = responses.where("status = 200").select(F.lower("model").alias("k"), "region", "body")
     return asked.join(pages, ["k", "region"]).select("model", "region", F.explode(href_urls(F.col("body"))).alias("url"))
 
 
-def sweep(seed: DataFrame, linked: DataFrame, regions: DataFrame, responses: DataFrame, probe=None, max_models: int | None = None) -> DataFrame:
+def sweep(seed: DataFrame, linked: DataFrame, regions: DataFrame, responses, probe=None, max_models: int | None = None) -> DataFrame:
     """model, region, url of all phases. Exactly one round of siblings is harvested."""
     models = seed.select("model").union(linked.select("model")).distinct()
     if max_models is not None:

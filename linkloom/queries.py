@@ -11,6 +11,9 @@ from linkloom import constants as C
 from linkloom.functions import tokens, urls
 from linkloom.operators import extract, generate, verify
 from linkloom.plans.sweep import sweep
+from linkloom.session import register_views, stored, stored_path
+from linkloom.sources import fetch, readers, scrape
+from linkloom.streaming import dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,11 +216,11 @@ def json_props(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-@query("""WITH l AS (SELECT user_id, count(DISTINCT 'https://h/' || event_id) AS urls FROM events WHERE event_type <> 'error' GROUP BY user_id) SELECT user_id, urls FROM l""")
+@query("SELECT user_id, 'https://h/' || event_id AS url FROM events WHERE event_type <> 'error'")
 def ndjson_extract(spark, sf_dir):
     line = F.when(F.col("event_type") == "error", '{"url": ').otherwise(F.concat(F.lit('{"url": "https://h/'), F.col("event_id").cast("string"), F.lit('", "status": "200"}')))
     body = read(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("event_id") / 100)).agg(F.array_join(F.collect_list(line), "\n").alias("body"))
-    return extract.explode_urls(body, extract.ndjson_urls(F.col("body")), "user_id").groupBy("user_id").agg(F.count_distinct("url").alias("urls"))
+    return extract.explode_urls(body, extract.ndjson_urls(F.col("body")), "user_id")
 
 
 @query("""SELECT n_nationkey AS page, CASE WHEN p_partkey % 2 = 0 THEN 'direct' ELSE 'pair' END AS kind,
@@ -231,12 +234,12 @@ def tree_classify(spark, sf_dir):
     return extract.region_page_rows(items.select(F.col("n_nationkey").alias("page"), html.alias("body")))
 
 
-@query("SELECT page, count(*) AS urls, max('key' || page) AS resume_key FROM (SELECT CAST(page_id // 50 AS BIGINT) AS page, url FROM pages) GROUP BY page")
+@query("SELECT CAST(page_id // 50 AS BIGINT) AS page, url || '#' || page_id AS url, 'key' || page_id // 50 AS resume_key FROM pages")
 def cdx_page_parse(spark, sf_dir):
     rows = read(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 50).alias("page")).agg(F.array_join(F.collect_list(F.concat(F.lit('["'), F.concat("url", F.lit("#"), F.col("page_id").cast("string")), F.lit('"]'))), "\n").alias("lines"))
     body = F.concat(F.lit('["original"]\nbad line\n'), "lines", F.lit('\n[]\n["key'), F.col("page").cast("string"), F.lit('"]\n["late"]'))
     parsed = rows.select("page", extract.cdx_rows(body).alias("r"))
-    return parsed.select("page", F.size("r.urls").cast("bigint").alias("urls"), "r.resume_key")
+    return parsed.select("page", F.explode("r.urls").alias("url"), "r.resume_key")
 
 
 @query("""WITH m AS (SELECT page_id, regexp_extract_all(replace(html, 'href="/', 'href="?model='), '<a href="\\?model=([^"]+)"', 1) AS m FROM pages)
@@ -261,13 +264,12 @@ def date_paths(spark, sf_dir):
     return generate.date_paths(spark, "2023-12-25", "2024-03-02")
 
 
-@query(r"""SELECT count(*) AS n, count(DISTINCT url) AS n_distinct, min(url) AS first, max(url) AS last FROM (SELECT 'https://static.tp-link.com' || p || regexp_replace(b, '\.zip$', v || '.zip') AS url
+@query(r"""SELECT url FROM (SELECT 'https://static.tp-link.com' || p || regexp_replace(b, '\.zip$', v || '.zip') AS url
     FROM (SELECT DISTINCT replace(p_name, ' ', '_') || '.zip' AS b FROM part), (SELECT unnest(['', '_2', '_3', '_v2', 'V2']) AS v),
-    (SELECT CASE form WHEN 0 THEN '/upload/gpl-code' ELSE '' END || strftime(d, '/%Y/%Y%m/%Y%m%d/') AS p FROM generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) s(d), (SELECT unnest([0, 1]) AS form)))""")
+    (SELECT CASE form WHEN 0 THEN '/upload/gpl-code' ELSE '' END || strftime(d, '/%Y/%Y%m/%Y%m%d/') AS p FROM generate_series(DATE '2024-02-28', DATE '2024-02-29', INTERVAL 1 DAY) s(d), (SELECT unnest([0, 1]) AS form)))""")
 def date_candidates(spark, sf_dir):
     names = read(spark, sf_dir, "part").select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".zip")).alias("basename")).distinct()
-    found = generate.date_candidates(names, generate.date_paths(spark, "2024-01-01", "2024-01-31"))
-    return found.agg(F.count("*").alias("n"), F.count_distinct("url").alias("n_distinct"), F.min("url").alias("first"), F.max("url").alias("last"))
+    return generate.date_candidates(names, generate.date_paths(spark, "2024-02-28", "2024-02-29"))
 
 
 _MODEL_CANDIDATES = f"""(SELECT 'https://{C.ARCHIVE_HOST}/resources/gpl/' || replace(p, '{{model}}', m) || '.' || e AS url FROM (SELECT DISTINCT upper(replace(p_name, ' ', '-')) AS m FROM part),
@@ -283,12 +285,22 @@ def model_candidates(spark, sf_dir):
     return generate.model_candidates(_models(spark, sf_dir), generate.literals(spark, "pattern", C.CANONICAL_PATTERNS))
 
 
-@query(f"SELECT 'models' AS strategy, url FROM {_MODEL_CANDIDATES} ORDER BY url LIMIT 500")
+@query(f"""SELECT 'models' AS strategy, 'https://{C.ARCHIVE_HOST}/resources/gpl/' || replace(p, '{{model}}', m) || '.' || e[i] AS url FROM (SELECT DISTINCT upper(replace(p_name, ' ', '-')) AS m FROM part),
+    (SELECT unnest(['GPL_{{model}}', '{{model}}_GPL', '{{model}}_gpl']) AS p), (SELECT ['tar.gz', 'tar.bz2', 'tar', 'tgz', 'zip', 'rar', 'gz', 'bz2'] AS e, unnest(range(1, 9)) AS i) ORDER BY m, p, i LIMIT 500""")
 def model_candidates_capped(spark, sf_dir):
     none = spark.createDataFrame([], "basename string")
     return generate.candidates(spark, "models", none, _models(spark, sf_dir), generate.literals(spark, "pattern", C.CANONICAL_PATTERNS), none, cap=500)
 
 
+@query(r"""SELECT 'dates' AS strategy, 'https://static.tp-link.com' || CASE form WHEN 0 THEN '/upload/gpl-code' ELSE '' END || strftime(d, '/%Y/%Y%m/%Y%m%d/') || replace(b, '.zip', v || '.zip') AS url
+    FROM (SELECT DISTINCT replace(p_name, ' ', '_') || '.zip' AS b FROM part), (SELECT unnest(['', '_2', '_3', '_v2', 'V2']) AS v, unnest(range(5)) AS i),
+    generate_series(DATE '2021-01-01', DATE '2021-01-09', INTERVAL 1 DAY) s(d), (SELECT unnest([0, 1]) AS form) ORDER BY d, form, b, i LIMIT 777""")
+def date_candidates_capped(spark, sf_dir):
+    names = read(spark, sf_dir, "part").select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".zip")).alias("basename")).distinct()
+    none = spark.createDataFrame([], "model string, pattern string, date_path string")
+    return generate.candidates(spark, "all", names, none, none, none, cap=777)
+
+
 @query(f"SELECT 'models' AS strategy, count(*) AS n FROM {_MODEL_CANDIDATES} UNION ALL SELECT 'dates', count(DISTINCT p_name) * 5 * 20 FROM part")
 def tier_union_counts(spark, sf_dir):
     names = read(spark, sf_dir, "part").select(F.concat("p_name", F.lit(".zip")).alias("basename")).distinct()
@@ -427,7 +439,8 @@ def responses_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = responses_of_events(spark, sf_dir)
-    return verify.classified(r.select(F.col("request_url").alias("url")), r)
+    old = r.withColumn("fetched_at", F.col("fetched_at") - F.expr("INTERVAL 1 DAY")).withColumn("status", F.lit(500))  # of two responses the latest counts
+    return verify.classified(r.select(F.col("request_url").alias("url")), r.unionByName(old))
 
 
 @query(f"SELECT url, live, size, version_id, status, error_type FROM {_OUTCOMES}")
@@ -452,10 +465,10 @@ def existence_semi(spark, sf_dir):
     return verify.existing(r.select(F.col("request_url").alias("url")), r)
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS url FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS url FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def unseen_anti(spark, sf_dir):
     customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("url"))
-    return verify.unseen(customers, read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("url")))
+    return verify.unseen(customers, read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("url")))
 
 
 def discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -486,12 +499,12 @@ def first_seen(spark, sf_dir):
     return verify.first_seen(discoveries(spark, sf_dir).withColumn("url", urls.canonical(F.col("url"))))
 
 
-_RUN = "(SELECT DISTINCT CAST(user_id AS VARCHAR) AS url, event_type FROM events)"
+_RUN = "(SELECT DISTINCT user_id || '/' || event_id % 97 AS url, event_type FROM events)"
 
 
 @query(f"SELECT 'added' AS change, url FROM (SELECT url FROM {_RUN} WHERE event_type = 'purchase' EXCEPT SELECT url FROM {_RUN} WHERE event_type = 'signup') UNION ALL SELECT 'removed', url FROM (SELECT url FROM {_RUN} WHERE event_type = 'signup' EXCEPT SELECT url FROM {_RUN} WHERE event_type = 'purchase')")
 def run_diff(spark, sf_dir):
-    runs = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), "event_type")
+    runs = read(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), (F.col("event_id") % 97).cast("string")).alias("url"), "event_type")
     return verify.run_diff(runs.where("event_type = 'signup'"), runs.where("event_type = 'purchase'"))
 
 
@@ -500,11 +513,15 @@ def keep_first_order(spark, sf_dir):
     return verify.keep_first(read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id")
 
 
-@query("SELECT count(*) AS n, min(url) AS first, max(url) AS last FROM (SELECT DISTINCT 'https://h/' || user_id AS url FROM events)")
+@query("SELECT DISTINCT 'https://h/' || user_id AS url FROM events")
 def incremental_dedup(spark, sf_dir):
-    """The batch form of the streaming dedup; the stream itself is compared with it in the tests."""
-    found = verify.canonical_set(read(spark, sf_dir, "events").select(F.concat(F.lit("http://h/"), F.col("user_id").cast("string")).alias("value")))
-    return found.agg(F.count("*").alias("n"), F.min("url").alias("first"), F.max("url").alias("last"))
+    """Lists that arrive in two runs, as a stream: each URL is written once, to the table that is read here."""
+    lines = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("HTTP://h/"), F.col("user_id").cast("string")).alias("value"))
+    folder = stored_path(spark, "stream")
+    for run in (0, 1):
+        lines.where(F.col("event_id") % 2 == run).select("value").write.text(f"{folder}/scrapes/run-{run}")
+        dedup.append(dedup.distinct_urls(dedup.url_stream(spark, f"{folder}/scrapes")), f"{folder}/urls", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema("url string").parquet(f"{folder}/urls")
 
 
 _SWEEP_PAGES = """(SELECT DISTINCT 'M' || o_custkey % 40 AS model, (['us','de','fr','pl','se'])[1 + o_orderkey % 5] AS region, 'https://static.tp-link.com/N' || o_custkey % 40 || '_GPL.zip' AS url FROM orders WHERE o_orderstatus = 'F')"""
@@ -513,14 +530,26 @@ _SWEEP_PAGES = """(SELECT DISTINCT 'M' || o_custkey % 40 AS model, (['us','de','
 @query(f"""WITH pages AS {_SWEEP_PAGES}, seed AS (SELECT DISTINCT 'M' || c_custkey % 20 AS model FROM customer), probe AS (SELECT model, region, url FROM pages JOIN seed USING (model) WHERE region IN ('us', 'de', 'fr')),
     rest AS (SELECT model, region, url FROM pages WHERE model IN (SELECT model FROM probe) AND region IN ('pl', 'se')) SELECT * FROM probe UNION SELECT * FROM rest""")
 def sweep_probe_expand(spark, sf_dir):
+    return swept(spark, sf_dir)
+
+
+def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.concat(F.lit("M"), (F.col("o_custkey") % 40).cast("string"))
     region = F.element_at(F.array(*map(F.lit, ("us", "de", "fr", "pl", "se"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
     body = F.concat(F.lit(f'<a href="https://{C.ARCHIVE_HOST}/N'), (F.col("o_custkey") % 40).cast("string"), F.lit('_GPL.zip">'))
-    pages = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.lower(m).alias("model"), region.alias("region"), body.alias("body"), F.lit(200).alias("status")).distinct()
+    pages = read(spark, sf_dir, "orders").select(F.lower(m).alias("model"), region.alias("region"), body.alias("body"), F.when(F.col("o_orderstatus") == "F", 200).otherwise(404).alias("status")).distinct()
     seed = read(spark, sf_dir, "customer").select(F.concat(F.lit("M"), (F.col("c_custkey") % 20).cast("string")).alias("model"))
     return sweep(seed, seed.limit(0), generate.literals(spark, "region", ("us", "de", "fr", "pl", "se")), pages)
 
 
+_SWEPT = SQL["sweep_probe_expand"]
+
+
+@query(f"SELECT model, list_sort(list_distinct(list(url))) AS urls FROM ({_SWEPT}) GROUP BY model")
+def validated_models(spark, sf_dir):
+    return swept(spark, sf_dir).groupBy("model").agg(F.array_sort(F.collect_set("url")).alias("urls"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonicalize, distinct, gate, manifest."""
     found = verify.canonical_set(archives(spark, sf_dir), "url").where(urls.is_archive(F.col("url")))
@@ -530,3 +559,202 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"{_ARCHIVES_CTE}, c AS (SELECT DISTINCT url, substr(url, 9) AS k FROM a WHERE contains(lower(url), 'gpl') AND regexp_matches(lower(url), '{_GATE}')) SELECT url, 'cp --if-size-differ ''s3://' || k || ''' ''gpl/' || k || '''' AS line FROM c")
 def verify_front_half(spark, sf_dir):
     return flagship(spark, sf_dir)
+
+
+# --- files ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT DISTINCT {_canonical('url')} AS url FROM pages")
+def scrape_folder_corpus(spark, sf_dir):
+    """Page URLs written as lists in run folders, then read as verification reads them."""
+    folder = stored_path(spark, "scrapes")
+    pages = read(spark, sf_dir, "pages").select(F.concat(F.lit("run-"), (F.col("page_id") % 3).cast("string")).alias("run"), F.concat(F.lit("  "), "url").alias("value"))
+    pages.write.partitionBy("run").text(folder)
+    return readers.read_corpus(spark, folder)
+
+
+@query(f"SELECT key, CAST(size AS BIGINT) AS size FROM {_KEYS}")
+def firmware_listing_read(spark, sf_dir):
+    """Keys written as a JSON array, with entries that are left out, then read as a listing."""
+    folder = stored_path(spark, "listing")
+    entries = firmware_keys(spark, sf_dir).agg(F.array_join(F.collect_list(F.to_json(F.struct("key", "size"))), ",").alias("e"))
+    entries.select(F.concat(F.lit('[{"key": 3}, {"no": 1}, "x", '), "e", F.lit("]")).alias("value")).write.text(folder)
+    return readers.firmware_listing(spark, folder).select("key", "size")
+
+
+@query(rf"{_HARD_CTE} SELECT page_id, url_decode(regexp_replace(regexp_extract(url, '[^/]*$'), '%(z)', '%25\1', 'g')) AS basename FROM h")
+def known_basenames(spark, sf_dir):
+    rows = hard_urls(spark, sf_dir)
+    return rows.select("page_id", tokens.percent_decode(F.substring_index("url", "/", -1)).alias("basename"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(event_id % 50 AS DOUBLE) WHEN 1 THEN greatest(0.0, CAST(epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2024-01-01 00:00:00') AS DOUBLE)) END AS seconds FROM events""")
+def retry_waits(spark, sf_dir):
+    k = F.col("event_id") % 3
+    value = F.when(k == 0, (F.col("event_id") % 50).cast("string")).when(k == 1, F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).otherwise("soon")
+    return read(spark, sf_dir, "events").select("event_id", urls.retry_seconds(value, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("seconds"))
+
+
+@query(f"SELECT source, count(DISTINCT url) AS n FROM {_DISCOVERIES} GROUP BY source")
+def views_in_sql(spark, sf_dir):
+    d = discoveries(spark, sf_dir)
+    register_views(discoveries=d.select("source", "url"), canonical=d.select("source", urls.canonical(F.col("url")).alias("url")))
+    return spark.sql("SELECT source, count(DISTINCT c.url) AS n FROM canonical c GROUP BY source")
+
+
+# --- sources, asked from captured responses that are made of the tables ----------------------------------------------
+
+_HOST = f"https://{C.ARCHIVE_HOST}"
+
+
+def answers(spark: SparkSession, *frames: DataFrame) -> scrape.Ask:
+    """frames: request_url, status, body and perhaps final_url."""
+    whole = None
+    for f in frames:
+        final = F.col("final_url") if "final_url" in f.columns else F.lit("")
+        part = f.select("request_url", F.col("status").cast("int").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("map<string,string>").alias("headers"), "body", final.alias("final_url"), F.lit(None).cast("timestamp").alias("fetched_at"))
+        whole = part if whole is None else whole.unionByName(part)
+    whole = stored(whole, "responses")
+    return lambda asked: fetch.replay(asked, whole)
+
+
+def lists(rows: DataFrame, line, *keys: str, sep: str = "\n") -> DataFrame:
+    """keys and body: a line for each row, joined."""
+    return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(line)), sep).alias("body"))
+
+
+def numbered(spark: SparkSession, name: str, values) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(values)), f"i int, {name} string")
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS i, replace(n_name, ' ', '_') AS n FROM nation WHERE n_nationkey % 5 <> 4)
+    SELECT 'regional_crawl' AS source, '{_HOST}/upload/' || n || '_GPL.zip' AS url FROM n WHERE i % 2 = 0 UNION ALL SELECT 'regional_crawl', '{_HOST}/frag/' || n || '.zip' FROM n WHERE i % 2 = 0
+    UNION ALL SELECT 'regional_crawl', '{_HOST}/fb/' || n || '.zip' FROM n WHERE i % 2 = 1""")
+def source_regional(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"), F.replace("n_name", F.lit(" "), F.lit("_")).alias("n")).join(F.broadcast(numbered(spark, "region", C.REGIONS)), "i")
+    tree = F.concat(F.lit(f'<script>var productTree = {{"1":[{{"href":" {_HOST}/upload/'), "n", F.lit('_GPL.zip "},{"href":"?model='), "n", F.lit('","app_folder":"f'), F.col("i").cast("string"), F.lit('"},{"href":"/no"}]}; </script>'))
+    plain = F.concat(F.lit(f'var productTree = []; <a href="{_HOST}/fb/'), "n", F.lit(f'.zip"> <a href="{_HOST}/x.html">'))
+    pages = n.select(scrape.Regional.page(F.col("region")).alias("request_url"), F.when(F.col("i") % 5 == 4, 404).otherwise(200).alias("status"), F.when(F.col("i") % 2 == 0, tree).otherwise(plain).alias("body"))
+    asked = scrape.request(C.MODEL_PAGE, model=F.col("n"), appPath=F.concat(F.lit("f"), F.col("i").cast("string")))
+    fragments = n.select(asked.alias("request_url"), F.when(F.col("i") % 4 == 0, 500).otherwise(200).alias("status"), F.concat(F.lit(f'<table><a href=" {_HOST}/frag/'), "n", F.lit('.zip">')).alias("body"))
+    return scrape.Regional().run(spark, answers(spark, pages, fragments))
+
+
+@query("""SELECT lower(substr(n_name, 1, 2)) AS region FROM (SELECT min(n_nationkey) AS k FROM nation GROUP BY lower(substr(n_name, 1, 2))) JOIN nation ON n_nationkey = k WHERE k % 2 = 0
+    UNION SELECT lower(substr(r_name, 1, 3)) FROM region UNION SELECT unnest(['""" + "','".join(C.REGIONS) + "'])")
+def discovered_regions(spark, sf_dir):
+    codes = read(spark, sf_dir, "nation").groupBy(F.lower(F.substring("n_name", 1, 2)).alias("region")).agg(F.min("n_nationkey").alias("k"))
+    pages = codes.select(scrape.Regional.page(F.col("region")).alias("request_url"), F.lit(200).alias("status"), F.when(F.col("k") % 2 == 0, 'var productTree = {"1":[]};').otherwise("<html>").alias("body"))
+    links = F.concat(F.lit('<a href="https://h/'), F.lower(F.substring("r_name", 1, 3)), F.lit('/">'))
+    picker = lists(read(spark, sf_dir, "region"), links).select(F.lit(C.PICKER_URL).alias("request_url"), F.lit(200).alias("status"), "body")
+    return scrape.Regional().found_regions(spark, answers(spark, pages, picker))
+
+
+@query("SELECT 'wayback_cdx' AS source, 'http://h/' || p_partkey AS url FROM part WHERE p_partkey // 4 % 3 = 0 OR p_partkey % 4 IN (0, 1)")
+def source_wayback(spark, sf_dir):
+    """Three pages for each of four prefixes; the third prefix' second page is empty, the fourth's fails."""
+    rows = read(spark, sf_dir, "part").select((F.col("p_partkey") % 4).cast("int").alias("i"), (F.floor(F.col("p_partkey") / 4) % 3).alias("page"), F.format_string('["http://h/%d"]', "p_partkey").alias("line"))
+    pages = lists(rows, F.col("line"), "i", "page").join(F.broadcast(numbered(spark, "prefix", C.CDX_PREFIXES)), "i")
+    key = lambda page: F.concat(F.lit("k "), F.col("i").cast("string"), F.lit("/"), page.cast("string"))
+    url = F.when(F.col("page") == 0, scrape.Wayback.url()).otherwise(scrape.Wayback.url(key(F.col("page"))))
+    more = F.when(F.col("page") < 2, F.concat(F.lit('\n[]\n["'), key(F.col("page") + 1), F.lit('"]'))).otherwise("")
+    body = F.when((F.col("i") == 2) & (F.col("page") == 1), " \n").otherwise(F.concat(F.lit('["original"]\nbad\n'), "body", more))
+    status = F.when((F.col("i") == 3) & (F.col("page") == 1), 503).otherwise(200)
+    return scrape.Wayback().run(spark, answers(spark, pages.select(url.alias("request_url"), status.alias("status"), body.alias("body"))))
+
+
+@query("SELECT 'common_crawl' AS source, 'https://h/cc/' || r_regionkey || '-' || j || '-' || p AS url FROM region, range(2) x(j), range(4) y(p) WHERE p < r_regionkey AND r_regionkey NOT IN (1, 3) AND NOT (r_regionkey = 4 AND p = 2)")
+def source_common_crawl(spark, sf_dir):
+    """As many pages as the region's number; one index has no endpoint, one no captures, one page fails."""
+    r = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"), F.format_string("https://index/%d", "r_regionkey").alias("index"))
+    entry = F.when(F.col("r") == 1, '{"id":"x"}').otherwise(F.concat(F.lit('{"id":"x","cdx-api":"'), "index", F.lit('"}')))
+    listing = lists(r, entry, sep=",").select(F.lit(C.CRAWL_LISTING).alias("request_url"), F.lit(200).alias("status"), F.concat(F.lit("["), "body", F.lit("]")).alias("body"))
+    each = r.crossJoin(F.broadcast(numbered(spark, "prefix", C.CRAWL_PREFIXES)))
+    sizes = each.select(scrape.request(F.col("index"), url=F.col("prefix"), showNumPages="true").alias("request_url"), F.when(F.col("r") == 3, 404).otherwise(200).alias("status"), F.format_string('{"pages": %d, "pageSize": 5}', "r").alias("body"))
+    pages = each.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    url = scrape.request(F.col("index"), url=F.col("prefix"), output="json", page=F.col("page").cast("string"))
+    pages = pages.select(url.alias("request_url"), F.when((F.col("r") == 4) & (F.col("page") == 2), 500).otherwise(200).alias("status"), F.format_string('{"url": "https://h/cc/%d-%d-%d"}\nbad\n{"no": 1}', "r", "i", "page").alias("body"))
+    return scrape.CommonCrawl().run(spark, answers(spark, listing, sizes, pages))
+
+
+def _code_pages(rows: DataFrame) -> DataFrame:
+    """rows: endpoint, query, page, fragment (null: no item)."""
+    item = F.when(F.col("fragment").isNotNull(), F.to_json(F.struct(F.array(F.struct("fragment")).alias("text_matches"))))
+    url = scrape.request(F.concat(F.lit(C.CODE_HOST), F.col("endpoint")), q=F.col("query"), per_page="100", page=F.col("page").cast("string"))
+    pages = lists(rows, item, "endpoint", "query", "page", sep=",")
+    return pages.select(url.alias("request_url"), F.lit(200).alias("status"), F.concat(F.lit('{"total_count": 9, "items": ['), "body", F.lit("]}")).alias("body"))
+
+
+@query(f"SELECT 'github_search' AS source, '{_HOST}/c' || c_custkey || '.zip' AS url FROM customer WHERE c_custkey % 6 NOT IN (4, 5)")
+def source_code_search(spark, sf_dir):
+    """Three pages for each query and endpoint; the last query finds nothing."""
+    asked = spark.createDataFrame([(2 * a + b, q, e) for a, q in enumerate(C.CODE_QUERIES) for b, e in enumerate(C.CODE_ENDPOINTS)], "i int, query string, endpoint string")
+    rows = read(spark, sf_dir, "customer").select((F.col("c_custkey") % 6).cast("int").alias("i"), (F.floor(F.col("c_custkey") / 6) % 3 + 1).cast("int").alias("page"), F.when(F.col("c_custkey") % 6 < 4, F.format_string(f"see ({_HOST}/c%d.zip).", "c_custkey")).alias("fragment"))
+    return scrape.CodeSearch("token").run(spark, answers(spark, _code_pages(rows.join(F.broadcast(asked), "i"))))
+
+
+@query(f"SELECT 'tplink_github' AS source, '{_HOST}/o' || r_regionkey || '.zip' AS url FROM region UNION ALL SELECT 'tplink_github', '{_HOST}/w' || r_regionkey || '.zip.' FROM region WHERE r_regionkey % 2 = 0")
+def source_organisation(spark, sf_dir):
+    """The organisation's list of repositories fails, so the user's counts; odd repositories have no wiki."""
+    r = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("i"), F.format_string("https://github.com/o/r%d", "r_regionkey").alias("repository"))
+    found = _code_pages(r.select(F.lit(C.CODE_ENDPOINTS[0]).alias("endpoint"), F.lit(C.ORGANISATION_QUERY).alias("query"), F.lit(1).alias("page"), F.format_string(f"{_HOST}/o%d.zip,", "i").alias("fragment")))
+    entry = F.to_json(F.struct(F.col("repository").alias("html_url"), (F.col("i") % 2 == 0).alias("has_wiki")))
+    url = lambda kind: scrape.request(f"{C.CODE_HOST}/{kind}/{C.ORGANISATION}/repos", per_page="100").alias("request_url")
+    users = lists(r, entry, sep=",").select(url("users"), F.lit(200).alias("status"), F.concat(F.lit("["), "body", F.lit("]")).alias("body"))
+    orgs = spark.range(1).select(url("orgs"), F.lit(404).alias("status"), F.lit("{}").alias("body"))
+    wikis = r.select("repository", F.format_string(f"x {_HOST}/w%d.zip. y", "i").alias("body"))
+    return scrape.Organisation("token", wikis).run(spark, answers(spark, found, users, orgs))
+
+
+@query("SELECT DISTINCT 'mercusys_regional' AS source, 'https://static.mercusys.com/gpl/M' || p_partkey % 50 || '.zip' AS url FROM part WHERE p_partkey % 4 <> 3 AND p_partkey % 50 % 7 <> 0")
+def source_sister(spark, sf_dir):
+    """Four index pages, one of which fails; a page for each model, of which each seventh fails."""
+    part = read(spark, sf_dir, "part")
+    rows = part.select((F.col("p_partkey") % 4).cast("int").alias("i"), F.format_string('<a class="x" href="?model=M%d">', F.col("p_partkey") % 50).alias("link"))
+    index = lists(rows, F.col("link"), "i").join(F.broadcast(numbered(spark, "region", C.SISTER_SAMPLE)), "i")
+    index = index.select(F.concat(F.lit(f"{C.SISTER_SITE}/"), "region", F.lit("/support/gpl-code/")).alias("request_url"), F.when(F.col("i") == 3, 404).otherwise(200).alias("status"), "body")
+    k = (F.col("p_partkey") % 50).alias("k")
+    models = part.select(k).distinct().select(F.format_string(f"{C.SISTER_SITE}/en/support/gpl-code/?model=M%d", "k").alias("request_url"), F.when(F.col("k") % 7 == 0, 500).otherwise(200).alias("status"), F.format_string("at https://static.mercusys.com/gpl/M%d.zip, or https://static.mercusys.com/x", "k").alias("body"))
+    return scrape.Sister().run(spark, answers(spark, index, models))
+
+
+@query(f"SELECT 'reddit' AS source, '{_HOST}/r' || c_custkey || '.zip' AS url FROM customer WHERE c_custkey // 5 % 4 = 0 OR c_custkey % 5 = 1 AND c_custkey // 5 % 4 = 1 OR c_custkey % 5 NOT IN (1, 2)")
+def source_listings(spark, sf_dir):
+    """Four pages for each endpoint; one endpoint repeats its cursor, one has an empty second page."""
+    rest = {"limit": "100", "sort": "relevance", "t": "all"}
+    endpoints = numbered(spark, "endpoint", [f"{C.LISTING_HOST}/search.json", *(f"{C.LISTING_HOST}/r/{s}/search.json" for s in C.SUBREDDITS)])
+    text = F.format_string(f"see {_HOST}/r%d.zip.", "c_custkey")
+    at = F.col("c_custkey") % 3
+    entry = F.to_json(F.struct(F.struct(F.when(at == 0, text).alias("selftext"), F.when(at == 1, text).alias("url"), F.when(at == 2, text).alias("title")).alias("data")))
+    rows = read(spark, sf_dir, "customer").select((F.col("c_custkey") % 5).cast("int").alias("i"), (F.floor(F.col("c_custkey") / 5) % 4).alias("page"), entry.alias("entry"))
+    pages = lists(rows, F.col("entry"), "i", "page", sep=",").join(F.broadcast(endpoints), "i")
+    after = F.when(F.col("page") == 3, "null").when((F.col("i") == 1) & (F.col("page") == 1), '"t1"').otherwise(F.format_string('"t%d"', F.col("page") + 1))
+    body = F.concat(F.lit('{"data": {"children": ['), F.when((F.col("i") == 2) & (F.col("page") == 1), "").otherwise(F.col("body")), F.lit('], "after": '), after, F.lit("}}"))
+
+    def url(**more):
+        whole = scrape.request(F.col("endpoint"), q=C.LISTING_QUERIES[0], **rest, **more)
+        return F.when(F.col("i") == 0, whole).otherwise(scrape.request(F.col("endpoint"), q=C.LISTING_QUERIES[1], restrict_sr="1", **rest, **more))
+
+    asked = F.when(F.col("page") == 0, url()).otherwise(url(after=F.format_string("t%d", "page")))
+    return scrape.Listings().run(spark, answers(spark, pages.select(asked.alias("request_url"), F.lit(200).alias("status"), body.alias("body"))))
+
+
+@query(f"SELECT 'forums' AS source, '{_HOST}/f' || c_custkey || '.zip' AS url FROM customer WHERE c_custkey % 6 < 4 UNION ALL SELECT 'forums', '{_HOST}/d' || j || '.zip' FROM range(2) x(j)")
+def source_forums(spark, sf_dir):
+    """Six pages with more posts, of which four are asked for; three searches, one of them blocked."""
+    post = F.to_json(F.struct(F.format_string(f"{_HOST}/f%d.zip!", "c_custkey").alias("blurb")))
+    rows = read(spark, sf_dir, "customer").select((F.col("c_custkey") % 6 + 1).cast("string").alias("page"), post.alias("post"))
+    pages = lists(rows, F.col("post"), "page", sep=",").select(scrape.request(C.DISCOURSE_SEARCH, q=C.LISTING_QUERIES[0], page=F.col("page")).alias("request_url"), F.lit(200).alias("status"), F.concat(F.lit('{"posts": ['), "body", F.lit('], "grouped_search_result": {"more_posts": true}}')).alias("body"))
+    url = scrape.request(C.WEB_SEARCH, q=F.concat(F.lit("site:"), F.col("site"), F.lit(f" {C.LISTING_QUERIES[0]}")), num="10")
+    dorks = numbered(spark, "site", C.DORK_DOMAINS).select(url.alias("request_url"), F.when(F.col("i") == 2, 429).otherwise(200).alias("status"), F.format_string(f'<p><a href="{_HOST}/d%d.zip">', "i").alias("body"))
+    return scrape.Forums().run(spark, answers(spark, pages, dorks))
+
+
+@query(f"SELECT 'google' AS source, '{_HOST}/g' || s_suppkey || '.zip' AS url FROM supplier WHERE s_suppkey % 8 <> 3")
+def source_web_search(spark, sf_dir):
+    """Result pages for eight suffixes: links within results, one page with text alone, one that asks for consent."""
+    rows = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 8).cast("int").alias("i"), F.format_string(f"{_HOST}/g%d.zip", "s_suppkey").alias("u"))
+    part = F.when(F.col("i") == 5, F.concat("u", F.lit(". "))).otherwise(F.concat(F.lit('<div class="a yuRUbf"><div><a class=x href="'), "u", F.lit(f'">t</a></div></div><a href="{_HOST}/other">')))
+    pages = lists(rows.select("i", part.alias("part")), F.col("part"), "i", sep=" ").join(F.broadcast(numbered(spark, "suffix", C.CANDIDATE_EXTENSIONS)), "i")
+    url = scrape.request(C.WEB_SEARCH, q=F.concat(F.lit(f"site:{C.ARCHIVE_HOST} "), F.col("suffix")), num="10")
+    return scrape.WebSearch().run(spark, answers(spark, pages.select(url.alias("request_url"), F.lit(200).alias("status"), "body", F.when(F.col("i") == 3, "https://consent.google.com/x").otherwise("").alias("final_url"))))

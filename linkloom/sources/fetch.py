@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.operators.verify import latest
+from linkloom.session import stored
 from linkloom.sources.spec import SourceSpec
 
 RESPONSES = "request_url string, method string, model string, region string, page int, status int, error string, headers map<string,string>, body string, final_url string, fetched_at timestamp"
@@ -24,8 +26,8 @@ Transport = Callable[[str, str, SourceSpec], tuple[int, dict[str, str], str, str
 
 
 def replay(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """requests: request_url. Their captured responses; a request without one fails by network."""
-    kept = responses.select("request_url", "status", "error", "headers", "body", "final_url", "fetched_at")
+    """requests: request_url and others. Their captured responses, the latest of each; a request without one fails by network."""
+    kept = latest(responses).select("request_url", "status", "error", "headers", "body", "final_url", "fetched_at")
     return requests.join(kept, "request_url", "left").withColumn("error", F.when(F.col("status").isNull() & F.col("error").isNull(), "network").otherwise(F.col("error")))
 
 
@@ -94,11 +96,41 @@ def fetch(requests: DataFrame, spec: SourceSpec, transport: Transport, tasks: in
 
 
 def verify_heads(urls: DataFrame, spec: SourceSpec, transport: Transport, origin: Callable, regional: Callable) -> DataFrame:
-    """Look each url up at the origin; where it answers 301 and names a region, once more there."""
+    """Look each url up at the origin; where it answers 301 and names a region, once more there. Each request is sent once."""
     asked = urls.select("url", origin(F.col("url")).alias("request_url"))
-    first = asked.join(fetch(asked, spec, transport), "request_url").drop("request_url")
+    first = stored(asked.join(fetch(asked.select("request_url").distinct(), spec, transport), "request_url").drop("request_url"), "heads")
     region = F.get(F.map_values(F.map_filter("headers", lambda k, _: F.lower(k) == "x-amz-bucket-region")), F.lit(0))
     moved = first.where(F.col("status") == 301).select("url", region.alias("region")).where("region IS NOT NULL")
     again = moved.select("url", regional(F.col("url"), F.col("region")).alias("request_url"))
-    second = again.join(fetch(again, spec, transport), "request_url").drop("request_url")
+    second = stored(again.join(fetch(again.select("request_url").distinct(), spec, transport), "request_url").drop("request_url"), "heads")
     return first.join(second.select("url"), "url", "left_anti").unionByName(second).withColumnRenamed("url", "request_url")
+
+
+def asking(spec: SourceSpec, transport: Transport) -> Callable[[DataFrame], DataFrame]:
+    """As replay(), by sending each request once."""
+    def ask(requests: DataFrame) -> DataFrame:
+        return requests.join(stored(fetch(requests.select("request_url").distinct(), spec, transport), spec.name), "request_url", "left")
+
+    return ask
+
+
+def http_transport(method: str, url: str, spec: SourceSpec, headers: dict[str, str] | None = None) -> tuple[int, dict[str, str], str, str]:
+    """The default transport, on the standard library: HTTP/1.1 with the source's time limits; redirects only where it follows them."""
+    import urllib.error
+    import urllib.request
+
+    class Stay(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, *_args):
+            return None
+
+    opener = urllib.request.build_opener(*([] if spec.follow_redirects else [Stay]))
+    request = urllib.request.Request(url, method=method, headers=headers or {})  # noqa: S310
+    try:
+        with opener.open(request, timeout=spec.timeouts_s["read"]) as r:
+            return r.status, dict(r.headers), r.read().decode("utf-8", "replace"), r.url
+    except urllib.error.HTTPError as e:
+        return e.code, dict(e.headers), e.read().decode("utf-8", "replace"), url
+    except urllib.error.URLError as e:
+        if isinstance(e.reason, TimeoutError):
+            raise TimeoutError from e
+        raise

@@ -48,11 +48,17 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def firmware_listing(spark: SparkSession, path: str) -> DataFrame:
-    """key, size, modified of the objects in a JSON array; entries whose key is no string are left out."""
+    """key, size, modified of the objects in a JSON array; entries whose key is no string are left out. An array is one row
+    to Spark, so 2 GB at most; a listing of one object to a line (*.jsonl, *.ndjson) is read by all tasks, at any size."""
+    if path.endswith((".jsonl", ".ndjson")):
+        return _keyed(spark.read.text(path).where(F.ltrim("value").startswith("{")).select(F.try_parse_json("value").alias("v")))
     whole = spark.read.option("wholetext", True).text(path)
     if whole.where(~F.ltrim("value").startswith("[")).limit(1).count():
         raise ValueError(f"{path}: a JSON array is expected")
-    parsed = whole.select(F.explode(F.from_json("value", "array<string>")).alias("e")).select(F.try_parse_json("e").alias("v"))
+    return _keyed(whole.select(F.explode(F.from_json("value", "array<string>")).alias("e")).select(F.try_parse_json("e").alias("v")))
+
+
+def _keyed(parsed: DataFrame) -> DataFrame:
     rows = parsed.where("schema_of_variant(variant_get(v, '$.key', 'variant')) = 'STRING'")
     return rows.selectExpr("variant_get(v, '$.key', 'string') AS key", "coalesce(try_variant_get(v, '$.size', 'bigint'), 0) AS size", "try_variant_get(v, '$.modified', 'string') AS modified")
 
