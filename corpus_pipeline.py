@@ -13,6 +13,8 @@ from linkloom.llm.common import fold, fresh, small_batches, written
 #: shingle sets is 0.89 and 9.7 of 64 bits are expected to differ, with a deviation of 2.9; 28 bits are over six deviations
 #: more, so the similarity decides, and the radius only spares most pairs of unlike texts (32 bits) its calculation.
 SHINGLE, RADIUS, SKETCH, SIMILAR = 5, 28, 8, 0.8
+#: Keys of rows to drop are broadcast up to this number (8 bytes each); beyond it the rows are shuffled to them.
+BROADCAST_KEYS = 1_000_000
 
 
 def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -35,8 +37,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id"), 3) != 1)
     rows, key = _marked(docs)
     gone = fresh(rows, "_toxic")
-    toxic = toxicity.score(rows, model, id_col=key).where("predicted = 1").select(F.col("doc_id").alias(gone)).distinct()
-    return rows.join(toxic.hint("shuffle_hash"), F.col(key) == F.col(gone), "left_anti").drop(key)
+    toxic, _ = written(toxicity.score(rows, model, id_col=key).where("predicted = 1").select(F.col("doc_id").alias(gone)).distinct(), "toxic")
+    hint = "broadcast" if toxic.count() <= BROADCAST_KEYS else "shuffle_hash"
+    return rows.join(toxic.hint(hint), F.col(key) == F.col(gone), "left_anti").drop(key)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
