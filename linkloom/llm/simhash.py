@@ -376,7 +376,7 @@ def classes(prints: DataFrame, radius: int = 2, rows: DataFrame | None = None, s
     best = rooted.join(least, rooted["node"] == least[name]).groupBy("root").agg(F.min("least").alias("component_id"))
     salt = lambda key: F.pmod(F.xxhash64(F.lit(19), key), F.lit(SALTS)).cast("int").alias("salt")
     each = best.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    linked = rooted.select("node", "root", salt("node")).join(each, ["root", "salt"]).select(F.col("node").alias("_node"), "component_id")
+    linked = rooted.select("node", "root", salt("node")).join(each.hint("merge"), ["root", "salt"]).select(F.col("node").alias("_node"), "component_id")
     return least.join(linked, least[name] == linked["_node"], "left").select(least[name], F.when(F.col("_node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
