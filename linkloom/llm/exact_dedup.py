@@ -63,8 +63,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     both = texts(docs, id_col, text_col)
     rows = both.select("doc_id", normalised(F.col("text")).alias("content"), digest_of(F.col("text"), digest).alias("digest"))
     found, _ = written(groups(rows, salts), "groups")
-    one = found.where(F.col("contents").isNull()).select("digest", "keep_id", "group_size")
-    out = both.select("doc_id", digest_of(F.col("text"), digest).alias("digest")).join(one, "digest")
+    one = found.where(F.col("contents").isNull()).select(F.col("digest").alias("of"), "keep_id", "group_size")
+    # null-safe, though no digest is null: for a plain equality Spark would filter by a digest of its own before
+    out = both.select("doc_id", digest_of(F.col("text"), digest).alias("digest")).join(one, F.expr("digest <=> of")).drop("of")
     mixed = found.where(F.col("contents").isNotNull())
     if mixed.limit(1).count():
         apart = mixed.select("digest", F.inline("contents"))
