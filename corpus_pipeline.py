@@ -51,7 +51,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = docs.withColumn(name, exact_dedup.digest_of(F.col("text")))
     of_id, of_text = fresh(rows, "_kept_id"), fresh(rows, "_kept_digest")
     kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias(of_id), F.col("digest").alias(of_text)).distinct()
-    rows = rows.join(kept.hint("shuffle_hash"), (F.col(name) == F.col(of_text)) & F.col("doc_id").eqNullSafe(F.col(of_id)), "left_semi")
+    # null-safe, though no digest is null: for a plain equality Spark would filter by a digest of its own before
+    rows = rows.join(kept.hint("shuffle_hash"), F.col(name).eqNullSafe(F.col(of_text)) & F.col("doc_id").eqNullSafe(F.col(of_id)), "left_semi")
     return _one_each(rows, name, "doc_id", name)
 
 
