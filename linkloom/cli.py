@@ -92,7 +92,8 @@ def scrape(spark: SparkSession, args: argparse.Namespace, responses: DataFrame)
     else:
         models = None
         if args.model_sweep:
-            listing = readers.firmware_listing(spark, args.listing) if args.listing else spark.createDataFrame([], "key string, size bigint")
+            path = readers.DataPaths().given_or(spark, args.listing, C.LISTING_FILE)
+            listing = readers.firmware_listing(spark, path) if path else spark.createDataFrame([], "key string, size bigint")
             models = model_wordlist(listing, readers.read_corpus(spark, f"{args.data_dir}/scrapes"))
         run = ScrapeRun(spark, args.data_dir, sources(token, None, models, args.sweep_max_models), live_asks(token) if args.live else partial(fetch.replay, responses=responses))
     n = run.run()
@@ -120,7 +121,8 @@ def bruteforce(spark: SparkSession, args: argparse.Namespace, responses: DataFra
     tier = "exhaustive" if args.exhaustive else "thorough" if args.thorough else "default"
     if tier == "exhaustive" and args.max_candidates is None:
         print("warning: exhaustive without --max-candidates", file=sys.stderr)
-    run = BruteforceRun(spark, args.data_dir, responses if args.responses else None, args.listing, args.corpus, args.strategy, tier, args.max_candidates, args.dry_run)
+    listing, corpus = (readers.DataPaths().given_or(spark, given, name) for given, name in ((args.listing, C.LISTING_FILE), (args.corpus, C.CORPUS_FILE)))
+    run = BruteforceRun(spark, args.data_dir, responses if args.responses else None, listing, corpus, args.strategy, tier, args.max_candidates, args.dry_run)
     if args.live and not args.dry_run:
         spec = replace(SPECS["bruteforce"], concurrency=args.concurrency)
         run.ask = lambda asked: fetch.fetch(asked, spec, fetch.http_transport)

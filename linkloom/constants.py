@@ -90,6 +90,8 @@ SOURCE_LABELS = {
     "tplink_github": "TP-Link GitHub URLs", "mercusys_regional": "Mercusys URLs", "reddit": "Reddit URLs", "forums": "Forum URLs", "google": "Google URLs", "model_sweep": "Model-sweep URLs",
 }
 HIT_FILES = {"dates": "bruteforce_dates.txt", "models": "bruteforce_models.txt"}
+#: Inputs that are sought in the data folders where none are given.
+LISTING_FILE, CORPUS_FILE = "firmware_s3_listing.json", "scrapes/seed/gpl_urls_master.txt"
 SUBREDDITS = ("openwrt", "tplink", "homelab", "netsec")
 DORK_DOMAINS = ("forum.dd-wrt.com", "snbforums.com", "linksysinfo.org")
 BLOCKED = (401, 403, 429, 451)

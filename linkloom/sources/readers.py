@@ -13,21 +13,28 @@ from linkloom.operators.verify import canonical_set
 from linkloom.functions.tokens import known_basenames
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 @dataclass(frozen=True)
 class DataPaths:
-    """Where inputs are; a file is sought in each root in turn."""
+    """Where inputs are; a file is sought in each root in turn: below the working folder, then beside the package."""
 
-    roots: tuple[str, ...] = ("data",)
+    roots: tuple[str, ...] = ("data", f"file://{PurePosixPath(__file__).parents[2] / 'data'}")
 
     def candidates(self, name: str) -> list[str]:
         return [str(PurePosixPath(r) / name) if "://" not in r else f"{r.rstrip('/')}/{name}" for r in self.roots]
 
     def resolve(self, spark: SparkSession, name: str) -> str | None:
-        for path in self.candidates(name):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-                return path
-        return None
+        return next((p for p in self.candidates(name) if _there(spark, p)), None)
+
+    def given_or(self, spark: SparkSession, given: str | None, name: str) -> str | None:
+        """The given path, if it is there; else the file of the same name in the roots, or, if none is given, the named one."""
+        if given is None:
+            return self.resolve(spark, name)
+        return given if _there(spark, given) else self.resolve(spark, given.rstrip("/").rsplit("/", 1)[-1]) or given
 
 
 def scrape_lines(spark: SparkSession, folder: str) -> DataFrame:

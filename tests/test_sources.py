@@ -151,3 +151,14 @@ def test_a_failing_source_does_not_stop_the_run(spark, tmp_path):
     run = ScrapeRun(spark, str(tmp_path), [Broken(), scrape.WebSearch()], partial(fetch.replay, responses=spark.createDataFrame([], RESPONSES)))
     out = run.run()
     assert out["sources_failed"] == ["broken"] and run.per_source_counts == {"google": (0, 0)} and open(f"{out['run_dir']}/google.txt").read() == ""
+
+
+def test_inputs_are_sought_in_the_data_folders(spark, tmp_path):
+    for folder, name in (("a", "x.json"), ("b", "x.json"), ("b", "s/y.txt")):
+        (tmp_path / folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / name).write_text("")
+    paths = readers.DataPaths((str(tmp_path / "a"), f"file://{tmp_path}/b/"))
+    assert paths.resolve(spark, "x.json") == f"{tmp_path}/a/x.json" and paths.resolve(spark, "s/y.txt") == f"file://{tmp_path}/b/s/y.txt"
+    assert paths.resolve(spark, "z") is None and paths.given_or(spark, None, "z") is None
+    assert paths.given_or(spark, f"{tmp_path}/b/x.json", "z") == f"{tmp_path}/b/x.json"
+    assert paths.given_or(spark, "elsewhere/x.json", "z") == f"{tmp_path}/a/x.json" and paths.given_or(spark, "elsewhere/z", "x.json") == "elsewhere/z"
