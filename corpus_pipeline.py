@@ -87,8 +87,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_exact_copies), ("SimHash near-dedup", drop_near_copies), ("mixing sources", mix_sources), ("best-fit packing", pack)]
 
-#: SQL can't express the learned model, fingerprints and schedules. The tests check each stage's rows for what must hold
-#: of them (columns, no exact copies, every token packed once); the operators' own tests compare with plain versions.
+#: SQL can't express the learned model, fingerprints and schedules. The tests compare all rows of run() with a plain version
+#: that goes by all pairs, and check each stage's rows for what must hold of them.
 ORACLE_SQL = None
 
 
