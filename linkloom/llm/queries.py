@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import chat, exact_dedup, language, maxscore, mixing, packing, quality, secrets, simhash, toxicity
+from linkloom.llm import audit, chat, exact_dedup, language, maxscore, mixing, packing, quality, secrets, simhash, toxicity
 from linkloom.llm.common import fold
 
 
@@ -80,6 +80,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, labels, part != 0), part == 0)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_chat_formatting, op3_source_mixing, op4_toxicity, op5_secret_scans, op6_language_id,
-    op7_simhash, op8_exact_dedup, op9_maxscore, op10_quality, pipeline,
+    op7_simhash, op8_exact_dedup, op9_maxscore, op10_quality, op11_filter_audit, pipeline,
 )}
 
 _ESCAPED = r"regexp_replace({}, '([<\[])(\^*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\2^\3', 'g')"
@@ -146,4 +150,26 @@ SQL: dict[str, str] = {
         ), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+        w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+        l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        m AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT) + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) AS INT)
+                + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > first_id, false) AS INT) AS mask
+            FROM w LEFT JOIN l USING (doc_id)
+        ), h AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+        o AS (SELECT [a, b, c, d, e] AS p FROM range(5) a(a), range(5) b(b), range(5) c(c), range(5) d(d), range(5) e(e) WHERE len(list_distinct([a, b, c, d, e])) = 5),
+        s AS (
+            SELECT array_to_string(list_transform(p, lambda f: chr(CAST(65 + f AS INT))), '') AS filter_order, CAST(step AS INT) AS step, CAST(1 << p[step] AS INT) AS f,
+                CAST(coalesce(list_sum(list_transform(p[1:step - 1], lambda x: 1 << x)), 0) AS INT) AS before FROM o, range(1, 6) r(step)
+        )
+        SELECT part, filter_order, step,
+            CAST(sum(CASE WHEN mask & (f | before) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN mask & f > 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+            CAST(sum(CASE WHEN mask & f > 0 AND mask & before > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN mask = f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+            CAST(sum(CASE WHEN mask & f > 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN mask & f > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+            CAST(sum(CASE WHEN mask & f > 0 THEN n * (120 // bit_count(mask)) ELSE 0 END) AS BIGINT) AS shapley
+        FROM h, s GROUP BY part, filter_order, step
+    """,
 }
