@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import audit, chat, exact_dedup, language, maxscore, mixing, packing, quality, secrets, simhash, toxicity
+from linkloom.llm import audit, chat, exact_dedup, fingerprints, language, maxscore, mixing, packing, quality, secrets, simhash, toxicity
 from linkloom.llm.common import fold
 
 
@@ -84,6 +84,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_chat_formatting, op3_source_mixing, op4_toxicity, op5_secret_scans, op6_language_id,
-    op7_simhash, op8_exact_dedup, op9_maxscore, op10_quality, op11_filter_audit, pipeline,
+    op7_simhash, op8_exact_dedup, op9_maxscore, op10_quality, op11_filter_audit, op12_order_minhash, pipeline,
 )}
 
 _ESCAPED = r"regexp_replace({}, '([<\[])(\^*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\2^\3', 'g')"
