@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import audit, chat, exact_dedup, fingerprints, language, maxscore, mixing, packing, quality, secrets, simhash, toxicity
+from linkloom.llm import audit, chat, exact_dedup, fingerprints, language, maxscore, mixing, packing, prefix_trie, quality, secrets, simhash, toxicity
 from linkloom.llm.common import fold
 
 
@@ -88,6 +88,10 @@ def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_chat_formatting, op3_source_mixing, op4_toxicity, op5_secret_scans, op6_language_id,
-    op7_simhash, op8_exact_dedup, op9_maxscore, op10_quality, op11_filter_audit, op12_order_minhash, pipeline,
+    op7_simhash, op8_exact_dedup, op9_maxscore, op10_quality, op11_filter_audit, op12_order_minhash, op13_prefix_trie, pipeline,
 )}
 
 _ESCAPED = r"regexp_replace({}, '([<\[])(\^*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\2^\3', 'g')"
@@ -176,4 +180,23 @@ SQL: dict[str, str] = {
             CAST(sum(CASE WHEN mask & f > 0 THEN n * (120 // bit_count(mask)) ELSE 0 END) AS BIGINT) AS shapley
         FROM h, s GROUP BY part, filter_order, step
     """,
+    "op13_prefix_trie": r"""
+        WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT c, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS l FROM t GROUP BY c),
+        h AS (SELECT c, l, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+            lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) % 4 AS h FROM o),
+        b AS (SELECT h.c, coalesce(o.l[1:h], []) || h.l[h + 1:] AS l FROM h LEFT JOIN o ON o.c = h.c - h.c % 20),
+        p AS (SELECT c, d, l[1:d] AS k, len(l) = d AS ends FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM b)),
+        n AS (
+            SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, len(list_filter(string_split_regex(coalesce(k[d].x, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words,
+                sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY d, k
+        ), f AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+        a AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN f ON n.d = f.d AND n.k = f.k),
+        s AS (
+            SELECT e AS d, k[1:e] AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens
+            FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM a) GROUP BY 1, 2
+        )
+        SELECT a.conv_id, a.d AS depth, u.conv_id AS parent_conv_id, a.n_convs, a.n_children, s.n_leaves, s.saved_tokens, a.ends_sha256
+        FROM a JOIN s ON a.d = s.d AND a.k = s.k LEFT JOIN n u ON u.d = a.d - 1 AND u.k = a.k[1:a.d - 1]
+    """,
 }
