@@ -95,8 +95,8 @@ def signature(text: str, k: int = K, size: int = TUPLE, draws: int = DRAWS) -> n
     return (out >> _M(32)).astype(np.uint32)
 
 
-def hex_of(s: np.ndarray) -> str:
-    return s.astype(">u4").tobytes().hex()
+def octets(s: np.ndarray) -> bytes:
+    return s.astype(">u4").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -110,17 +110,17 @@ def edited(text: str, following: str) -> str:
 
 
 OUT = pa.schema([
-    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
     ("near_edited", pa.float64()), ("near_next", pa.float64()),
 ])
 EDGE = pa.schema([*OUT, ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
-DDL = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+DDL = "doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compared(doc_id: int | None, text: str, own: np.ndarray, following: str, other: np.ndarray) -> tuple:
     changed = edited(text, following)
     new = own if changed == text else signature(changed)
-    return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), hex_of(own), hex_of(new), likeness(own, new), likeness(own, other)
+    return doc_id, len(text), hashlib.sha256(changed.encode()).digest(), octets(own), octets(new), likeness(own, new), likeness(own, other)
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,4 +166,5 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     parts = sorted(r[0] for r in heads.select("part").collect())  # one number for each partition that has rows
     after = spark.createDataFrame([(p, q) for p, q in zip(parts, parts[1:] + parts[:1])], "part int, following int")
     pairs = tails.join(F.broadcast(after), "part").join(heads.select(F.col("part").alias("following"), F.col("text").alias("next_text")), "following")
-    return walked.where("edge IS NULL").drop("part", "edge", "text").unionByName(pairs.select("doc_id", "text", "next_text").mapInArrow(_across, DDL))
+    every = walked.where("edge IS NULL").drop("part", "edge", "text").unionByName(pairs.select("doc_id", "text", "next_text").mapInArrow(_across, DDL))
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})  # the table has half the size without
