@@ -43,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--exhaustive", action="store_true")
     b.add_argument("--max-candidates", type=int)
     b.add_argument("--dry-run", action="store_true")
+    b.add_argument("--resume", metavar="FOLDER", help="take up a live run that broke, by the folder of its state")
     b.add_argument("--listing")
     b.add_argument("--corpus")
     return p
@@ -123,8 +124,8 @@ def bruteforce(spark: SparkSession, args: argparse.Namespace, responses: DataFra
         print("warning: exhaustive without --max-candidates", file=sys.stderr)
     listing, corpus = (readers.DataPaths().given_or(spark, given, name) for given, name in ((args.listing, C.LISTING_FILE), (args.corpus, C.CORPUS_FILE)))
     run = BruteforceRun(spark, args.data_dir, responses if args.responses else None, listing, corpus, args.strategy, tier, args.max_candidates, args.dry_run)
-    if args.live and not args.dry_run:
-        spec = replace(SPECS["bruteforce"], concurrency=args.concurrency)
+    if (args.live or args.resume) and not args.dry_run:
+        run.state, spec = args.resume, replace(SPECS["bruteforce"], concurrency=args.concurrency)
         run.ask = lambda asked: fetch.fetch(asked, spec, fetch.http_transport)
     n = run.run()
     labels = (("strategy", "Strategy:"), ("tier", "Tier:"), ("candidates_checked", "Candidates checked:"), ("hits_dates", "Hits (date paths):"), ("hits_models", "Hits (model names):"), ("errors", "Transport errors:"), ("run_dir", "Run dir:"))

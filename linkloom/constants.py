@@ -3,6 +3,7 @@
 # Hosts and paths of the archive origin.
 ARCHIVE_HOST = "static.tp-link.com"
 SISTER_HOST = "static.mercusys.com"
+ORIGIN = r"^https://s3\.amazonaws\.com/"
 DATE_ROOT = "/upload/gpl-code/"
 FLAT_ROOT = "/resources/gpl/"
 PICKER_URL = "https://www.tp-link.com/en/choose-your-location/"

@@ -1,15 +1,20 @@
-"""Candidate generators. All are lazy cross products with small literal sides; nothing is materialised before a cap or a lookup."""
+"""Candidate generators: lazy cross products with small literal sides, and the same candidates by ordinal, where a cap, a shard
+or a sweep that is taken up again asks for a range of them. No product is materialised."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import UTC, date, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom import constants as C
 from linkloom.functions.urls import insert_variant
 from linkloom.operators.extract import product_tree
+from linkloom.operators.ordinals import Side, Space, listed, ranked
 
 
 def literals(spark: SparkSession, name: str, values) -> DataFrame:
@@ -48,73 +53,80 @@ def known_date_dirs(lines: DataFrame) -> DataFrame:
     return lines.select(segment.alias("s")).where("s <> ''").distinct().select(F.concat(F.lit(C.DATE_ROOT), "s").alias("date_path"))
 
 
-def first_few(frame: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first n rows; a side of a capped product needs no more of them than the cap."""
-    return frame.orderBy(*order).limit(n)
-
-
-def capped_dates(basenames: DataFrame, paths: DataFrame, cap: int) -> DataFrame:
-    """The first cap rows of date_candidates() by day, form, name and variant, from as many paths and names as they need."""
-    each = len(C.REUPLOADS) + 1
-    few = first_few(basenames.select("basename").distinct(), -(-cap // each) or 1, "basename")
-    names = few.count()
-    if not names or not cap:
-        return basenames.select(F.lit("").alias("url")).limit(0)
-    few = few.select("basename", F.posexplode(F.array(F.lit(""), *map(F.lit, C.REUPLOADS))).alias("variant", "v"))
-    few = few.select("basename", "variant", F.when(F.col("v") == "", F.col("basename")).otherwise(insert_variant(F.col("basename"), F.col("v"))).alias("name"))
-    near = first_few(paths, -(-cap // (names * each)), "day", "form")
-    made = near.crossJoin(F.broadcast(few)).orderBy("day", "form", "basename", "variant").limit(cap)  # at most twice the cap is made
-    return made.select(F.concat(F.lit(f"https://{C.ARCHIVE_HOST}"), "date_path", "name").alias("url"))
-
-
-def capped_models(models: DataFrame, patterns: DataFrame, paths: DataFrame | None, cap: int) -> DataFrame:
-    """The first cap rows of model_candidates() by model, pattern, suffix and path, from as many models as they need."""
-    folders = models.sparkSession.createDataFrame([(C.FLAT_ROOT,)], "date_path string") if paths is None else paths.select("date_path").distinct()
-    folders, forms = first_few(folders, cap or 1, "date_path"), first_few(patterns.select("pattern").distinct(), cap or 1, "pattern")
-    each = forms.count() * len(C.CANDIDATE_EXTENSIONS) * folders.count()
-    if not each or not cap:
-        return models.select(F.lit("").alias("url")).limit(0)
-    few = first_few(models.select("model").distinct(), -(-cap // each), "model")
-    names = few.crossJoin(F.broadcast(forms)).select("*", F.posexplode(F.array(*map(F.lit, C.CANDIDATE_EXTENSIONS))).alias("nth", "ext"))
-    if paths is not None:  # names come before paths, so the first names are enough
-        names = names.orderBy("model", "pattern", "nth").limit(-(-cap // max(1, folders.count())))
-    made = names.crossJoin(F.broadcast(folders)).orderBy("model", "pattern", "nth", "date_path").limit(cap)
-    return made.select(F.concat(F.lit(f"https://{C.ARCHIVE_HOST}"), "date_path", F.replace("pattern", F.lit("{model}"), F.col("model")), F.lit("."), "ext").alias("url"))
+def day_sides(start: str, end: str | None, bare: bool = True) -> tuple[Side, Side]:
+    """Days from start to end (none: today), and what comes before a day in a path; both by rule."""
+    last = date.fromisoformat(end) if end else datetime.now(UTC).date()
+    roots = (C.DATE_ROOT.rstrip("/"), "") if bare else (C.DATE_ROOT.rstrip("/"),)
+    folder = lambda digit: F.date_format(F.date_add(F.lit(start).cast("date"), digit.cast("int")), "/yyyy/yyyyMM/yyyyMMdd/")
+    return Side("day", max(0, (last - date.fromisoformat(start)).days + 1), folder), listed("root", roots)
 
 
-def candidates(spark: SparkSession, strategy: str, basenames: DataFrame, models: DataFrame, patterns: DataFrame, known_dirs: DataFrame, tier: str = "default", start: str = C.FIRST_DAY, end: str | None = None, cap: int | None = None) -> DataFrame:
-    """strategy, url: dates first, then models, never crossed with one another; with a cap, the first ones in the order of
-    their generation (names, models, patterns and known folders in their own order), found by arithmetic on the sizes of
-    the sides: the product is not enumerated.
+@dataclass(frozen=True)
+class Candidates:
+    """The candidates of a strategy and tier by ordinal: dates first, then models, never crossed with one another."""
+
+    parts: tuple[tuple[str, Space], ...]
+
+    @property
+    def size(self) -> int:
+        return sum(space.size for _, space in self.parts)
+
+    def counts(self, cap: int | None = None) -> dict[str, int]:
+        """How many there are by strategy, of the first cap of all."""
+        out, left = {"dates": 0, "models": 0}, self.size if cap is None else cap
+        for name, space in self.parts:
+            out[name] = min(space.size, left)
+            left -= out[name]
+        return out
+
+    def slice(self, lo: int = 0, hi: int | None = None) -> DataFrame:
+        """strategy, ordinal and url of those numbered lo to hi - 1, in no order."""
+        made, start, hi = [], 0, self.size if hi is None else hi
+        for name, space in self.parts:
+            rows = space.rows(max(0, lo - start), max(0, hi - start))
+            url = F.concat(F.lit(f"https://{C.ARCHIVE_HOST}"), *_URL[name](space))
+            made.append(rows.select(F.lit(name).alias("strategy"), (F.col("ordinal") + start).alias("ordinal"), url.alias("url")))
+            start += space.size
+        return reduce(DataFrame.unionByName, made)
+
+
+def _folder(space: Space) -> list[Column]:
+    return [F.col(s.name) for s in reversed(space.sides) if s.name == "root"] + [F.col(s.name) for s in space.sides if s.name in ("day", "date_path")]
+
+
+#: What a candidate's URL is made of, after the host.
+_URL: dict[str, Callable[[Space], list[Column]]] = {
+    "dates": lambda space: [*_folder(space), F.when(F.col("variant") == "", F.col("basename")).otherwise(insert_variant(F.col("basename"), F.col("variant")))],
+    "models": lambda space: [*_folder(space), F.replace("pattern", F.lit("{model}"), F.col("model")), F.lit("."), F.col("ext")],
+}
+
+
+def plan_candidates(spark: SparkSession, strategy: str, basenames: DataFrame, models: DataFrame, patterns: DataFrame, known_dirs: DataFrame, tier: str = "default", start: str = C.FIRST_DAY, end: str | None = None) -> Candidates:
+    """Orders: day, form, name, variant; model, pattern, suffix, path. Names, models, patterns and known folders are distinct and
+    go by their bytes.
 
     Tier exhaustive puts models on every day's paths, thorough on known folders (or the flat folder if there are none).
     """
     if strategy not in ("dates", "models", "all"):
         raise ValueError(f"no such strategy: {strategy}")
-    parts, days, paths = [], date_paths(spark, start, end), _model_paths(spark, known_dirs, tier, start, end)
+    parts, days = [], day_sides(start, end)
     if strategy != "models":
-        found = date_candidates(basenames, days) if cap is None else capped_dates(basenames, days, cap)
-        parts.append(found.select(F.lit("dates").alias("strategy"), "url"))
+        parts.append(("dates", Space(spark, (*days, ranked(basenames, "basename"), listed("variant", ("", *C.REUPLOADS))))))
     if strategy != "dates":
-        left = None if cap is None else cap - candidate_counts(spark, strategy, basenames, models, patterns, known_dirs, tier, start, end, cap)["dates"]
-        found = model_candidates(models, patterns, paths) if left is None else capped_models(models, patterns, paths, left)
-        parts.append(found.select(F.lit("models").alias("strategy"), "url"))
-    return reduce(DataFrame.unionByName, parts)
+        known = ranked(known_dirs, "date_path") if tier == "thorough" else None
+        paths = days if tier == "exhaustive" else (known,) if known is not None and known.size else (listed("date_path", (C.FLAT_ROOT,)),)
+        parts.append(("models", Space(spark, (ranked(models, "model"), ranked(patterns, "pattern"), listed("ext", C.CANDIDATE_EXTENSIONS), *paths))))
+    return Candidates(tuple(parts))
 
 
-def _model_paths(spark: SparkSession, known_dirs: DataFrame, tier: str, start: str, end: str | None) -> DataFrame | None:
-    if tier == "exhaustive":
-        return date_paths(spark, start, end)
-    return known_dirs if tier == "thorough" and known_dirs.limit(1).count() else None
+def candidates(spark: SparkSession, strategy: str, basenames: DataFrame, models: DataFrame, patterns: DataFrame, known_dirs: DataFrame, tier: str = "default", start: str = C.FIRST_DAY, end: str | None = None, cap: int | None = None) -> DataFrame:
+    """strategy, url: all of plan_candidates(), or the first cap of them in its order."""
+    return plan_candidates(spark, strategy, basenames, models, patterns, known_dirs, tier, start, end).slice(0, cap).drop("ordinal")
 
 
 def candidate_counts(spark: SparkSession, strategy: str, basenames: DataFrame, models: DataFrame, patterns: DataFrame, known_dirs: DataFrame, tier: str = "default", start: str = C.FIRST_DAY, end: str | None = None, cap: int | None = None) -> dict[str, int]:
-    """How many candidates() there are by strategy, from the sizes of the sides; names, models and patterns are distinct."""
-    dates = basenames.count() * (len(C.REUPLOADS) + 1) * date_paths(spark, start, end).count() if strategy != "models" else 0
-    paths = _model_paths(spark, known_dirs, tier, start, end)
-    made = models.count() * patterns.count() * len(C.CANDIDATE_EXTENSIONS) * (1 if paths is None else paths.count()) if strategy != "dates" else 0
-    dates = dates if cap is None else min(dates, cap)
-    return {"dates": dates, "models": made if cap is None else min(made, cap - dates)}
+    """How many candidates() there are by strategy, from the sizes of the sides."""
+    return plan_candidates(spark, strategy, basenames, models, patterns, known_dirs, tier, start, end).counts(cap)
 
 
 def region_codes(spark: SparkSession) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom import constants as C
 from linkloom.functions.urls import canonical, null_header
 
 #: Order of the fields in outputs.
@@ -63,8 +64,16 @@ def run_stats(outcomes: DataFrame, total: int | None = None) -> DataFrame:
     return outcomes.agg((n if total is None else F.lit(total)).cast("bigint").alias("total_urls"), n.alias("unique_urls"), F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("dead"))
 
 
+def asked_key(request_url: Column) -> Column:
+    """What a request stands for: the canonical URL, whether that was asked for itself or at the origin."""
+    return F.regexp_replace(canonical(request_url), C.ORIGIN, "https://")
+
+
 def existing(candidates: DataFrame, responses: DataFrame) -> DataFrame:
-    return candidates.join(responses.where("status = 200").select(F.col("request_url").alias("url")), "url", "left_semi")
+    """Candidates whose latest response, of the origin or the host, is 200; names may be written with or without escapes."""
+    heads = responses.select(asked_key(F.col("request_url")).alias("request_url"), "status", "fetched_at")
+    there = latest(heads).where("status = 200").select(F.col("request_url").alias("_there"))
+    return candidates.join(there, canonical(F.col("url")) == F.col("_there"), "left_semi")
 
 
 def unseen(urls: DataFrame, known: DataFrame) -> DataFrame:

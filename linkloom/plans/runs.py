@@ -12,6 +12,7 @@ from linkloom.functions.tokens import corpus_patterns, firmware_models
 from linkloom.functions.urls import canonical, is_archive
 from linkloom.operators import generate, verify
 from linkloom.plans import sinks
+from linkloom.plans.durable import DurableSweep
 from linkloom.session import stored
 from linkloom.sources import readers
 from linkloom.sources.scrape import Ask, Source
@@ -74,7 +75,8 @@ class ScrapeRun:
 
 @dataclass
 class BruteforceRun:
-    """Generate, cap, look up, append. A dry run only counts what would be asked."""
+    """Generate, cap, look up, write hits. A dry run only counts what would be asked. With ask, requests are sent by a durable
+    sweep whose state is in the folder `state`; a run that is given the folder of one that broke takes it up."""
 
     spark: SparkSession
     data_dir: str
@@ -88,6 +90,8 @@ class BruteforceRun:
     start: str | None = None
     end: str | None = None
     ask: Ask | None = None
+    state: str | None = None
+    ranges: int | None = None
     warnings: list[str] = field(default_factory=list)
 
     def listed_models(self) -> DataFrame:
@@ -96,26 +100,30 @@ class BruteforceRun:
         if not self.listing:
             return none
         try:
-            return readers.firmware_listing(self.spark, self.listing).select(F.explode(firmware_models(F.col("key"))).alias("model")).distinct()
+            return stored(readers.firmware_listing(self.spark, self.listing).select(F.explode(firmware_models(F.col("key"))).alias("model")).distinct(), "models")
         except (ValueError, AnalysisException) as e:
             self.warnings.append(f"firmware listing not used: {e}")
             return none
 
-    def candidates(self) -> tuple[DataFrame, int]:
-        """The candidates, and how many they are."""
+    def sides(self) -> tuple[DataFrame, ...]:
         names, dirs = readers.known_corpus(self.spark, self.corpus)
-        options = {k: v for k, v in (("start", self.start), ("end", self.end)) if v}
-        sides = (self.spark, self.strategy, names, stored(self.listed_models(), "models"), corpus_patterns(names), dirs, self.tier)
-        return generate.candidates(*sides, cap=self.max_candidates, **options), sum(generate.candidate_counts(*sides, cap=self.max_candidates, **options).values())
+        return names, self.listed_models(), corpus_patterns(names), dirs
 
     def run(self) -> dict:
-        every, n = self.candidates()
+        days = {k: v for k, v in (("start", self.start), ("end", self.end)) if v}
         out = {"strategy": self.strategy, "tier": self.tier, "dry_run": self.dry_run, "hits_dates": 0, "hits_models": 0, "errors": 0}
-        responses = self.responses if self.ask is None else self.ask(every.select(F.col("url").alias("request_url")).distinct())
-        if self.dry_run or responses is None:
+        if self.ask is not None and not self.dry_run:
+            folder = self.state or f"{self.data_dir}/bruteforce/{sinks.run_id()}"
+            sweep = DurableSweep(self.spark, folder, self.data_dir, self.ask)
+            plan = sweep.prepare(self.strategy, *self.sides(), self.tier, cap=self.max_candidates, ranges=self.ranges, **days)
+            return out | sweep.run(plan)
+        plan = generate.plan_candidates(self.spark, self.strategy, *self.sides(), self.tier, **days)
+        n = sum(plan.counts(self.max_candidates).values())
+        if self.dry_run or self.responses is None:
             return out | {"candidates_checked": 0, "candidates_enumerated": n, "run_dir": None}
         folder = f"{self.data_dir}/scrapes/{sinks.run_id()}"
-        hits = stored(verify.existing(every, responses).select("strategy", canonical(F.col("url")).alias("url")), "hits")
+        found = verify.existing(plan.slice(0, self.max_candidates), self.responses)
+        hits = stored(found.select("strategy", canonical(F.col("url")).alias("url")), "hits")
         out["errors"] = sinks.append_hits(hits, folder)
         for r in hits.groupBy("strategy").count().collect():
             out[f"hits_{r['strategy']}"] = r["count"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkloom import constants as C
 from linkloom.functions import tokens, urls
 from linkloom.operators import extract, generate, verify
+from linkloom.plans.durable import DurableSweep
 from linkloom.plans.sweep import sweep
 from linkloom.session import register_views, stored, stored_path
 from linkloom.sources import fetch, readers, scrape
@@ -301,6 +302,35 @@ def date_candidates_capped(spark, sf_dir):
     return generate.candidates(spark, "all", names, none, none, none, cap=777)
 
 
+_TIER_PATHS = {
+    "thorough": "(SELECT DISTINCT '/upload/gpl-code/' || strftime(o_orderdate, '%Y/%Y%m/%Y%m%d/') AS p FROM orders)",
+    "exhaustive": "(SELECT CASE form WHEN 0 THEN '/upload/gpl-code' ELSE '' END || strftime(d, '/%Y/%Y%m/%Y%m%d/') AS p, strftime(d, '%Y%m%d') || form AS o FROM generate_series(DATE '2021-01-01', DATE '2021-01-07', INTERVAL 1 DAY) s(d), (SELECT unnest([0, 1]) AS form))",
+}
+
+
+def _tier(tier: str, order: str, more: str) -> str:
+    """SQL for the models' candidates on a tier's paths."""
+    return f"""SELECT 'models' AS strategy, 'https://{C.ARCHIVE_HOST}' || d.p || replace(t.p, '{{model}}', m) || '.' || e[i] AS url FROM (SELECT DISTINCT upper(replace(p_name, ' ', '-')) AS m FROM part),
+        (SELECT unnest(['GPL_{{model}}', '{{model}}_GPL', '{{model}}_gpl']) AS p) t, (SELECT ['tar.gz', 'tar.bz2', 'tar', 'tgz', 'zip', 'rar', 'gz', 'bz2'] AS e, unnest(range(1, 9)) AS i), {_TIER_PATHS[tier]} d ORDER BY m, t.p, i, {order} {more}"""
+
+
+@query(_tier("thorough", "d.p", "LIMIT 100000"))
+def thorough_candidates_capped(spark, sf_dir):
+    """Models on the folders of all dates of orders."""
+    line = F.concat(F.lit(f"https://{C.ARCHIVE_HOST}/upload/gpl-code"), F.date_format("o_orderdate", "/yyyy/yyyyMM/yyyyMMdd/"), F.lit("x.zip"))
+    dirs = generate.known_date_dirs(read(spark, sf_dir, "orders").select(line.alias("value")))
+    none = spark.createDataFrame([], "basename string")
+    return generate.candidates(spark, "models", none, _models(spark, sf_dir), generate.literals(spark, "pattern", C.CANONICAL_PATTERNS), dirs, "thorough", cap=100_000)
+
+
+@query(_tier("exhaustive", "d.o", "LIMIT 20000 OFFSET 5000"))
+def exhaustive_candidates_shard(spark, sf_dir):
+    """A shard of the models on every day's paths: the ordinals from 5,000 to 24,999."""
+    none = spark.createDataFrame([], "basename string, date_path string")
+    plan = generate.plan_candidates(spark, "models", none, _models(spark, sf_dir), generate.literals(spark, "pattern", C.CANONICAL_PATTERNS), none, "exhaustive", end="2021-01-07")
+    return plan.slice(5_000, 25_000).drop("ordinal")
+
+
 @query(f"SELECT 'models' AS strategy, count(*) AS n FROM {_MODEL_CANDIDATES} UNION ALL SELECT 'dates', count(DISTINCT p_name) * 5 * 20 FROM part")
 def tier_union_counts(spark, sf_dir):
     names = read(spark, sf_dir, "part").select(F.concat("p_name", F.lit(".zip")).alias("basename")).distinct()
@@ -462,7 +492,41 @@ def verify_stats(spark, sf_dir):
 @query(f"SELECT 'https://h/e' || event_id AS url FROM events WHERE {_STATUS} = 200")
 def existence_semi(spark, sf_dir):
     r = responses_of_events(spark, sf_dir)
-    return verify.existing(r.select(F.col("request_url").alias("url")), r)
+    old = r.withColumn("fetched_at", F.col("fetched_at") - F.expr("INTERVAL 1 DAY")).withColumn("status", F.lit(200))  # what was there once need not be now
+    return verify.existing(r.select(F.col("request_url").alias("url")), r.unionByName(old))
+
+
+_SPACED = "(SELECT DISTINCT p_name || ' v' || p_size || '_GPL.zip' AS b, p_size AS z FROM part)"
+
+
+def heads_of_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Names with spaces, and captured answers of the origin for their paths on two days: 200 or else 404 by the size; where
+    it is divisible by 5 there was a 200 before."""
+    part = read(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" v"), F.col("p_size").cast("string"), F.lit("_GPL.zip")).alias("basename"), F.col("p_size").alias("z")).distinct()
+    public = F.concat(F.lit(f"https://{C.ARCHIVE_HOST}/2024/202402/202402"), F.when(F.col("z") % 2 == 0, "28").otherwise("29"), F.lit("/"), "basename")
+    now = part.select(urls.origin_url(urls.canonical(public)).alias("request_url"), F.when(F.col("z") % 3 == 0, 200).otherwise(404).alias("status"), F.lit("2024-03-01").cast("timestamp").alias("fetched_at"), "z")
+    before = now.where("z % 5 = 0").withColumn("status", F.lit(200)).withColumn("fetched_at", F.lit("2024-02-29").cast("timestamp"))
+    return part.select("basename"), now.unionByName(before).drop("z")
+
+
+@query(f"SELECT 'dates' AS strategy, 'https://{C.ARCHIVE_HOST}/2024/202402/202402' || CASE z % 2 WHEN 0 THEN '28' ELSE '29' END || '/' || replace(b, ' ', '%20') AS url FROM {_SPACED} WHERE z % 3 = 0")
+def bruteforce_hits(spark, sf_dir):
+    """Candidates as they are made, looked up by what the origin is asked for."""
+    names, heads = heads_of_names(spark, sf_dir)
+    none = spark.createDataFrame([], "model string, pattern string, date_path string")
+    every = generate.candidates(spark, "dates", names, none, none, none, start="2024-02-28", end="2024-02-29")
+    return verify.existing(every, heads).select("strategy", urls.canonical(F.col("url")).alias("url"))
+
+
+@query(f"SELECT 'dates' AS strategy, 'https://{C.ARCHIVE_HOST}/2024/202402/202402' || CASE z % 2 WHEN 0 THEN '28' ELSE '29' END || '/' || replace(b, ' ', '%20') AS url FROM {_SPACED} WHERE z % 3 = 0")
+def bruteforce_sweep(spark, sf_dir):
+    """The same by a sweep of four ranges, read from its table of hits."""
+    names, heads = heads_of_names(spark, sf_dir)
+    none = spark.createDataFrame([], "model string, pattern string, date_path string")
+    run = DurableSweep(spark, stored_path(spark, "sweep"), stored_path(spark, "data"), lambda asked: asked.join(verify.latest(heads), "request_url", "left"))
+    plan = run.prepare("dates", names, none, none, none, start="2024-02-28", end="2024-02-29", ranges=4)
+    run.run(plan)
+    return run.hits().select("strategy", "url")
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS url FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")

@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
 from functools import partial
+from http.client import HTTPException
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from linkloom.sources.spec import SourceSpec
 RESPONSES = "request_url string, method string, model string, region string, page int, status int, error string, headers map<string,string>, body string, final_url string, fetched_at timestamp"
 FETCHED = "request_url string, status int, error string, headers map<string,string>, body string, final_url string, fetched_at timestamp"
 
-#: (method, url, spec) to status, headers, body, final url; raises TimeoutError or OSError.
+#: (method, url, spec) to status, headers, body, final url; raises TimeoutError, OSError, HTTPException or ValueError.
 Transport = Callable[[str, str, SourceSpec], tuple[int, dict[str, str], str, str]]
 
 
@@ -59,7 +60,7 @@ def fetch_one(url: str, spec: SourceSpec, transport: Transport, sleep: Callable[
         except TimeoutError:
             out |= {"status": None, "error": "timeout"}
             headers = {}
-        except OSError:
+        except (OSError, HTTPException, ValueError):  # the last two also where a URL can't be asked for at all
             out |= {"status": None, "error": "network"}
             headers = {}
         else:

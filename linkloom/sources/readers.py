@@ -38,7 +38,8 @@ class DataPaths:
 
 
 def scrape_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """value, file, run_id, source of each line of all *.txt below the folder; unreadable files are skipped."""
+    """value, file, run_id, source of each line of all *.txt below the folder; unreadable files are skipped. Files of the parts of
+    a sweep (name.000012.txt) are of one source."""
     raw = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
         .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(folder)
@@ -46,7 +47,7 @@ def scrape_lines(spark: SparkSession, folder: str) -> DataFrame:
     file = F.col("_metadata.file_path")
     parts = F.split(file, "/")
     rows = raw.select(F.explode(F.split(F.make_valid_utf8("value"), r"[\x0b\x0c\x1c-\x1e\x85  ]")).alias("value"), file.alias("file"), parts.alias("p"))
-    return rows.select("value", "file", F.element_at("p", -2).alias("run_id"), F.regexp_replace(F.element_at("p", -1), r"\.txt$", "").alias("source"))
+    return rows.select("value", "file", F.element_at("p", -2).alias("run_id"), F.regexp_replace(F.element_at("p", -1), r"(\.\d{6})?\.txt$", "").alias("source"))
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:

@@ -99,6 +99,7 @@ def test_bruteforce_run(spark, tmp_path):
     run = BruteforceRun(spark, str(tmp_path), responses(spark, [(hit, 200, None, {}, None, None)]), str(tmp_path / "l.json"), str(tmp_path / "c.txt"), start="2024-01-01", end="2024-01-01")
     out = run.run()
     assert out["hits_models"] == 1 and out["hits_dates"] == 0 and out["candidates_checked"] == 2 * 5 + 2 * 3 * 8
+    assert (tmp_path / "scrapes").exists()
     run.dry_run, run.max_candidates = True, 4
     assert run.run()["candidates_enumerated"] == 4
     (tmp_path / "bad.json").write_text("{}")

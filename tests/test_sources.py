@@ -1,6 +1,7 @@
 """Sources as programs, requests that are sent once, runs and command line over captured responses."""
 
 import json
+from dataclasses import replace
 from functools import partial
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from linkloom import cli
 from linkloom.functions.urls import origin_url, regional_url
 from linkloom.operators import generate, verify
+from linkloom.plans import sinks
 from linkloom.plans.runs import BruteforceRun, ScrapeRun, VerifyRun
 from linkloom.sources import fetch, readers, scrape
 from linkloom.sources.spec import SPECS
@@ -114,18 +116,116 @@ def test_capped_candidates_come_in_order_and_are_not_enumerated(spark):
     models = spark.range(1000).selectExpr("concat('M', lpad(id, 4, '0')) AS model")
     patterns = spark.createDataFrame([("GPL_{model}",), ("{model}_GPL",)], "pattern string")
     dirs = spark.createDataFrame([("/b/",), ("/a/",)], "date_path string")
-    got = [r["url"] for r in generate.candidates(spark, "all", names, models, patterns, dirs, start="2021-01-01", end="2021-01-02", cap=7).collect()]
+    days = {"start": "2021-01-01", "end": "2021-01-02"}
+    in_order = lambda rows: [tuple(r)[1:] for r in sorted(rows.select("ordinal", "strategy", "url").collect())]
+    plan = generate.plan_candidates(spark, "all", names, models, patterns, dirs, **days)
     root = f"{HOST}/upload/gpl-code/2021/202101/20210101/"
-    assert got == [f"{root}n00{v}.zip" for v in ("", "_2", "_3", "_v2", "V2")] + [f"{root}n01.zip", f"{root}n01_2.zip"]
+    assert [u for _, u in in_order(plan.slice(0, 7))] == [f"{root}n00{v}.zip" for v in ("", "_2", "_3", "_v2", "V2")] + [f"{root}n01.zip", f"{root}n01_2.zip"]
     every = 50 * 5 * 4
     sides = (spark, "all", names, models, patterns, dirs, "thorough")
-    got = [tuple(r) for r in generate.candidates(*sides, start="2021-01-01", end="2021-01-02", cap=every + 3).collect()]
-    assert len(set(got)) == every + 3 and [u for s, u in got if s == "models"] == [f"{HOST}/a/GPL_M0000.tar.gz", f"{HOST}/b/GPL_M0000.tar.gz", f"{HOST}/a/GPL_M0000.tar.bz2"]
+    plan = generate.plan_candidates(*sides, **days)
+    assert in_order(plan.slice(every, every + 3)) == [("models", f"{HOST}/{d}/GPL_M0000.tar.{e}") for d, e in (("a", "gz"), ("b", "gz"), ("a", "bz2"))]
+    got = {tuple(r) for r in generate.candidates(*sides, **days, cap=every + 3).collect()}
+    assert len(got) == every + 3 and got == set(in_order(plan.slice(0, every + 3)))
+    lazy = generate.date_candidates(names, generate.date_paths(spark, "2021-01-01", "2021-01-02"))
+    assert {u for s, u in got if s == "dates"} == {r["url"] for r in lazy.collect()}
     assert generate.candidate_counts(*sides, start="2021-01-01", end="2021-01-02", cap=every + 3) == {"dates": every, "models": 3}
     assert generate.candidate_counts(*sides, start="2021-01-01", end="2021-01-02") == {"dates": every, "models": 1000 * 2 * 8 * 2}
     assert generate.candidates(*sides, start="2021-01-01", end="2021-01-02", cap=0).count() == 0
 
 
+def test_candidates_by_ordinal_need_no_sort_and_no_limit(spark):
+    names = spark.range(40).selectExpr("concat('n', lpad(id, 2, '0'), '.zip') AS basename")
+    models = spark.range(30).selectExpr("concat('M', lpad(id, 2, '0')) AS model")
+    patterns, dirs = spark.createDataFrame([("GPL_{model}",), ("{model}_GPL",)], "pattern string"), spark.createDataFrame([], "date_path string")
+    plan = generate.plan_candidates(spark, "all", names, models, patterns, dirs, "exhaustive", start="2024-02-28", end="2024-03-01")
+    whole = {r["ordinal"]: (r["strategy"], r["url"]) for r in plan.slice().collect()}
+    assert sorted(whole) == list(range(plan.size)) and plan.size == 3 * 2 * 40 * 5 + 30 * 2 * 8 * 3 * 2 and len(set(whole.values())) == plan.size
+    for few in (500_000, 35, 20, 0):  # sides that are broadcast, and sides that make their own ordinals
+        parts = generate.Candidates(tuple((n, replace(s, broadcast_values=few)) for n, s in plan.parts))
+        cuts = [0, 1, 777, 1200, 1203, 3000, plan.size + 5]
+        shards = [{r["ordinal"]: (r["strategy"], r["url"]) for r in parts.slice(a, b).collect()} for a, b in zip(cuts, cuts[1:])]
+        assert {k: v for s in shards for k, v in s.items()} == whole and sum(map(len, shards)) == plan.size
+        text = parts.slice(100, 1300)._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in text for word in ("TakeOrdered", "GlobalLimit", "CollectLimit"))
+        assert few < 40 or "Sort" not in text
+
+
+class Origin:
+    """Answers of the origin, and a log of what it was asked for; it fails at the given request of a batch."""
+
+    def __init__(self, log, live, fail_at=None):
+        self.log, self.live, self.fail_at, self.batches = log, live, fail_at, 0
+
+    def __call__(self, asked):
+        self.batches += 1
+        if self.batches == self.fail_at:
+            raise RuntimeError("the cluster is gone")
+        log, live = self.log, self.live
+
+        def transport(method, url, spec):
+            with open(log, "a") as f:
+                f.write(f"{method} {url}\n")
+            return (200 if url in live else 404), {}, "", url
+
+        return fetch.fetch(asked, SPECS["bruteforce"], transport, 3)
+
+
+def test_a_sweep_that_broke_is_taken_up_and_asks_nothing_twice(spark, tmp_path, monkeypatch):
+    (tmp_path / "c.txt").write_text(f"{HOST}/upload/gpl-code/2024/202401/20240101/OC300%201_GPL.zip\n{HOST}/2024/202401/20240101/y_GPL.zip\n")
+    origin = "https://s3.amazonaws.com/static.tp-link.com"
+    live = {f"{origin}/2024/202401/20240102/OC300%201_GPL.zip", f"{origin}/upload/gpl-code/2024/202401/20240105/y_GPL_2.zip", f"{origin}/resources/gpl/GPL_AX.zip"}
+    log, state = str(tmp_path / "log"), f"file://{tmp_path}/state"
+    options = {"corpus": str(tmp_path / "c.txt"), "strategy": "dates", "start": "2024-01-01", "end": "2024-01-05", "state": state, "ranges": 5}
+    data = f"file://{tmp_path}/data"
+    with pytest.raises(Exception, match="the cluster is gone"):
+        BruteforceRun(spark, data, ask=Origin(log, live, fail_at=3), **options).run()
+    assert len(open(log).read().splitlines()) == 2 * 20 and list((tmp_path / "data/scrapes").rglob("*.txt"))  # hits so far are there
+    (tmp_path / "c.txt").write_text(f"{HOST}/other_GPL.zip\n")  # what the sweep was prepared with counts
+    broke = sinks.append_hits
+    monkeypatch.setattr(sinks, "append_hits", lambda hits, folder, part=None: 1 if part == 3 else broke(hits, folder, part))
+    with pytest.raises(Exception, match="could not be written"):
+        BruteforceRun(spark, data, ask=Origin(log, live), **options).run()
+    monkeypatch.setattr(sinks, "append_hits", broke)
+    out = BruteforceRun(spark, data, ask=Origin(log, live), **options).run()
+    asked = open(log).read().splitlines()
+    assert len(asked) == len(set(asked)) == out["candidates_checked"] == 5 * 2 * 2 * 5 and all(a.startswith(f"HEAD {origin}/") for a in asked)
+    assert (out["hits_dates"], out["hits_models"], out["errors"]) == (2, 0, 0)
+    folder = out["run_dir"].removeprefix("file://")
+    assert open(f"{folder}/bruteforce_dates.txt").read() == f"{HOST}/2024/202401/20240102/OC300%201_GPL.zip\n{HOST}/upload/gpl-code/2024/202401/20240105/y_GPL_2.zip\n"
+    assert sorted(p.name for p in (tmp_path / "data/scrapes").rglob("*.txt")) == ["bruteforce_dates.txt", "bruteforce_models.txt"]
+    again = BruteforceRun(spark, data, ask=Origin(log, live), **options).run()
+    assert again == out and open(log).read().splitlines() == asked
+
+
+def test_hits_by_the_address_that_was_asked(spark):
+    url = f"{HOST}/upload/gpl-code/OC300 1_GPL.zip"
+    candidates = spark.createDataFrame([(url,), (f"{HOST}/gone",)], "url string")
+    for captured_as in (f"{HOST}/upload/gpl-code/OC300%201_GPL.zip", "https://s3.amazonaws.com/static.tp-link.com/upload/gpl-code/OC300%201_GPL.zip", url):
+        rows = [(captured_as, 200, "2024-01-02"), (captured_as, 404, "2024-01-01"), (f"{HOST}/gone", 200, "2024-01-01"), (f"{HOST}/gone", 404, "2024-02-01")]
+        heads = spark.createDataFrame(rows, "request_url string, status int, at string").withColumn("fetched_at", F.to_timestamp("at"))
+        assert [r["url"] for r in verify.existing(candidates, heads).collect()] == [url]
+
+
+@pytest.mark.parametrize("url", ["https://h/with a space", "no-scheme", "http://[::1", "https://h:port/", "https://h/\x00", ""])
+def test_no_url_ends_a_run(url):
+    r = fetch.fetch_one(url, replace(SPECS["verify"], timeouts_s={"read": 0.01}), fetch.http_transport, lambda s: None)
+    assert r["status"] is None and r["error"] in ("network", "timeout")
+
+
+def test_a_file_is_joined_from_pieces_of_any_number(spark, tmp_path):
+    rows = [(f"https://h/{i:03d}", i if i % 7 else None, "é\u2028\"😀\n\x1f/" if i % 3 else None) for i in range(200)]
+    frame = spark.createDataFrame(rows, "url string, n long, t string").repartition(7)
+    for n, wanted in ((200, rows), (1, rows[:1]), (0, [])):
+        few = frame.where(F.col("url") < f"https://h/{n:03d}")
+        sinks.write_json_array(few, f"file://{tmp_path}/deep/{n}.json", "url")
+        assert open(tmp_path / f"deep/{n}.json").read() == json.dumps([{"url": u, "n": k, "t": t} for u, k, t in wanted], indent=2)
+        sinks.write_lines(few, f"file://{tmp_path}/deep/{n}.txt")
+        assert open(tmp_path / f"deep/{n}.txt").read() == "".join(f"{u}\n" for u, *_ in wanted)
+    sinks.write_lines(frame.limit(0), f"file://{tmp_path}/deep/200.txt")
+    assert open(tmp_path / "deep/200.txt").read() == "" and sorted(p.name for p in (tmp_path / "deep").iterdir()) == ["0.json", "0.txt", "1.json", "1.txt", "200.json", "200.txt"]
+
+
 def test_listing_by_lines(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"key": "firmware/a", "size": 3}\nbad\n{"key": 5}\n{"key": "b"}\n')
     assert sorted((r["key"], r["size"]) for r in readers.firmware_listing(spark, str(tmp_path / "l.jsonl")).collect()) == [("b", 0), ("firmware/a", 3)]
