@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     verbs.choices["verify"].add_argument("-c", "--concurrency", type=int, default=100)
     verbs.choices["scrape"].add_argument("--discoveries", help="Parquet table of source and url")
     verbs.choices["scrape"].add_argument("--listing", help="firmware listing, for the sweep")
+    verbs.choices["scrape"].add_argument("--wikis", help="Parquet table of repository and body of wiki files")
     verbs.choices["scrape"].add_argument("--model-sweep", action="store_true")
     verbs.choices["scrape"].add_argument("--sweep-max-models", type=int)
     b = verbs.choices["bruteforce"]
@@ -96,10 +97,12 @@ def scrape(spark: SparkSession, args: argparse.Namespace, responses: DataFrame)
             path = readers.DataPaths().given_or(spark, args.listing, C.LISTING_FILE)
             listing = readers.firmware_listing(spark, path) if path else spark.createDataFrame([], "key string, size bigint")
             models = model_wordlist(listing, readers.read_corpus(spark, f"{args.data_dir}/scrapes"))
-        run = ScrapeRun(spark, args.data_dir, sources(token, None, models, args.sweep_max_models), live_asks(token) if args.live else partial(fetch.replay, responses=responses))
+        run = ScrapeRun(spark, args.data_dir, sources(token, spark.read.parquet(args.wikis) if args.wikis else None, models, args.sweep_max_models), live_asks(token) if args.live else partial(fetch.replay, responses=responses))
     n = run.run()
     labels = (("regions_scraped", "Regions scraped:"), ("regions_failed", "Regions failed:"), ("pass1_urls", "Pass 1 URLs:"), ("pass2_urls", "Pass 2 URLs:"), ("raw_count", "Raw total:"), ("unique_count", "Unique (normalized):"))
     out = ["Scrape complete", *(f"  {label:<21} {n[k]}" for k, label in labels)]
+    for w in run.warnings:
+        print(f"warning: {w}", file=sys.stderr)
     for name, (raw, unique) in run.per_source_counts.items():
         skipped = name in ("github_search", "tplink_github") and not token and not raw
         out.append(f"  {C.SOURCE_LABELS.get(name, name)}:  " + ("skipped (no GITHUB_TOKEN)" if skipped else f"{unique} unique ({raw} raw)"))
@@ -115,7 +118,7 @@ POLICIES = {
 
 def live_asks(token: str | None) -> dict[str, Ask]:
     signed = partial(fetch.http_transport, headers={"Authorization": f"Bearer {token}", "Accept": "application/vnd.github.text-match+json"})
-    return {name: fetch.asking(SPECS[policy], signed if "github" in name and token else fetch.http_transport) for name, policy in POLICIES.items()}
+    return {name: fetch.Asking(SPECS[policy], signed if "github" in name and token else fetch.http_transport) for name, policy in POLICIES.items()}
 
 
 def bruteforce(spark: SparkSession, args: argparse.Namespace, responses: DataFrame) -> list[str]:

@@ -74,6 +74,7 @@ CDX_PREFIXES = ("static.tp-link.com/resources/gpl/*", "static.tp-link.com/upload
 CRAWL_PREFIXES = ("static.tp-link.com/*", "static.mercusys.com/gpl/*")
 CODE_QUERIES = ("static.tp-link.com/upload/gpl-code in:file", "static.tp-link.com/resources/gpl in:file", "static.mercusys.com/gpl in:file")
 CODE_ENDPOINTS = ("/search/code", "/search/issues")
+CODE_HITS = 1000
 CDX_ENDPOINT = "https://web.archive.org/cdx/search/cdx"
 CRAWL_LISTING = "https://index.commoncrawl.org/collinfo.json"
 CODE_HOST = "https://api.github.com"

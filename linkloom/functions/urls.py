@@ -62,6 +62,11 @@ def origin_url(url: Column) -> Column:
     return F.concat(F.lit("https://s3.amazonaws.com/"), netloc(url), _canonical_path(url))
 
 
+def at_origin(url: Column) -> Column:
+    """origin_url() of a canonical https URL, by its text alone."""
+    return F.regexp_replace(url, "^https://", "https://s3.amazonaws.com/")
+
+
 def regional_url(url: Column, region: Column) -> Column:
     return F.concat(F.lit("https://s3."), region, F.lit(".amazonaws.com/"), netloc(url), _canonical_path(url))
 

@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom import constants as C
-from linkloom.functions.urls import canonical, origin_url
+from linkloom.functions.urls import at_origin, canonical
 from linkloom.operators.generate import Candidates, plan_candidates
-from linkloom.operators.verify import asked_key
 from linkloom.plans import sinks
 
 #: Candidates of a range, unless a number of ranges is given.
@@ -29,7 +28,7 @@ SIDES = {"basenames": "basename", "models": "model", "patterns": "pattern", "kno
 @dataclass
 class DurableSweep:
     """folder: of the sweep's state, in a file system that driver and executors share. data_dir: where runs lie. ask: from
-    request_url to status and error, for instance by sending HEADs."""
+    request_url to status (null: no answer, which is a miss), for instance by sending HEADs."""
 
     spark: SparkSession
     folder: str
@@ -76,11 +75,11 @@ class DurableSweep:
                 made = plan.slice(r["lo"], r["hi"]) if made is None else made.unionByName(plan.slice(r["lo"], r["hi"]))
             if made is None:
                 return
-            asked = made.withColumn("request_url", origin_url(canonical(F.col("url"))))
-            answers = self._kept("answers", batch, lambda: self.ask(asked.select("request_url").distinct()).select("request_url", F.col("status").cast("int").alias("status"), F.col("error").cast("string").alias("error")))
-            there = answers.where("status = 200").select(asked_key(F.col("request_url")).alias("there")).distinct()
-            found = made.select("strategy", canonical(F.col("url")).alias("url"))
-            hits = self._kept("hits", batch, lambda: found.join(there, F.col("url") == F.col("there"), "left_semi"))
+            asked = self._kept("asked", batch, lambda: made.select("strategy", canonical(F.col("url")).alias("url")))
+            requests = asked.select(at_origin(F.col("url")).alias("request_url")).distinct()
+            answers = self._kept("answers", batch, lambda: self.ask(requests).select("request_url", F.col("status").cast("int").alias("status")))
+            there = answers.where("status = 200").select(F.col("request_url").alias("there")).distinct()
+            hits = self._kept("hits", batch, lambda: asked.join(there, at_origin(F.col("url")) == F.col("there"), "left_semi"))
             errors = sinks.append_hits(hits, settings["run_dir"], batch)
             if errors:
                 raise OSError(f"{errors} files of hits of batch {batch} could not be written")

@@ -53,6 +53,7 @@ class ScrapeRun:
     ask: Ask | dict[str, Ask] | None = None
     per_source_counts: dict[str, tuple[int, int]] = field(default_factory=dict)
     failed: dict[str, str] = field(default_factory=dict)
+    warnings: list[str] = field(default_factory=list)
 
     def run(self) -> dict:
         folder = f"{self.data_dir}/scrapes/{sinks.run_id()}"
@@ -66,6 +67,7 @@ class ScrapeRun:
                 sinks.write_lines(rows.where("canonical <> ''").select(F.col("canonical").alias("url")).distinct(), f"{folder}/{name}.txt")
                 self.per_source_counts[name] = n["raw"], n["unique"]
                 passes |= getattr(source, "counts", {})
+                self.warnings += [f"{name}: {q!r} has more hits than the search shows; split it" for q in getattr(source, "cut", [])]
                 rows.unpersist()
             except Exception as e:  # noqa: BLE001  one source's failure is its own
                 self.failed[name] = str(e)

@@ -520,11 +520,11 @@ def bruteforce_hits(spark, sf_dir):
 
 @query(f"SELECT 'dates' AS strategy, 'https://{C.ARCHIVE_HOST}/2024/202402/202402' || CASE z % 2 WHEN 0 THEN '28' ELSE '29' END || '/' || replace(b, ' ', '%20') AS url FROM {_SPACED} WHERE z % 3 = 0")
 def bruteforce_sweep(spark, sf_dir):
-    """The same by a sweep of four ranges, read from its table of hits."""
+    """The same by a sweep of three ranges, read from its table of hits."""
     names, heads = heads_of_names(spark, sf_dir)
     none = spark.createDataFrame([], "model string, pattern string, date_path string")
     run = DurableSweep(spark, stored_path(spark, "sweep"), stored_path(spark, "data"), lambda asked: asked.join(verify.latest(heads), "request_url", "left"))
-    plan = run.prepare("dates", names, none, none, none, start="2024-02-28", end="2024-02-29", ranges=4)
+    plan = run.prepare("dates", names, none, none, none, start="2024-02-28", end="2024-02-29", ranges=3)
     run.run(plan)
     return run.hits().select("strategy", "url")
 
@@ -814,6 +814,23 @@ def source_forums(spark, sf_dir):
     return scrape.Forums().run(spark, answers(spark, pages, dorks))
 
 
+_SWEEP_MODELS = "(SELECT CASE p_partkey % 40 WHEN 0 THEN 'S' ELSE 'L' END || p_partkey AS m FROM part WHERE p_partkey % 40 < 2 AND p_partkey % 3 <> 0)"
+
+
+@query(f"SELECT 'model_sweep' AS source, '{_HOST}/' || r || '/' || m || '_GPL.zip' AS url FROM {_SWEEP_MODELS}, (SELECT unnest(['us', 'pl', 'zz']) AS r)")
+def source_sweep(spark, sf_dir):
+    """Half of the models come from the links of one region's page alone. A region beside the known ones is discovered; a third
+    of the models has no page where probes look, and is not asked for elsewhere."""
+    k = F.col("p_partkey")
+    models = read(spark, sf_dir, "part").where(k % 40 < 2).select(k.alias("k"), F.concat(F.when(k % 40 == 0, "S").otherwise("L"), k.cast("string")).alias("m"))
+    pages = models.withColumn("r", F.explode(F.array(*map(F.lit, ("us", "pl", "zz"))))).where("k % 3 <> 0 OR r <> 'us'")
+    url = scrape.request(C.MODEL_PAGE, model=F.col("m"), appPath=F.col("r"))
+    pages = pages.select(url.alias("request_url"), F.lit(200).alias("status"), F.concat(F.lit(f'<a href="{_HOST}/'), "r", F.lit("/"), "m", F.lit('_GPL.zip">')).alias("body"))
+    links = lists(models.where("k % 40 = 1"), F.concat(F.lit('<a href="?model='), "m", F.lit('">'))).select(scrape.Regional.page(F.lit("de")).alias("request_url"), F.lit(200).alias("status"), "body")
+    tree = spark.range(1).select(scrape.Regional.page(F.lit("zz")).alias("request_url"), F.lit(200).alias("status"), F.lit('var productTree = {"1":[]};').alias("body"))
+    return scrape.ModelSweep(models.where("k % 40 = 0").select(F.col("m").alias("model"))).run(spark, answers(spark, pages, links, tree))
+
+
 @query(f"SELECT 'google' AS source, '{_HOST}/g' || s_suppkey || '.zip' AS url FROM supplier WHERE s_suppkey % 8 <> 3")
 def source_web_search(spark, sf_dir):
     """Result pages for eight suffixes: links within results, one page with text alone, one that asks for consent."""

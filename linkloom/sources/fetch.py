@@ -6,9 +6,11 @@ import random
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
 from functools import partial
+from itertools import repeat
 from http.client import HTTPException
 
 import pandas as pd
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators.verify import latest
 from linkloom.session import stored
-from linkloom.sources.spec import SourceSpec
+from linkloom.sources.spec import SPECS, SourceSpec
 
 RESPONSES = "request_url string, method string, model string, region string, page int, status int, error string, headers map<string,string>, body string, final_url string, fetched_at timestamp"
 FETCHED = "request_url string, status int, error string, headers map<string,string>, body string, final_url string, fetched_at timestamp"
@@ -77,11 +79,11 @@ def _fetch(spec: SourceSpec, transport: Transport, batches: Iterator[pd.DataFram
     with ThreadPoolExecutor(max(1, spec.concurrency)) as pool:
         for pdf in batches:
             done: list[dict] = []
-            urls = pdf["request_url"].tolist()
+            urls = list(zip(pdf["request_url"], pdf["referer"] if "referer" in pdf else repeat(None)))
             for at in range(0, len(urls), max(1, spec.concurrency)):
                 if blocked or (spec.breaker and failures >= spec.breaker):
                     break  # what is left gets no response, as if never asked
-                for r in pool.map(lambda u: fetch_one(u, spec, transport), urls[at : at + max(1, spec.concurrency)]):
+                for r in pool.map(lambda u: fetch_one(u[0], spec, partial(transport, headers={"Referer": u[1]}) if u[1] else transport), urls[at : at + max(1, spec.concurrency)]):
                     failures = failures + 1 if r["status"] is None else 0
                     blocked |= r["status"] in spec.soft_block
                     done.append(r)
@@ -89,10 +91,10 @@ def _fetch(spec: SourceSpec, transport: Transport, batches: Iterator[pd.DataFram
 
 
 def fetch(requests: DataFrame, spec: SourceSpec, transport: Transport, tasks: int | None = None) -> DataFrame:
-    """requests: request_url. Each task keeps `concurrency` requests open and has its own circuit breaker; a source with a
+    """requests: request_url and perhaps referer, which goes with the request as the transport's headers. Each task keeps `concurrency` requests open and has its own circuit breaker; a source with a
     breaker or a soft block runs in one task, for that state is the source's."""
     lone = spec.breaker is not None or bool(spec.soft_block)
-    dealt = requests.select("request_url").repartition(1 if lone else tasks or requests.sparkSession.sparkContext.defaultParallelism)
+    dealt = requests.select("request_url", *(c for c in ("referer",) if c in requests.columns)).repartition(1 if lone else tasks or requests.sparkSession.sparkContext.defaultParallelism)
     return dealt.mapInPandas(partial(_fetch, spec, transport), FETCHED)
 
 
@@ -107,12 +109,24 @@ def verify_heads(urls: DataFrame, spec: SourceSpec, transport: Transport, origin
     return first.join(second.select("url"), "url", "left_anti").unionByName(second).withColumnRenamed("url", "request_url")
 
 
-def asking(spec: SourceSpec, transport: Transport) -> Callable[[DataFrame], DataFrame]:
-    """As replay(), by sending each request once."""
-    def ask(requests: DataFrame) -> DataFrame:
-        return requests.join(stored(fetch(requests.select("request_url").distinct(), spec, transport), spec.name), "request_url", "left")
+@dataclass(frozen=True)
+class Asking:
+    """As replay(), by sending each request once, under one policy; under() gives the same for another."""
 
-    return ask
+    spec: SourceSpec
+    transport: Transport
+
+    def under(self, policy: str) -> Asking:
+        return Asking(SPECS[policy], self.transport)
+
+    def __call__(self, requests: DataFrame) -> DataFrame:
+        sent = requests.select("request_url", *(c for c in ("referer",) if c in requests.columns)).dropDuplicates(["request_url"])
+        return requests.join(stored(fetch(sent, self.spec, self.transport), self.spec.name), "request_url", "left")
+
+
+def under(ask: Callable[[DataFrame], DataFrame], policy: str) -> Callable[[DataFrame], DataFrame]:
+    """ask under another policy, where it knows of policies; captured responses do not."""
+    return ask.under(policy) if isinstance(ask, Asking) else ask
 
 
 def http_transport(method: str, url: str, spec: SourceSpec, headers: dict[str, str] | None = None) -> tuple[int, dict[str, str], str, str]:

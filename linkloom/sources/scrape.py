@@ -21,6 +21,7 @@ from linkloom.operators import generate
 from linkloom.plans.sweep import sweep
 from linkloom.session import stored
 from linkloom.sources import pipelines
+from linkloom.sources.fetch import under
 from linkloom.sources.spec import SPECS
 
 Ask = Callable[[DataFrame], DataFrame]
@@ -65,10 +66,11 @@ def good(pages: DataFrame) -> DataFrame:
 
 @dataclass
 class Regional:
-    """Region pages, then the fragments that their pairs of model and folder name. discover: regions are sought first."""
+    """Region pages, then the fragments that their pairs of model and folder name. discover: regions are sought first, and
+    those given are asked for in any case."""
 
     regions: tuple[str, ...] = C.REGIONS
-    discover: bool = False
+    discover: bool = True
     name: str = "regional_crawl"
     counts: dict[str, int] = field(default_factory=dict)
 
@@ -90,8 +92,8 @@ class Regional:
         pages = stored(ask(regions.withColumn("request_url", self.page(F.col("region")))), "regions")
         rows = stored(X.region_page_rows(good(pages).select("region", "body")), "region-rows")
         pairs = rows.where("kind = 'pair'").select("model", "app_folder").distinct()
-        asked = pairs.withColumn("request_url", request(C.MODEL_PAGE, model=F.col("model"), appPath=F.col("app_folder")))
-        fragments = stored(ask(asked).select(F.explode(X.href_urls(F.col("body"))).alias("url")), "fragments")
+        asked = pairs.withColumn("request_url", request(C.MODEL_PAGE, model=F.col("model"), appPath=F.col("app_folder"))).withColumn("referer", self.page(F.col("app_folder")))
+        fragments = stored(under(ask, "model_page")(asked).select(F.explode(X.href_urls(F.col("body"))).alias("url")), "fragments")
         direct = rows.where("url IS NOT NULL").select("url")
         self.counts = {"regions_scraped": good(pages).count(), "pass1_urls": direct.count(), "pass2_urls": fragments.count()}
         self.counts["regions_failed"] = pages.count() - self.counts["regions_scraped"]
@@ -147,16 +149,24 @@ def code_pages(asked: DataFrame, ask: Ask, cap: int | None) -> DataFrame:
     return walk(asked.withColumn("page", F.lit(1)).withColumn("request_url", url), ask, follow, cap)
 
 
+def cut_queries(pages: DataFrame) -> DataFrame:
+    """Queries and endpoints with more hits than the search gives pages of."""
+    total = F.get_json_object("body", "$.total_count").try_cast("bigint")
+    return good(pages).where((F.col("page") == 1) & (total > C.CODE_HITS)).select("query", "endpoint", total.alias("hits"))
+
+
 @dataclass
 class CodeSearch:
-    """Queries by endpoints; without a token nothing is asked."""
+    """Queries by endpoints; without a token nothing is asked. cut: queries that have more hits than can be seen."""
 
     token: str | None = None
     name: str = "github_search"
+    cut: list[str] = field(default_factory=list)
 
     def run(self, spark: SparkSession, ask: Ask) -> DataFrame:
         asked = generate.requests(spark, query=C.CODE_QUERIES, endpoint=C.CODE_ENDPOINTS)
         pages = code_pages(asked if self.token else asked.limit(0), ask, SPECS["code_search"].page_cap)
+        self.cut = [r["query"] for r in cut_queries(pages).select("query").distinct().collect()]  # of the few queries there are
         return pipelines.code_search(pages, self.name)
 
 
@@ -197,7 +207,7 @@ class Sister:
         url = F.concat(F.lit(f"{C.SISTER_SITE}/"), F.col("region"), F.lit("/support/gpl-code/"))
         models = pipelines.sister_models(stored(ask(index.withColumn("request_url", url)), "index")).select("model")
         asked = models.withColumn("request_url", F.concat(F.lit(f"{C.SISTER_SITE}/en/support/gpl-code/?model="), F.col("model")))
-        return X.explode_urls(good(ask(asked)), X.text_urls(F.col("body"), C.SISTER_URL)).select(F.lit(self.name).alias("source"), "url")
+        return X.explode_urls(good(under(ask, "sister_model")(asked)), X.text_urls(F.col("body"), C.SISTER_URL)).select(F.lit(self.name).alias("source"), "url")
 
 
 @dataclass
@@ -242,7 +252,7 @@ class Forums:
         pages = walk(spark.createDataFrame([(1,)], "page int").withColumn("request_url", url), ask, follow, SPECS["discourse"].page_cap)
         sites = generate.literals(spark, "site", C.DORK_DOMAINS)
         dork = request(C.WEB_SEARCH, q=F.concat(F.lit("site:"), F.col("site"), F.lit(f" {C.LISTING_QUERIES[0]}")), num="10")
-        return pipelines.forums(pages, ask(sites.withColumn("request_url", dork))).select(F.lit(self.name).alias("source"), "url")
+        return pipelines.forums(pages, under(ask, "dork")(sites.withColumn("request_url", dork))).select(F.lit(self.name).alias("source"), "url")
 
 
 @dataclass
@@ -259,20 +269,25 @@ class WebSearch:
 
 @dataclass
 class ModelSweep:
-    """Known models asked for in few regions, siblings once, then what answered in all others."""
+    """Known models, and those that region pages link to, asked for in few regions; siblings once; then what answered in all
+    others. Without regions these are discovered."""
 
     models: DataFrame
-    regions: tuple[str, ...] = C.REGIONS
+    regions: tuple[str, ...] | None = None
     max_models: int | None = None
     name: str = "model_sweep"
+    counts: dict[str, int] = field(default_factory=dict)
 
     def run(self, spark: SparkSession, ask: Ask) -> DataFrame:
         def responses(asked: DataFrame) -> DataFrame:
             url = request(C.MODEL_PAGE, model=F.col("model"), appPath=F.col("region"))
-            return stored(ask(asked.withColumn("request_url", url)), "sweep")
+            return stored(ask(asked.withColumn("request_url", url).withColumn("referer", Regional.page(F.col("region")))), "sweep")
 
-        regions = generate.literals(spark, "region", self.regions)
-        found = sweep(self.models, self.models.limit(0), regions, responses, max_models=self.max_models)
+        regions = generate.literals(spark, "region", self.regions) if self.regions else stored(Regional().found_regions(spark, under(ask, "regional")), "sweep-regions")
+        pages = under(ask, "linked_page")(regions.withColumn("request_url", Regional.page(F.col("region"))))
+        linked = X.explode_urls(good(pages), X.linked_models(F.col("body"))).select(F.col("url").alias("model")).distinct()
+        found = stored(sweep(self.models, stored(linked, "linked"), regions, responses, max_models=self.max_models), "swept")
+        self.counts = found.agg(F.count_distinct("model").alias("validated_models"), F.count_distinct("region").alias("verified_regions")).first().asDict()
         return found.select(F.lit(self.name).alias("source"), "url")
 
 

@@ -37,8 +37,9 @@ SPECS = {s.name: s for s in (
     SourceSpec("search_pages", concurrency=1, retries=0),
     SourceSpec("dork", concurrency=3, retries=0),
     SourceSpec("sister_index", concurrency=10, retries=1, backoff_s=1.0),
-    SourceSpec("sister_model", concurrency=10, retries=0),
+    SourceSpec("sister_model", concurrency=10, retries=0, follow_redirects=True),
     SourceSpec("model_sweep", concurrency=16, retries=0, jitter_s=(0.05, 0.25)),
+    SourceSpec("linked_page", concurrency=16, retries=0, follow_redirects=True, jitter_s=(0.05, 0.25)),
     SourceSpec("verify", method="HEAD", concurrency=100, retries=0),
     SourceSpec("bruteforce", method="HEAD", concurrency=100, retries=0),
 )}

@@ -207,6 +207,32 @@ def test_hits_by_the_address_that_was_asked(spark):
         assert [r["url"] for r in verify.existing(candidates, heads).collect()] == [url]
 
 
+def test_each_request_goes_by_its_policy(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def transport(method, url, spec, headers=None):
+        with open(log, "a") as f:
+            f.write(json.dumps([spec.name, url, headers]) + "\n")
+        body = 'var productTree = {"1":[{"href":"?model=AX","app_folder":"de"}]};' if "/de/support" in url and "tp-link" in url else '<a href="?model=M9">' if "mercusys" in url else ""
+        return 200, {}, body, url
+
+    asks = {name: fetch.Asking(SPECS[policy], transport) for name, policy in cli.POLICIES.items()}
+    none = spark.createDataFrame([("AX21",)], "model string")
+    for source in (scrape.Regional(("de", "fr"), discover=False), scrape.Sister(("en",)), scrape.Forums(), scrape.ModelSweep(none, ("us", "de"))):
+        source.run(spark, asks[source.name]).count()
+    sent = [json.loads(line) for line in open(log)]
+    by = lambda text: {(p, (h or {}).get("Referer")) for p, u, h in sent if text in u}
+    page = "https://www.tp-link.com/{}/support/gpl-code/".format
+    assert by("fr/support/gpl-code/") == {("regional", None)} and by("model=AX&appPath=de") == {("model_page", page("de")), ("model_sweep", page("de"))}
+    assert by("model=AX21&appPath=us") == {("model_sweep", page("us"))} and by("us/support/gpl-code/") == {("linked_page", None)}
+    assert by("mercusys.com/en/support/gpl-code/?model=M9") == {("sister_model", None)} and by("site%3A") == {("dork", None)} and by("openwrt") == {("discourse", None)}
+
+
+def test_a_search_that_is_cut_is_told(spark):
+    pages = spark.createDataFrame([("q", "/e", 1, 200, '{"total_count": 1001, "items": []}'), ("r", "/e", 1, 200, '{"total_count": 1000}'), ("s", "/e", 2, 200, '{"total_count": 5000}'), ("t", "/e", 1, 500, '{"total_count": 5000}'), ("u", "/e", 1, 200, "bad")], "query string, endpoint string, page int, status int, body string")
+    assert [tuple(r) for r in scrape.cut_queries(pages).collect()] == [("q", "/e", 1001)]
+
+
 @pytest.mark.parametrize("url", ["https://h/with a space", "no-scheme", "http://[::1", "https://h:port/", "https://h/\x00", ""])
 def test_no_url_ends_a_run(url):
     r = fetch.fetch_one(url, replace(SPECS["verify"], timeouts_s={"read": 0.01}), fetch.http_transport, lambda s: None)
