@@ -7,28 +7,31 @@ from pyspark.sql import functions as F
 
 from linkloom import constants as C
 
-_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
+# Patterns of URLs in the order scheme, host, path; of white space at both ends; of what goes from within; of a
+# per cent sign that escapes nothing.
+PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
+EDGES, CONTROLS, MALFORMED = r"(?U)^\s+|\s+$", r"[\t\r\n]", "%(?![0-9A-Fa-f]{2})"
 # what form encoding does otherwise than percent-encoding of paths
-_RESTORE = {"+": "%20", "%2F": "/", "%3A": ":", "%40": "@", "%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
+RESTORE = {"+": "%20", "%2F": "/", "%3A": ":", "%40": "@", "%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
 
 
 def strip(text: Column) -> Column:
     """White space of any kind at both ends goes."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, EDGES, "")
 
 
 def _part(url: Column, n: int) -> Column:
-    return F.regexp_extract(F.regexp_replace(strip(url), r"[\t\r\n]", ""), _PARTS, n)
+    return F.regexp_extract(F.regexp_replace(strip(url), CONTROLS, ""), PARTS, n)
 
 
 def percent_decode(text: Column) -> Column:
     """`+` and malformed escapes stay as they are; invalid UTF-8 becomes U+FFFD."""
-    return F.url_decode(F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
+    return F.url_decode(F.replace(F.regexp_replace(text, MALFORMED, "%25"), F.lit("+"), F.lit("%2B")))
 
 
 def percent_encode_path(text: Column) -> Column:
     out = F.url_encode(text)
-    for encoded, plain in _RESTORE.items():
+    for encoded, plain in RESTORE.items():
         out = F.replace(out, F.lit(encoded), F.lit(plain))
     return out
 
@@ -89,22 +92,22 @@ def manifest_line(url: Column, quote_safe: bool = False) -> Column:
     return F.concat(F.lit("cp --if-size-differ '"), target, F.lit("' 'gpl/"), F.regexp_replace(target, "^s3://", ""), F.lit("'"))
 
 
-def _any_suffix(extensions) -> str:
+def any_suffix(extensions) -> str:
     return r"\.(?:" + "|".join(e.lstrip(".").replace(".", r"\.") for e in extensions) + r")\z"
 
 
 def is_archive(url: Column) -> Column:
     """The gate: `gpl` anywhere, and an archive's suffix."""
     low = F.lower(url)
-    return low.contains("gpl") & low.rlike(_any_suffix(C.GATE_EXTENSIONS))
+    return low.contains("gpl") & low.rlike(any_suffix(C.GATE_EXTENSIONS))
 
 
 def archive_extension(url: Column) -> Column:
-    return F.regexp_extract(F.lower(url), _any_suffix(C.GATE_EXTENSIONS), 0)
+    return F.regexp_extract(F.lower(url), any_suffix(C.GATE_EXTENSIONS), 0)
 
 
 def has_fallback_suffix(url: Column) -> Column:
-    return F.lower(url).rlike(_any_suffix(C.FALLBACK_EXTENSIONS))
+    return F.lower(url).rlike(any_suffix(C.FALLBACK_EXTENSIONS))
 
 
 def basename(line: Column) -> Column:

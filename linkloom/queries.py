@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom import constants as C
+from linkloom import sql
 from linkloom.functions import tokens, urls
 from linkloom.operators import extract, generate, verify
 from linkloom.plans.durable import DurableSweep
 from linkloom.plans.sweep import sweep
 from linkloom.session import register_views, stored, stored_path
-from linkloom.sources import fetch, readers, scrape
+from linkloom.sources import datasource, fetch, readers, scrape, tables
+from linkloom.sources.corpus import Corpus
 from linkloom.streaming import dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +24,11 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(text: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
+        if text is not None:
+            SQL[f.__name__] = text
         return f
 
     return register
@@ -237,10 +240,14 @@ def tree_classify(spark, sf_dir):
 
 @query("SELECT CAST(page_id // 50 AS BIGINT) AS page, url || '#' || page_id AS url, 'key' || page_id // 50 AS resume_key FROM pages")
 def cdx_page_parse(spark, sf_dir):
+    parsed = cdx_bodies(spark, sf_dir).select("page", extract.cdx_rows(F.col("body")).alias("r"))
+    return parsed.select("page", F.explode("r.urls").alias("url"), "r.resume_key")
+
+
+def cdx_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 50).alias("page")).agg(F.array_join(F.collect_list(F.concat(F.lit('["'), F.concat("url", F.lit("#"), F.col("page_id").cast("string")), F.lit('"]'))), "\n").alias("lines"))
     body = F.concat(F.lit('["original"]\nbad line\n'), "lines", F.lit('\n[]\n["key'), F.col("page").cast("string"), F.lit('"]\n["late"]'))
-    parsed = rows.select("page", extract.cdx_rows(body).alias("r"))
-    return parsed.select("page", F.explode("r.urls").alias("url"), "r.resume_key")
+    return rows.select("page", body.alias("body"))
 
 
 @query("""WITH m AS (SELECT page_id, regexp_extract_all(replace(html, 'href="/', 'href="?model='), '<a href="\\?model=([^"]+)"', 1) AS m FROM pages)
@@ -666,6 +673,90 @@ def views_in_sql(spark, sf_dir):
     return spark.sql("SELECT source, count(DISTINCT c.url) AS n FROM canonical c GROUP BY source")
 
 
+@query(f"""SELECT 'there' AS part, url FROM {_OUTCOMES} WHERE live UNION ALL SELECT 'unseen', 'https://h/e' || event_id || '/new' FROM events WHERE event_id % 3 = 0""")
+def bucketed_lookup(spark, sf_dir):
+    """Candidates looked up in a table of responses and one of discoveries, neither of which is moved for it."""
+    r = responses_of_events(spark, sf_dir)
+    old = r.withColumn("fetched_at", F.col("fetched_at") - F.expr("INTERVAL 1 DAY")).withColumn("status", F.lit(200))
+    mark, path = uuid.uuid4().hex[:12], stored_path(spark, "tables")
+    there = tables.response_table(r.unionByName(old).select("request_url", "status", "error", "fetched_at"), f"responses_{mark}", f"{path}/responses", 16)
+    known = tables.discovery_table(r.select(F.regexp_replace("request_url", "^https", "HTTP").alias("url")), f"discoveries_{mark}", f"{path}/discoveries", 16)
+    asked = r.select(F.regexp_replace("request_url", "^https", "http").alias("url"))
+    both = asked.unionByName(read(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.format_string("https://h/e%d/new", "event_id").alias("url")))
+    found = tables.existing_in(asked, there).select(F.lit("there").alias("part"), urls.canonical(F.col("url")).alias("url"))
+    return found.unionByName(tables.unseen_in(both, known).select(F.lit("unseen").alias("part"), "url"))
+
+
+@query(f"SELECT DISTINCT {_canonical('url')} AS url FROM pages WHERE page_id % 3 <> 1 OR page_id % 2 = 0")
+def incremental_corpus(spark, sf_dir):
+    """Three run folders, taken in one by one; the second is then overwritten with half of its lines. No file is read again but
+    those."""
+    folder = stored_path(spark, "runs")
+    corpus = Corpus(spark, folder, stored_path(spark, "corpus"))
+    pages = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("value"))
+    for run in range(3):
+        pages.where(F.col("page_id") % 3 == run).select("value").write.text(f"{folder}/run-{run}")
+        corpus.update()
+    pages.where("page_id % 3 = 1 AND page_id % 2 = 0").select("value").write.mode("overwrite").text(f"{folder}/run-1")
+    corpus.update()
+    return corpus.urls()
+
+
+_SQL_TEXT = rf"""{_HARD_CTE}, c AS (SELECT page_id, {_canonical('url')} AS url FROM h)
+    SELECT page_id, url, 'https://s3.amazonaws.com/' || substr(url, 9) AS origin, 'https://s3.r1.amazonaws.com/' || substr(url, 9) AS regional, 's3://' || url_decode(substr(url, 9)) AS object,
+        'cp --if-size-differ ''s3://' || url_decode(substr(url, 9)) || ''' ''gpl/' || url_decode(substr(url, 9)) || '''' AS line FROM c"""
+
+
+@query(_SQL_TEXT)
+def sql_url_functions(spark, sf_dir):
+    """Canonical URLs and keys in SQL text alone."""
+    sql.register(spark)
+    hard_urls(spark, sf_dir).createOrReplaceTempView("hard_urls")
+    return spark.sql("""SELECT page_id, url, url_origin(url) AS origin, url_regional(url, 'r1') AS regional, url_object(url) AS object, url_copy_line(url) AS line
+        FROM (SELECT page_id, url_canonical(url) AS url FROM hard_urls)""")
+
+
+@query(rf"""{_ARCHIVES_CTE} SELECT p_partkey, 'archive' AS kind, url AS text FROM a WHERE contains(lower(url), 'gpl') AND regexp_matches(lower(url), '{_GATE}')
+    UNION ALL SELECT p_partkey, 'token', {_token(_last('key'))} FROM {_KEYS}""")
+def sql_gate_and_tokens(spark, sf_dir):
+    """The archive gate and model tokens in SQL text alone."""
+    sql.register(spark)
+    archives(spark, sf_dir).createOrReplaceTempView("archive_urls")
+    firmware_keys(spark, sf_dir).createOrReplaceTempView("firmware_keys")
+    return spark.sql("""SELECT p_partkey, 'archive' AS kind, url AS text FROM archive_urls WHERE url_is_archive(url)
+        UNION ALL SELECT p_partkey, 'token', model_token(substring_index(key, '/', -1)) FROM firmware_keys""")
+
+
+@query("SELECT CAST(page_id // 50 AS BIGINT) AS page, url || '#' || page_id AS url, 'key' || page_id // 50 AS resume_key FROM pages")
+def sql_cdx_table_function(spark, sf_dir):
+    """Capture pages by the table function."""
+    sql.register(spark)
+    cdx_bodies(spark, sf_dir).createOrReplaceTempView("cdx_bodies")
+    return spark.sql("SELECT page, c.url, c.resume_key FROM cdx_bodies, LATERAL cdx_page(body) AS c(nth, url, resume_key)")
+
+
+def lists_of_runs(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the lists of all runs and sources, written by tasks."""
+    folder = stored_path(spark, "lists")
+    discoveries(spark, sf_dir).where("source <> ''").select(F.col("run_id").alias("run"), "source", F.col("url").alias("value")).write.partitionBy("run", "source").text(folder)
+    return folder
+
+
+@query(f"SELECT DISTINCT url FROM {_DISCOVERIES} WHERE source <> ''")
+def datasource_union(spark, sf_dir):
+    """The lists of all runs and sources, read by the format's name."""
+    datasource.register(spark)
+    return verify.canonical_set(spark.read.format("scrapes").load(lists_of_runs(spark, sf_dir)), "url")
+
+
+@query(f"SELECT source, url, count(*) AS n FROM {_DISCOVERIES} WHERE run_id IN ('run2', 'run5') AND source <> '' GROUP BY source, url")
+def datasource_pushdown(spark, sf_dir):
+    """Two of seven runs; the files of the others are not opened."""
+    datasource.register(spark)
+    rows = spark.read.format("scrapes").load(lists_of_runs(spark, sf_dir)).where(F.col("run").isin("run2", "run5"))
+    return rows.groupBy("source", urls.canonical(F.col("url")).alias("url")).agg(F.count("*").alias("n"))
+
+
 # --- sources, asked from captured responses that are made of the tables ----------------------------------------------
 
 _HOST = f"https://{C.ARCHIVE_HOST}"

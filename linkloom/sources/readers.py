@@ -40,10 +40,12 @@ class DataPaths:
 def scrape_lines(spark: SparkSession, folder: str) -> DataFrame:
     """value, file, run_id, source of each line of all *.txt below the folder; unreadable files are skipped. Files of the parts of
     a sweep (name.000012.txt) are of one source."""
-    raw = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
-        .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(folder)
-    )
+    return lines_of_files(spark, folder, recursiveFileLookup=True, pathGlobFilter="*.txt")
+
+
+def lines_of_files(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
+    """As scrape_lines(), of given files."""
+    raw = spark.read.options(ignoreCorruptFiles=True, ignoreMissingFiles=True, **options).text(paths)
     file = F.col("_metadata.file_path")
     parts = F.split(file, "/")
     rows = raw.select(F.explode(F.split(F.make_valid_utf8("value"), r"[\x0b\x0c\x1c-\x1e\x85  ]")).alias("value"), file.alias("file"), parts.alias("p"))
