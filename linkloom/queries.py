@@ -12,12 +12,14 @@ from linkloom import constants as C
 from linkloom import sql
 from linkloom.functions import tokens, urls
 from linkloom.operators import extract, generate, verify
+from linkloom.plans import sinks
 from linkloom.plans.durable import DurableSweep
 from linkloom.plans.sweep import sweep
 from linkloom.session import register_views, stored, stored_path
 from linkloom.sources import datasource, fetch, readers, scrape, tables
 from linkloom.sources.corpus import Corpus
 from linkloom.streaming import dedup
+from linkloom.streaming import outcomes as outcomes_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,9 +269,11 @@ def search_page_links(spark, sf_dir):
 # --- generators ----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(d AS DATE) AS day, form, CASE form WHEN 0 THEN '/upload/gpl-code' ELSE '' END || strftime(d, '/%Y/%Y%m/%Y%m%d/') AS date_path FROM generate_series(DATE '2023-12-25', DATE '2024-03-02', INTERVAL 1 DAY) s(d), (SELECT unnest([0, 1])::INTEGER AS form)")
+@query("SELECT CAST(d AS DATE) AS day, form, CASE form WHEN 0 THEN '/upload/gpl-code' ELSE '' END || strftime(d, '/%Y/%Y%m/%Y%m%d/') AS date_path FROM generate_series((SELECT CAST(min(o_orderdate) AS DATE) FROM orders), (SELECT CAST(max(o_orderdate) AS DATE) FROM orders), INTERVAL 1 DAY) s(d), (SELECT unnest([0, 1])::INTEGER AS form)")
 def date_paths(spark, sf_dir):
-    return generate.date_paths(spark, "2023-12-25", "2024-03-02")
+    """From the first day of orders to the last."""
+    days = read(spark, sf_dir, "orders").agg(*(F.date_format(f("o_orderdate"), "yyyy-MM-dd") for f in (F.min, F.max))).first()
+    return generate.date_paths(spark, *days)
 
 
 @query(r"""SELECT url FROM (SELECT 'https://static.tp-link.com' || p || regexp_replace(b, '\.zip$', v || '.zip') AS url
@@ -345,9 +349,14 @@ def tier_union_counts(spark, sf_dir):
     return every.groupBy("strategy").agg(F.count("*").alias("n"))
 
 
-@query("SELECT chr(CAST(97 + a AS INTEGER)) || chr(CAST(97 + b AS INTEGER)) AS region FROM range(26) x(a), range(26) y(b)")
+@query("""SELECT r AS region, count(c_name) AS customers FROM (SELECT chr(CAST(97 + a AS INTEGER)) || chr(CAST(97 + b AS INTEGER)) AS r FROM range(26) x(a), range(26) y(b))
+    LEFT JOIN (nation JOIN customer ON c_nationkey = n_nationkey) ON lower(substr(n_name, 1, 2)) = r GROUP BY r""")
 def region_codes(spark, sf_dir):
-    return generate.region_codes(spark)
+    """All codes, and how many customers live where the name begins with them."""
+    named = read(spark, sf_dir, "nation").select("n_nationkey", F.lower(F.substring("n_name", 1, 2)).alias("region"))
+    held = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    of = named.join(held, "n_nationkey").groupBy("region").agg(F.sum("n").alias("customers"))
+    return generate.region_codes(spark).join(of, "region", "left").select("region", F.coalesce("customers", F.lit(0)).alias("customers"))
 
 
 @query("SELECT unnest(string_split('" + " ".join(C.REGIONS) + "', ' ')) AS region UNION SELECT lower(substr(n_name, 1, 2)) FROM nation UNION SELECT lower(substr(r_name, 1, 2)) FROM region")
@@ -362,9 +371,12 @@ def known_date_dirs(spark, sf_dir):
     return generate.known_date_dirs(read(spark, sf_dir, "orders").select(line.alias("value")))
 
 
-@query("SELECT q.q AS query, e.e AS endpoint FROM (SELECT unnest(['" + "','".join(C.CODE_QUERIES) + "']) AS q) q, (SELECT unnest(['/search/code', '/search/issues']) AS e) e")
+@query("SELECT p.p || '/' || replace(s_name, ' ', '_') || '/*' AS prefix, e.e AS endpoint FROM supplier, (SELECT unnest(['" + "','".join(C.CRAWL_PREFIXES) + "']) AS p) p, (SELECT unnest(['/search/code', '/search/issues']) AS e) e")
 def request_plan(spark, sf_dir):
-    return generate.requests(spark, query=C.CODE_QUERIES, endpoint=C.CODE_ENDPOINTS)
+    """Prefixes of suppliers below each known prefix, at each endpoint."""
+    names = read(spark, sf_dir, "supplier").select(F.replace("s_name", F.lit(" "), F.lit("_")).alias("name"))
+    every = generate.requests(spark, known=C.CRAWL_PREFIXES, name=names, endpoint=C.CODE_ENDPOINTS)
+    return every.select(F.concat_ws("/", "known", "name", F.lit("*")).alias("prefix"), "endpoint")
 
 
 @query("SELECT s_suppkey, CAST(unnest(range(s_suppkey % 4)) AS INTEGER) AS page FROM supplier")
@@ -646,17 +658,33 @@ def scrape_folder_corpus(spark, sf_dir):
 
 @query(f"SELECT key, CAST(size AS BIGINT) AS size FROM {_KEYS}")
 def firmware_listing_read(spark, sf_dir):
-    """Keys written as a JSON array, with entries that are left out, then read as a listing."""
-    folder = stored_path(spark, "listing")
-    entries = firmware_keys(spark, sf_dir).agg(F.array_join(F.collect_list(F.to_json(F.struct("key", "size"))), ",").alias("e"))
-    entries.select(F.concat(F.lit('[{"key": 3}, {"no": 1}, "x", '), "e", F.lit("]")).alias("value")).write.text(folder)
-    return readers.firmware_listing(spark, folder).select("key", "size")
+    """Keys written as a JSON array by tasks, with entries that are left out, then cut into elements by tasks."""
+    path = stored_path(spark, "listing.json")
+    entries = firmware_keys(spark, sf_dir).orderBy("key").select(F.to_json(F.struct("key", "size")).alias("value"))
+    sinks.write_whole(entries, path, b'[{"key": 3}, {"no": 1}, "x", "]\\"[{", ', ",\n", b"]")
+    return readers.firmware_listing(spark, path).select("key", "size")
 
 
-@query(rf"{_HARD_CTE} SELECT page_id, url_decode(regexp_replace(regexp_extract(url, '[^/]*$'), '%(z)', '%25\1', 'g')) AS basename FROM h")
+@query(f"SELECT url, live, size, version_id, status, error_type FROM {_OUTCOMES}")
+def stream_outcomes(spark, sf_dir):
+    """Responses that come in two batches, older ones of a URL before and after the one that counts, and repeated; what the
+    stream's state lets through is what the batch operator classifies."""
+    r = responses_of_events(spark, sf_dir)
+    old = r.withColumn("fetched_at", F.col("fetched_at") - F.expr("INTERVAL 1 DAY")).withColumn("status", F.lit(500))
+    n = F.pmod(F.xxhash64("request_url"), F.lit(3))
+    folder = stored_path(spark, "responses")
+    waves = r.where(n == 0).unionByName(old.where(n != 0)), r.where(n != 0).unionByName(old.where(n != 1)).unionByName(r.where(n == 2))
+    for wave, rows in enumerate(waves):
+        rows.write.parquet(f"{folder}/in/wave={wave}")
+        stream = spark.readStream.schema(r.schema).parquet(f"{folder}/in/wave=*")
+        outcomes_stream.write(outcomes_stream.outcomes(stream, keep="4000 days"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    counted = spark.read.parquet(f"{folder}/out").where("kind = 'outcome'").drop("batch", "kind", "attempt")
+    return verify.classified(r.select(F.col("request_url").alias("url")), counted).select("url", "live", "size", "version_id", "status", "error_type")
+
+
+@query(rf"{_HARD_CTE} SELECT url_decode(regexp_replace(regexp_extract(url, '[^/]*$'), '%(z)', '%25\1', 'g')) AS basename FROM h")
 def known_basenames(spark, sf_dir):
-    rows = hard_urls(spark, sf_dir)
-    return rows.select("page_id", tokens.percent_decode(F.substring_index("url", "/", -1)).alias("basename"))
+    return tokens.known_basenames(hard_urls(spark, sf_dir).select(F.col("url").alias("value")))
 
 
 @query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(event_id % 50 AS DOUBLE) WHEN 1 THEN greatest(0.0, CAST(epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2024-01-01 00:00:00') AS DOUBLE)) END AS seconds FROM events""")

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
 from functools import partial
-from itertools import repeat
 from http.client import HTTPException
 
 import pandas as pd
@@ -75,26 +74,41 @@ def fetch_one(url: str, spec: SourceSpec, transport: Transport, sleep: Callable[
 
 
 def _fetch(spec: SourceSpec, transport: Transport, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    failures, blocked = 0, False
-    with ThreadPoolExecutor(max(1, spec.concurrency)) as pool:
+    failures: dict[str | None, int] = {}
+    blocked: set[str | None] = set()
+    at_once = max(1, spec.concurrency)
+    with ThreadPoolExecutor(at_once) as pool:
         for pdf in batches:
             done: list[dict] = []
-            urls = list(zip(pdf["request_url"], pdf["referer"] if "referer" in pdf else repeat(None)))
-            for at in range(0, len(urls), max(1, spec.concurrency)):
-                if blocked or (spec.breaker and failures >= spec.breaker):
-                    break  # what is left gets no response, as if never asked
-                for r in pool.map(lambda u: fetch_one(u[0], spec, partial(transport, headers={"Referer": u[1]}) if u[1] else transport), urls[at : at + max(1, spec.concurrency)]):
-                    failures = failures + 1 if r["status"] is None else 0
-                    blocked |= r["status"] in spec.soft_block
-                    done.append(r)
+            for key, rows in pdf.groupby("apart", sort=False, dropna=False):
+                asked = list(zip(rows["request_url"], rows["referer"]))
+                for at in range(0, len(asked), at_once):
+                    if key in blocked or (spec.breaker and failures.get(key, 0) >= spec.breaker):
+                        break  # what is left gets no response, as if never asked
+                    for r in pool.map(lambda u: fetch_one(u[0], spec, partial(transport, headers={"Referer": u[1]}) if u[1] else transport), asked[at : at + at_once]):
+                        failures[key] = failures.get(key, 0) + 1 if r["status"] is None else 0
+                        if r["status"] in spec.soft_block:
+                            blocked.add(key)
+                        done.append(r)
             yield pd.DataFrame(done, columns=["request_url", "status", "error", "headers", "body", "final_url", "fetched_at"]).astype({"status": "Int32"})
 
 
+def _sent(requests: DataFrame, spec: SourceSpec) -> DataFrame:
+    """What goes to tasks of requests: request_url, referer, apart."""
+    column = lambda c: (F.col(c) if c in requests.columns else F.lit(None)).cast("string")
+    return requests.select("request_url", column("referer").alias("referer"), column(spec.apart or "apart").alias("apart"))
+
+
 def fetch(requests: DataFrame, spec: SourceSpec, transport: Transport, tasks: int | None = None) -> DataFrame:
-    """requests: request_url and perhaps referer, which goes with the request as the transport's headers. Each task keeps `concurrency` requests open and has its own circuit breaker; a source with a
-    breaker or a soft block runs in one task, for that state is the source's."""
-    lone = spec.breaker is not None or bool(spec.soft_block)
-    dealt = requests.select("request_url", *(c for c in ("referer",) if c in requests.columns)).repartition(1 if lone else tasks or requests.sparkSession.sparkContext.defaultParallelism)
+    """requests: request_url and perhaps referer, which goes with the request as the transport's headers. Each task keeps
+    `concurrency` requests open. Breakers and soft blocks are the state of a source, or of each value of the column that its
+    policy keeps apart; what shares a state shares a task."""
+    sent = _sent(requests, spec)
+    tasks = tasks or requests.sparkSession.sparkContext.defaultParallelism
+    if spec.breaker is not None or spec.soft_block:
+        dealt = sent.repartition(tasks, "apart") if spec.apart else sent.repartition(1)
+    else:
+        dealt = sent.repartition(tasks)
     return dealt.mapInPandas(partial(_fetch, spec, transport), FETCHED)
 
 
@@ -120,7 +134,8 @@ class Asking:
         return Asking(SPECS[policy], self.transport)
 
     def __call__(self, requests: DataFrame) -> DataFrame:
-        sent = requests.select("request_url", *(c for c in ("referer",) if c in requests.columns)).dropDuplicates(["request_url"])
+        kept = [c for c in ("referer", self.spec.apart) if c in requests.columns]
+        sent = requests.select("request_url", *kept).dropDuplicates(["request_url"])
         return requests.join(stored(fetch(sent, self.spec, self.transport), self.spec.name), "request_url", "left")
 
 

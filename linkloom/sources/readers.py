@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from linkloom.operators.generate import known_date_dirs
 from linkloom.operators.verify import canonical_set
 from linkloom.functions.tokens import known_basenames
+from linkloom.sources.arrays import array_elements
 
 
 def _there(spark: SparkSession, path: str) -> bool:
@@ -58,14 +59,11 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def firmware_listing(spark: SparkSession, path: str) -> DataFrame:
-    """key, size, modified of the objects in a JSON array; entries whose key is no string are left out. An array is one row
-    to Spark, so 2 GB at most; a listing of one object to a line (*.jsonl, *.ndjson) is read by all tasks, at any size."""
+    """key, size, modified of the objects in a JSON array; entries whose key is no string are left out. An array is cut into
+    chunks that all tasks read, at any size, as is a listing of one object to a line (*.jsonl, *.ndjson)."""
     if path.endswith((".jsonl", ".ndjson")):
         return _keyed(spark.read.text(path).where(F.ltrim("value").startswith("{")).select(F.try_parse_json("value").alias("v")))
-    whole = spark.read.option("wholetext", True).text(path)
-    if whole.where(~F.ltrim("value").startswith("[")).limit(1).count():
-        raise ValueError(f"{path}: a JSON array is expected")
-    return _keyed(whole.select(F.explode(F.from_json("value", "array<string>")).alias("e")).select(F.try_parse_json("e").alias("v")))
+    return _keyed(array_elements(spark, path).select(F.try_parse_json("element").alias("v")))
 
 
 def _keyed(parsed: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ class Regional:
 
 @dataclass
 class Wayback:
-    """Pages of each prefix by resume key, until one fails, is empty or names no key."""
+    """Pages of each prefix by resume key, until one fails, is empty or names no key or one that was there before."""
 
     name: str = "wayback_cdx"
 
@@ -112,11 +112,12 @@ class Wayback:
         return request(C.CDX_ENDPOINT, **fixed, **({} if key is None else {"resumeKey": key}))
 
     def run(self, spark: SparkSession, ask: Ask) -> DataFrame:
-        first = generate.literals(spark, "prefix", C.CDX_PREFIXES).withColumn("request_url", self.url())
+        first = generate.literals(spark, "prefix", C.CDX_PREFIXES).select("prefix", F.array().cast("array<string>").alias("seen"), self.url().alias("request_url"))
 
         def follow(pages: DataFrame) -> DataFrame:
-            keys = good(pages).where(F.trim("body") != "").select("prefix", X.cdx_rows(F.trim("body"))["resume_key"].alias("key")).where("key IS NOT NULL")
-            return keys.select("prefix", self.url(F.col("key")).alias("request_url"))
+            keys = good(pages).where(F.trim("body") != "").select("prefix", "seen", X.cdx_rows(F.trim("body"))["resume_key"].alias("key"))
+            fresh = keys.where(F.col("key").isNotNull() & ~F.array_contains("seen", F.col("key")))
+            return fresh.select("prefix", F.array_append("seen", F.col("key")).alias("seen"), self.url(F.col("key")).alias("request_url"))
 
         pages = walk(first, ask, follow)
         return X.explode_urls(good(pages), X.cdx_rows(F.trim("body"))["urls"]).select(F.lit(self.name).alias("source"), "url")

@@ -19,6 +19,7 @@ class SourceSpec:
     terminal: tuple[int, ...] = (200,)
     soft_block: tuple[int, ...] = ()
     breaker: int | None = None  # consecutive transport failures after which the source is given up
+    apart: str | None = None  # column by which the breaker's state is kept, each value in its own task
     follow_redirects: bool = False
     jitter_s: tuple[float, float] = (0.0, 0.0)
     honours_retry_after: bool = False
@@ -29,7 +30,7 @@ SPECS = {s.name: s for s in (
     SourceSpec("regional", concurrency=50, retries=1, backoff_s=1.0, follow_redirects=True),
     SourceSpec("model_page", concurrency=30, retries=0),
     SourceSpec("wayback", paging="cursor", terminal=(200, 404), jitter_s=(0.1, 0.4)),
-    SourceSpec("common_crawl", paging="number", terminal=(200, 404), breaker=10, jitter_s=(0.1, 0.4)),
+    SourceSpec("common_crawl", paging="number", terminal=(200, 404), breaker=10, apart="index", jitter_s=(0.1, 0.4)),
     SourceSpec("code_search", paging="number", page_cap=10, honours_retry_after=True),
     SourceSpec("organisation_search", paging="number", page_cap=10, honours_retry_after=True),
     SourceSpec("discourse", paging="number", page_cap=4, terminal=(200, 404), soft_block=C.BLOCKED),

@@ -228,6 +228,27 @@ def test_each_request_goes_by_its_policy(spark, tmp_path):
     assert by("mercusys.com/en/support/gpl-code/?model=M9") == {("sister_model", None)} and by("site%3A") == {("dork", None)} and by("openwrt") == {("discourse", None)}
 
 
+def test_breakers_are_apart(spark, tmp_path):
+    """One index that is down does not end the others; requests of an index share a task."""
+    asked = spark.range(90).selectExpr("concat('https://i', id % 3, '/', id) AS request_url", "concat('i', id % 3) AS index")
+
+    def transport(method, url, spec):
+        if "//i1/" in url:
+            raise TimeoutError
+        return 200, {}, "", url
+
+    policy = replace(SPECS["common_crawl"], jitter_s=(0.0, 0.0), retries=0, concurrency=5)
+    got = {r["index"]: r["n"] for r in fetch.Asking(policy, transport)(asked).groupBy("index").agg(F.count_if(F.col("fetched_at").isNotNull()).alias("n")).collect()}
+    assert got == {"i0": 30, "i1": 10, "i2": 30}
+
+
+def test_a_resume_key_that_repeats_ends_the_walk(spark):
+    def ask(asked):
+        return asked.withColumn("status", F.lit(200)).withColumn("body", F.lit('["original"]\n["u"]\n[]\n["k"]'))
+
+    assert scrape.Wayback().run(spark, ask).count() == 2 * 4
+
+
 def test_a_search_that_is_cut_is_told(spark):
     pages = spark.createDataFrame([("q", "/e", 1, 200, '{"total_count": 1001, "items": []}'), ("r", "/e", 1, 200, '{"total_count": 1000}'), ("s", "/e", 2, 200, '{"total_count": 5000}'), ("t", "/e", 1, 500, '{"total_count": 5000}'), ("u", "/e", 1, 200, "bad")], "query string, endpoint string, page int, status int, body string")
     assert [tuple(r) for r in scrape.cut_queries(pages).collect()] == [("q", "/e", 1001)]
