@@ -45,6 +45,10 @@ def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     return rows.where(~F.exists("x", lambda c: c.isNull() | F.isnan(c) | c.isin(math.inf, -math.inf))).select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
 
 
+#: Sums of absolute products up to here fit a long, as do all that are made on the way.
+SAFE = 2.0**62
+
+
 def matrix(column: pa.Array, least: int = 0) -> np.ndarray:
     """Vectors as rows, filled with zeros to one length (a missing component adds nothing)."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -66,7 +70,7 @@ class Shard:
         self.columns = np.ascontiguousarray(self.x.T)
         self.high, self.low = self.columns.max(axis=1), self.columns.min(axis=1)
         self.lists: dict[tuple[int, bool], np.ndarray] = {}
-        self.most = int(np.abs(self.x).max(initial=0))
+        self.most = np.maximum(self.high.astype(float), -self.low.astype(float))
 
     def postings(self, term: int, positive: bool) -> np.ndarray:
         key = term, positive
@@ -79,8 +83,8 @@ class Shard:
         score to beat may be left out."""
         n = len(self.ids)
         width = min(len(q), len(self.columns))
-        if int(np.abs(q).max(initial=0)) * self.most * max(1, width) >= 1 << 63:
-            raise OverflowError("an inner product does not fit a long")
+        if np.abs(q[:width].astype(float)) @ self.most[:width] >= SAFE:
+            return self._exact(query_id, q[:width], k)
         terms = np.flatnonzero(q[:width])
         bounds = np.maximum(0, np.maximum(q[terms] * self.high[terms], q[terms] * self.low[terms]))
         order = np.argsort(-bounds, kind="stable")
@@ -119,6 +123,15 @@ class Shard:
     def _best(self, at: np.ndarray, q: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         return self._cut(at, self.x[at][:, :width] @ q, k)
 
+    def _exact(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where a part of a product might not fit a long: by integers of any size, over all rows."""
+        at = np.flatnonzero(self.ids != query_id)
+        score = self.x[at][:, : len(q)].astype(object) @ q.astype(object)
+        best = sorted(range(len(at)), key=lambda i: (-score[i], self.ids[at[i]]))[:k]
+        if any(not -(1 << 63) <= score[i] < 1 << 63 for i in best):
+            raise OverflowError("one of the highest scores does not fit a long")
+        return self.ids[at[best]], np.array([score[i] for i in best], np.int64)
+
     def _cut(self, at: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((self.ids[at], -score))[:k]
         return self.ids[at][order], score[order]
@@ -161,8 +174,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_block: int |
     at once; None: as many as QUERY_BYTES hold.
 
     Vectors of different lengths meet as if filled with zeros. Rows that repeat an id each count as candidates; as a
-    query, rows that repeat id and vector count once, and with other vectors they compete for one list. Scores that do
-    not fit a long raise an error. An empty table gives an empty one.
+    query, rows that repeat id and vector count once, and with other vectors they compete for one list. Products that may
+    not fit a long are made of integers of any size; a score among the highest that does not fit raises an error. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
     queries = vectors.where(is_query)

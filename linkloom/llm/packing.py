@@ -94,13 +94,14 @@ def pack(docs: DataFrame, length: Column | None = None, costs: Mapping[int, floa
 
     All tokens of all documents are in exactly one piece. A null or empty text is one token long; a very long one gives as
     many full bins as it needs. Repeated rows and rows that share an id are packed each for itself; a null doc_id is packed
-    like any other. Extra columns play no part; an empty table gives an empty one. Rows are numbered and their tokens
+    like any other. A given length that is null or below 1 counts as 1. Extra columns play no part; an empty table gives an empty one. Rows are numbered and their tokens
     counted once, in a table in the shared folder, so that tasks which run again find the same numbers.
     """
     costs = dict(costs or COSTS)
     top = max(costs)
     n = F.col("n")
-    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), (length if length is not None else tokens(F.col(text_col))).cast("long").alias("n"))
+    given = (length if length is not None else tokens(F.col(text_col))).cast("long")
+    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(given, F.lit(1)).alias("n"))
     items, _ = written(counted.withColumn("row_id", F.monotonically_increasing_id()), "lengths")
     full = items.where(n >= top).select("doc_id", "row_id", F.explode(F.sequence(F.lit(0), F.floor(n / top).cast("int") - 1)).alias("piece"))
     full = full.select(

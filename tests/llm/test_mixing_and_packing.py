@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from linkloom.llm import mixing, packing
 
 
@@ -161,3 +163,9 @@ def test_slots_follow_the_weights_however_many():
 def test_mix_of_many_sources(spark):
     df = spark.range(24_000).selectExpr("id AS doc_id", "concat('s', id % 12000) AS source")
     assert mixing.scheduled(df).select("position").distinct().count() == 24_000
+
+
+def test_odd_lengths_are_packed(spark):
+    docs = spark.createDataFrame([(1, 5), (2, None), (3, 0), (4, -3), (5, 5000), (None, 7)], "doc_id long, n int")
+    rows = packing.pack(docs, F.col("n")).collect()
+    assert sorted((r["doc_id"] or 0, r["piece"], r["length"]) for r in rows) == [(0, 0, 7), (1, 0, 5), (2, 0, 1), (3, 0, 1), (4, 0, 1), (5, 0, 4096), (5, 1, 904)]

@@ -126,3 +126,17 @@ def test_maxscore_prunes(monkeypatch):
     ids, scores = shard.top(-1, q, 10)
     order = np.lexsort((np.arange(2000), -(x @ q)))[:10]
     assert ids.tolist() == order.tolist() and scores.tolist() == (x @ q)[order].tolist() and len(shard.lists) < 64
+
+
+def test_maxscore_of_large_components(spark):
+    """Products beyond a long on the way, or by a bound that is not met; and none of them is wrong or an error."""
+    big = 1_000_000_000
+    rows = [(0, [big] + [0] * 63), (1, [big] + [1] * 63), (2, [-big] * 64), (3, [3 * big, 3 * big]), (4, [3 * big, -3 * big]), (5, [big, 5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in maxscore.top_k(vectors, F.col("vec_id").isin(0, 4), 3).collect()}
+    product = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for q in (0, 4):
+        plain = sorted(((i, product(v, rows[q][1])) for i, v in rows if i != q), key=lambda x: (-x[1], x[0]))
+        assert [got[q, r] for r in (1, 2, 3)] == plain[:3]
+    with pytest.raises(Exception, match="does not fit a long"):
+        maxscore.top_k(vectors.unionByName(spark.createDataFrame([(6, [4 * big, 4 * big])], "vec_id long, v array<bigint>")), F.col("vec_id") == 3, 3).collect()
