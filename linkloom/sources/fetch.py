@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -10,7 +11,8 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
 from functools import partial
-from http.client import HTTPException
+from http.client import HTTPConnection, HTTPException, HTTPSConnection, RemoteDisconnected
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -144,23 +146,68 @@ def under(ask: Callable[[DataFrame], DataFrame], policy: str) -> Callable[[DataF
     return ask.under(policy) if isinstance(ask, Asking) else ask
 
 
+#: Seconds that an idle connection is kept, and redirects that are followed.
+KEEP_ALIVE_S, HOPS = 30.0, 20
+_held = threading.local()
+
+
+class _Connections:
+    """A thread's open connections, one for each host: with a pool of as many threads as a policy has requests open, these
+    are what the pool holds, and no request waits for another's connection."""
+
+    def __init__(self) -> None:
+        self.by_host: dict[tuple[str, str, int | None], tuple[HTTPConnection, float]] = {}
+
+    def take(self, key: tuple[str, str, int | None], spec: SourceSpec) -> tuple[HTTPConnection, bool]:
+        """A connection, and whether it has served before."""
+        known, since = self.by_host.pop(key, (None, 0.0))
+        if known is not None and time.monotonic() - since < KEEP_ALIVE_S:
+            return known, True
+        if known is not None:
+            known.close()
+        made = (HTTPSConnection if key[0] == "https" else HTTPConnection)(key[1], key[2], timeout=spec.timeouts_s["connect"])
+        made.connect()
+        return made, False
+
+
+def _exchange(method: str, url: str, spec: SourceSpec, headers: dict[str, str]) -> tuple[int, dict[str, str], str]:
+    parts = urlsplit(url)
+    if parts.scheme not in ("http", "https") or not parts.hostname:
+        raise ValueError(f"no address: {url!r}")
+    if not hasattr(_held, "connections"):
+        _held.connections = _Connections()
+    key = parts.scheme, parts.hostname, parts.port
+    target = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    while True:
+        connection, used = _held.connections.take(key, spec)
+        try:
+            connection.sock.settimeout(spec.timeouts_s["write"])
+            connection.request(method, target, headers=headers)
+            connection.sock.settimeout(spec.timeouts_s["read"])
+            answer = connection.getresponse()
+            body = answer.read()
+        except (RemoteDisconnected, ConnectionError):
+            connection.close()
+            if used:
+                continue  # the server had closed it meanwhile
+            raise
+        except BaseException:
+            connection.close()
+            raise
+        if answer.will_close:
+            connection.close()
+        else:
+            _held.connections.by_host[key] = connection, time.monotonic()
+        return answer.status, dict(answer.headers), body.decode("utf-8", "replace")
+
+
 def http_transport(method: str, url: str, spec: SourceSpec, headers: dict[str, str] | None = None) -> tuple[int, dict[str, str], str, str]:
-    """The default transport, on the standard library: HTTP/1.1 with the source's time limits; redirects only where it follows them."""
-    import urllib.error
-    import urllib.request
-
-    class Stay(urllib.request.HTTPRedirectHandler):
-        def redirect_request(self, *_args):
-            return None
-
-    opener = urllib.request.build_opener(*([] if spec.follow_redirects else [Stay]))
-    request = urllib.request.Request(url, method=method, headers=headers or {})  # noqa: S310
-    try:
-        with opener.open(request, timeout=spec.timeouts_s["read"]) as r:
-            return r.status, dict(r.headers), r.read().decode("utf-8", "replace"), r.url
-    except urllib.error.HTTPError as e:
-        return e.code, dict(e.headers), e.read().decode("utf-8", "replace"), url
-    except urllib.error.URLError as e:
-        if isinstance(e.reason, TimeoutError):
-            raise TimeoutError from e
-        raise
+    """The default transport, on the standard library: HTTP/1.1 over connections that are kept, with the source's limits of time
+    for connecting, sending and reading; redirects only where it follows them."""
+    for _ in range(HOPS + 1):
+        status, found, body = _exchange(method, url, spec, headers or {})
+        to = next((v for k, v in found.items() if k.lower() == "location"), None)
+        if not spec.follow_redirects or status not in (301, 302, 303, 307, 308) or not to:
+            return status, found, body, url
+        url = urljoin(url, to)
+    raise OSError("too many redirects")

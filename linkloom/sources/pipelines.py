@@ -1,9 +1,7 @@
-"""Each source as a plan over captured responses: rows of source and raw url."""
+"""What programs of sources share: rows of source and raw url of captured responses."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,44 +13,16 @@ def _rows(source: str, frame: DataFrame) -> DataFrame:
     return frame.select(F.lit(source).alias("source"), "url").where("url <> ''")
 
 
-def regional(pages: DataFrame, fragments: DataFrame) -> DataFrame:
-    """pages: region, status, body; fragments: model, app_folder, body (whatever their status). Both passes."""
-    found = X.region_page_rows(pages.where("status = 200").select("region", "body"))
-    direct = found.where("url IS NOT NULL").select("url")
-    pairs = found.where("kind = 'pair'").select("model", "app_folder").distinct()
-    second = pairs.join(fragments, ["model", "app_folder"]).select(F.explode(X.href_urls(F.col("body"))).alias("url"))
-    return _rows("regional", direct.union(second))
-
-
-def wayback(pages: DataFrame) -> DataFrame:
-    return _rows("wayback", X.explode_urls(pages.where("status = 200"), X.cdx_rows(F.col("body"))["urls"]))
-
-
-def common_crawl(pages: DataFrame) -> DataFrame:
-    return _rows("common_crawl", X.explode_urls(pages.where("status = 200"), X.ndjson_urls(F.col("body"))))
-
-
 def code_search(pages: DataFrame, name: str = "github_search") -> DataFrame:
     return _rows(name, X.explode_urls(pages.where("status = 200"), X.code_search_urls(F.col("body"))))
 
 
-def organisation(pages: DataFrame, wiki_texts: DataFrame, name: str = "organisation") -> DataFrame:
-    """pages: search results; wiki_texts: body of each wiki file."""
-    return code_search(pages, name).union(_rows(name, X.explode_urls(wiki_texts, X.wiki_urls(F.col("body")))))
-
-
 def sister_models(index_pages: DataFrame) -> DataFrame:
     """index_pages: page (the order), body. Each model where it is first linked."""
     found = index_pages.where("status = 200").select("page", F.posexplode(X.index_models(F.col("body"))).alias("pos", "model"))
     return found.groupBy("model").agg(F.min(F.struct("page", "pos")).alias("at")).select("model", "at.page", "at.pos")
 
 
-def sister(index_pages: DataFrame, model_pages: DataFrame) -> DataFrame:
-    models = sister_models(index_pages).select("model")
-    found = models.join(model_pages.where("status = 200"), "model")
-    return _rows("mercusys_regional", X.explode_urls(found, X.text_urls(F.col("body"), C.SISTER_URL)))
-
-
 def forum_listing(pages: DataFrame) -> DataFrame:
     return _rows("reddit", X.explode_urls(pages.where("status = 200"), X.listing_urls(F.col("body"))))
 
@@ -63,7 +33,3 @@ def forums(discourse_pages: DataFrame, dork_pages: DataFrame) -> DataFrame:
 
 def search_pages(pages: DataFrame) -> DataFrame:
     return _rows("google", X.search_page_urls(pages, True).select("url"))
-
-
-def union_all(*sources: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, sources)

@@ -1,8 +1,11 @@
 """Sources as programs, requests that are sent once, runs and command line over captured responses."""
 
 import json
+import threading
+import time
 from dataclasses import replace
 from functools import partial
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,6 +231,50 @@ def test_each_request_goes_by_its_policy(spark, tmp_path):
     assert by("mercusys.com/en/support/gpl-code/?model=M9") == {("sister_model", None)} and by("site%3A") == {("dork", None)} and by("openwrt") == {("discourse", None)}
 
 
+def test_connections_are_kept_and_limits_of_time_hold():
+    """A server that counts connections, closes some, redirects, and keeps silent."""
+    connections = []
+
+    class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def setup(self):
+            connections.append(self.client_address)
+            super().setup()
+
+        def do_GET(self):
+            if self.path == "/slow":
+                time.sleep(1)
+            body = f"{self.path} {self.headers.get('Referer')}".encode()
+            self.send_response(302 if self.path in ("/moved", "/loop") else 200)
+            if self.path in ("/moved", "/loop"):
+                self.send_header("Location", "/there?x=1" if self.path == "/moved" else "/loop")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(b"" if self.command == "HEAD" else body)
+            self.close_connection = self.path == "/last"
+
+        do_HEAD = do_GET
+        log_message = lambda *_: None
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base, spec = f"http://127.0.0.1:{server.server_port}", SPECS["model_page"]
+        for i in range(5):
+            assert fetch.http_transport("GET", f"{base}/{i}?q", spec, {"Referer": "r"})[::2] == (200, f"/{i}?q r")
+        assert fetch.http_transport("HEAD", f"{base}/h", spec)[2] == "" and len(connections) == 1
+        assert fetch.http_transport("GET", f"{base}/last", spec)[0] == 200 and fetch.http_transport("GET", f"{base}/next", spec)[0] == 200 and len(connections) == 2
+        assert fetch.http_transport("GET", f"{base}/moved", spec)[0] == 302
+        follows = replace(spec, follow_redirects=True)
+        assert fetch.http_transport("GET", f"{base}/moved", follows)[2:] == ("/there?x=1 None", f"{base}/there?x=1")
+        assert fetch.fetch_one(f"{base}/loop", follows, fetch.http_transport)["error"] == "network"
+        hasty = replace(spec, timeouts_s=spec.timeouts_s | {"read": 0.1})
+        assert fetch.fetch_one(f"{base}/slow", hasty, fetch.http_transport)["error"] == "timeout" and fetch.http_transport("GET", f"{base}/after", spec)[0] == 200
+    finally:
+        server.shutdown()
+
+
 def test_breakers_are_apart(spark, tmp_path):
     """One index that is down does not end the others; requests of an index share a task."""
     asked = spark.range(90).selectExpr("concat('https://i', id % 3, '/', id) AS request_url", "concat('i', id % 3) AS index")
@@ -256,7 +303,7 @@ def test_a_search_that_is_cut_is_told(spark):
 
 @pytest.mark.parametrize("url", ["https://h/with a space", "no-scheme", "http://[::1", "https://h:port/", "https://h/\x00", ""])
 def test_no_url_ends_a_run(url):
-    r = fetch.fetch_one(url, replace(SPECS["verify"], timeouts_s={"read": 0.01}), fetch.http_transport, lambda s: None)
+    r = fetch.fetch_one(url, replace(SPECS["verify"], timeouts_s={"connect": 0.01, "write": 0.01, "read": 0.01}), fetch.http_transport, lambda s: None)
     assert r["status"] is None and r["error"] in ("network", "timeout")
 
 
