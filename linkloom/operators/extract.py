@@ -1,15 +1,9 @@
-"""Captured responses to URL rows. Bodies stay in JVM expressions but where a page must be parsed."""
+"""Captured responses to URL rows, in expressions alone."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
 
 from linkloom import constants as C
 from linkloom.functions.tokens import keep_token
@@ -131,51 +125,83 @@ def wiki_urls(text: Column) -> Column:
     return find_all(text, C.ARCHIVE_URL)
 
 
-class _Links(HTMLParser):
-    """href of each <a>, with the classes of the divs around it."""
+# Patterns of markup. A tag's attributes may hold `>` in quotes; comments, scripts and styles hold no tags.
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_MARKUP = rf"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1|\z)|</div(?=[\s/>])[^>]*+>|<(?:a|div)(?=[\s/>]){_ATTRIBUTES}>"
+_ATTRIBUTE = r"""(?s)[\s/]+[^\s=/>"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']*+))?"""
+_VALUE = r"""(?s)=\s*(?:"([^"]*)"|'([^']*)'|(.*))$"""
+_NAMED = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&amp;": "&"}
+RESULT_CLASS = "yuRUbf"
+
+
+def unescaped(text: Column) -> Column:
+    """References to characters by number, and the common ones by name; `&amp;` last, so that nothing is unescaped twice."""
+    refs = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+    parts, found = F.split(text, refs), F.regexp_extract_all(text, F.lit(refs), F.lit(0))
+
+    def letter(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, r"&#[xX]?([0-9a-fA-F]+);", 1)
+        code = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("�")
+
+    def named(plain: Column) -> Column:
+        for name, c in _NAMED.items():
+            plain = F.replace(plain, F.lit(name), F.lit(c))
+        return plain
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, bool]] = []
-        self.divs: list[bool] = []
+    letters = F.concat(F.transform(found, letter), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with(F.transform(parts, named), letters, lambda p, c: F.concat(p, c)), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        named = {k: v or "" for k, v in reversed(attrs)}
-        if tag == "div":
-            self.divs.append("yuRUbf" in named.get("class", "").split())
-        elif tag == "a" and "href" in named:
-            self.found.append((named["href"], any(self.divs)))
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "div" and self.divs:
-            self.divs.pop()
+def attribute(tag: Column, name: str) -> Column:
+    """The first attribute of the name, unescaped; null if there is none, empty if it has no value."""
+    every = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0))
+    first = F.get(F.filter(every, lambda a: a.rlike(rf"(?is)^[\s/]+{name}(?:\s*=|$)")), F.lit(0))
+    return unescaped(F.concat(*(F.regexp_extract(first, _VALUE, n) for n in (1, 2, 3))))
 
 
-def _links(html: str | None) -> list[tuple[str, bool]]:
-    parser = _Links()
-    parser.feed(html or "")
-    parser.close()
-    return parser.found
+def links(html: Column) -> Column:
+    """href of each <a> that has one, in the order of the page, and whether it is within a result: array of href, inside.
 
+    A fold over tags, in place of a tree: how many divs are open, and since which of them one is a result's."""
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_MARKUP), F.lit(0))
+    kept = F.filter(tags, lambda t: t.rlike(r"(?i)^</?(?:a|div)"))
+    seen = F.transform(kept, lambda t: F.struct(
+        F.when(t.startswith("</"), -1).when(t.rlike(r"(?i)^<div"), 1).otherwise(0).alias("step"),
+        F.when(t.rlike(r"(?i)^<a"), attribute(t, "href")).alias("href"),
+        F.coalesce(F.array_contains(F.split(F.when(t.rlike(r"(?i)^<div"), attribute(t, "class")), r"\s+"), RESULT_CLASS), F.lit(False)).alias("result"),
+    ))
+    none = F.lit(0)
+    start = F.struct(none.alias("open"), none.alias("since"), F.array().cast("array<struct<href:string,inside:boolean>>").alias("found"))
 
-@pandas_udf(ArrayType(StringType()))
-def index_models(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def step(acc: Column, t: Column) -> Column:
+        now = F.greatest(acc["open"] + t["step"], none)
+        since = F.when((acc["since"] == 0) & t["result"], now).when(now < acc["since"], none).otherwise(acc["since"])
+        link = F.when(t["href"].isNotNull(), F.array_append(acc["found"], F.struct(t["href"].alias("href"), (acc["since"] > 0).alias("inside")))).otherwise(acc["found"])
+        return F.struct(now.alias("open"), since.alias("since"), link.alias("found"))
+
+    return F.aggregate(seen, start, step, lambda acc: acc["found"])
+
+
+def index_models(html: Column) -> Column:
     """Models that an index page links to, in its order, repeats kept."""
-    for s in pages:
-        yield s.map(lambda html: [h[7:] for h, _ in _links(html) if h.startswith("?model=") and len(h) > 7])
+    models = F.filter(links(html), lambda x: x["href"].startswith("?model=") & (F.length(x["href"]) > 7))
+    return F.transform(models, lambda x: F.substring(x["href"], F.lit(8), F.length(x["href"])))
 
 
-@pandas_udf(ArrayType(StringType()))
-def result_links(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def result_links(html: Column) -> Column:
     """Hrefs within search results that name either host."""
-    for s in pages:
-        yield s.map(lambda html: [h for h, inside in _links(html) if inside and (C.ARCHIVE_HOST in h or C.SISTER_HOST in h)])
+    return F.transform(F.filter(links(html), lambda x: x["inside"] & _of_hosts(x["href"])), lambda x: x["href"])
+
+
+def any_links(html: Column) -> Column:
+    return F.transform(F.filter(links(html), lambda x: _of_hosts(x["href"])), lambda x: x["href"])
 
 
-@pandas_udf(ArrayType(StringType()))
-def any_links(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in pages:
-        yield s.map(lambda html: [h for h, _ in _links(html) if C.ARCHIVE_HOST in h or C.SISTER_HOST in h])
+def _of_hosts(href: Column) -> Column:
+    return F.contains(href, F.lit(C.ARCHIVE_HOST)) | F.contains(href, F.lit(C.SISTER_HOST))
 
 
 def search_page_urls(pages: DataFrame, within_results: bool = True) -> DataFrame:
