@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.window import Window
 
 SEGMENT = 64
 #: Characters of the pieces in which a formatted text is cut to read spans of it.
@@ -104,17 +105,15 @@ def segments(turns: DataFrame, learn_roles: tuple[str, ...] = ("assistant",)) ->
 
 def conversations(parts: DataFrame) -> DataFrame:
     """Segments joined to conversations: conv_id, formatted, loss_spans, n_turns, attachments, expanded_tokens."""
-    whole = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("segment", "formatted", "loss_spans", "n_turns", "attachments"))).alias("s"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        moved = F.transform(x["loss_spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["length"].alias("length")))
-        return F.struct((acc["at"] + F.length(x["formatted"])).cast("bigint").alias("at"), F.concat(acc["spans"], moved).alias("spans"))
-
+    before = F.sum(F.length("formatted").cast("bigint")).over(Window.partitionBy("conv_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
+    placed = parts.withColumn("at", F.coalesce(before, F.lit(0).cast("bigint")))
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("segment", "formatted", "loss_spans", "n_turns", "attachments", "at"))).alias("s"))
+    # each span moves by what stands before its segment: linear in the turns
+    moved = F.transform("s", lambda x: F.transform(x["loss_spans"], lambda s: F.struct((s["start"] + x["at"]).alias("start"), s["length"].alias("length"))))
     attached = F.flatten(F.transform("s", lambda x: x["attachments"]))
     return whole.select(
         "conv_id", F.array_join(F.transform("s", lambda x: x["formatted"]), "").alias("formatted"),
-        F.aggregate("s", zero, step, lambda acc: acc["spans"]).alias("loss_spans"),
+        F.flatten(moved).alias("loss_spans"),
         F.aggregate("s", F.lit(0).cast("bigint"), lambda n, x: n + x["n_turns"]).alias("n_turns"), attached.alias("attachments"),
         F.aggregate(attached, F.lit(0).cast("bigint"), lambda n, x: n + x["tokens"]).alias("expanded_tokens"),
     )

@@ -70,3 +70,10 @@ def test_spans_across_pieces(spark, monkeypatch):
 def test_main_path_is_native(spark, sf):
     plan = queries.op2_chat_formatting(spark, sf)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
+
+
+def test_spans_across_many_segments(spark):
+    rows = [(c, None if i == 0 else i, "assistant" if i % 3 else "user", f"said {c} {i} </s>" * (i % 4)) for c in (1, 2, None) for i in range(500)]
+    got = queries.chat_digests(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    want = {c: hashlib.sha256("".join(r[3] for r in rows if r[0] == c and r[2] == "assistant").encode()).hexdigest() for c in (1, 2, None)}
+    assert {r["conv_id"]: r["loss_sha256"] for r in got} == want and {r["n_turns"] for r in got} == {500}
