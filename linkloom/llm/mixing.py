@@ -133,8 +133,9 @@ def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None
 
     weights: by source; each source needs a positive one. None: rows of the source to the power POWER. period: weights are
     rounded to fractions of it; None: they are exact. block_docs: rows of a block; None: see above. Within a source,
-    rows come in the order of a hash of doc_id (of the row, where doc_id is null), and rows that share an id in the order
-    of a hash of theirs, so that a task that is run again numbers them alike. Position has gaps only where the last block of a source isn't full; it is
+    rows are dealt to buckets by a hash of the whole row, so that rows that share an id spread like others; a bucket's rows
+    come in the order of a hash of doc_id (of the row, where doc_id is null), then of the row, so that a task that is run
+    again numbers them alike. Only rows that are equal in all columns share a bucket for certain. Position has gaps only where the last block of a source isn't full; it is
     unique. Null and empty sources are sources like any other, repeated rows are rows like any other, texts of any length
     are only carried, and columns of docs may have any names. An empty table gives an empty one.
     """
@@ -165,7 +166,7 @@ def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None
     table = few(spark.createDataFrame(sources), len(counts))
 
     # number the rows of a source without gathering them: by bucket, after the rows of the buckets before it
-    sized = rows.join(table, "source_key").withColumn("bucket", F.pmod("h", "buckets"))
+    sized = rows.join(table, "source_key").withColumn("bucket", F.pmod("tie", "buckets"))
     before = sized.groupBy("source_key", "bucket").agg(F.count("*").alias("n"))
     before = before.select("source_key", "bucket", (F.sum("n").over(Window.partitionBy("source_key").orderBy("bucket")) - F.col("n")).alias("before"))
     numbered = sized.withColumn("nth", F.row_number().over(Window.partitionBy("source_key", "bucket").orderBy("h", "id", "tie")) - 1)

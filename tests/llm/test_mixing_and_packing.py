@@ -169,3 +169,12 @@ def test_odd_lengths_are_packed(spark):
     docs = spark.createDataFrame([(1, 5), (2, None), (3, 0), (4, -3), (5, 5000), (None, 7)], "doc_id long, n int")
     rows = packing.pack(docs, F.col("n")).collect()
     assert sorted((r["doc_id"] or 0, r["piece"], r["length"]) for r in rows) == [(0, 0, 7), (1, 0, 5), (2, 0, 1), (3, 0, 1), (4, 0, 1), (5, 0, 4096), (5, 1, 904)]
+
+
+def test_rows_of_one_id_are_dealt_to_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    df = spark.range(2000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("s").alias("source"))
+    want = sorted(r["position"] for r in mixing.scheduled(df).collect())
+    assert want == list(range(2000))
+    buckets = df.groupBy(F.pmod(mixing.row_hash(df), F.lit(40))).count().agg(F.max("count"), F.count("*")).first()
+    assert buckets[0] < 100 and buckets[1] == 40
