@@ -3,6 +3,7 @@
 Three stages, all of them grouping by digest and full content, so that no stage trusts a digest alone: rows are combined
 where they are read (Spark's map-side aggregation), the combined rows meet in salted digest groups, and the winners of
 the salts meet in one group for each digest. A group of copies of any size thus leaves each task as one row for each salt.
+Where rows meet their group again, groups of over 1/SHARES of all rows are dealt to several keys, so that no key has more.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import small_batches, texts, utf8, written
 
 SALTS = 8
+#: No key of the last join has over this part of all rows; so many digests are broadcast at most (some 50 bytes each).
+SHARES = 4096
 
 
 def sha256(content: bytes) -> bytes:
@@ -63,9 +66,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     both = texts(docs, id_col, text_col)
     rows = both.select("doc_id", normalised(F.col("text")).alias("content"), digest_of(F.col("text"), digest).alias("digest"))
     found, _ = written(groups(rows, salts), "groups")
-    one = found.where(F.col("contents").isNull()).select(F.col("digest").alias("of"), "keep_id", "group_size")
+    total = found.agg(F.sum("group_size")).first()[0] or 0
+    keys = F.ceil(F.col("group_size") * SHARES / F.lit(max(total, 1))).cast("int")
+    one = found.where(F.col("contents").isNull()).withColumn("keys", keys).select(F.col("digest").alias("of"), "keep_id", "group_size", "keys")
+    large = F.broadcast(one.where("keys > 1").select(F.col("of").alias("large"), "keys"))
+    # by the task as well, or rows without an id would share a key
+    nth = F.pmod(F.xxhash64(F.lit(13), "doc_id", F.spark_partition_id()), F.coalesce("keys", F.lit(1))).cast("int")
     # null-safe, though no digest is null: for a plain equality Spark would filter by a digest of its own before
-    out = both.select("doc_id", digest_of(F.col("text"), digest).alias("digest")).join(one, F.expr("digest <=> of")).drop("of")
+    dealt = both.select("doc_id", digest_of(F.col("text"), digest).alias("digest")).join(large, F.expr("digest <=> large"), "left").select("doc_id", "digest", nth.alias("nth"))
+    spread = one.select("of", "keep_id", "group_size", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("of_nth"))
+    out = dealt.join(spread, F.expr("digest <=> of AND nth <=> of_nth")).drop("of", "nth", "of_nth")
     mixed = found.where(F.col("contents").isNotNull())
     if mixed.limit(1).count():
         apart = mixed.select("digest", F.inline("contents"))

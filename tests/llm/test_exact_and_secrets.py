@@ -93,3 +93,13 @@ def test_secrets_odd_rows(odd_docs, no_docs):
     got = secrets.find_secrets(odd_docs).collect()
     assert len(got) == 11 and all(not r["spans"] for r in got)
     assert secrets.find_secrets(no_docs).collect() == []
+
+
+def test_exact_dedup_deals_large_groups_to_several_keys(spark, monkeypatch):
+    same = [(None if i % 4 == 0 else i, "Same" if i % 2 else "same") for i in range(900)]
+    rows = same + [(i, f"pair {i // 2}") for i in range(1000, 1400)] + [(i, f"own {i}") for i in range(2000, 2500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for shares in (1, 16, 10**5):  # no group, one, all but none are large
+        monkeypatch.setattr(exact_dedup, "SHARES", shares)
+        got = exact_dedup.exact_duplicates(df).collect()
+        assert sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in got), key=str) == plain(rows)
