@@ -63,3 +63,16 @@ def test_decisions_are_of_rows_not_of_ids(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(corpus_pipeline.toxicity, "score", scored)
     left = corpus_pipeline.drop_toxic(spark, df, str(tmp_path))
     assert sorted(r["text"] for r in left.collect()) == sorted(t for _, t in rows if t not in bad)
+
+
+def test_rows_whose_keys_collide_are_not_lost(spark, monkeypatch):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, own(i), "s") for i in range(6)] + [(2, own(2), "s"), (3, own(9), "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+    def marked(docs):
+        return docs.withColumn("_row_key", F.when(F.col("doc_id").isin(2, 3), F.lit(5)).otherwise(F.col("doc_id")).cast("long")), "_row_key"
+
+    monkeypatch.setattr(corpus_pipeline, "_marked", marked)
+    got = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert sorted(map(tuple, got.collect())) == sorted(set(rows))
