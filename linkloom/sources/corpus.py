@@ -7,6 +7,7 @@ and URL and takes one off for each that is gone. A version is there when its man
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from linkloom.functions.urls import canonical
 from linkloom.plans import sinks
 from linkloom.sources.readers import lines_of_files
 
+LISTED = "path string, size bigint, modified timestamp"
 MANIFEST = "path string, size bigint, modified timestamp, since int"
 #: Versions after which counts are summed up anew.
 COMPACT = 32
@@ -51,15 +53,19 @@ class Corpus:
         """Takes in what changed. files_read, files_gone (overwritten ones are both), version."""
         old, key = self.version(), ["path", "size", "modified"]
         new = old + 1
-        before, now = self.manifest(old), self.listed()
+        # listed once, before any file is read: one that changes later differs from its entry, and is read again by the next update
+        self.listed().write.mode("overwrite").parquet(f"{self.state}/listed/{new}")
+        before, now = self.manifest(old), self._table("listed", new, LISTED)
         stay = before.join(now, key, "left_semi")
         read = [r[0] for r in now.join(before, key, "left_anti").select("path").collect()]  # names of files, as any scan of them needs
         gone = before.join(now, key, "left_anti").select("path", "since").collect()
         if not read and not gone:
             return {"files_read": 0, "files_gone": 0, "version": old}
         if read:
-            lines = lines_of_files(self.spark, read)
-            held = lines.select(F.col("file").alias("path"), canonical(F.col("value")).alias("url")).where("url <> ''").distinct()
+            lines = lines_of_files(self.spark, [re.sub(r"([\\*?\[\]{}])", r"\\\1", path) for path in read])  # names, not patterns
+            # paths of files that are read come percent-encoded, unlike those that are listed
+            path = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+            held = lines.select(path.alias("path"), canonical(F.col("value")).alias("url")).where("url <> ''").distinct()
         else:
             held = self.spark.createDataFrame([], "path string, url string")
         held.write.mode("overwrite").parquet(f"{self.state}/held/{new}")
