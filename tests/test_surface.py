@@ -1,5 +1,6 @@
 """What other programs use: SQL functions, the data source, tables for lookups, the corpus as it changes."""
 
+import io
 import os
 
 import pytest
@@ -59,18 +60,34 @@ def test_scrapes_by_name(spark, runs):
 
 def test_filters_choose_files(runs):
     reader = datasource.ScrapesReader(runs)
-    assert len(reader.partitions()) == 5
+    files = lambda: sorted(os.path.basename(x.path) for p in reader.partitions() for x in p.pieces)
+    assert len(files()) == 5
     left = list(reader.pushFilters([EqualTo(("run",), "r2"), In(("source",), ("a", "b")), GreaterThan(("url",), "x"), EqualTo(("url",), "y")]))
     assert [type(f) for f in left] == [GreaterThan, EqualTo]
-    assert sorted(os.path.basename(p.path) for p in reader.partitions()) == ["a.000001.txt", "a.txt"]
+    assert files() == ["a.000001.txt", "a.txt"]
 
 
-def test_chunks_cut_lines(runs, monkeypatch):
-    monkeypatch.setattr(datasource, "CHUNK", 5)
-    reader = datasource.ScrapesReader(runs)
-    (part,) = (p for p in reader.partitions() if p.path.endswith("r1/b.txt"))
-    assert [u for b in reader.read(part) for u in b.column(2).to_pylist()] == ["https://h/é"]
-    assert reader.partitions() and datasource.ScrapesReader(runs + "/none").partitions() == []
+@pytest.mark.parametrize("text", [b"", b"\n", b"a", b"a\n", b"\n\na\n\n", b"ab\r\n" * 7, "é\n日本\nxyz".encode(), b"one very long line\nb\n" + b"c" * 40, b"x" * 23 + b"\n"])
+@pytest.mark.parametrize("chunk", [1, 5, 64])
+def test_ranges_hold_each_line_once(text, chunk, monkeypatch):
+    monkeypatch.setattr(datasource, "CHUNK", chunk)
+    whole = text.split(b"\n")
+    whole = whole[:-1] if not whole[-1] else whole
+    for split in (*range(1, 12), 100):
+        got = [line for start in range(0, len(text), split) for lines in datasource.lines_in(io.BytesIO(text), start, min(start + split, len(text))) for line in lines]
+        assert got == whole, (split, got)
+
+
+def test_large_files_are_split_and_small_ones_share_a_task(spark, runs, monkeypatch):
+    assert len(datasource.ScrapesReader(runs).partitions()) == 1 and datasource.ScrapesReader(runs + "/none").partitions() == []
+    split = [p for p in datasource.ScrapesReader(runs, 8).partitions() for p in p.pieces]
+    assert max(p.end - p.start for p in split) == 8 and sum(p.end - p.start for p in split) == sum(os.path.getsize(f) for f in {p.path for p in split})
+    datasource.register(spark)
+    read = lambda **options: sorted(map(tuple, spark.read.format("scrapes").options(**options).load(runs).collect()))
+    assert read(split_bytes=8) == read() and len(read()) == 9
+    pieces = [datasource.Piece("", "", "", 0, n) for n in (10, 20, 30, 100, 1)]
+    monkeypatch.setattr(datasource, "OPENING", 5)
+    assert [[p.end for p in d.pieces] for d in datasource.dealt(pieces, 50)] == [[10, 20], [30], [100], [1]]
 
 
 def test_lookups_do_not_move_the_table(spark, tmp_path):
@@ -104,7 +121,7 @@ def test_corpus_follows_its_files(spark, tmp_path, monkeypatch):
     corpus = Corpus(spark, str(folder), str(tmp_path / "state"))
     steps = [
         {"r1/a.txt": "https://h/1\nhttp://h/1\nhttps://h/2\n", "r1/b.txt": "https://h/2\n"}, {}, {"r2/a.txt": "https://h/3\nhttps://h/1\n"}, {"r1/a.txt": "https://h/2\n"}, {"r1/b.txt": None, "r2/a.txt": "https://h/9\n"},
-        {"r1/a.txt": None}, {"r3/é x.txt": "https://h/7\n"},
+        {"r1/a.txt": None}, {"r3/é x%20+[1].txt": "https://h/7\n"}, {"r3/é x%20+[1].txt": "https://h/8\n"}, {"r3/é x%20+[1].txt": None},
     ]
     read = []
     for nth, step in enumerate(steps):
@@ -118,5 +135,24 @@ def test_corpus_follows_its_files(spark, tmp_path, monkeypatch):
                 os.utime(path, (nth * 10 + 1_000_000, nth * 10 + 1_000_000))
         read.append(corpus.update())
         assert sorted(r["url"] for r in corpus.urls().collect()) == sorted(r["url"] for r in readers.read_corpus(spark, str(folder)).collect())
-    assert [(r["files_read"], r["files_gone"]) for r in read] == [(2, 0), (0, 0), (1, 0), (1, 1), (1, 2), (0, 1), (1, 0)] and corpus.version() == 6
+    assert [(r["files_read"], r["files_gone"]) for r in read] == [(2, 0), (0, 0), (1, 0), (1, 1), (1, 2), (0, 1), (1, 0), (1, 1), (0, 1)] and corpus.version() == 8
     assert sinks.exists(spark, str(tmp_path / "state/manifest/6"))
+
+
+def test_corpus_takes_in_files_that_change_while_it_reads(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "scrapes/r1"
+    folder.mkdir(parents=True)
+    (folder / "a.txt").write_text("https://h/1\n")
+    corpus = Corpus(spark, str(tmp_path / "scrapes"), str(tmp_path / "state"))
+
+    def overtaken(spark, paths):
+        lines = spark.createDataFrame(readers.lines_of_files(spark, paths).collect())
+        with open(folder / "a.txt", "a") as f:
+            f.write("https://h/2\n")
+        return lines
+
+    with monkeypatch.context() as during:
+        during.setattr("linkloom.sources.corpus.lines_of_files", overtaken)
+        corpus.update()
+    assert corpus.update()["files_read"] == 1
+    assert sorted(r["url"] for r in corpus.urls().collect()) == ["https://h/1", "https://h/2"]
