@@ -46,15 +46,20 @@ FUNCTIONS = (
         rf"(?i)^({C.BRANDS})(?=[A-Za-z0-9])", "$1 "), "(?is)" + C.TOKEN_VERSION + ".*"), r"^[ _-]+|[ _-]+$"), r"\s+", " ") + "))", C.TOKEN_TAIL) + ")"),
 )
 
-#: Table functions: name, parameters, columns, query.
-TABLE_FUNCTIONS = (
-    ("cdx_page", "body STRING", "nth INT, url STRING, resume_key STRING", r"""
-        WITH lines AS (SELECT filter(transform(slice(split(body, '\\r\\n|[\\n\\r]'), 2, 1073741824), x -> from_json(CASE WHEN trim(x) LIKE '[%' THEN x END, 'array<string>')), a -> a IS NOT NULL) AS good),
-        cut AS (SELECT good, CAST(array_position(transform(good, a -> size(a)), 0) AS INT) AS at FROM lines),
-        found AS (SELECT array_distinct(filter(transform(CASE WHEN at > 0 THEN slice(good, 1, at - 1) ELSE good END, a -> get(a, 0)), u -> u <> '')) AS urls,
-            CASE WHEN at > 0 THEN get(get(filter(slice(good, at + 1, 1073741824), a -> size(a) > 0), 0), 0) END AS resume_key FROM cut)
-        SELECT u.pos, u.col, resume_key FROM found, LATERAL posexplode(urls) AS u(pos, col)"""),
-)
+def _cdx_rows() -> str:
+    """The rows of a capture page as an array: each step names what the next one uses by an array of one."""
+    good = r"filter(transform(slice(split(body, '\\r\\n|[\\n\\r]'), 2, 1073741824), x -> from_json(CASE WHEN trim(x) LIKE '[%' THEN x END, 'array<string>')), a -> a IS NOT NULL)"
+    cut = f"transform(array({good}), g -> named_struct('good', g, 'at', CAST(array_position(transform(g, a -> size(a)), 0) AS INT)))"
+    found = f"""transform({cut}, c -> named_struct(
+        'urls', array_distinct(filter(transform(CASE WHEN c.at > 0 THEN slice(c.good, 1, c.at - 1) ELSE c.good END, a -> get(a, 0)), u -> u <> '')),
+        'resume_key', CASE WHEN c.at > 0 THEN get(get(filter(slice(c.good, c.at + 1, 1073741824), a -> size(a) > 0), 0), 0) END))"""
+    return f"flatten(transform({found}, f -> transform(f.urls, u -> named_struct('url', u, 'resume_key', f.resume_key))))"
+
+
+#: Table functions: name, parameters, columns, query. A query is one generator without a relation: that alone becomes a step of the
+#: caller's plan. Of any other Spark makes a join with the caller's distinct arguments, computed again; where they come out
+#: otherwise (lists collected in another order), rows are lost.
+TABLE_FUNCTIONS = (("cdx_page", "body STRING", "nth INT, url STRING, resume_key STRING", f"SELECT u.pos, u.col.url, u.col.resume_key FROM posexplode({_cdx_rows()}) AS u(pos, col)"),)
 
 
 def register(spark: SparkSession) -> None:

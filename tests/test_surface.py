@@ -2,6 +2,7 @@
 
 import io
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,16 @@ def test_cdx_table_function(spark):
     assert got == sorted(map(tuple, parsed.select("i", F.posexplode("r.urls").alias("nth", "url"), "r.resume_key").collect())) and len(got) == 4
 
 
+def test_cdx_table_function_reads_each_page_once(spark):
+    """Pages that come out otherwise when they are computed again, as lists do that are collected in the order of a shuffle."""
+    sql.register(spark)
+    made = F.udf(lambda i: f'["original"]\n["{uuid.uuid4()}"]\n["{i}"]\n[]\n["key"]')
+    spark.range(9).repartition(3).select("id", made("id").alias("body")).createOrReplaceTempView("unsteady")
+    rows = spark.sql("SELECT id, c.nth, c.url, c.resume_key FROM unsteady, LATERAL cdx_page(body) AS c(nth, url, resume_key)")
+    assert sorted(r["url"] for r in rows.where("nth = 1").collect()) == [str(i) for i in range(9)]
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.fixture
 def runs(tmp_path):
     for run, name, text in (("r1", "a.txt", "https://h/1\nhttps://h/2\r\n\n"), ("r1", "b.txt", "https://h/é"), ("r2", "a.txt", "https://h/3\n" * 3), ("r2", "a.000001.txt", "https://h/4\n"), ("r2", "no.csv", "x"), ("run=r3/source=c%20d", "part-0.txt", "https://h/5\n")):
