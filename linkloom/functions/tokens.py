@@ -97,5 +97,5 @@ def corpus_patterns(names: DataFrame) -> DataFrame:
 
 
 def known_basenames(lines: DataFrame) -> DataFrame:
-    """lines: value. The decoded last path segment of each line; order and repeats stay."""
-    return lines.select(percent_decode(F.substring_index("value", "/", -1)).alias("basename"))
+    """lines: value and others, which are kept. The decoded last path segment of each line; order and repeats stay."""
+    return lines.select(*(c for c in lines.columns if c != "value"), percent_decode(F.substring_index("value", "/", -1)).alias("basename"))

@@ -682,9 +682,9 @@ def stream_outcomes(spark, sf_dir):
     return verify.classified(r.select(F.col("request_url").alias("url")), counted).select("url", "live", "size", "version_id", "status", "error_type")
 
 
-@query(rf"{_HARD_CTE} SELECT url_decode(regexp_replace(regexp_extract(url, '[^/]*$'), '%(z)', '%25\1', 'g')) AS basename FROM h")
+@query(rf"{_HARD_CTE} SELECT page_id, url_decode(regexp_replace(regexp_extract(url, '[^/]*$'), '%(z)', '%25\1', 'g')) AS basename FROM h")
 def known_basenames(spark, sf_dir):
-    return tokens.known_basenames(hard_urls(spark, sf_dir).select(F.col("url").alias("value")))
+    return tokens.known_basenames(hard_urls(spark, sf_dir).withColumnRenamed("url", "value"))
 
 
 @query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(event_id % 50 AS DOUBLE) WHEN 1 THEN greatest(0.0, CAST(epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2024-01-01 00:00:00') AS DOUBLE)) END AS seconds FROM events""")

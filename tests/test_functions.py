@@ -93,5 +93,10 @@ def test_patterns(spark):
     assert {r[0] for r in tokens.corpus_patterns(empty).collect()} == set(C.CANONICAL_PATTERNS)
 
 
+def test_known_basenames_keep_the_other_columns(spark):
+    lines = spark.createDataFrame([(1, "https://h/a/x%20y.zip"), (2, "b+c%zz"), (2, "b+c%zz")], "page_id int, value string")
+    assert sorted(map(tuple, tokens.known_basenames(lines).collect())) == [(1, "x y.zip"), (2, "b+c%zz"), (2, "b+c%zz")]
+
+
 def test_fixed_lists():
     assert (len(C.REGIONS), len(C.SISTER_REGIONS), len(C.GATE_EXTENSIONS), len(C.FALLBACK_EXTENSIONS), len(C.CANDIDATE_EXTENSIONS)) == (38, 46, 13, 11, 8)
