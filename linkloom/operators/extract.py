@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,40 +157,67 @@ def unescaped(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often it is used: columns within lambdas are not shared otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def attribute(tag: Column, name: str) -> Column:
     """The first attribute of the name, unescaped; null if there is none, empty if it has no value."""
     every = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0))
     first = F.get(F.filter(every, lambda a: a.rlike(rf"(?is)^[\s/]+{name}(?:\s*=|$)")), F.lit(0))
-    return unescaped(F.concat(*(F.regexp_extract(first, _VALUE, n) for n in (1, 2, 3))))
+    value = _named(first, lambda a: F.concat(*(F.regexp_extract(a, _VALUE, n) for n in (1, 2, 3))))
+    return _named(value, unescaped)
+
+
+def _tags(html: Column) -> Column:
+    """The <a> tags, and the <div> tags at both ends, in the order of the page."""
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_MARKUP), F.lit(0))
+    return F.filter(tags, lambda t: t.rlike(r"(?i)^</?(?:a|div)"))
+
+
+#: Tags that one fold gathers links of. A list that grows by one is copied whole, so a fold over a page would cost the square of its
+#: links; folds over blocks, whose lists are then gathered by a fold over these, cost this number for each.
+FOLD = 256
 
 
 def links(html: Column) -> Column:
     """href of each <a> that has one, in the order of the page, and whether it is within a result: array of href, inside.
 
     A fold over tags, in place of a tree: how many divs are open, and since which of them one is a result's."""
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_MARKUP), F.lit(0))
-    kept = F.filter(tags, lambda t: t.rlike(r"(?i)^</?(?:a|div)"))
-    seen = F.transform(kept, lambda t: F.struct(
+    seen = F.transform(_tags(html), lambda t: F.struct(
         F.when(t.startswith("</"), -1).when(t.rlike(r"(?i)^<div"), 1).otherwise(0).alias("step"),
         F.when(t.rlike(r"(?i)^<a"), attribute(t, "href")).alias("href"),
         F.coalesce(F.array_contains(F.split(F.when(t.rlike(r"(?i)^<div"), attribute(t, "class")), r"\s+"), RESULT_CLASS), F.lit(False)).alias("result"),
     ))
-    none = F.lit(0)
-    start = F.struct(none.alias("open"), none.alias("since"), F.array().cast("array<struct<href:string,inside:boolean>>").alias("found"))
+    blocks = _named(seen, lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(FOLD)), lambda at: F.slice(s, at + 1, F.lit(FOLD))))
+    none, empty = F.lit(0), F.array().cast("array<struct<href:string,inside:boolean>>")
+
+    def state(now: Column, since: Column, found: Column) -> Column:
+        return F.struct(now.alias("open"), since.alias("since"), found.alias("found"))
 
     def step(acc: Column, t: Column) -> Column:
         now = F.greatest(acc["open"] + t["step"], none)
         since = F.when((acc["since"] == 0) & t["result"], now).when(now < acc["since"], none).otherwise(acc["since"])
         link = F.when(t["href"].isNotNull(), F.array_append(acc["found"], F.struct(t["href"].alias("href"), (acc["since"] > 0).alias("inside")))).otherwise(acc["found"])
-        return F.struct(now.alias("open"), since.alias("since"), link.alias("found"))
+        return state(now, since, link)
+
+    def block(acc: Column, tags: Column) -> Column:
+        return F.aggregate(tags, state(acc["open"], acc["since"], empty), step, lambda own: state(own["open"], own["since"], F.array_append(acc["found"], own["found"])))
+
+    start = state(none, none, F.array().cast("array<array<struct<href:string,inside:boolean>>>"))
+    return F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["found"]))
+
 
-    return F.aggregate(seen, start, step, lambda acc: acc["found"])
+def hrefs(html: Column) -> Column:
+    """href of each <a> that has one, in the order of the page, wherever it is: no fold is needed."""
+    return F.filter(F.transform(F.filter(_tags(html), lambda t: t.rlike(r"(?i)^<a")), lambda t: attribute(t, "href")), lambda h: h.isNotNull())
 
 
 def index_models(html: Column) -> Column:
     """Models that an index page links to, in its order, repeats kept."""
-    models = F.filter(links(html), lambda x: x["href"].startswith("?model=") & (F.length(x["href"]) > 7))
-    return F.transform(models, lambda x: F.substring(x["href"], F.lit(8), F.length(x["href"])))
+    models = F.filter(hrefs(html), lambda h: h.startswith("?model=") & (F.length(h) > 7))
+    return F.transform(models, lambda h: F.substring(h, F.lit(8), F.length(h)))
 
 
 def result_links(html: Column) -> Column:
@@ -197,7 +226,7 @@ def result_links(html: Column) -> Column:
 
 
 def any_links(html: Column) -> Column:
-    return F.transform(F.filter(links(html), lambda x: _of_hosts(x["href"])), lambda x: x["href"])
+    return F.filter(hrefs(html), _of_hosts)
 
 
 def _of_hosts(href: Column) -> Column:

@@ -1,5 +1,6 @@
 """Links of pages by a fold over tags, against a parser that builds the page up."""
 
+import time
 from html.parser import HTMLParser
 
 from hypothesis import HealthCheck, given, settings
@@ -68,3 +69,20 @@ def test_no_python_runs(spark):
     assert [[r["url"] for r in f.collect()] for f in both] == [[f"{host}/a.zip"], [f"{host}/a.zip", f"{host}/b.zip"]]
     models = pages.select(F.explode(extract.index_models(F.col("body"))))
     assert all("Python" not in f._jdf.queryExecution().executedPlan().toString() for f in (*both, models))
+
+
+def test_pages_with_very_many_links(spark):
+    """Work grows with the links: a page of eight times as many takes little more than eight times as long."""
+    def took(n, read):
+        page = f"<div>{'<div class=yuRUbf>'}" + "".join(f"<a href=?model={i}>" for i in range(n)) + "</div><a href=out>"
+        pages = spark.createDataFrame([(page,)], "html string")
+        began = time.monotonic()
+        got = [tuple(r) for r in pages.select(F.explode(read(F.col("html"))).alias("x")).select("x.*" if read is extract.links else "x").collect()]
+        return time.monotonic() - began, got
+
+    few, many = 4_000, 64_000
+    for read, want in ((extract.index_models, [(str(i),) for i in range(many)]), (extract.links, [(f"?model={i}", True) for i in range(many)] + [("out", False)])):
+        took(few, read)
+        least = took(few, read)[0]
+        most, got = took(many, read)
+        assert got == want and most < 16 * max(least, 0.25) * 2
