@@ -1,6 +1,7 @@
 """Arrays that are cut anywhere, and responses as a stream."""
 
 import json
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -72,3 +73,14 @@ def test_outcomes_of_a_stream(spark, tmp_path):
     assert retried and set(retried) <= {("v", 1), ("v", 2)} and len(retried) == len(set(retried))
     per_url = {r["request_url"]: r["count"] for r in let_through.where("kind = 'outcome'").groupBy("request_url").count().collect()}
     assert per_url["u"] == 1 and per_url["x"] == 1  # in a batch one, and nothing for late or repeated ones
+
+
+def test_outcomes_of_very_many_urls(spark, tmp_path):
+    """No call of Python for each URL: 40,000 take little longer than a few."""
+    rows = spark.range(40_000).select(F.concat(F.lit("u"), "id").alias("request_url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"), F.create_map(F.lit("a"), F.lit("b")).alias("headers"), F.lit(datetime(2024, 1, 1)).alias("fetched_at"))
+    rows.write.parquet(f"{tmp_path}/in")
+    began = time.monotonic()
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    assert outcomes.write(outcomes.outcomes(stream, buckets=64), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(45)
+    assert time.monotonic() - began < 45
+    assert spark.read.parquet(f"{tmp_path}/out").select("request_url").distinct().count() == 40_000
