@@ -69,11 +69,21 @@ def asked_key(request_url: Column) -> Column:
     return F.regexp_replace(canonical(request_url), C.ORIGIN, "https://")
 
 
+def there(responses: DataFrame, key: str = "request_url") -> DataFrame:
+    """responses: the key, status, fetched_at. The keys whose latest response, as of latest(), is 200: the last 200 is later than any
+    greater status, and not earlier than any other. These are times alone, so they are combined by hashing, without a sort."""
+    at, status = F.coalesce("fetched_at", F.timestamp_seconds(F.lit(0))), F.coalesce("status", F.lit(-1))
+    last = responses.groupBy(key).agg(F.max(F.when(status == 200, at)).alias("good"), F.max(F.when(status > 200, at)).alias("greater"), F.max(F.when(status < 200, at)).alias("less"))
+    return last.where("good IS NOT NULL AND (greater IS NULL OR good > greater) AND (less IS NULL OR good >= less)").select(key)
+
+
 def existing(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     """Candidates whose latest response, of the origin or the host, is 200; names may be written with or without escapes."""
-    heads = responses.select(asked_key(F.col("request_url")).alias("request_url"), "status", "fetched_at")
-    there = latest(heads).where("status = 200").select(F.col("request_url").alias("_there"))
-    return candidates.join(there, canonical(F.col("url")) == F.col("_there"), "left_semi")
+    # columns of their own that are never null: a join by an expression would work it out anew in each comparison of its sort, and of a
+    # key that may be null Spark would ask that first, in a filter whose code is too large to be compiled; missing ones meet nothing
+    heads = responses.select(F.coalesce(asked_key(F.col("request_url")), F.lit("\0there")).alias("_there"), "status", "fetched_at")
+    keyed = candidates.withColumn("_key", F.coalesce(canonical(F.col("url")), F.lit("\0key")))
+    return keyed.join(there(heads, "_there"), F.col("_key") == F.col("_there"), "left_semi").drop("_key")
 
 
 def unseen(urls: DataFrame, known: DataFrame) -> DataFrame:

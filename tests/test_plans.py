@@ -165,3 +165,14 @@ def test_json_array_of_nothing(spark, tmp_path):
 def test_cli_checks(capsys):
     assert cli.main([]) == 0 and "usage" in capsys.readouterr().out
     assert cli.main(["verify", "--data-dir", "../x"]) == 2 and cli.main(["bruteforce", "-c", "0"]) == 2
+
+
+def test_existing_filters_by_no_long_expression(spark):
+    """Nulls meet nothing, of equal times the greater status counts, and no filter or join works the keys out anew."""
+    heads = spark.createDataFrame([("https://h/a", 200, 2), ("http://H/a", 404, 1), ("https://h/b", 200, 2), ("https://h/b", 404, 2), ("https://h/c", 200, 2), ("https://h/c", None, 2), ("https://h/d", 200, 1), ("https://h/d", 100, 2), ("https://h/e", 200, None), (None, 200, 3)], "request_url string, status int, at int")
+    heads = heads.withColumn("fetched_at", F.timestamp_seconds("at")).drop("at")
+    asked = spark.createDataFrame([("http://h/a",), ("https://h/b",), ("https://h/c",), ("https://h/d",), ("https://h/e",), (None,), ("",)], "url string")
+    found = verify.existing(asked, heads)
+    assert sorted(r["url"] for r in found.collect()) == ["http://h/a", "https://h/c", "https://h/e"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if ("Filter" in x or "Join" in x) and "regexp" in x]
