@@ -525,7 +525,7 @@ def heads_of_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     public = F.concat(F.lit(f"https://{C.ARCHIVE_HOST}/2024/202402/202402"), F.when(F.col("z") % 2 == 0, "28").otherwise("29"), F.lit("/"), "basename")
     now = part.select(urls.origin_url(urls.canonical(public)).alias("request_url"), F.when(F.col("z") % 3 == 0, 200).otherwise(404).alias("status"), F.lit("2024-03-01").cast("timestamp").alias("fetched_at"), "z")
     before = now.where("z % 5 = 0").withColumn("status", F.lit(200)).withColumn("fetched_at", F.lit("2024-02-29").cast("timestamp"))
-    return part.select("basename"), now.unionByName(before).drop("z")
+    return part.select("basename"), stored(now.unionByName(before).drop("z"), "heads")
 
 
 @query(f"SELECT 'dates' AS strategy, 'https://{C.ARCHIVE_HOST}/2024/202402/202402' || CASE z % 2 WHEN 0 THEN '28' ELSE '29' END || '/' || replace(b, ' ', '%20') AS url FROM {_SPACED} WHERE z % 3 = 0")

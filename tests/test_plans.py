@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom import cli
+from linkloom import cli, queries
 from linkloom.operators import extract, generate, verify
 from linkloom.plans import sinks
 from linkloom.plans.runs import BruteforceRun, ScrapeRun, VerifyRun
@@ -176,3 +176,10 @@ def test_existing_filters_by_no_long_expression(spark):
     assert sorted(r["url"] for r in found.collect()) == ["http://h/a", "https://h/c", "https://h/e"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if ("Filter" in x or "Join" in x) and "regexp" in x]
+
+
+def test_heads_of_names_are_made_once(spark, sf):
+    """Each range of a sweep asks them; they are read, not made anew from all parts."""
+    _, heads = queries.heads_of_names(spark, sf)
+    plan = heads.where("request_url IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "p_name" not in plan and heads.count()
