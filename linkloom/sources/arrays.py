@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 64 << 20
+CHUNK = 16 << 20
+#: Bytes of a chunk that a task holds at once, but for an element that is longer.
+PIECE = 1 << 20
 OUTSIDE, STRING, ESCAPE = 0, 1, 2
 _MARKS, _IN_STRING = re.compile(rb'["\[\]{},]'), re.compile(rb'["\\]')
 
@@ -66,6 +68,18 @@ def transition(data: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def transition_of(read, at: int, chunk: int, piece: int = PIECE) -> list[tuple[int, int]]:
+    """transition() of a chunk, composed of those of its pieces."""
+    out = [(state, 0) for state in (OUTSIDE, STRING, ESCAPE)]
+    for start in range(at, at + chunk, piece):
+        data = read(start, min(piece, at + chunk - start))
+        if not data:
+            break
+        step = transition(data)
+        out = [(step[state][0], depth + step[state][1]) for state, depth in out]
+    return out
+
+
 _MADE = pa.schema([("path", pa.string()), ("at", pa.int64()), *((f"{c}{s}", pa.int32()) for s in range(3) for c in ("end", "depth"))])
 
 
@@ -74,15 +88,18 @@ def _transitions(chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         for path, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
             files, name = opened(path)
             with files.open_input_file(name) as f:
-                found = transition(f.read_at(chunk, at))
+                found = transition_of(lambda a, n: f.read_at(n, a), at, chunk)  # noqa: B023
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((path, at, *(x for pair in found for x in pair)), _MADE.types, strict=True)], schema=_MADE)
 
 
-def elements(read, at: int, chunk: int, state: int, depth: int) -> Iterator[bytes]:
-    """read(position, n) gives bytes. The elements that begin in the chunk, whole: after a bracket or comma in it."""
+def elements(read, at: int, chunk: int, state: int, depth: int, size: int = PIECE) -> Iterator[bytes]:
+    """read(position, n) gives bytes, size at once. The elements that begin in the chunk, whole: after a bracket or comma in it."""
     begun, parts, start = False, [], at
     while True:
-        data = read(start, chunk)
+        if not begun and start >= at + chunk:
+            return
+        # no piece lies on both sides of the chunk's end
+        data = read(start, min(size, at + chunk - start) if start < at + chunk else size)
         if not data:
             return
         piece = 0
@@ -97,11 +114,10 @@ def elements(read, at: int, chunk: int, state: int, depth: int) -> Iterator[byte
                     if whole := b"".join(parts).strip():
                         yield whole
                 parts, piece, begun = [], mark + 1, not closes
-                if start > at:
+                if start >= at + chunk:
                     return  # the next element is of that chunk
-        if not begun:
-            return
-        parts.append(data[piece:])
+        if begun:
+            parts.append(data[piece:])
         start += len(data)
 
 

@@ -26,6 +26,25 @@ def test_elements_of_any_chunk(chunk):
         assert (state, depth) == (arrays.OUTSIDE, 0) and [json.loads(e) for e in found] == json.loads(text)
 
 
+@pytest.mark.parametrize(("chunk", "size"), [(7, 3), (64, 5), (64, 64), (1000, 17), (1 << 20, 100)])
+def test_chunks_are_read_in_pieces(chunk, size):
+    """No read is of more than a piece, and elements and transitions are those of whole chunks."""
+    data = json.dumps(ENTRIES, indent=2, ensure_ascii=False).encode()
+    asked = []
+
+    def read(a, n):
+        asked.append(n)
+        return data[a : a + n]
+
+    state, depth, found = arrays.OUTSIDE, 0, []
+    for at in range(0, len(data), chunk):
+        found += arrays.elements(read, at, chunk, state, depth, size)
+        assert arrays.transition_of(read, at, chunk, size) == arrays.transition(data[at : at + chunk])
+        end, change = arrays.transition(data[at : at + chunk])[state]
+        state, depth = end, depth + change
+    assert [json.loads(e) for e in found] == json.loads(data) and max(asked) <= size
+
+
 def test_listing_in_chunks(spark, tmp_path):
     (tmp_path / "a b").mkdir()
     path = str(tmp_path / "a b" / "l%20.json")
