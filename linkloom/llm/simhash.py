@@ -12,10 +12,12 @@ at most; where that is fewer, a link is lost with a probability of (1 - similar)
 is first estimated, as the part of BINS bins in which both texts have the same smallest hash (one-permutation hashing, a
 deviation of 0.025 at most); links within MARGIN of `similar` are then checked on the whole shingle sets of both texts.
 
-Groups under one key are never expanded into pairs: from each group a spanning forest of sure links leaves, and those
-doubtful ones that would join trees of it, of nodes up to REACH apart in the group. Groups over BLOCK nodes are dealt out
-as pairs of chunks. Groups with doubtful links further apart are searched again, in rounds, until no unchecked doubtful
-link is left between two components; each round reaches FURTHER times as far as the one before.
+Groups under one key are never expanded into pairs: from each group a spanning forest leaves, of sure links first, then of
+the best doubtful ones between its trees, so fewer links than it has nodes. Doubtful links are looked for between nodes up to
+REACH apart in the group; where trees stay apart that have some further off, the group is searched again, in rounds, each
+FURTHER times as far. The forest's doubtful links are checked on whole sets. Those it left out matter only where the
+checked ones leave a component of possible links in several parts: between these, tasks compare whole sets, in chunks.
+Groups over BLOCK nodes are dealt out in chunks, which meet in pairs only where links by other keys leave them apart.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import Scratch, batch, nonempty, small_batches, texts, utf8, written
-from linkloom.llm.components import components
+from linkloom.llm.components import components, stars
 
 SEED = 42
 BITS = 64
@@ -56,6 +58,8 @@ SALTS = 16
 KEY_BITS = 12
 #: Groups up to this size are compared by shifting; larger ones by search from node to node.
 FEW = 8
+#: Nodes of a chunk where whole sets are compared, and chunks of a group; there are more only where a chunk has over HELD hashes.
+CHUNK, CHUNKS, HELD = 64, 32, 1 << 20
 #: Shingles whose hashes are held at once: bounds memory for very long texts.
 PIECE = 1 << 18
 
@@ -214,23 +218,54 @@ def _forest(f: np.ndarray, s: np.ndarray | None, radius: int, similar: float) ->
     return out, tree
 
 
+def _best(a: np.ndarray, b: np.ndarray, est: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between trees, which form a spanning forest of the best estimates, fewer than trees; and each node's tree with them."""
+    order, kept = np.argsort(-est, kind="stable"), [np.empty(0, np.int64)]
+    x, y, at = tree[a[order]], tree[b[order]], np.arange(len(order))
+    while True:
+        apart = x != y
+        if not apart.any():
+            return order[np.concatenate(kept)], tree
+        x, y, at = x[apart], y[apart], at[apart]
+        first = np.full(len(tree), len(order))
+        np.minimum.at(first, x, at)
+        np.minimum.at(first, y, at)
+        chosen = np.isin(at, first)  # the best link of each tree; as no two links rank the same, these close no circle
+        kept.append(at[chosen])
+        to = np.arange(len(tree))
+        moved, root = stars(x[chosen], y[chosen])
+        to[moved] = root
+        x, y, tree = to[x], to[y], to[tree]
+
+
 def _doubtful(f: np.ndarray, s: np.ndarray, tree: np.ndarray, first: int, last: int, radius: int, similar: float) -> tuple[Found, bool]:
-    """Links between trees that are possible, of nodes over first and up to last apart in the ring of f, and whether there are any further apart."""
-    out, more, n = [], False, len(f)
+    """Links between trees that are possible, of nodes over first and up to last apart in the ring of f, but fewer than trees:
+    a spanning forest of the best estimates. And whether trees that it leaves apart have such links further apart."""
+    n, found, held = len(f), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0
     if (tree == tree[0]).all():
-        return out, False
-    for i in range(n - 1):
-        at = np.arange(i + 1, n)
-        apart = np.minimum(at - i, n - (at - i))
-        at = at[(tree[at] != tree[i]) & (apart > first) & ((apart <= last) | (not more))]  # beyond last, one suffices
+        return [], False
+    for apart in range(first + 1, min(last, n // 2) + 1):
+        a = np.arange(n if 2 * apart < n else n - apart)
+        b = (a + apart) % n
+        good = tree[a] != tree[b]
+        good[good] = near(f[a[good]] ^ f[b[good]], radius)
+        a, b = a[good], b[good]
+        est = similarity(s[a], s[b])
+        good = est >= similar - MARGIN
+        found.append((a[good], b[good], est[good]))
+        held += int(good.sum())
+        if held > 16 * n or apart == min(last, n // 2):
+            a, b, est = map(np.concatenate, zip(*found, strict=True))
+            kept, _ = _best(a, b, est, tree)
+            found, held = [(a[kept], b[kept], est[kept])], 0
+    _, tree = _best(*found[0], tree)
+    for i in range(n - 1 if 2 * last < n - 1 else 0):
+        at = np.arange(i + last + 1, min(n, n + i - last))
+        at = at[tree[at] != tree[i]]
         at = at[near(f[at] ^ f[i], radius)]
-        est = similarity(s[at], s[i])
-        at, est = at[est >= similar - MARGIN], est[est >= similar - MARGIN]
-        now = np.minimum(at - i, n - (at - i)) <= last
-        more = more or not now.all()
-        if now.any():
-            out.append((np.full(int(now.sum()), i), at[now], est[now]))
-    return out, more
+        if (similarity(s[at], s[i]) >= similar - MARGIN).any():
+            return found, True
+    return found, False
 
 
 def _links_in(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, sketches: np.ndarray | None, radius: int, similar: float, reach: tuple[int, int], roots: np.ndarray | None) -> list[np.ndarray]:
@@ -248,10 +283,10 @@ def _links_in(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, sketches: np
             est = np.ones(at.size) if sketches is None else similarity(sketches[at], sketches[at + step])
             good = est >= similar - MARGIN
             out.append((nodes[at[good]], nodes[at[good] + step], est[good]))
-    for i in np.flatnonzero(sizes > FEW):
+    for i in np.flatnonzero(sizes > (FEW if roots is None else 1)):
         own = slice(starts[i], starts[i] + sizes[i])
         s = None if sketches is None else sketches[own]
-        found, tree = _forest(fps[own], s, radius, similar) if roots is None else ([], roots[own])
+        found, tree = _forest(fps[own], s, radius, similar) if roots is None else ([], np.unique(roots[own], return_inverse=True)[1])
         if s is not None:
             more, beyond = _doubtful(fps[own], s, tree, *reach, radius, similar)
             found += more
@@ -290,25 +325,39 @@ def _link(radius: int, similar: float, reach: tuple[int, int], batches: Iterator
         yield out(*joined())
 
 
+def large(keyed: DataFrame, tables: Scratch) -> DataFrame:
+    """The keys of groups over BLOCK nodes, and how many chunks they are dealt out in."""
+    found = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("chunks"))
+    return tables.write(found, "large")
+
+
+def in_pairs(keyed: DataFrame, of: DataFrame) -> DataFrame:
+    """keyed, as for links(), with the groups named by large() dealt out as pairs of chunks, each with a key of its own."""
+    chunk = F.pmod(F.xxhash64(F.lit(3), "key", "node"), F.col("chunks")).cast("int")
+    return (
+        keyed.join(of, "key", "left")
+        .withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
+        .select(F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least(chunk, "other"), F.greatest(chunk, "other"))).alias("key"), *keyed.columns[1:])
+    )
+
+
+def in_chunks(keyed: DataFrame, of: DataFrame) -> DataFrame:
+    """As in_pairs(), but each chunk by itself; a node's chunks under several keys differ."""
+    chunk = F.pmod(F.xxhash64(F.lit(3), "key", "node"), F.col("chunks")).cast("int")
+    return keyed.join(of, "key", "left").select(F.when(F.col("chunks").isNull(), F.col("key")).otherwise(F.xxhash64("key", chunk)).alias("key"), *keyed.columns[1:])
+
+
 def dealt(keyed: DataFrame, tables: Scratch) -> DataFrame:
-    """keyed, as for links(), with the groups over BLOCK nodes dealt out as pairs of chunks, each with a key of its own."""
-    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("chunks"))
-    large = tables.write(large, "large")
-    if large.limit(1).count():  # each pair of chunks is a group of its own
-        chunk = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("chunks")).cast("int")
-        keyed = (
-            keyed.join(large, "key", "left")
-            .withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
-            .select(F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least(chunk, "other"), F.greatest(chunk, "other"))).alias("key"), *keyed.columns[1:])
-        )
-    return keyed
+    """keyed, as for links(), in pairs of chunks where there are large groups."""
+    of = large(keyed, tables)
+    return in_pairs(keyed, of) if of.limit(1).count() else keyed
 
 
 def links(keyed: DataFrame, radius: int, similar: float = SIMILAR, reach: tuple[int, int] | None = None) -> DataFrame:
-    """keyed: key, node, fp and, with a sketch, bins; without repeats of key and node; from dealt(). Links a, b, estimate
+    """keyed: key, node, fp and, with a sketch, bins; without repeats of key and node; large groups in chunks. Links a, b, estimate
     between nodes under one key whose fingerprints differ in up to radius bits and, with bins, may be similar (else estimate
-    is 1); not all of them, but as many as join the same nodes. With bins, rows with the estimate OPEN name keys (as a) with
-    doubtful links beyond the reach. If keyed has the root of the component of each node, too, links are those between
+    is 1); not all of them, but as many as join the same nodes, fewer than nodes in each group over FEW. With bins, those are
+    of the best estimates, and rows with the estimate OPEN name keys (as a) with doubtful links beyond the reach. If keyed has the root of the component of each node, too, links are those between
     components, of nodes within the reach."""
     found = keyed.repartition("key").sortWithinPartitions("key", "node")
     return found.mapInArrow(partial(_link, radius, similar, reach or (0, REACH)), "a long, b long, estimate double")
@@ -321,37 +370,144 @@ def _sets(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array([digest(h)], pa.uint64()).view(pa.int64()), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["node", "hashes"])
 
 
-def checked(doubtful: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int, similar: float, tables: Scratch) -> DataFrame:
-    """Of links a, b those whose texts' whole shingle sets have the similarity. rows: doc_id and text; one row is read for each end."""
-    nodes = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def whole_sets(nodes: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int, tables: Scratch) -> DataFrame:
+    """Of nodes: node and the hashes of its whole shingle set. rows: doc_id and text; one row is read for each node."""
+    nodes = nodes.select("node").distinct()
     need = tables.write(prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("need")).select("need").distinct(), "need")
     hint = "broadcast" if need.count() <= BROADCAST_IDS else "shuffle_hash"
     read = rows.join(need.hint(hint), F.expr("doc_id <=> need"), "left_semi").select("doc_id", "text")
     sets = read.mapInArrow(partial(_sets, shingle), "node long, hashes array<long>").join(nodes, "node", "left_semi")
-    sets = tables.write(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    return tables.write(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+
+
+def checked(doubtful: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int, similar: float, tables: Scratch) -> DataFrame:
+    """Of links a, b those whose texts' whole shingle sets have the similarity. rows: as for whole_sets()."""
+    sets = whole_sets(doubtful.select(F.explode(F.array("a", "b")).alias("node")), prints, rows, shingle, tables)
     end = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     return doubtful.join(end("a"), "a").join(end("b"), "b").where(both / (F.size("of_a") + F.size("of_b") - both) >= similar).select("a", "b")
 
 
+def _told(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows: group, node and more; groups: group and more, once each. Joined by salts, for a group may hold most nodes."""
+    salt = F.pmod(F.xxhash64(F.lit(19), "node"), F.lit(SALTS)).cast("int").alias("salt")
+    each = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.select("*", salt).join(each.hint("merge"), ["group", "salt"]).drop("salt")
+
+
+def parted(may: DataFrame, of: DataFrame, tables: Scratch) -> DataFrame:
+    """may and of: node and root as from components(). Of the components of `may` of several ones of `of`: group, node, root."""
+    both = may.select("node", F.col("root").alias("group")).union(may.select("root", "root").distinct())
+    both = both.join(of.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left").select("group", "node", F.coalesce("root", "node").alias("root"))
+    both = tables.write(both, "may")
+    several = both.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    return tables.write(_told(both, several.select("group")), "parted")
+
+
+def _borne_out(nodes: np.ndarray, f: np.ndarray, s: np.ndarray, roots: np.ndarray, side: np.ndarray, sets: list[np.ndarray], radius: int, similar: float) -> Found:
+    """Links between roots, of nodes of one side and the other, that whole sets bear out: as many as join the same nodes."""
+    out, tree = [], np.unique(roots, return_inverse=True)[1]
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(np.r_[0, size])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    held, others = np.zeros(len(ids), bool), np.flatnonzero(~side)
+    for i in np.flatnonzero(side):
+        at = others[tree[others] != tree[i]]
+        at = at[near(f[at] ^ f[i], radius)]
+        at = at[similarity(s[at], s[i]) >= similar - MARGIN]
+        own = ids[ends[i] : ends[i + 1]]
+        held[own] = True
+        both = np.array([np.count_nonzero(held[ids[ends[j] : ends[j + 1]]]) for j in at], np.int64)
+        held[own] = False
+        for j in at[both / (size[i] + size[at] - both) >= similar]:
+            if tree[j] != tree[i]:
+                out.append((nodes[i], nodes[j]))
+                tree[tree == tree[j]] = tree[i]
+    return out
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _bear_out(radius: int, similar: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key: key, node, fp, bins, root, side, hashes. One group is held, of few times HELD hashes."""
+    held: list[tuple] = []
+
+    def out():
+        _, node, fp, bins, root, side, sets = zip(*held, strict=True)
+        s = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS)
+        found = _borne_out(np.array(node), np.array(fp).view(np.uint64), s, np.array(root), np.array(side), sets, radius, similar)
+        return batch(_PAIRS, [a for a, _ in found], [b for _, b in found])
+
+    for b in nonempty(batches):
+        *columns, sets = b.columns
+        at = sets.offsets.to_numpy()
+        flat = sets.values.to_numpy()
+        for i, row in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
+            if held and held[0][0] != row[0]:
+                yield out()
+                held = []
+            held.append((*row, flat[at[i] : at[i + 1]].copy()))
+    if held:
+        yield out()
+
+
+def borne_out(left: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int, radius: int, similar: float, tables: Scratch) -> DataFrame:
+    """left: group, node, root, as from parted(). Links a, b between roots of a group whose whole shingle sets have the
+    similarity, as many as join the same nodes. Nodes outside a group's largest root meet all others, in chunks of either."""
+    known = prints.join(left.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("fp", "bins")).alias("one"))
+    known = tables.write(whole_sets(left, prints, rows, shingle, tables).join(known, "node").select("node", "one.fp", "one.bins", "hashes"), "known")
+    sized = left.join(known.select("node", F.size("hashes").alias("size")), "node").groupBy("group", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    of = sized.groupBy("group").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("main"))
+    chunks = lambda n, size: F.greatest(F.least(F.ceil(n / CHUNK), F.lit(CHUNKS)), F.ceil(size / HELD)).cast("int")
+    n, size, main = (F.col(c) for c in ("n", "size", "main"))
+    of = of.select("group", main["root"].alias("main"), chunks(n, size).alias("all"), chunks(n - main["n"], size - main["size"]).alias("few"))
+    dealt_out = tables.write(_told(left, of), "dealt")
+    chunk = lambda k: F.pmod(F.xxhash64(F.lit(23), "node"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias("other")
+    one = dealt_out.where("root <> main").select("*", each("all")).select(F.xxhash64("group", chunk("few"), "other").alias("key"), "node", "root", F.lit(True).alias("side"))
+    two = dealt_out.select("*", each("few")).select(F.xxhash64("group", "other", chunk("all")).alias("key"), "node", "root", F.lit(False).alias("side"))
+    met = one.union(two).join(known, "node").select("key", "node", "fp", "bins", "root", "side", "hashes")
+    return met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(partial(_bear_out, radius, similar), "a long, b long")
+
+
 def joined(keyed: DataFrame, radius: int, similar: float, prints: DataFrame, rows: DataFrame, shingle: int, tables: Scratch) -> DataFrame:
-    """node, root as from components() of all links of at least the similarity between candidates under one key."""
+    """node, root as from components() of all links of at least the similarity between candidates under one key: sure links
+    and those of the doubtful that the forests hold and whole sets bear out; then, where doubtful links join several of
+    the components so found, all that whole sets bear out between these."""
     pairs = lambda found: found.where(F.col("estimate") != OPEN).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("estimate").alias("estimate"))
     keys = lambda found: found.where(F.col("estimate") == OPEN).select(F.col("a").alias("key")).distinct()
-    found = tables.write(links(keyed, radius, similar), "estimated")
+    many = large(keyed, tables)
+    asked = in_chunks(keyed, many) if (split := many.limit(1).count()) else keyed
+    found = tables.write(links(asked, radius, similar), "estimated")
     sure = F.col("estimate") >= similar + MARGIN
-    seen = pairs(found).where(~sure).select("a", "b")
-    edges = found.where(sure).select("a", "b").union(checked(seen, prints, rows, shingle, similar, tables))
-    of, reach = components(edges, tables), REACH
-    while keys(found).limit(1).count():
-        root = of.withColumnRenamed("node", "_node")
-        again = keyed.join(keys(found), "key", "left_semi").join(root, F.col("node") == F.col("_node"), "left")
-        found = tables.write(links(again.select("key", "node", "fp", "bins", F.coalesce("root", "node").alias("root")), radius, similar, (reach, FURTHER * reach)), "further")
-        new = tables.write(pairs(found).select("a", "b").join(seen, ["a", "b"], "left_anti"), "new")
-        if new.limit(1).count():
-            edges = of.select(F.col("node").alias("a"), F.col("root").alias("b")).union(checked(new, prints, rows, shingle, similar, tables))
-            of = components(edges, tables)
-        seen, reach = seen.union(new), FURTHER * reach
+    edges = found.where(sure).select("a", "b").union(checked(pairs(found).where(~sure).select("a", "b"), prints, rows, shingle, similar, tables))
+    of, may = components(edges, tables), components(pairs(found), tables)
+
+    def rooted(frame):
+        root = may.withColumnRenamed("node", "_node")
+        return frame.join(root, F.col("node") == F.col("_node"), "left").select("key", "node", "fp", "bins", F.coalesce("root", "node").alias("root"))
+
+    def sought(frame, reach):
+        new = tables.write(links(rooted(frame), radius, similar, reach), "further")
+        return new, components(may.toDF("a", "b").union(pairs(new).select("a", "b")), tables)
+
+    while True:
+        reach = REACH
+        while keys(found).limit(1).count():
+            found, may = sought(asked.join(keys(found), "key", "left_semi"), (reach, FURTHER * reach))
+            reach *= FURTHER
+        if not split:
+            break
+        # large groups of one component are done; in others chunks meet, and links between components are sought
+        roots = rooted(keyed.join(many.hint("broadcast"), "key", "left_semi")).groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+        many, split = tables.write(many.join(roots.where("least < most"), "key", "left_semi"), "large"), 0
+        if many.limit(1).count():
+            asked = in_pairs(keyed.join(many.hint("broadcast"), "key", "left_semi"), many)
+            found, may = sought(asked, (0, REACH))
+    left = parted(may, of, tables)
+    if left.limit(1).count():
+        of = components(of.toDF("a", "b").union(borne_out(left, prints, rows, shingle, radius, similar, tables)), tables)
     return of
 
 
@@ -364,7 +520,7 @@ def classes(prints: DataFrame, radius: int = 2, rows: DataFrame | None = None, s
     least = prints.groupBy(name).agg(F.min("doc_id").alias("least"))
     if "sketch" in prints.columns:
         one = prints.groupBy("node").agg(F.min(F.struct("sketch", "bins", "fp")).alias("one"))
-        keyed = dealt(one.select(F.explode("one.sketch").alias("key"), "node", F.col("one.fp").alias("fp"), F.col("one.bins").alias("bins")), tables)
+        keyed = one.select(F.explode("one.sketch").alias("key"), "node", F.col("one.fp").alias("fp"), F.col("one.bins").alias("bins"))
         found = joined(keyed, radius, similar, prints, rows, shingle, tables)
     elif ring(radius)[1]:
         edges = links(dealt(least.select("fp", F.explode(chain_keys(F.col("fp"), radius)).alias("key")).select("key", F.col("fp").alias("node"), "fp"), tables), radius)

@@ -241,3 +241,54 @@ def test_no_true_link_is_lost_near_the_least_similarity(spark, monkeypatch):
     assert 10 < len(set(want)) < 150
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 1, 28, 8).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_doubtful_links_leave_a_group_as_a_forest():
+    """Every pair of a group is doubtful: fewer links than nodes leave, not a multiple of them."""
+    rng = np.random.default_rng(31)
+    n = 300
+    s = np.repeat(rng.integers(1, 256, (1, simhash.BINS), dtype=np.uint8), n, axis=0)
+    changed = rng.random(s.shape) < 0.105
+    s[changed] = rng.integers(1, 256, int(changed.sum()), dtype=np.uint8)
+    est = np.array([simhash.similarity(s, x) for x in s])
+    assert ((est > 0.72) & (est < 0.88)).mean() > 0.95
+    a, b, est = simhash._links_in(np.full(n, 7), np.arange(n), np.zeros(n, np.uint64), s, 28, 0.8, (0, simhash.REACH), None)
+    assert (est != simhash.OPEN).all() and len(a) == n - 1
+
+
+def families(rng, shared, own):
+    texts = []
+    for family in range(4):
+        line = [f"s{family}x{k}" for k in range(shared)]
+        texts += [" ".join(line + [f"o{len(texts) + i}x{k}" for k in range(rng.randrange(*own))]) for i in range(40)]
+    return texts
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_groups_of_doubtful_links_are_those_of_all_pairs(spark, monkeypatch, block):
+    """Where the best doubtful links fail, others decide, in large groups, too."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    monkeypatch.setattr(simhash, "REACH", 2)
+    texts = families(random.Random(37), 400, (44, 62))
+    sets = [set(t.split()) for t in texts]
+    want = list(range(len(texts)))
+    while True:
+        before = list(want)
+        for i in range(len(texts)):
+            want[i] = min(want[j] for j in range(i // 40 * 40, i // 40 * 40 + 40) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+        if want == before:
+            break
+    assert 8 < len(set(want)) < 150
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 1, 28, 8).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_whole_sets_decide_between_roots_with_few_links():
+    nodes = np.arange(40)
+    sets = [np.arange(i // 20 * 1000, i // 20 * 1000 + 100, dtype=np.int64) for i in range(40)]
+    s = np.ones((40, simhash.BINS), np.uint8)  # estimates say that all are similar
+    side = nodes % 2 == 1
+    found = simhash._borne_out(nodes, np.zeros(40, np.uint64), s, nodes, side, sets, 28, 0.8)
+    assert len(found) == 38 and all(a // 20 == b // 20 and side[a] and not side[b] for a, b in found)
